@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from recordkeep.llm import line_dedup, token_counts
+from recordkeep.llm import line_dedup, simhash, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op7_simhash_dedup": simhash.op7_simhash_dedup,
     }
 
 
