@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from recordkeep.llm import line_dedup, simhash, token_counts
+from recordkeep.llm import line_dedup, simhash, token_counts, topk
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op5_exact_topk": topk.op5_exact_topk,
         "op7_simhash_dedup": simhash.op7_simhash_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op5_exact_topk": topk.ORACLE}
