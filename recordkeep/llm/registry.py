@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from recordkeep.llm import line_dedup, simhash, token_counts, topk
+from recordkeep.llm import line_dedup, packing, simhash, token_counts, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_exact_topk": topk.op5_exact_topk,
         "op7_simhash_dedup": simhash.op7_simhash_dedup,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
 
 
