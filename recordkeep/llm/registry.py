@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordkeep.llm import line_dedup, packing, simhash, token_counts, topk, toxicity
+from recordkeep.llm import language_id, line_dedup, packing, simhash, token_counts, topk, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_exact_topk": topk.op5_exact_topk,
         "op7_simhash_dedup": simhash.op7_simhash_dedup,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_language_id": language_id.op10_language_id,
     }
 
 

@@ -27,7 +27,7 @@ from recordkeep.llm.tables import table
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 #: Lengths of word beginnings that are features besides whole words.
-PREFIXES = (4, 6)
+PREFIXES = (4, 5, 7)
 #: Labelled documents that the model is fitted on, at most.
 FIT_ROWS = 6000
 CUTOFF = 0.7
@@ -74,7 +74,7 @@ class Model:
         return score, [{"start": spans[i][0], "end": spans[i][1], "score": float(p[i])} for i in np.flatnonzero(p >= blame)]
 
 
-def fit(rows: Iterable[tuple[str, int]], steps: int = 200, rate: float = 0.15, l2: float = 1e-4) -> Model:
+def fit(rows: Iterable[tuple[str, int]], steps: int = 400, rate: float = 0.1, l2: float = 2e-5) -> Model:
     """Fit on (text, label)."""
     bags = [([words for _, _, words in sentences(text)], int(label)) for text, label in rows]
     n_bad = sum(y for _, y in bags)
