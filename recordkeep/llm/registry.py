@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from recordkeep.llm import html_text, language_id, line_dedup, packing, simhash, token_counts, topk, toxicity
+from recordkeep.llm import decontam, html_text, language_id, line_dedup, packing, simhash, token_counts, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_decontamination": decontam.op2_decontamination,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_exact_topk": topk.op5_exact_topk,
