@@ -54,14 +54,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) per row of ``docs`` (doc_id, text)."""
+    """(doc_id, version, fp) per row of ``docs`` (doc_id, text); version is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(text.as_py(), width) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            found = [fingerprint(text.as_py(), width) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["doc_id", "version", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(coalesce(text, '')) version", "text").mapInArrow(run, "doc_id long, version long, fp long")
 
 
 def _bit(i: int) -> Column:
@@ -110,14 +110,29 @@ def _relabel(fps: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, width: int = 3) -> DataFrame:
-    """Per row of ``docs``: doc_id, fp, component_id (smallest doc_id of the component)."""
+    """Per row of ``docs``: doc_id, version, fp, component_id (smallest doc_id of the component)."""
     own = cut(fingerprints(docs, width), "fingerprints")
     fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.col("fp").alias("comp"), "first"), "distinct-fingerprints")
     fps = cut(_relabel(fps, components(close_links(fps.select("fp")))), "balls")
     fps = cut(_relabel(fps, components(chain_links(fps.select("fp", "comp")))), "chains")
     names = cut(fps.groupBy("comp").agg(F.min("first").alias("component_id")), "component-names")
     named = fps.join(names, "comp").select(F.col("fp").alias("fp_named"), "component_id")
-    return own.join(named, own.fp == F.col("fp_named")).select("doc_id", "fp", "component_id")
+    return own.join(named, own.fp == F.col("fp_named")).select("doc_id", "version", "fp", "component_id")
+
+
+def one_per_group(docs: DataFrame, width: int = 3) -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest doc_id.
+
+    Of several rows with that doc_id one stays. Rows without a doc_id go if their component has an id, else stay.
+    """
+    groups = cut(simhash_groups(docs, width).select("doc_id", "version", "component_id"), "groups")
+    gone = cut(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct(), "near-copies")
+    again = cut(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"), F.min("version").alias("_version")).where("n > 1").drop("n"), "repeated-ids")
+    own_id, own_version = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    stay = docs.join(gone, own_id.eqNullSafe(gone["_id"]) & (own_version == gone["_version"]), "left_anti")
+    once = stay.join(again, own_id == again["_id"], "left_anti")
+    chosen = stay.join(again, (own_id == again["_id"]) & (own_version == again["_version"]), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(chosen)
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 import xxhash
 
 from recordkeep.llm.graph import components
-from recordkeep.llm.simhash import chain_links, close_links, fingerprint, fingerprints, simhash_groups
+from recordkeep.llm.simhash import chain_links, close_links, fingerprint, fingerprints, one_per_group, simhash_groups
 
 
 def slow_fingerprint(text):
@@ -51,7 +51,7 @@ def test_components(spark):
 def test_fingerprints(spark):
     texts = [None, "", " \t\n", "One", "one TWO", "A b\x0bc  d", "Été ÉTÉ Z z z z", "x y " * 40_000, "the same three words " * 3]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, fp string")
-    assert [r.fp for r in sorted(fingerprints(df).collect())] == [slow_fingerprint(t) for t in texts]
+    assert [r.fp for r in sorted(fingerprints(df).collect(), key=lambda r: r.doc_id)] == [slow_fingerprint(t) for t in texts]
 
 
 def test_links_of_planted_fingerprints(spark):
@@ -97,8 +97,16 @@ def test_documents_against_brute_force(spark):
             first[comp[f]] = min(i, first.get(comp[f], i))
     want = sorted(((i, f, first.get(comp[f])) for (i, _), f in zip(rows, fps, strict=True)), key=repr)
     got = simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+    assert sorted(((r.doc_id, r.fp, r.component_id) for r in got.collect()), key=repr) == want
 
 
 def test_empty_table(spark):
     assert simhash_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_document_stays(spark):
+    rows = [(5, "a b c d", "x"), (2, "A b  c d", "x"), (9, "e f g h i", "x"), (9, "e f g h i", "x"), (9, "a b c d", "x"), (None, "a b c d", "x"), (None, "no id here", "x"), (3, None, "x"), (4, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    got = sorted(((r.doc_id, r.text) for r in one_per_group(df).collect()), key=repr)
+    assert got == sorted([(2, "A b  c d"), (9, "e f g h i"), (None, "no id here"), (3, None)], key=repr)
+    assert one_per_group(df).columns == df.columns
