@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordkeep.llm import decontam, html_text, language_id, line_dedup, packing, simhash, token_counts, topk, toxicity
+from recordkeep.llm import decontam, html_text, language_id, line_dedup, packing, repeats, simhash, token_counts, topk, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_exact_topk": topk.op5_exact_topk,
+        "op6_suffix_array_dedup": repeats.op6_suffix_array_dedup,
         "op7_simhash_dedup": simhash.op7_simhash_dedup,
         "op8_html_text": html_text.op8_html_text,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
