@@ -15,7 +15,7 @@ def first_seen_page(cards: DataFrame, page: str = "page", key: str = "product_id
 
 def page_novelty(cards: DataFrame, known: DataFrame, page: str = "page", key: str = "product_id") -> DataFrame:
     """Per page the number of ids that no earlier page and no known record has."""
-    fresh = first_seen_page(cards, page, key).join(known.select(key).distinct(), key, "left_anti")
+    fresh = first_seen_page(cards.where(F.col(key).isNotNull()), page, key).join(known.select(key).distinct(), key, "left_anti")
     n = fresh.groupBy(F.col("first_page").alias(page)).agg(F.count("*").alias("new"))
     return cards.select(page).distinct().join(n, page, "left").select(page, F.coalesce("new", F.lit(0)).alias("new"))
 

@@ -56,7 +56,7 @@ class _Element:
                 yield from child.all()
 
     def text(self) -> str:
-        return " ".join("".join(self._texts()).split())
+        return " ".join(" ".join(self._texts()).split())
 
     def _texts(self) -> Iterator[str]:
         for child in self.children:
