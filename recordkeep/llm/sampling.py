@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fit_sample(df: DataFrame, id_col: str, rows: int, text_col: str = "text", longest: int = 100_000) -> list:
-    """At most ``rows`` rows: those whose hashed id is smallest, among texts of at most ``longest`` characters.
+def lowest(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows: those whose hashed id is smallest. The threshold comes from a scan of the ids alone."""
+    order = F.xxhash64(F.col(id_col))
+    last = df.select(order.alias("o")).orderBy("o").limit(rows).agg(F.max("o")).first()[0]
+    return df.limit(0) if last is None else df.where(order <= F.lit(last)).limit(rows)
+
 
-    Only for fitting. The threshold comes from the ids alone; a second scan then fetches the rows under it.
-    """
-    fair = df.where(F.length(text_col) <= longest).withColumn("_order", F.xxhash64(F.col(id_col)))
-    last = fair.select("_order").orderBy("_order").limit(rows).agg(F.max("_order")).first()[0]
-    if last is None:
-        return []
-    found = fair.where(F.col("_order") <= F.lit(last)).limit(rows).collect()
-    return sorted(found, key=lambda r: (r["_order"], str(r[text_col])))
+def fit_sample(df: DataFrame, id_col: str, rows: int, text_col: str = "text", longest: int = 100_000) -> list:
+    """:func:`lowest` rows, less those with a text of over ``longest`` characters, in a fixed order. Only for fitting."""
+    found = lowest(df, id_col, rows).where(F.length(text_col) <= longest).collect()
+    return sorted(found, key=lambda r: (str(r[id_col]), str(r[text_col])))

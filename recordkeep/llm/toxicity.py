@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordkeep.llm.sampling import fit_sample
+from recordkeep.llm.sampling import lowest
 from recordkeep.llm.tables import table
+from recordkeep.plans.lineage import cut
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -30,6 +31,8 @@ WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 7)
 #: Labelled documents that the model is fitted on, at most.
 FIT_ROWS = 6000
+#: Longest text in characters that the model is fitted on; all texts are scored whole.
+LONGEST = 100_000
 CUTOFF = 0.7
 
 
@@ -131,8 +134,9 @@ def held_out(doc_id) -> F.Column:
 def fit_model(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Fit on at most ``rows`` labelled documents that are not held out."""
     labelled = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").where(~held_out(F.col("doc_id"))).distinct()
-    sample = fit_sample(docs.select("doc_id", "text").join(labelled, "doc_id"), "doc_id", rows)
-    return fit((r["text"], r["toxic"]) for r in sample)
+    sample = cut(lowest(labelled, "doc_id", rows), "toxicity-labels")  # at most ``rows`` pairs, so texts need not move to them
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.length("text") <= LONGEST).limit(2 * rows).collect()
+    return fit((r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"], r["toxic"])))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
