@@ -7,6 +7,7 @@ pruned by column. Only where that setting is absent (tests, a laptop) is a tempo
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,12 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and return a DataFrame that reads those files."""
+def cut(df: DataFrame, name: str = "cut", free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return a DataFrame that reads those files.
+
+    With ``free`` the shuffle files behind it are let go at once: they are deleted when the driver collects its
+    garbage, which may otherwise be long after a large cut.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordkeep/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.setdefault(id(spark), []).append(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
