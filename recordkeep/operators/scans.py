@@ -1,6 +1,6 @@
 """Scans of listing pages: what is new, where a scan may end, and whether pages add up.
 
-Windows without partitions run over one row per page or probe, never over records.
+The only window without partitions runs over a bounded series of probes.
 """
 
 from __future__ import annotations
@@ -21,19 +21,30 @@ def page_novelty(cards: DataFrame, known: DataFrame, page: str = "page", key: st
 
 
 def incremental_cutoff(novelty: DataFrame, page: str = "page") -> DataFrame:
-    """One row: the first page that, like the one before it, brought nothing new; null if there is none."""
-    w = Window.orderBy(page).rowsBetween(-1, 0)
-    seen = novelty.select(page, F.sum("new").over(w).alias("_sum"), F.count("*").over(w).alias("_n"))
-    return seen.where("_sum = 0 and _n = 2").agg(F.min(page).alias("cutoff"))
-
-
-def tail_cutoff(probes: DataFrame, misses: int = 3, most: int | None = 25, order: str = "probe", outcome: str = "outcome") -> DataFrame:
-    """One row: the probe of the ``misses``-th miss in a row; hits and errors start the count again; at most ``most`` probes."""
-    probes = probes if most is None else probes.orderBy(order).limit(most)
-    island = F.sum(F.when(F.col(outcome) == "miss", 0).otherwise(1)).over(Window.orderBy(order))
+    """One row: the first page that, like the page numbered one lower, brought nothing new; null if there is none."""
+    empty = novelty.where("new = 0").select(page)
+    before = empty.select((F.col(page) + 1).alias(page))
+    return empty.join(before, page, "left_semi").agg(F.min(page).alias("cutoff"))
+
+
+def tail_cutoff(probes: DataFrame, misses: int = 3, most: int | None = 25, order: str = "probe", outcome: str = "outcome", by: str | None = None) -> DataFrame:
+    """The probe of the ``misses``-th miss in a row; hits and errors start the count again; at most ``most`` probes count.
+
+    One row for a single series of probes, which ``most`` must bound; with ``by`` one row for each of many series.
+    """
+    if by is None:
+        if most is None:
+            raise ValueError("a single series needs a bound")
+        probes = probes.orderBy(order).limit(most)
+    key = [] if by is None else [by]
+    in_order = Window.partitionBy(*key).orderBy(order)
+    if by is not None and most is not None:
+        probes = probes.withColumn("_at", F.row_number().over(in_order)).where(F.col("_at") <= most)
+    island = F.sum(F.when(F.col(outcome) == "miss", 0).otherwise(1)).over(in_order)
     run = probes.withColumn("_island", island).where(F.col(outcome) == "miss")
-    placed = run.withColumn("_n", F.row_number().over(Window.partitionBy("_island").orderBy(order)))
-    return placed.where(F.col("_n") == misses).agg(F.min(order).alias("cutoff"))
+    placed = run.withColumn("_n", F.row_number().over(Window.partitionBy(*key, "_island").orderBy(order)))
+    found = placed.where(F.col("_n") == misses).groupBy(*key).agg(F.min(order).alias("cutoff"))
+    return found if by is None else probes.select(by).distinct().join(found, by, "left")
 
 
 def page_reconciliation(cards: DataFrame, page: str = "page", key: str = "product_id") -> DataFrame:

@@ -544,10 +544,10 @@ def incremental_cutoff(spark, sf):
     return scans.incremental_cutoff(scans.page_novelty(_event_cards(spark, sf), spark.createDataFrame([], "product_id long")))
 
 
-@query("WITH p AS (SELECT event_id, event_type = 'error' AS m FROM events), w AS (SELECT event_id, m, lag(m) OVER (ORDER BY event_id) AS b, lag(m, 2) OVER (ORDER BY event_id) AS c FROM p) SELECT min(event_id) AS cutoff FROM w WHERE m AND b AND c")
+@query("WITH w AS (SELECT user_id, event_id, m, lag(m) OVER (PARTITION BY user_id ORDER BY event_id) AS b, lag(m, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS c FROM (SELECT *, event_type = 'error' AS m FROM events)) SELECT user_id, coalesce(min(event_id) FILTER (m AND b AND c), -1) AS cutoff FROM w GROUP BY 1")
 def tail_cutoff(spark, sf):
-    probes = _t(spark, sf, "events").select(F.col("event_id").alias("probe"), F.when(F.col("event_type") == "error", "miss").otherwise("hit").alias("outcome"))
-    return scans.tail_cutoff(probes, most=None)
+    probes = _t(spark, sf, "events").select("user_id", F.col("event_id").alias("probe"), F.when(F.col("event_type") == "error", "miss").otherwise("hit").alias("outcome"))
+    return scans.tail_cutoff(probes, most=None, by="user_id").select("user_id", F.coalesce("cutoff", F.lit(-1)).alias("cutoff"))
 
 
 _HREFS = "c AS (SELECT page_id AS page, unnest(regexp_extract_all(html, '<a href=\"/([^\"]*)\"', 1)) AS h FROM pages)"

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from recordkeep.functions.text import fingerprint
 
 
-def content_hash(df: DataFrame, buckets: int = 256) -> DataFrame:
+def content_hash(df: DataFrame) -> DataFrame:
     """One row: a hash of the rows that does not depend on their order; equal rows count.
 
-    Row hashes are put in order and hashed within buckets, then over buckets, so no task sees all rows.
+    The eight 32-bit words of each row's hash are summed, which combines before the shuffle, and the sums are hashed.
     """
     rows = df.select(F.sha2(fingerprint(df), 256).alias("h"))
-    parts = rows.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("hash"))
+    words = [F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)").alias(f"w{i}") for i in range(8)]
+    sums = rows.select(*words).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0)).cast("string").alias(f"w{i}") for i in range(8)])
+    return sums.select(F.sha2(F.concat_ws(":", F.col("n").cast("string"), *[f"w{i}" for i in range(8)]), 256).alias("hash"))
 
 
 def ordered_hash(df: DataFrame, row: Column) -> DataFrame:
@@ -23,16 +24,19 @@ def ordered_hash(df: DataFrame, row: Column) -> DataFrame:
     return df.select(row.alias("r")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("r")), "\n"), 256).alias("hash"))
 
 
-def document(records: DataFrame, groups: DataFrame, header: dict) -> DataFrame:
-    """The snapshot as one JSON text: fields by name, groups latest first, one line feed at the end. An export only."""
+def document_lines(records: DataFrame, groups: DataFrame, header: dict) -> DataFrame:
+    """The snapshot as ordered JSON lines: the header, then a line per group, latest first.
+
+    Fields stand in the order of their names and nulls are left out, so equal snapshots give equal lines. One line per
+    group keeps an export as wide as its largest group, not as the catalogue.
+    """
     own = F.struct(*[F.col(c) for c in sorted(c for c in records.columns if c != "prefix")])
     nested = records.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("number", "code", own.alias("r")))).alias("rs"))
-    joined = groups.join(nested, "prefix")
-    item = F.struct(F.col("prefix").alias("code"), F.col("n").alias("count"), F.col("first_date").alias("firstReleaseDate"), F.col("latest_date").alias("latestReleaseDate"), F.transform("rs", lambda x: x["r"]).alias("videos"))
-    order = lambda a, b: F.when(a["latestReleaseDate"] > b["latestReleaseDate"], -1).when(a["latestReleaseDate"] < b["latestReleaseDate"], 1).when(a["code"] < b["code"], -1).otherwise(1)
-    one = joined.agg(F.array_sort(F.collect_list(item), order).alias("series"))
-    fields = {**{k: F.lit(v) for k, v in header.items()}, "series": F.col("series")}
-    return one.select(F.concat(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), F.lit("\n")).alias("document"))
+    fields = {"code": F.col("prefix"), "count": F.col("n"), "firstReleaseDate": F.col("first_date"), "latestReleaseDate": F.col("latest_date"), "videos": F.transform("rs", lambda x: x["r"])}
+    lines = groups.join(nested, "prefix").select(F.struct(F.lit(1).alias("part"), "latest_date", "prefix").alias("place"), F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])).alias("value"))
+    first = records.sparkSession.range(1).select(F.to_json(F.struct(*[F.lit(header[k]).alias(k) for k in sorted(header)])).alias("value"))
+    top = first.select(F.struct(F.lit(0).alias("part"), F.lit("").alias("latest_date"), F.lit(None).cast(groups.schema["prefix"].dataType).alias("prefix")).alias("place"), "value")
+    return top.unionByName(lines).orderBy("place.part", F.desc("place.latest_date"), "place.prefix").select("value")
 
 
 def publish(spark: SparkSession, root: str, snapshot_id: str, tables: dict[str, DataFrame], violations: DataFrame | None = None, dry_run: bool = False) -> bool:

@@ -81,7 +81,11 @@ def test_scans(spark):
     assert {r.product_id: r.first_page for r in first_seen_page(cards).collect()}[10] == 1
     probes = lambda s: spark.createDataFrame([(i, {"m": "miss", "h": "hit", "e": "error"}[c]) for i, c in enumerate(s)], "probe int, outcome string")
     assert [tail_cutoff(probes(s)).first().cutoff for s in ("mmm", "mmhmmm", "mmemm", "hmmmm", "m" * 2)] == [2, 5, None, 3, None]
-    assert tail_cutoff(probes("h" * 25 + "mmm")).first().cutoff is None and tail_cutoff(probes("h" * 25 + "mmm"), most=None).first().cutoff == 27
+    assert tail_cutoff(probes("h" * 25 + "mmm")).first().cutoff is None and tail_cutoff(probes("h" * 25 + "mmm"), most=30).first().cutoff == 27
+    with pytest.raises(ValueError):
+        tail_cutoff(probes("m"), most=None)
+    many = probes("mmm").withColumn("u", F.lit(1)).unionByName(probes("mhm").withColumn("u", F.lit(2)))
+    assert {r.u: r.cutoff for r in tail_cutoff(many, by="u").collect()} == {1: 2, 2: None}
     facts = {r.page: r for r in page_reconciliation(cards).collect()}
     assert facts[1].complete and not facts[2].complete and facts[4].duplicates == 1 and facts[5].unidentifiable == 1
     assert {(r.page, r.product_id) for r in duplicate_cards(cards).collect()} == {(2, 10), (3, 11), (4, 10)}

@@ -82,9 +82,10 @@ def test_snapshot_round_trip(spark, tmp_path):
     assert {(r.scope, r.provider, r.url) for r in N.record_links(flat).collect()} == {("", "gofile", "http://g"), ("uncensored", "gofile", "http://u")}
     assert [tuple(r) for r in N.group_links(document).collect()] == [("A", "subtitle", "http://d")] and N.load_model(flat).count() == 1
     rec = spark.createDataFrame([("A-2", "A", 2, "2024-01-02"), ("A-1", "A", 1, "2024-01-01"), ("B-1", "B", 1, "2024-01-02")], "code string, prefix string, number long, release_date string")
-    out = K.document(rec, R.build_groups(rec), {"schemaVersion": 1}).first().document
-    back = json.loads(out)
-    assert out.endswith("}\n") and [s["code"] for s in back["series"]] == ["A", "B"] and [v["code"] for v in back["series"][0]["videos"]] == ["A-1", "A-2"]
+    out = [json.loads(r.value) for r in K.document_lines(rec, R.build_groups(rec), {"schemaVersion": 1}).collect()]
+    assert out[0] == {"schemaVersion": 1} and [s["code"] for s in out[1:]] == ["A", "B"] and [v["code"] for v in out[1]["videos"]] == ["A-1", "A-2"]
+    text = [r.value for r in K.document_lines(rec.repartition(3), R.build_groups(rec), {"schemaVersion": 1}).collect()]
+    assert text == [json.dumps(x, sort_keys=True, separators=(",", ":")) for x in out]
 
 
 def test_legacy_and_maps(spark, tmp_path):
