@@ -29,8 +29,8 @@ from recordkeep.llm.tables import table
 
 #: Pages that the trees are fitted on, at most.
 FIT_PAGES = 200
-LAYOUTS = 4
-BLOCKS = 40  # of a page's blocks, those that one training layout uses
+LAYOUTS = 8
+BLOCKS = 14  # of a page's blocks, those that one training layout uses
 
 # How regions are commonly marked up, (tag, class).
 MAIN = [("article", ""), ("main", ""), ("article", "post"), ("div", "content"), ("div", "post-body"), ("div", "entry-content"), ("div", "article-text"), ("section", "story"), ("div", "main"), ("div", ""), ("section", "")]
@@ -82,15 +82,25 @@ def layout(blocks: list[str], rng: random.Random) -> tuple[str, str]:
             inner = "".join(f"<{item}>{some(2, 25)}.</{item}>" for _ in range(rng.randint(1, 3))) if rng.random() < 0.6 else some(2, 20) + "."
         return f'<{tag} class="{name}">{inner}</{tag}>' if name else f"<{tag}>{inner}</{tag}>"
 
+    def marked_up(block: str, kind: str) -> str:
+        if kind in ("ul", "ol", "table"):
+            words = block.split() or ["x"]
+            step = max(1, len(words) // rng.randint(1, 6))
+            items = [" ".join(words[i : i + step]) for i in range(0, len(words), step)]
+            row = "<tr class=zz><td class=zz>{}</td></tr>" if kind == "table" else "<li class=zz>{}</li>"
+            return f"<{kind} class=zz>{''.join(row.format(x) for x in items)}</{kind}>"
+        if kind in ("h2", "h3", "h4"):
+            block = " ".join(block.split()[: rng.randint(1, 9)])
+        inner = f"<p class=zz>{block}</p>" if kind in ("blockquote", "section", "figure") and rng.random() < 0.5 else block
+        return f"{inner}<br><br>" if kind == "bare" else f"<{kind} class=zz>{inner}</{kind}>"
+
     tag, name = rng.choice(MAIN)
-    style = rng.choice(["p", "p", "p", "div", "mixed"])
-    parts = [f"<{h} class=zz>{blocks[0][:120]}</{h}>"] if (h := rng.choice(["h1", "h2", ""])) and blocks else []
+    style = rng.choice(["p", "p", "p", "div", "bare"])
+    parts = [f"<{h} class=zz>{blocks[0][:120]}</{h}>"] if (h := rng.choice(["h1", "h1", "h2", ""])) and blocks else []
     for block in blocks:
-        if rng.random() < 0.08:
-            parts.append(region(rng.choice(["ad", "share", "side", "notice", "form"])))
-        kind = style if style != "mixed" else rng.choice(["p", "p", "ul", "blockquote", "h3", "table", "pre"])
-        wrap = {"ul": "<ul class=zz><li class=zz>{}</li></ul>", "table": "<table class=zz><tr class=zz><td class=zz>{}</td></tr></table>"}.get(kind, f"<{kind} class=zz>{{}}</{kind}>")
-        parts.append(wrap.format(block))
+        if rng.random() < 0.12:
+            parts.append(region(rng.choice(["ad", "ad", "share", "side", "notice", "form"])))
+        parts.append(marked_up(block, style if rng.random() < 0.7 else rng.choice(["p", "ul", "ol", "blockquote", "h2", "h3", "h4", "table", "pre", "div", "section", "figure"])))
     if rng.random() < 0.3:
         parts.append(region(rng.choice(["comments", "share", "bottom"])))
     body = f'<{tag} class="zz {name}">{"".join(parts)}</{tag}>'
@@ -99,11 +109,15 @@ def layout(blocks: list[str], rng: random.Random) -> tuple[str, str]:
     rng.shuffle(around)
     cut = rng.randint(0, len(around))
     body = "".join([*around[:cut], body, *after, *around[cut:]])
-    for _ in range(rng.randint(0, 3)):
+    top = "".join(region(k) for k in ("top", "menu") if rng.random() < 0.8)
+    bottom = region("bottom") if rng.random() < 0.8 else ""
+    at = rng.randint(0, 2)  # wrappers around the middle alone, or around all
+    for k in range(rng.randint(0, 3)):
+        if k == at:
+            body, top, bottom = f"{top}{body}{bottom}", "", ""
         outer = rng.choice(WRAPPERS)
         body = f'<div class="{outer}">{body}</div>' if outer else f"<div>{body}</div>"
-    top = "".join(region(k) for k in ("top", "menu") if rng.random() < 0.8)
-    return f"<html><body>{top}{body}{region('bottom') if rng.random() < 0.8 else ''}</body></html>", "zz"
+    return f"<html><body>{top}{body}{bottom}</body></html>", "zz"
 
 
 def fit(pages: Iterable[str], layouts: int = LAYOUTS, seed: int = 7) -> Trees:
