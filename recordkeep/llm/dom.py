@@ -170,7 +170,7 @@ class Page:
         out[:, : len(NUMBERS)] = numbers
         return out
 
-    def decode(self, p: np.ndarray, start: float = 1.0, stop: float = 0.5) -> np.ndarray:
+    def decode(self, p: np.ndarray, start: float = 1.0, stop: float = 1.2) -> np.ndarray:
         """Kept nodes: the most likely choice in which nothing under a dropped node of the main text is kept.
 
         Above the main text a node is outside; below an outside node main text may begin, at a cost; below a main-text

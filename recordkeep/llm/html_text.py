@@ -101,8 +101,8 @@ def layout(blocks: list[str], rng: random.Random) -> tuple[str, str]:
         if rng.random() < 0.12:
             parts.append(region(rng.choice(["ad", "ad", "share", "side", "notice", "form"])))
         parts.append(marked_up(block, style if rng.random() < 0.7 else rng.choice(["p", "ul", "ol", "blockquote", "h2", "h3", "h4", "table", "pre", "div", "section", "figure"])))
-    if rng.random() < 0.3:
-        parts.append(region(rng.choice(["comments", "share", "bottom"])))
+    if rng.random() < 0.5:
+        parts.append(region(rng.choice(["comments", "share", "bottom", "bottom"])))
     body = f'<{tag} class="zz {name}">{"".join(parts)}</{tag}>'
     after = [region("comments")] if rng.random() < 0.4 else []
     around = [region(k) for k in ("ad", "side", "notice", "form") if rng.random() < 0.35]

@@ -28,7 +28,7 @@ def test_decoding_never_contradicts():
     parents = [x.parent for x in page.nodes]
 
     def worth(kept, p, started, ended):
-        return sum(np.log(p[i]) if kept[i] else np.log(1 - p[i]) for i in range(1, n)) - 1.0 * started - 0.5 * ended
+        return sum(np.log(p[i]) if kept[i] else np.log(1 - p[i]) for i in range(1, n)) - 1.0 * started - 1.2 * ended
 
     for _ in range(4):
         p = rng.uniform(0.02, 0.98, n)
