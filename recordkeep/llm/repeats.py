@@ -11,9 +11,11 @@ same place, so only phrases that agree around their triggers need comparing:
    side hash, the phrases and whether they are all the same.
 2. *Dictionary.* Side hashes that occur once settle their strings: not repeated. Where all phrases are the same, all
    their strings are repeated. The rest is gathered by phrase content: a phrase that occurs twice is repeated as well.
-3. *Order.* Only strings of distinct phrases that partly agree remain, one representative each. They are brought into
-   corpus order up to their 200 bytes, that is grouped by a 128-bit hash of these: a full lexicographic order is not
-   needed to see which are equal, and a hash is a tenth of the bytes to move.
+3. *Order.* Only strings of distinct phrases that partly agree remain, one representative each, carried as the bytes
+   of the phrase. They are brought into corpus order as far as it matters, that is grouped by 128-bit hashes: first
+   blocks of 24 neighbouring strings, by what all strings of a block share (if that is unique, none is repeated) and by
+   all that they cover (if that is repeated, all are); blocks that this leaves open are split to 4 strings, then to
+   single ones. A full lexicographic order is not needed to see which strings are equal.
 
 Strings are judged on the input; the starts found are gathered per document and the text is cut once.
 
@@ -141,21 +143,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.coalesce("text", F.lit(""))).alias("v"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _same(a: DataFrame, b: DataFrame):
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["v"] == b["v"])
+def spans(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of the phrases in ``wanted`` (doc_id, v, place, sides, alone, content): (phrase, doc_id, v, trigger, first, last, alone, span).
 
-
-def strings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, v, start, alone, content, w1, w2): hashes of the strings of ``wanted`` (doc_id, v, place, sides, alone, content)."""
-    lists = wanted.groupBy("doc_id", "v").agg(F.collect_list(F.struct("place", "sides", "alone", "content")).alias("wanted"))
-    keyed = _keyed(docs)
-    joined = keyed.join(lists.withColumnsRenamed({"doc_id": "w_id", "v": "w_v"}), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("v") == F.col("w_v"))).select("doc_id", "v", "text", "wanted")
+    ``first`` and ``last`` limit the starts whose side hashes met others; ``phrase`` is content and shape.
+    """
+    lists = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("v").alias("w_v")).agg(F.collect_list(F.struct("place", "sides", "alone", "content")).alias("wanted"))
+    joined = _keyed(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("v") == F.col("w_v"))).select("doc_id", "v", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                part = batch.slice(low, 64)
-                out: list[list] = [[] for _ in range(6)]
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                out: list[list] = [[] for _ in range(8)]
                 for number in range(part.num_rows):
                     text = part.column(2)[number].as_py().encode()
                     for item in part.column(3)[number].as_py():
@@ -164,23 +164,80 @@ def strings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                             last = min(last, trigger - SIDE - 1)
                         if not item["sides"] & 2:
                             first = max(first, trigger - SIDE)
-                        for start in range(first, last + 1):
-                            both = xxhash.xxh3_128_intdigest(text[start : start + SIZE])
-                            for column, value in zip(out, (number, start, item["alone"], item["content"], _signed(both >> 64), _signed(both & (1 << 64) - 1)), strict=True):
-                                column.append(value)
+                        for column, value in zip(out, (number, item["content"], item["place"] & 0xFFFF, trigger, first, last, item["alone"], text[first : last + SIZE]), strict=True):
+                            column.append(value)
                 rows = pa.array(out[0], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *[pa.array(c, t) for c, t in zip(out[1:], (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()), strict=True)]], names=["doc_id", "v", "start", "alone", "content", "w1", "w2"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *[pa.array(c, t) for c, t in zip(out[1:], kinds, strict=True)]], names=["doc_id", "v", "content", "shape", "trigger", "first", "last", "alone", "span"])
+
+    found = joined.mapInArrow(run, "doc_id long, v int, content long, shape int, trigger long, first long, last long, alone boolean, span binary")
+    return found.dropDuplicates(["content", "shape"])  # rows that repeat give the same phrase again
+
+
+BLOCKS = (24, 4, 1)  # each divides the one before
+
+
+def blocks(phrases_open: DataFrame, size: int) -> DataFrame:
+    """Blocks of ``size`` starts by distance from the trigger: (content, shape, low, high, alone, c1, c2, h1, h2).
+
+    ``phrases_open`` has spans and ``open``, the distances (low, high) still to settle. c is the hash of what all strings
+    of the block share, h of all that they cover, null if the phrase has not all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(8)]
+            for number, (trigger, first, last, span, ranges) in enumerate(zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("trigger", "first", "last", "span", "open")), strict=True)):
+                for r in ranges:
+                    for low in range(r["low"] // size * size, r["high"] + 1, size):
+                        high = low + size - 1
+                        near, far = max(low, trigger - last), min(high, trigger - first)
+                        if near > far:
+                            continue
+                        at = trigger - first  # place of the trigger in the span
+                        core = xxhash.xxh3_128_intdigest(span[at - low : at - high + SIZE], low)
+                        hull = xxhash.xxh3_128_intdigest(span[at - high : at - low + SIZE], low) if (near, far) == (low, high) else None
+                        values = (number, near, far, _signed(core >> 64), _signed(core & MASK), None if hull is None else _signed(hull >> 64), None if hull is None else _signed(hull & MASK))
+                        for column, value in zip(out, values, strict=False):
+                            column.append(value)
+            rows = pa.array(out[0], pa.int64())
+            kept = [batch.column(batch.schema.names.index(c)).take(rows) for c in ("content", "shape", "alone")]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(out[1:7], (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)]], names=["content", "shape", "alone", "low", "high", "c1", "c2", "h1", "h2"])
+
+    return phrases_open.mapInArrow(run, "content long, shape int, alone boolean, low int, high int, c1 long, c2 long, h1 long, h2 long")
+
+
+MASK = (1 << 64) - 1
+
 
-    return joined.mapInArrow(run, "doc_id long, v int, start long, alone boolean, content long, w1 long, w2 long")
+def settle(found: DataFrame) -> DataFrame:
+    """``found`` (spans) -> (doc_id, v, first, last) of repeated starts in phrases that occur once."""
+    parts, now, done = found.withColumn("open", F.array(F.struct(F.lit(0).alias("low"), F.lit(SIZE).alias("high")))), None, []
+    for size in BLOCKS:
+        now = cut(blocks(parts, size), "repeat-blocks", free=True)
+        met = now.where("h1 is not null").groupBy("h1", "h2").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b")
+        met = cut(met.select(F.col("h1").alias("m1"), F.col("h2").alias("m2")), "repeat-hulls", free=True)
+        marked = now.join(met, (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2")), "left").withColumn("again", F.col("m1").isNotNull()).drop("m1", "m2", "h1", "h2")
+        marked = cut(marked, "repeat-marked", free=True)
+        done.append(marked.where("alone and again").select("content", "shape", "low", "high"))
+        if size == BLOCKS[-1]:
+            break
+        cores = marked.groupBy("c1", "c2").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.max(F.expr("alone and not again")).alias("needed")).where("a <> b and needed")
+        cores = cut(cores.select("c1", "c2"), "repeat-cores", free=True)
+        left = marked.join(cores, ["c1", "c2"], "left_semi").groupBy("content", "shape").agg(F.collect_list(F.struct("low", "high")).alias("open"))
+        parts = found.join(left, ["content", "shape"])
+    settled = done[0].unionByName(done[1]).unionByName(done[2])
+    place = found.where("alone").select("content", "shape", "doc_id", "v", "trigger")
+    return place.join(settled, ["content", "shape"]).select("doc_id", "v", (F.col("trigger") - F.col("high")).alias("first"), (F.col("trigger") - F.col("low")).alias("last"))
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """(doc_id, v, first, last): ranges of starts of strings that also start elsewhere."""
     parsed = parse(docs)
     sides = parsed.groupBy("k").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
-    sides = cut(sides.where("n > 1").select("k", (F.col("low") != F.col("high")).alias("mixed")), "repeat-sides")
-    hits = cut(parsed.join(sides, "k").select("doc_id", "v", "side", "content", "place", "mixed"), "repeat-phrases")
-    shape = F.col("place").bitwiseAND(F.lit(0xFFFF))
+    sides = cut(sides.where("n > 1").select("k", (F.col("low") != F.col("high")).alias("mixed")), "repeat-sides", free=True)
+    hits = cut(parsed.join(sides, "k").select("doc_id", "v", "side", "content", "place", "mixed"), "repeat-phrases", free=True)
+    shape = F.col("place").bitwiseAND(F.lit(0xFFFF)).cast("int")
     mixed = hits.where("mixed")
     known = mixed.groupBy("content", shape.alias("shape")).agg(
         F.greatest(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)), F.sum(F.col("side"))).alias("n"),
@@ -188,16 +245,14 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
         F.max("side").alias("left"),
         F.min(F.struct("doc_id", "v", "place")).alias("rep"),
     )
-    known = cut(known, "repeat-dictionary")
+    known = cut(known, "repeat-dictionary", free=True)
     wanted = known.select("rep.doc_id", "rep.v", "rep.place", (F.col("right") + 2 * F.col("left")).alias("sides"), (F.col("n") == 1).alias("alone"), "content")
-    found = cut(strings(docs, wanted), "repeat-strings")
-    twice = cut(found.groupBy("w1", "w2").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("w1", "w2"), "repeat-equal")
-    single = found.where("alone").join(twice, ["w1", "w2"]).select("doc_id", "v", F.col("start").alias("first"), F.col("start").alias("last"))
+    single = settle(cut(spans(docs, wanted), "repeat-spans", free=True))
     first = F.shiftright("place", 16)
     last = first + F.col("place").bitwiseAND(F.lit(255))
     same = hits.where("not mixed").select("doc_id", "v", first.alias("first"), last.alias("last"))
-    again = known.where("n > 1").select(F.col("content").alias("c"), F.col("shape").alias("s"))
-    again = mixed.join(cut(again, "repeat-again"), (F.col("content") == F.col("c")) & (shape == F.col("s"))).select("doc_id", "v", first.alias("first"), last.alias("last"))
+    again = cut(known.where("n > 1").select(F.col("content").alias("c"), F.col("shape").alias("s")), "repeat-again", free=True)
+    again = mixed.join(again, (F.col("content") == F.col("c")) & (shape == F.col("s"))).select("doc_id", "v", first.alias("first"), last.alias("last"))
     return same.unionByName(again).unionByName(single)
 
 
@@ -220,7 +275,8 @@ def cut_out(text: bytes, starts: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
-    lists = repeated_starts(docs).groupBy(F.col("doc_id").alias("l_id"), F.col("v").alias("l_v")).agg(F.collect_list(F.struct("first", "last")).alias("starts"))
+    lists = repeated_starts(docs).groupBy(F.col("doc_id").alias("l_id"), F.col("v").alias("l_v")).agg(F.collect_set(F.struct("first", "last")).alias("starts"))
+    lists = cut(lists, "repeat-starts", free=True)
     joined = _keyed(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("v") == F.col("l_v")), "left").select("doc_id", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
