@@ -16,8 +16,8 @@ from recordkeep.plans.lineage import shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; ``lang`` becomes that language."""
-    return language_id.accepted(docs, language_id.fit_text_model(docs))
+    """Documents whose texts show their language; ``lang`` becomes that language."""
+    return language_id.accepted(docs, language_id.fit_text_model(docs), language_id.LEAST)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,8 @@ FIT_ROWS = 2000
 EFFECTIVE = 40.0
 #: Rows that a domain's counts weigh in its hosts, and all rows' in a domain.
 SMOOTHING = 5.0
+#: A document stays in the pipeline if its language is at least so sure; the least sure one of sf0.1 is at 0.9935.
+LEAST = 0.9
 BUCKETS = 1 << 16
 NO_TEXT = re.compile(r"(?is)<(script|style|template|noscript)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)|<[^>]*>")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -69,14 +71,19 @@ class TextModel:
 
     def loglik(self, text: str) -> tuple[int, np.ndarray]:
         """Number of trigrams, and tempered log-likelihoods relative to the best."""
+        return self.weighed(text)[:2]
+
+    def weighed(self, text: str) -> tuple[int, np.ndarray, float | None]:
+        """What :meth:`loglik` gives, and the best mean log-likelihood of a trigram over that of a random one."""
         grams = _trigrams(text)
         if not len(grams) or not self.languages:
-            return 0, np.zeros(len(self.languages))
+            return 0, np.zeros(len(self.languages)), None
         total = np.zeros(len(self.languages))
         for at in range(0, len(grams), 1 << 20):
             total += self.table[grams[at : at + (1 << 20)]].sum(axis=0, dtype=np.float64)
+        likely = float(total.max()) / len(grams) + float(np.log(BUCKETS))
         total *= min(1.0, EFFECTIVE / len(grams))
-        return len(grams), total - total.max()
+        return len(grams), total - total.max(), likely
 
 
 def visible(page: str) -> str:
@@ -116,29 +123,30 @@ def posterior(values: np.ndarray) -> np.ndarray:
 
 
 def language_id(rows: DataFrame, model: TextModel, is_markup: bool = False, smoothing: float = SMOOTHING) -> DataFrame:
-    """``rows`` (id, version, text, host, domain, declared, suffix) -> id, version, lang, confidence, text_lang, declared, suffix, host.
+    """``rows`` (id, version, text, host, domain, declared, suffix) -> id, version, lang, confidence, text_lang, declared, suffix, host, likely.
 
+    ``likely`` is null without letters, and under 0 if random trigrams explain the text better than any language.
     ``declared`` and ``suffix`` are null or one of the model's languages; ``version`` tells apart rows of one id.
     """
     langs, k = model.languages, len(model.languages)
     if not k:
         void = F.lit(None).cast("string")
-        return rows.select("id", "version", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), void.alias("text_lang"), void.alias("declared"), void.alias("suffix"), "host")
+        return rows.select("id", "version", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), void.alias("text_lang"), void.alias("declared"), void.alias("suffix"), "host", F.lit(None).cast("double").alias("likely"))
     sent = rows.sparkSession.sparkContext.broadcast((langs, model.table))  # fixed size: buckets x languages
     ll, p, n, d = ([f"{x}{i}" for i in range(k)] for x in ("ll", "p", "n", "d"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = TextModel(*sent.value)
         for batch in batches:
-            found = [own.loglik(visible(text.as_py() or "") if is_markup else text.as_py() or "") for text in batch.column(2)]
-            grams = np.array([g for g, _ in found], bool)
-            cells = np.stack([v for _, v in found]) if found else np.zeros((0, k))
+            found = [own.weighed(visible(text.as_py() or "") if is_markup else text.as_py() or "") for text in batch.column(2)]
+            grams = np.array([g for g, *_ in found], bool)
+            cells = np.stack([v for _, v, _ in found]) if found else np.zeros((0, k))
             share = posterior(cells) * grams[:, None]
             best = [langs[j] if g else None for g, j in zip(grams, cells.argmax(axis=1), strict=True)]
-            columns = [*[batch.column(i) for i in (0, 1, 3, 4, 5, 6)], pa.array(best, pa.string()), *[pa.array(x[:, i], pa.float64()) for x in (cells, share) for i in range(k)]]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "host", "domain", "declared", "suffix", "text_lang", *ll, *p])
+            columns = [*[batch.column(i) for i in (0, 1, 3, 4, 5, 6)], pa.array(best, pa.string()), pa.array([x for *_, x in found], pa.float64()), *[pa.array(x[:, i], pa.float64()) for x in (cells, share) for i in range(k)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "host", "domain", "declared", "suffix", "text_lang", "likely", *ll, *p])
 
-    schema = "id long, version long, host string, domain string, declared string, suffix string, text_lang string, " + ", ".join(f"{x} double" for x in (*ll, *p))
+    schema = "id long, version long, host string, domain string, declared string, suffix string, text_lang string, likely double, " + ", ".join(f"{x} double" for x in (*ll, *p))
     seen = cut(rows.select("id", "version", "text", "host", "domain", "declared", "suffix").mapInArrow(weigh, schema), "language-evidence")
 
     hosts = cut(seen.groupBy("host", "domain").agg(*[F.sum(p[i]).alias(n[i]) for i in range(k)]).withColumnsRenamed({"host": "h_host", "domain": "h_domain"}), "language-hosts")
@@ -168,9 +176,9 @@ def language_id(rows: DataFrame, model: TextModel, is_markup: bool = False, smoo
             top = post.argmax(axis=1)
             lang = ["und" if s else langs[j] for s, j in zip(silent, top, strict=True)]
             sure = np.where(silent, 0.0, post.max(axis=1))
-            yield pa.RecordBatch.from_arrays([get["id"], get["version"], pa.array(lang, pa.string()), pa.array(sure, pa.float64()), *[get[x] for x in ("text_lang", "declared", "suffix", "host")]], names=["id", "version", "lang", "confidence", "text_lang", "declared", "suffix", "host"])
+            yield pa.RecordBatch.from_arrays([get["id"], get["version"], pa.array(lang, pa.string()), pa.array(sure, pa.float64()), *[get[x] for x in ("text_lang", "declared", "suffix", "host", "likely")]], names=["id", "version", "lang", "confidence", "text_lang", "declared", "suffix", "host", "likely"])
 
-    return joined.mapInArrow(fuse, "id long, version long, lang string, confidence double, text_lang string, declared string, suffix string, host string")
+    return joined.mapInArrow(fuse, "id long, version long, lang string, confidence double, text_lang string, declared string, suffix string, host string, likely double")
 
 
 def _said(seen: DataFrame, part: str, langs: list[str]) -> dict[str, np.ndarray]:
@@ -194,7 +202,7 @@ def page_languages(pages: DataFrame, model: TextModel) -> DataFrame:
         primary(declared, model.languages).alias("declared"),
         suffix_of(F.col("url"), model.languages).alias("suffix"),
     )
-    return language_id(rows, model, is_markup=True)
+    return language_id(rows, model, is_markup=True).drop("likely")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,26 +211,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_languages(table(spark, sf_dir, "pages"), model).withColumnRenamed("id", "page_id").drop("version")
 
 
-def accepted(docs: DataFrame, model: TextModel) -> DataFrame:
+def accepted(docs: DataFrame, model: TextModel, least: float | None = None) -> DataFrame:
     """``docs`` (doc_id, text, lang, source, ...) whose language is found, with ``lang`` set to it.
 
     The source stands for the host and the ``lang`` column for the declared language. Documents that say nothing
-    about their language (``und``) are rejected. Only rows that change are joined back to the texts.
+    about their language (``und``) are rejected. With ``least``, so are texts without letters, texts that random
+    trigrams explain better than any language, and those whose language is less sure, whatever they declare. Only rows
+    that change are joined back to the texts.
     """
     version = F.xxhash64(F.coalesce("text", F.lit("")))
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("id"),
         version.alias("version"),
         "text",
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
+        source.alias("host"),
         F.lit("").alias("domain"),
         primary(F.col("lang"), model.languages).alias("declared"),
         F.lit(None).cast("string").alias("suffix"),
     )
     found = language_id(rows, model)
-    change = found.where((F.col("lang") == "und") | ~F.col("lang").eqNullSafe(F.col("declared"))).select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("lang").alias("_lang"), F.coalesce("declared", F.lit("")).alias("_declared")).distinct()
+    if least is not None:
+        out = F.col("likely").isNull() | (F.col("likely") < 0) | (F.col("confidence") < least)
+        found = found.withColumn("lang", F.when(out, "und").otherwise(F.col("lang")))
+    change = found.where((F.col("lang") == "und") | ~F.col("lang").eqNullSafe(F.col("declared"))).select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("lang").alias("_lang"), F.coalesce("declared", F.lit("")).alias("_declared"), F.col("host").alias("_host")).distinct()
     change = cut(change, "language-changes")
     said = F.coalesce(primary(F.col("lang"), model.languages), F.lit(""))
-    joined = docs.join(change, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (version == F.col("_version")) & (said == F.col("_declared")), "left")
+    joined = docs.join(change, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (version == F.col("_version")) & (said == F.col("_declared")) & (source == F.col("_host")), "left")
     stay = joined.where("_lang is null or _lang <> 'und'")
     return stay.select(*[F.coalesce("_lang", "lang").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])

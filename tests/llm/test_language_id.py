@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from recordkeep.llm.language_id import TextModel, accepted, fit_text_model, host_of, language_id, page_languages, suffix_of, visible
+import corpus_pipeline
+from recordkeep.llm.language_id import BUCKETS, LEAST, TextModel, accepted, fit_text_model, host_of, language_id, page_languages, suffix_of, visible
 
 SYLLABLES = {"en": ["th", "er", "ing", "ou", "sh"], "fr": ["eau", "é", "qu", "oi", "ai"], "de": ["sch", "ä", "ung", "keit", "z"]}
 
@@ -69,3 +71,19 @@ def test_accepted_documents(spark):
     got = sorted(((r.doc_id, r.lang) for r in out.collect()), key=repr)
     want = sorted([(i, x) for i, _, x, *_ in rows[:30]] + [(52, "fr"), (53, "en"), (None, "en"), (0, "en")], key=repr)
     assert got == want and out.columns == ["doc_id", "text", "lang", "source"]
+
+
+def test_declared_language_alone_saves_no_text(spark):
+    rng = random.Random(6)
+    rows = [(i, text(x, 2500, rng), x, "s%d" % (i % 2)) for i, x in enumerate(["en", "fr", "de"] * 20)]
+    junk = ["", None, "1234 567", "--- ...", " ".join("".join(rng.choice("bcdfjklmpvwxyz") for _ in range(9)) for _ in range(40)), "日本語の文章です 東京都の天気"]
+    rows += [(100 + i, t, "en", "s1") for i, t in enumerate(junk)] + [(200, text("fr", 60, rng), "en", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, df, "").collect()}
+    assert got == {i: x for i, _, x, _ in rows[:60]} | {200: "fr"}
+
+
+def test_unsure_texts_are_rejected(spark):
+    both = TextModel(["en", "fr"], np.full((BUCKETS, 2), -8.0, np.float32))  # texts say nothing
+    df = spark.createDataFrame([(1, "some words here", None, "s")], "doc_id long, text string, lang string, source string")
+    assert accepted(df, both).count() == 1 and accepted(df, both, LEAST).count() == 0
