@@ -1,7 +1,8 @@
 """Language ID by Bayesian fusion of four kinds of evidence.
 
 1. *Text*: byte-trigram likelihoods, tempered so that dependent trigrams do not count as independent ones. The model is
-   fitted on a bounded sample of documents with a language.
+   fitted on a bounded sample of each language's documents. Every language that a document or a page is declared to
+   have is known; all trigrams are alike to one without texts, which needs a declaration, suffix or host that says it.
 2. *Declared language* of the markup and 3. *address suffix* (first path part, else country domain). What each says is
    weighted by P(said | language), counted over all rows by grouped aggregation against what their texts say.
 4. *Host priors*: expected languages of a host's texts, smoothed towards its domain, and that towards all rows. The
@@ -23,15 +24,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordkeep.llm.sampling import fit_sample
 from recordkeep.llm.tables import table
 from recordkeep.plans.lineage import cut
 
 #: Documents that the text model is fitted on, at most.
 FIT_ROWS = 2000
+#: And of each language at least so many; texts count up to so many characters, fewer if there are many languages.
+LEAST_ROWS, LONGEST = 20, 100_000
 #: A text counts as at most so many independent trigrams.
 EFFECTIVE = 40.0
 #: Rows that a domain's counts weigh in its hosts, and all rows' in a domain.
@@ -40,6 +42,7 @@ SMOOTHING = 5.0
 LEAST = 0.9
 BUCKETS = 1 << 16
 NO_TEXT = re.compile(r"(?is)<(script|style|template|noscript)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)|<[^>]*>")
+TAG = r"^\s*([A-Za-z]{2,3})(?:[-_]|\s*$)"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -56,10 +59,12 @@ class TextModel:
 
     def __init__(self, languages: list[str], table: np.ndarray):
         self.languages, self.table = languages, table
+        self.bare = (np.abs(table + np.log(BUCKETS)) < 1e-4).all(axis=0)  # languages without texts
 
     @classmethod
-    def fit(cls, rows: Iterable[tuple[str, str]]) -> TextModel:
-        counts: dict[str, np.ndarray] = {}
+    def fit(cls, rows: Iterable[tuple[str, str]], languages: Iterable[str] = ()) -> TextModel:
+        """Fit on (text, language). ``languages`` are known besides; all trigrams are alike to one without texts."""
+        counts: dict[str, np.ndarray] = {lang: np.zeros(BUCKETS) for lang in languages}
         for text, lang in rows:
             counts.setdefault(lang, np.zeros(BUCKETS))
             counts[lang] += np.bincount(_trigrams(text or ""), minlength=BUCKETS)
@@ -81,7 +86,7 @@ class TextModel:
         total = np.zeros(len(self.languages))
         for at in range(0, len(grams), 1 << 20):
             total += self.table[grams[at : at + (1 << 20)]].sum(axis=0, dtype=np.float64)
-        likely = float(total.max()) / len(grams) + float(np.log(BUCKETS))
+        likely = float(total[~self.bare].max(initial=-np.inf)) / len(grams) + float(np.log(BUCKETS))
         total *= min(1.0, EFFECTIVE / len(grams))
         return len(grams), total - total.max(), likely
 
@@ -90,15 +95,41 @@ def visible(page: str) -> str:
     return markup.unescape(NO_TEXT.sub(" ", page))
 
 
-def fit_text_model(docs: DataFrame, rows: int = FIT_ROWS) -> TextModel:
-    """Fit on at most ``rows`` rows of ``docs`` (doc_id, text, lang)."""
-    known = docs.select("doc_id", "text", F.lower(F.trim("lang")).alias("lang")).where("lang <> '' and lang is not null")
-    return TextModel.fit((r["text"], r["lang"]) for r in fit_sample(known, "doc_id", rows))
+def fit_text_model(docs: DataFrame, rows: int = FIT_ROWS, declared: DataFrame | None = None) -> TextModel:
+    """Know every language of ``docs`` (doc_id, text, lang), and of ``declared`` (lang), and fit on a bounded sample of each.
+
+    Each language gets an equal share of ``rows``, and LEAST_ROWS at least, so that a rare one is fitted as a common one.
+    The characters of all samples together are bounded: with many languages, texts are cut.
+    """
+    own = _code(F.col("lang"))
+    every = {r["lang"]: r["n"] for r in docs.select(own.alias("lang")).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    more = set() if declared is None else {r["lang"] for r in declared.select(_code(F.col("lang")).alias("lang")).where("lang is not null").distinct().collect()}
+    if not every:
+        return TextModel.fit([], more)
+    share = max(LEAST_ROWS, rows // len(every))
+    order = F.xxhash64(F.col("doc_id"))
+    # The ids that can be among a language's smallest, by its count; then the hash up to which they are taken.
+    spark, spread = docs.sparkSession, 2.0**63
+    tops = [(x, int(min(spread * (2 * (share + 6 * share**0.5) / n - 1), 2**63 - 1))) for x, n in every.items()]
+    top = F.broadcast(spark.createDataFrame(tops, "l_lang string, l_top long"))  # a row for each language
+    ids = docs.select(own.alias("lang"), order.alias("o")).join(top, F.col("lang") == F.col("l_lang")).where("o <= l_top")
+    ranked = ids.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("o"))).where(F.col("at") <= share)
+    last = F.broadcast(spark.createDataFrame([tuple(r) for r in ranked.groupBy("lang").agg(F.max("o")).collect()], "l_lang string, l_last long"))
+    longest = max(1, min(LONGEST, rows * LONGEST // (share * len(every))))
+    picked = docs.select(order.alias("o"), F.substring("text", 1, longest).alias("text"), own.alias("lang")).join(last, F.col("lang") == F.col("l_lang")).where("o <= l_last")
+    found = picked.select("o", "text", "lang").limit(2 * share * len(every)).collect()  # ids may repeat
+    return TextModel.fit(((r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["o"], str(r["text"])))), {*every, *more})
+
+
+def _code(code: Column) -> Column:
+    """A language tag's first part, else all of it, in lower case; null if there is nothing."""
+    first = F.lower(F.regexp_extract(code, TAG, 1))
+    return F.when(first != "", first).when(F.trim(code) != "", F.lower(F.trim(code)))
 
 
 def primary(code: Column, languages: list[str]) -> Column:
     """A language tag's first part if it is one of ``languages``, else null."""
-    first = F.lower(F.regexp_extract(code, r"^\s*([A-Za-z]{2,3})(?:[-_]|\s*$)", 1))
+    first = F.lower(F.regexp_extract(code, TAG, 1))
     return F.when(first.isin(languages), first) if languages else F.lit(None).cast("string")
 
 
@@ -137,12 +168,21 @@ def language_id(rows: DataFrame, model: TextModel, is_markup: bool = False, smoo
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = TextModel(*sent.value)
+        bare = {x for x, b in zip(own.languages, own.bare, strict=True) if b}
         for batch in batches:
             found = [own.weighed(visible(text.as_py() or "") if is_markup else text.as_py() or "") for text in batch.column(2)]
             grams = np.array([g for g, *_ in found], bool)
             cells = np.stack([v for _, v, _ in found]) if found else np.zeros((0, k))
             share = posterior(cells) * grams[:, None]
             best = [langs[j] if g else None for g, j in zip(grams, cells.argmax(axis=1), strict=True)]
+            if own.bare.any():
+                unlike = np.flatnonzero(~grams | own.bare[cells.argmax(axis=1)])  # no language with texts is like these
+                share[:, own.bare] = 0
+                for i in unlike:
+                    said = [x for x in (batch.column(5)[i].as_py(), batch.column(6)[i].as_py()) if x in bare]
+                    best[i], share[i] = said[0] if said and grams[i] else None, 0
+                    if said:
+                        share[i, langs.index(said[0])] = 1
             columns = [*[batch.column(i) for i in (0, 1, 3, 4, 5, 6)], pa.array(best, pa.string()), pa.array([x for *_, x in found], pa.float64()), *[pa.array(x[:, i], pa.float64()) for x in (cells, share) for i in range(k)]]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "host", "domain", "declared", "suffix", "text_lang", "likely", *ll, *p])
 
@@ -153,7 +193,8 @@ def language_id(rows: DataFrame, model: TextModel, is_markup: bool = False, smoo
     domains = cut(hosts.groupBy(F.col("h_domain").alias("d_domain")).agg(*[F.sum(n[i]).alias(d[i]) for i in range(k)]), "language-domains")
     overall = np.array([x or 0.0 for x in hosts.agg(*[F.sum(x) for x in n]).first()])
     base = (overall + 1) / (overall.sum() + k)
-    said = {part: _said(seen, part, langs) for part in ("declared", "suffix")}
+    bare = model.bare
+    said = {part: _said(seen, part, langs, [x for x, b in zip(langs, bare, strict=True) if b]) for part in ("declared", "suffix")}
 
     prior = cut(hosts.join(domains, F.col("h_domain").eqNullSafe(F.col("d_domain"))).drop("d_domain"), "language-priors")
     joined = seen.join(prior, F.col("host").eqNullSafe(F.col("h_host")) & F.col("domain").eqNullSafe(F.col("h_domain"))).drop("h_host", "h_domain", "domain")
@@ -166,6 +207,9 @@ def language_id(rows: DataFrame, model: TextModel, is_markup: bool = False, smoo
             domain_prior = (at_domain + smoothing * base) / (at_domain.sum(axis=1, keepdims=True) + smoothing)
             host_prior = (at_host + smoothing * domain_prior) / (at_host.sum(axis=1, keepdims=True) + smoothing)
             value = text + np.log(host_prior)
+            if bare.any():  # a language without texts needs someone who says it
+                told = np.array([[x in (a, b) for x in langs] for a, b in zip(get["declared"].to_pylist(), get["suffix"].to_pylist(), strict=True)], bool).reshape(-1, k)
+                value = np.where(bare & ~told & (at_host <= 0), -1e9, value)
             silent = np.ones(len(value), bool)
             for part in ("declared", "suffix", "text_lang"):
                 words = get[part].to_pylist()
@@ -181,25 +225,32 @@ def language_id(rows: DataFrame, model: TextModel, is_markup: bool = False, smoo
     return joined.mapInArrow(fuse, "id long, version long, lang string, confidence double, text_lang string, declared string, suffix string, host string, likely double")
 
 
-def _said(seen: DataFrame, part: str, langs: list[str]) -> dict[str, np.ndarray]:
-    """What is said -> log P(said | each language), from all rows that say something and have text; languages^2 counts."""
-    known = seen.where(F.col(part).isNotNull() & F.col("text_lang").isNotNull())
+def _said(seen: DataFrame, part: str, langs: list[str], bare: list[str]) -> dict[str, np.ndarray]:
+    """What is said -> log P(said | each language), from all rows that say something and have text; languages^2 counts.
+
+    A language without texts (``bare``) is also what rows without text say.
+    """
+    known = seen.where(F.col(part).isNotNull() & (F.col("text_lang").isNotNull() | F.col(part).isin(bare)))
     counts = np.ones((len(langs), len(langs)))
     for r in known.groupBy(part, "text_lang").count().collect():
-        counts[langs.index(r[part]), langs.index(r["text_lang"])] += r["count"]
+        counts[langs.index(r[part]), langs.index(r["text_lang"] or r[part])] += r["count"]
     return dict(zip(langs, np.log(counts / counts.sum(axis=0)), strict=True))
 
 
+def declared_of(html: Column) -> Column:
+    """The language tag of the markup, or an empty string."""
+    return F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3}(?:[-_][A-Za-z0-9]+)*)", 1)
+
+
 def page_languages(pages: DataFrame, model: TextModel) -> DataFrame:
     """``pages`` (page_id, url, html) -> page_id, url, lang, confidence, text_lang, declared, suffix, host."""
-    declared = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3}(?:[-_][A-Za-z0-9]+)*)", 1)
     rows = pages.select(
         F.col("page_id").cast("long").alias("id"),
         F.xxhash64("url", "html").alias("version"),
         F.col("html").alias("text"),
         host_of(F.col("url")).alias("host"),
         domain_of(host_of(F.col("url"))).alias("domain"),
-        primary(declared, model.languages).alias("declared"),
+        primary(declared_of(F.col("html")), model.languages).alias("declared"),
         suffix_of(F.col("url"), model.languages).alias("suffix"),
     )
     return language_id(rows, model, is_markup=True).drop("likely")
@@ -207,8 +258,9 @@ def page_languages(pages: DataFrame, model: TextModel) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: page_id, lang, confidence, text_lang, declared, suffix, host."""
-    model = fit_text_model(table(spark, sf_dir, "documents"))
-    return page_languages(table(spark, sf_dir, "pages"), model).withColumnRenamed("id", "page_id").drop("version")
+    pages = table(spark, sf_dir, "pages")
+    model = fit_text_model(table(spark, sf_dir, "documents"), declared=pages.select(declared_of(F.col("html")).alias("lang")))
+    return page_languages(pages, model).withColumnRenamed("id", "page_id").drop("version")
 
 
 def accepted(docs: DataFrame, model: TextModel, least: float | None = None) -> DataFrame:
@@ -232,7 +284,8 @@ def accepted(docs: DataFrame, model: TextModel, least: float | None = None) -> D
     )
     found = language_id(rows, model)
     if least is not None:
-        out = F.col("likely").isNull() | (F.col("likely") < 0) | (F.col("confidence") < least)
+        bare = [x for x, b in zip(model.languages, model.bare, strict=True) if b]
+        out = F.col("likely").isNull() | (F.col("likely") < 0) & ~F.col("lang").isin(bare) | (F.col("confidence") < least)
         found = found.withColumn("lang", F.when(out, "und").otherwise(F.col("lang")))
     change = found.where((F.col("lang") == "und") | ~F.col("lang").eqNullSafe(F.col("declared"))).select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("lang").alias("_lang"), F.coalesce("declared", F.lit("")).alias("_declared"), F.col("host").alias("_host")).distinct()
     change = cut(change, "language-changes")

@@ -87,3 +87,19 @@ def test_unsure_texts_are_rejected(spark):
     both = TextModel(["en", "fr"], np.full((BUCKETS, 2), -8.0, np.float32))  # texts say nothing
     df = spark.createDataFrame([(1, "some words here", None, "s")], "doc_id long, text string, lang string, source string")
     assert accepted(df, both).count() == 1 and accepted(df, both, LEAST).count() == 0
+
+
+def test_rare_languages_are_known(spark):
+    """A language outside the smallest hashed ids is fitted, and one without texts is found where it is said."""
+    rng = random.Random(7)
+    rows = [(i, text("en" if i % 2 else "fr", 20, rng), "en" if i % 2 else "fr", "s0") for i in range(400)]
+    rows += [(1000 + i, text("de", 40, rng), "de-AT", "s1") for i in range(2)] + [(2000, "12", "sw", "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    m = fit_text_model(df, 40, df.selectExpr("'zu' lang"))
+    assert m.languages == ["de", "en", "fr", "sw", "zu"] and m.bare.tolist() == [False, False, False, True, True]
+    out = {r.doc_id: r.lang for r in accepted(df, m, LEAST).collect()}
+    assert out == {i: x for i, _, x, _ in rows[:402]}
+    page = '<html lang="{}"><body>{}</body></html>'.format
+    pages = [(1, "http://a.example.com/", page("zu", "日本語の文章です")), (2, "http://a.example.com/", page("zu", text("fr", 60, rng))), (3, "http://b.example.com/", "日本語の文章です"), (4, "http://c.example.com/sw/", page("sw", ""))]
+    got = {r.id: r.lang for r in page_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), m).collect()}
+    assert got[1] == "zu" and got[2] == "fr" and got[3] not in ("sw", "zu") and got[4] == "sw"
