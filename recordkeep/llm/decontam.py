@@ -9,8 +9,10 @@ into sequences of vocabulary ids (0 for any other word, so distances stay) and w
    its transpose in every task, the partial products are summed on the cluster, orthonormalised, and multiplied once
    more; the small Gram matrix of the second product rotates the basis to singular directions. Only matrices of
    (vocabulary x rank), bounded by the benchmark block, reach the driver.
-3. All passages are projected and compared with all items of the block in matrix products. Passages above a cosine
-   become candidates, whatever their number.
+3. All passages are projected and compared with all items of the block in matrix products. Items of more than 48 words
+   are cut into the same windows. Passages above a cosine with any window become candidates, whatever their number.
+   Items of up to 13 words are lost among the other words of a passage, so they are also looked up by their rarest
+   words: more than half of their words, of which every match has one.
 4. Around each candidate the longest common subsequence with the item, and the item's answer (what follows an answer
    mark, else its last sentence), decide: most of the item in order, or about half of it and the answer as it stands.
 
@@ -20,6 +22,7 @@ with equal id and text are one document, texts of one id are told apart by ``ver
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -34,6 +37,7 @@ from recordkeep.llm.tables import table
 from recordkeep.plans.lineage import cut
 
 STEP = 24  # words; a passage is two steps
+SHORT = 13  # words of the longest item that is looked up by its words
 RANK, EXTRA = 128, 8
 COSINE = 0.4
 #: Words in more than this share of the documents do not count in retrieval, unless an item has too few others.
@@ -267,17 +271,61 @@ def holds(part: np.ndarray, answer: np.ndarray) -> bool:
     return any(np.array_equal(part[i : i + n], answer) for i in at)
 
 
-def search(coded: DataFrame, items: Items, basis: np.ndarray, kind: str, cosine: float) -> DataFrame:
+def windows(item: np.ndarray) -> list[np.ndarray]:
+    """An item's passages: windows of two steps that overlap by half, the last one flush with its end."""
+    last = max(0, len(item) - 2 * STEP)
+    return [item[at : at + 2 * STEP] for at in sorted({*range(0, last, STEP), last})]
+
+
+def anchors(items: list[np.ndarray], df: np.ndarray) -> dict[int, list[int]]:
+    """Word -> short items that are looked up by it."""
+    out: dict[int, list[int]] = {}
+    for k, item in enumerate(items):
+        if len(item) <= SHORT:
+            rare = item[np.argsort(df[item], kind="stable")]
+            for w in set(rare[: len(item) - math.ceil(WITH_ANSWER * len(item)) + 1].tolist()):
+                out.setdefault(w, []).append(k)
+    return out
+
+
+def short_candidates(ids: np.ndarray, items: list[np.ndarray], by_word: dict[int, list[int]], is_anchor: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(item, part of the document) around each place where enough words of a short item stand about one that it is looked up by."""
+    at = np.flatnonzero(is_anchor[ids])
+    met: dict[int, list[int]] = {}
+    for w in np.unique(ids[at]).tolist():
+        for k in by_word[w]:
+            met.setdefault(k, []).append(w)
+    for k, found in met.items():
+        item, reach = items[k], 2 * len(items[k])
+        places = at[np.isin(ids[at], found)]
+        sums = np.concatenate([[0], np.cumsum(np.isin(ids, item))])
+        low, high = np.maximum(places - reach, 0), np.minimum(places + reach + 1, len(ids))
+        enough = sums[high] - sums[low] >= WITH_ANSWER * len(item)
+        for a, b in zip(low[enough].tolist(), high[enough].tolist(), strict=True):
+            yield k, ids[a:b]
+
+
+def search(coded: DataFrame, items: Items, basis: np.ndarray, kind: str, cosine: float, df: np.ndarray) -> DataFrame:
     """Rows of OUT for items that a document holds."""
-    sent = coded.sparkSession.sparkContext.broadcast((items.ids, items.items, items.answers, basis.astype(np.float32)))
+    sent = coded.sparkSession.sparkContext.broadcast((items.ids, items.items, items.answers, basis.astype(np.float32), anchors(items.items, df)))
 
     def unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_ids, own_items, answers, matrix = sent.value
+        own_ids, own_items, answers, matrix, by_word = sent.value
         masks = [bit_masks(i) for i in own_items]
-        wanted = unit(np.stack([matrix[i].sum(axis=0) for i in own_items])).T
+        cuts = [windows(i) for i in own_items]
+        firsts = np.cumsum([0, *map(len, cuts)])[:-1]
+        wanted = unit(np.stack([matrix[w].sum(axis=0) for cut in cuts for w in cut])).T
+        is_anchor = np.zeros(len(matrix), bool)
+        is_anchor[list(by_word)] = True
+
+        def judge(k: int, part: np.ndarray) -> tuple[float, bool] | None:
+            share = common_length(len(own_items[k]), masks[k], part) / len(own_items[k])
+            answered = share >= WITH_ANSWER and holds(part, answers[k])
+            return (share, answered) if share >= ALONE or answered else None
+
         for batch in batches:
             sequences = _sequences(batch, kind)
             best: dict[tuple[int, int], tuple] = {}
@@ -285,18 +333,21 @@ def search(coded: DataFrame, items: Items, basis: np.ndarray, kind: str, cosine:
                 pair = unit(sums + np.roll(sums, -1, axis=0))
                 for at in range(0, len(pair), 8192):
                     near = pair[at : at + 8192] @ wanted
+                    if near.shape[1] > len(own_items):
+                        near = np.maximum.reduceat(near, firsts, axis=1)
                     near[number[at : at + 8192] < 0] = -1
                     for p, k in zip(*np.nonzero(near >= cosine), strict=True):
                         d, first = int(doc[at + p]), int(number[at + p]) * STEP
                         item = own_items[k]
                         around = sequences[d][max(0, first - len(item)) : first + 2 * STEP + len(item)]
-                        share = common_length(len(item), masks[k], around) / len(item)
-                        if share < WITH_ANSWER:
-                            continue
-                        answered = holds(around, answers[k])
-                        if share >= ALONE or answered:
-                            now = (share, answered, float(near[p, k]))
+                        if found := judge(k, around):
+                            now = (*found, float(near[p, k]))
                             best[d, int(k)] = max(best.get((d, int(k)), now), now)
+            for d, ids in enumerate(sequences if by_word else []):
+                for k, part in short_candidates(ids, own_items, by_word, is_anchor):
+                    if found := judge(k, part):
+                        now = (*found, float((unit(matrix[part].sum(axis=0)[None]) @ wanted[:, firsts[k]])[0]))
+                        best[d, k] = max(best.get((d, k), now), now)
             rows = [(batch.column(0)[d].as_py(), batch.column(1)[d].as_py(), own_ids[k], c, s, a) for (d, k), (s, a, c) in best.items()]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "version", "item_id", "cosine", "common", "answered"])
@@ -320,7 +371,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
         if not len(df):
             continue
         idf = word_weights(df, total, items)
-        found = found.unionByName(search(coded, items, latent_basis(coded, idf, kind), kind, cosine))
+        found = found.unionByName(search(coded, items, latent_basis(coded, idf, kind), kind, cosine, df))
     return found.distinct()
 
 

@@ -85,3 +85,35 @@ def test_planted_items(spark):
     assert kept.columns == df.columns and kept.count() == len(rows) - len(docs[300:]) - 2
     assert contaminated(df, bench.limit(0)).count() == 0 and contaminated(df.limit(0), bench).count() == 0
     assert Items([(1, None), (2, "")]).ids == []
+
+
+def test_items_of_all_lengths(spark):
+    """Exact copies and near copies of short and long items are found as brute force finds them, and nothing else."""
+    rng = random.Random(9)
+    _, _, sentence = corpus(rng)
+    items = [(10 * n + i, [f"w{rng.randrange(9000)}" if rng.random() < 0.6 else sentence(1)[0] for _ in range(n)]) for n in (3, 5, 7, 13, 49, 100, 300, 600, 1500) for i in range(3)]
+    docs = [(i, sentence(rng.randrange(0, 300))) for i in range(100)]
+    for i, (_, words) in enumerate(items):
+        body = list(words)
+        if i % 3 == 1:
+            for at in rng.sample(range(len(body)), len(body) // 6):
+                body[at] = "other"
+        docs.append((1000 + i, sentence(rng.randrange(60, 200)) + body + sentence(rng.randrange(60, 200))))
+    want = set()
+    for d, words in docs:
+        for k, item in items:
+            n, code = len(item), {w: j + 1 for j, w in enumerate(dict.fromkeys(item))}
+            ids, own = np.array([code.get(w, 0) for w in words], np.uint32), np.array([code[w] for w in item], np.uint32)
+            if np.isin(own, ids).mean() < 0.5:
+                continue
+            step = 1 if n <= 13 else 24
+            parts = (ids[max(0, p - 2 * n) : p + 2 * n + 1] if n <= 13 else ids[max(0, p - n) : p + 48 + n] for p in range(0, max(1, len(ids)), step))
+            shares = [(common_length(n, bit_masks(own), p) / n, holds(p, own)) for p in parts]
+            if any(s >= 0.75 or s >= 0.5 and h for s, h in shares):
+                want.add((d, k))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(df, bench).collect()}
+    planted = {(1000 + i, items[i][0]) for i in range(len(items))}
+    assert planted - {(1000 + i, items[i][0]) for i in range(len(items)) if i % 3 == 1} <= got
+    assert got == want
