@@ -7,8 +7,12 @@ for every source held more than k times). A bin that already holds the document'
 of its source, is passed over and the search goes on to the next larger residual, so the tightest compatible bin is
 found; if there is none, a new bin opens.
 
+Clusters are the components of near copies that op7 finds (fingerprints within 3 bits, linked on): copies and texts
+with a few changed words alike.
+
 Shards are dealt by hash of (doc_id, text), hold about ``shard_rows`` documents each, and are packed independently:
-the count of shards grows with the corpus, the work in each does not. Only (doc_id, source, length, cluster) moves.
+the count of shards grows with the corpus, the work in each does not. Bins lie within shards, so a cluster of any size
+can be dealt over all of them. Only (doc_id, source, length, text hash, fingerprint) and distinct fingerprints move.
 
 Defined cases: a document without words gets one row with length 0 and no bin; null sources are a source of their own;
 null ids pack like others; rows that repeat are packed once each and are one cluster; extra columns are ignored.
@@ -27,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordkeep.llm.simhash import fingerprint, near_clusters
 from recordkeep.llm.tables import table
 from recordkeep.plans.lineage import cut
 
@@ -34,18 +39,19 @@ OUT = "doc_id long, source string, piece int, start long, length long, bin_id lo
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, words, cluster): cluster is a hash of the lower-cased words."""
+    """(doc_id, source, words, version, fp): version is a hash of the lower-cased words, fp their fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, cluster = [], []
+            words, version, fp = [], [], []
             for text in batch.column(2):
                 own = (text.as_py() or "").encode().lower().split()
                 words.append(len(own))
-                cluster.append(xxhash.xxh3_64_intdigest(b" ".join(own)) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.int64()), pa.array(cluster, pa.int64())], names=["doc_id", "source", "words", "cluster"])
+                version.append(xxhash.xxh3_64_intdigest(b" ".join(own)) - (1 << 63))
+                fp.append(fingerprint(text.as_py()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in (words, version, fp)]], names=["doc_id", "source", "words", "version", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(source as string) source", "text").mapInArrow(run, "doc_id long, source string, words long, cluster long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(source as string) source", "text").mapInArrow(run, "doc_id long, source string, words long, version long, fp long")
 
 
 def best_fit(items: list[tuple[int, object, object]], capacity: int, per_source: int) -> list[int]:
@@ -82,10 +88,11 @@ def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 2, shard_rows:
     """``docs`` (doc_id, source, text) -> a row per piece: doc_id, source, piece, start, length, bin_id."""
     rows = cut(measured(docs), "packing-lengths")
     shards = max(1, math.ceil(rows.count() / shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
+    clusters = near_clusters(rows).select(F.col("fp").alias("_fp"), F.col("comp").alias("cluster"))
+    dealt = rows.join(clusters, rows.fp == F.col("_fp")).drop("fp", "_fp").withColumn("shard", F.pmod(F.xxhash64("doc_id", "version"), F.lit(shards)))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(rest=part["words"] % capacity).sort_values(["rest", "doc_id", "cluster", "source"], ascending=[False, True, True, True], na_position="first", kind="stable")
+        part = part.assign(rest=part["words"] % capacity).sort_values(["rest", "doc_id", "version", "source"], ascending=[False, True, True, True], na_position="first", kind="stable")
         items = [(int(r), None if pd.isna(s) else s, int(c)) for r, s, c in zip(part["rest"], part["source"], part["cluster"], strict=True) if r]
         bins = iter(best_fit(items, capacity, per_source))
         first = int(key[0]) << 32

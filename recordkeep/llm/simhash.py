@@ -109,12 +109,17 @@ def _relabel(fps: DataFrame, found: DataFrame) -> DataFrame:
     return fps.join(cut(found, "components"), fps.comp == F.col("node"), "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component")
 
 
+def near_clusters(own: DataFrame) -> DataFrame:
+    """``own`` (doc_id, fp) -> (fp, comp, first) per distinct fingerprint: its component and its smallest doc_id."""
+    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.col("fp").alias("comp"), "first"), "distinct-fingerprints")
+    fps = cut(_relabel(fps, components(close_links(fps.select("fp")))), "balls")
+    return cut(_relabel(fps, components(chain_links(fps.select("fp", "comp")))), "chains")
+
+
 def simhash_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     """Per row of ``docs``: doc_id, version, fp, component_id (smallest doc_id of the component)."""
     own = cut(fingerprints(docs, width), "fingerprints")
-    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.col("fp").alias("comp"), "first"), "distinct-fingerprints")
-    fps = cut(_relabel(fps, components(close_links(fps.select("fp")))), "balls")
-    fps = cut(_relabel(fps, components(chain_links(fps.select("fp", "comp")))), "chains")
+    fps = near_clusters(own)
     names = cut(fps.groupBy("comp").agg(F.min("first").alias("component_id")), "component-names")
     named = fps.join(names, "comp").select(F.col("fp").alias("fp_named"), "component_id")
     return own.join(named, own.fp == F.col("fp_named")).select("doc_id", "version", "fp", "component_id")

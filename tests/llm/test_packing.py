@@ -49,3 +49,14 @@ def test_documents(spark):
         assert max(Counter(r.source for r in rs).values()) <= 2
         assert len(rs) == len({text[r.doc_id] for r in rs})
     assert pack(df.limit(0)).collect() == []
+
+
+def test_near_copies_never_share_a_bin(spark):
+    rng = random.Random(5)
+    base = [["v%d" % rng.randrange(10**6) for _ in range(600)] for _ in range(5)]
+    rows = [(i, " ".join(w if n != at else "changed" for n, w in enumerate(base[i // 12])), f"s{i}") for i, at in enumerate(rng.randrange(600) for _ in range(60))]
+    held = defaultdict(list)
+    for r in pack(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        held[r.bin_id].append(r.doc_id // 12)
+    assert all(len(x) == len(set(x)) for x in held.values()), sum(len(x) > len(set(x)) for x in held.values())
+    assert len(held) == 24  # twelve for the first three texts, twelve for the others
