@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html as markup
 import re
+from collections import Counter
+from functools import cache
 
 import numpy as np
 
@@ -13,9 +15,12 @@ _PART = re.compile(r"[a-z]+")
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript title textarea iframe svg head math object select button xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+RAW = frozenset("script style template title textarea iframe xmp".split())
+DROPPED = frozenset("noscript svg object select button annotation annotation-xml".split())
+ALONE = frozenset("noscript select button".split())  # a second start ends the first
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd semantics".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
+OUTER = CLOSES_P - {"p"} | {"body", "html"}  # their ends close what is open in them
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tbody", "tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 
@@ -33,6 +38,48 @@ NUMBERS = ("depth", "index", "later", "siblings", "chars", "share", "tags", "den
 WIDTH = len(NUMBERS) + 2 * len(TAGS) + 2 * len(WORDS)
 
 
+def dropped_ends(source: str) -> dict[int, int]:
+    """Start tags of dropped elements that their own end tag closes -> where that ends. Others are open by mistake."""
+    ends: dict[int, int] = {}
+    if not _DROP.search(source):
+        return ends
+    stack: list[tuple[str, int]] = []
+    opened = Counter()
+    at = 0
+    while found := _TOKEN.search(source, at):
+        at = found.end()
+        tag = (found[1] or found[2] or "").lower()
+        if found[2] and tag in RAW:
+            shut = _shut_raw(tag).search(source, at)
+            at = shut.end() if shut else len(source)
+        elif tag not in DROPPED and tag not in OUTER:
+            continue
+        elif found[2]:
+            if found[3].endswith("/") and tag == "svg":
+                continue
+            if tag in ALONE and opened[tag]:
+                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag)
+                opened[tag] -= 1
+                del stack[k]
+            stack.append((tag, found.start()))
+            opened[tag] += 1
+        elif opened[tag]:
+            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag)
+            if tag in DROPPED:
+                ends[stack[k][1]] = at
+            opened.subtract(t for t, _ in stack[k:])
+            del stack[k:]
+    return ends
+
+
+_DROP = re.compile(r"<(?:noscript|svg|object|select|button|annotation)", re.I)
+
+
+@cache
+def _shut_raw(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
 class Node:
     __slots__ = ("tag", "parent", "depth", "words", "chars", "own", "link", "stops", "tags", "children", "inline")
 
@@ -57,6 +104,7 @@ class Page:
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#", 0)]  # open tag, node
         at, links, size = 0, 0, len(source)
+        ends = dropped_ends(source)
         while at < size:
             found = _TOKEN.search(source, at)
             self._text(source[at : found.start() if found else size], stack[-1][1], links)
@@ -77,8 +125,12 @@ class Page:
                     links = max(links, 0)
             elif found[2]:
                 tag = found[2].lower()
-                if tag in RAW:
-                    shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                if tag in DROPPED:
+                    at = ends.get(found.start(), at)
+                    self._end()
+                    continue
+                if tag in RAW or tag == "head":
+                    shut = _shut_raw(tag).search(source, at)
                     if tag == "head" and not shut:
                         continue
                     at = size if not shut else shut.end()
@@ -145,6 +197,7 @@ class Page:
         tags, words = len(NUMBERS), len(NUMBERS) + 2 * len(TAGS)
         numbers, before = [], 0
         place = [0] * len(nodes)
+        kinds = [Counter(nodes[c].tag for c in n.children) for n in nodes]
         for n in nodes:
             for k, c in enumerate(n.children):
                 place[c] = k
@@ -154,7 +207,7 @@ class Page:
             others = max(1, around - 1)
             numbers.append((
                 n.depth, place[i], around - place[i], around, np.log1p(n.chars), n.chars / whole, np.log1p(n.tags), n.chars / n.tags, n.link / max(1, n.chars), np.log1p(n.own), n.stops / max(1, n.chars),
-                sum(nodes[c].tag == n.tag for c in up.children[:50]), np.log1p((up.chars - n.chars) / others), up.link / max(1, up.chars), sum(nodes[c].tag == "p" for c in n.children[:200]), before / whole,
+                kinds[max(0, n.parent)][n.tag], np.log1p((up.chars - n.chars) / others), up.link / max(1, up.chars), kinds[i]["p"], before / whole,
             ))
             before += n.own
             if i and (t := _TAG_AT.get(n.tag)) is not None:

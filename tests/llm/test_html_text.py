@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from recordkeep.llm.boosting import Trees
-from recordkeep.llm.dom import Page
+from recordkeep.llm.dom import NUMBERS, Page
 from recordkeep.llm.html_text import extract, fit, layout, marked
 
 
@@ -95,3 +95,20 @@ def test_held_out_pages_and_layouts(spark):
     assert [g[2] for g in got if g[0] == 1] == [cases[0][1]] * 2 and all(g[2] == "" for g in got if g[0] != 1)
     assert extract(df.limit(0), fit([], layouts=1)).collect() == []
     assert marked(Page("<div>x</div>")) is None
+
+
+def test_unclosed_elements_lose_no_text():
+    for tag in ("svg", "object", "select", "button", "noscript"):
+        assert whole(f"<article><p>a</p><{tag} x=1>b<p>c</p></article><p>d") == "a\nb\nc\nd"
+        assert whole(f"<article><p>a<{tag}>b</{tag}></p></article><p>d") == "a\nd"
+    assert whole("<p>a<svg viewBox='0 0 1 1'/>b<p>c<svg><path/></svg>d") == "a\nb\nc\nd"
+    assert whole("<div><button>x<p>a</div><p>b<button>y</button>c") == "x\na\nb\nc"
+    assert whole("<div><svg><svg>x</svg>y</svg>a<object>b<object>c</object></object>d</div>") == "a\nd"
+    assert whole("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds<math/>") in ("so x=2 holds", "so x=2\nholds")
+    assert whole("<svg>" * 4000 + "z") == "z"
+
+
+def test_all_siblings_count():
+    page = Page("<div>" + "<b>i</b><p>x" * 400 + "</div>")
+    row = dict(zip(NUMBERS, page.features()[1], strict=False))
+    assert row["p_children"] == 400 and page.features()[2][NUMBERS.index("same")] == 400
