@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: only documents carry labels, sentences are scored.
 
 A sentence's score is the logistic of a bias and the weights of its distinct words and word beginnings. A document's
-score is the noisy-or of its sentences, 1 - prod(1 - p): one bad sentence is enough, however long the rest. Weights
+score is the noisy-or of its sentences, 1 - prod(1 - p): one bad sentence is enough, however long the rest. Fitted
+models score relative to sentences without evidence, so that those add nothing, however many they are. Weights
 are trained through the noisy-or from document labels (gradient steps on a bounded sample of labelled documents) and
 start at features that toxic documents hold much more often than others. Because sentences are scored, the sentences
 that make a document toxic come out with it.
@@ -31,8 +32,8 @@ WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 7)
 #: Labelled documents that the model is fitted on, at most.
 FIT_ROWS = 6000
-#: Longest text in characters that the model is fitted on; all texts are scored whole.
-LONGEST = 100_000
+#: Characters that the model is fitted on, at most, and those of one text; all texts are scored whole.
+FIT_CHARS, LONGEST = 40_000_000, 4_000_000
 CUTOFF = 0.7
 
 
@@ -48,10 +49,13 @@ def sentences(text: str | None) -> Iterator[tuple[int, int, set[str]]]:
 
 
 class Model:
-    """Weights of features and the bias; ``word`` holds what whole words sum up to, filled on demand."""
+    """Weights of features and the bias; ``word`` holds what whole words sum up to, filled on demand.
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias, self.word = weights, bias, {}
+    If ``relative``, sentences without evidence add nothing to a document's score.
+    """
+
+    def __init__(self, weights: dict[str, float], bias: float, relative: bool = False):
+        self.weights, self.bias, self.relative, self.word = weights, bias, relative, {}
 
     def of(self, word: str) -> float:
         found = self.word.get(word)
@@ -73,7 +77,8 @@ class Model:
             spans.append((start, end))
         z = np.asarray(logits, float)
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        score = float(-np.expm1(-np.logaddexp(0, z).sum()))
+        floor = np.logaddexp(0, self.bias) if self.relative else 0.0
+        score = float(-np.expm1(-(np.logaddexp(0, z) - floor).sum()))
         return score, [{"start": spans[i][0], "end": spans[i][1], "score": float(p[i])} for i in np.flatnonzero(p >= blame)]
 
 
@@ -110,12 +115,12 @@ def fit(rows: Iterable[tuple[str, int]], steps: int = 400, rate: float = 0.1, l2
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         theta = theta - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
         theta[:-1] = np.maximum(theta[:-1], 0)  # evidence for toxicity only: no sentence can excuse another
-    return Model({f: float(x) for f, x in zip(names, theta, strict=False) if x > 0}, float(theta[-1]))
+    return Model({f: float(x) for f, x in zip(names, theta, strict=False) if x > 0}, float(theta[-1]), relative=True)
 
 
 def toxicity(docs: DataFrame, model: Model, blame: float = 0.5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, score, offending (start, end, score of sentences)."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # bounded by the fit sample
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.relative))  # bounded by the fit sample
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +137,19 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents that are not held out."""
+    """Fit on at most ``rows`` labelled documents that are not held out, and FIT_CHARS characters of them."""
     labelled = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").where(~held_out(F.col("doc_id"))).distinct()
     sample = cut(lowest(labelled, "doc_id", rows), "toxicity-labels")  # at most ``rows`` pairs, so texts need not move to them
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.length("text") <= LONGEST).limit(2 * rows).collect()
-    return fit((r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"], r["toxic"])))
+    chosen = docs.select("doc_id", F.substring("text", 1, LONGEST).alias("text")).join(F.broadcast(sample), "doc_id").where("text is not null").limit(2 * rows)
+    found = cut(chosen.withColumn("size", F.length("text")), "toxicity-fit")
+    order = F.xxhash64("doc_id")
+    total, last = 0, None
+    for at, size in found.select(order.alias("o"), "size").groupBy("o").agg(F.sum("size")).orderBy("o").collect():
+        if last is not None and total + size > FIT_CHARS:
+            break
+        total, last = total + size, at
+    kept = found.where(order <= last).collect() if last is not None else []
+    return fit((r["text"], r["toxic"]) for r in sorted(kept, key=lambda r: (r["doc_id"], r["text"], r["toxic"])))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

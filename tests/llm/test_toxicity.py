@@ -52,3 +52,24 @@ def test_documents(spark):
     assert len(wrong) <= 6
     empty = fit_model(docs.limit(0), labels)
     assert toxicity(docs, empty).where("score <> 0").count() == 0 and toxicity(docs.limit(0), model).count() == 0
+
+
+def test_long_clean_documents_stay_clean(spark):
+    rng = random.Random(8)
+    clean = lambda n: ". ".join(" ".join(f"word{rng.randrange(300)}" for _ in range(6)) for _ in range(n))
+    rows = corpus(600, 4)
+    rows = [(i, clean(5), y) if i % 50 == 0 else (i, t, y) for i, t, y in rows]  # toxic ones without a sign
+    model = fit((t, y) for _, t, y in rows)
+    long = clean(22_000)
+    assert len(long) > 1_000_000 and model.score(long)[0] < 0.1 and model.score(long + ". vile foul rotten")[0] >= 0.7
+    free = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(free[0], "bad vile"), (free[1], long), (free[2], "x")], "doc_id long, text string")
+    seen = []
+    import recordkeep.llm.toxicity as module
+
+    own, module.fit = module.fit, lambda pairs: seen.extend(len(t) for t, _ in pairs)
+    try:
+        fit_model(docs, spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int"))
+    finally:
+        module.fit = own
+    assert len(long) in seen
