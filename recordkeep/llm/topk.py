@@ -1,19 +1,23 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
-Every component becomes floor(256 * x). Candidates are dealt into blocks of bounded size, queries into blocks of
-bounded size, and each pair of blocks is one group: queries travel to each block of candidates once. In a group, every
-dimension is a list of the block's candidates sorted by that component. Lists are read strictly in order, from both
-ends, since a query weights a list up or down by its sign; the reading order, and so the set of entries seen, is the
-same for all queries. What is unread of a list lies between its two frontiers, which gives each candidate a lower and
-an upper bound for each query. Reading stops when, for every query, all but a few outsiders have an upper bound below
-the k-th lower bound; only the survivors' scores are then resolved. Bounds and scores are integers and exact.
+Every component becomes the integer floor(256 * x). Candidates are dealt into shards of bounded size, each candidate
+to one; queries travel to every shard and stream past it, so no task holds more than a shard and a batch of queries.
 
-Each group returns k rows a query; the k best of those are the result.
+A shard is read in parts of some thousand candidates. In a part, every dimension is a list sorted by that component,
+read strictly in order: from its upper end for queries that weigh the dimension up, from its lower end for the others.
+What is unread of a list is at most its frontier, so each candidate has an upper bound: the sum of what was read of it
+and of the frontiers elsewhere. The lower bound to beat is the k-th best score of the parts before. Reading goes on,
+only for candidates that can still qualify, until few are left; their scores are then resolved. Only the first part of
+a shard, which has no score to beat yet, is read to the end.
+
+Bounds are exact where sums fit a double, else they are widened by the largest possible rounding error; scores are exact
+integers of any size, and move as two words, so that they are ranked exactly even where they do not fit a long.
 
 Defined cases: vectors that are null, or hold a null, NaN or infinity, take no part; rows with a null vec_id neither;
-vectors are compared with those of their own length only; rows with the query's vec_id are the query's own; other ids
-that repeat are separate candidates; empty vectors score 0; extra columns are ignored. Components are taken as
-integers within +-2^30 (larger ones are cut off there).
+vectors are compared with those of their own length only, however long; rows with the query's vec_id are the query's
+own; other ids that repeat are separate candidates, and queries whose ids repeat are answered one by one; ties go to the
+smaller vec_id; empty vectors score 0; extra columns are ignored. A score that does not fit a long is null, at its
+right rank; one of 2^125 or more ends the query with an error.
 """
 
 from __future__ import annotations
@@ -22,95 +26,156 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordkeep.llm.tables import table
 from recordkeep.plans.lineage import cut
 
-OUT = "query_id long, vec_id long, score long"
-LIMIT = 1 << 30
-#: Shares of each list read, from both ends together, after each round.
-ROUNDS = (0.3, 0.5, 0.65, 0.75, 0.82, 0.88, 0.93, 0.97)
-
-
-def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int = 5, batch: int = 128) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of the k best of ``ids`` (vectors ``x``) for each query; ties to the smaller id."""
-    n, dims = x.shape
-    width = np.abs(x).max(axis=0, initial=0).astype(object) @ np.abs(q).max(axis=0, initial=0).astype(object) if dims else 0
-    kind = np.float32 if width < 1 << 22 else np.float64 if width < 1 << 51 else np.int64  # sums stay exact
-    order = np.argsort(x, axis=0, kind="stable")
-    ranks = np.empty_like(order)
-    np.put_along_axis(ranks, order, np.arange(n)[:, None], axis=0)
-    ranks = np.minimum(ranks, n - 1 - ranks)  # distance from the nearer end of the list
-    values = np.take_along_axis(x, order, axis=0)
-    out: list[tuple[int, int, int]] = []
-    pending = [(at, np.arange(at, min(at + batch, len(q)))) for at in range(0, len(q), batch)]
-    xk = x.astype(kind)
-    few = 16 * k
-    for r, share in enumerate((*ROUNDS, 1.0)):
-        depth = math.ceil(share * n / 2) if share < 1 else n
-        seen = ranks < depth
-        known, unread = np.where(seen, xk, 0).astype(kind), (~seen).astype(kind)
-        low = values[min(depth, n - 1)].astype(kind)
-        high = values[max(n - 1 - depth, 0)].astype(kind)
-        later = []
-        for at, rows in pending:
-            part = q[rows].astype(kind)
-            base = part @ known.T
-            upper = base + np.maximum(part * low, part * high) @ unread.T
-            lower = base + np.minimum(part * low, part * high) @ unread.T
-            own = query_ids[rows][:, None] == ids[None, :]
-            floor = lower.min() - 1 if lower.size else 0
-            lower[own] = floor
-            kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(rows), floor)
-            alive = (upper >= kth[:, None]) & ~own
-            done = (alive.sum(axis=1) <= few) | (r == len(ROUNDS))
-            for i in np.flatnonzero(done):
-                left = np.flatnonzero(alive[i])
-                score = (xk[left] @ part[i]).astype(np.int64)
-                for j in np.lexsort((ids[left], -score))[:k]:
-                    out.append((int(query_ids[rows[i]]), int(ids[left[j]]), int(score[j])))
-            if not done.all():
-                later.append((at, rows[~done]))
-        pending = later
-        if not pending:
-            break
-    return out
-
-
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 16384, query_block: int = 4096) -> DataFrame:
+#: Candidates whose lists are read together.
+PART = 2048
+#: Shares of each list that are read before candidates are sorted out again.
+ROUNDS = (0.4, 0.55, 0.7, 0.8, 0.9)
+FEW = 32  # candidates that are resolved without reading on
+WORD = 62  # bits of a score's lower word
+
+
+class Lists:
+    """Sorted lists of the candidates ``ids`` with integer components ``x`` (n x dims, whole numbers as doubles)."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        self.sorted = np.sort(x, axis=0)
+        self.largest = np.abs(x).max(axis=0, initial=0)
+        self._read: dict[tuple, np.ndarray] = {}
+
+    def frontiers(self, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """The largest unread value of each list from above, and the smallest from below."""
+        depth = min(math.ceil(share * len(self.ids)), len(self.ids) - 1)
+        return self.sorted[len(self.ids) - 1 - depth], self.sorted[depth]
+
+    def read(self, share: float, kind: type) -> np.ndarray:
+        """What is known of all candidates after ``share`` of each list: columns from above, then from below."""
+        if (share, kind) not in self._read:
+            high, low = self.frontiers(share)
+            self._read[share, kind] = np.hstack([np.maximum(self.x, high), np.minimum(self.x, low)]).astype(kind)
+        return self._read[share, kind]
+
+
+class Shard:
+    """A shard's candidates in parts, in the order given."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, part: int = PART):
+        self.parts = [Lists(ids[at : at + part], x[at : at + part]) for at in range(0, len(ids), part)]
+
+    def best(self, query_ids: np.ndarray, q: np.ndarray, k: int, stats: dict | None = None) -> list[list[tuple[int, int]]]:
+        """Per query its k best (-score, id), scores as Python integers. ``stats`` counts entries read and in all."""
+        found: list[list[tuple[int, int]]] = [[] for _ in query_ids]
+        sides = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
+        start = 0
+        for lists in self.parts:
+            width = float(lists.largest @ np.abs(q).max(axis=0, initial=0)) if q.shape[1] else 0.0
+            kind = np.float32 if width < 1 << 23 else np.float64
+            slack = 0.0 if width < 1 << 52 else width * (2 * q.shape[1] + 8) * 2.0**-52
+            least = np.array([-float(f[-1][0]) if len(f) == k else -np.inf for f in found]) - slack
+            if np.isinf(least).any():
+                alive, depth = [np.arange(len(lists.ids))] * len(q), len(ROUNDS)
+            else:
+                upper = sides.astype(kind) @ lists.read(ROUNDS[start], kind).T
+                hit = upper >= least[:, None]
+                alive, depth = [np.flatnonzero(row) for row in hit], start
+                start = min(start + 1, len(ROUNDS) - 1) if hit.mean() > 0.3 else start  # more has to be read first
+            for i, (rows, own) in enumerate(zip(alive, query_ids, strict=True)):
+                touched = len(lists.ids) * (ROUNDS[depth] if depth < len(ROUNDS) else 1.0)
+                for at in range(depth + 1, len(ROUNDS)):
+                    if len(rows) <= FEW:
+                        break
+                    high, low = lists.frontiers(ROUNDS[at])
+                    known = lists.x[rows]
+                    touched += len(rows) * (ROUNDS[at] - ROUNDS[at - 1])
+                    rows = rows[np.maximum(q[i] * known, np.where(q[i] > 0, q[i] * high, q[i] * low)).sum(axis=1) >= least[i]]
+                rows = rows[lists.ids[rows] != own]
+                found[i] = _merged(found[i], lists, rows, q[i], width, k)
+                if stats is not None:
+                    stats["read"] = stats.get("read", 0) + touched + len(rows)
+                    stats["all"] = stats.get("all", 0) + len(lists.ids)
+        return found
+
+
+def _merged(have: list[tuple[int, int]], lists: Lists, rows: np.ndarray, q: np.ndarray, width: float, k: int) -> list[tuple[int, int]]:
+    """The k best of ``have`` and of ``rows``, whose scores are resolved here."""
+    if not len(rows):
+        return have
+    ids = lists.ids[rows]
+    if width < 1 << 61:
+        scores = lists.x[rows].astype(np.int64) @ q.astype(np.int64)
+        top = np.lexsort((ids, -scores))[:k]
+        new = list(zip((-scores[top]).tolist(), ids[top].tolist(), strict=True))
+    else:
+        weights = [int(c) for c in q]
+        new = [(-sum(int(a) * b for a, b in zip(row, weights, strict=True)), i) for row, i in zip(lists.x[rows], ids.tolist(), strict=True)]
+    return sorted(have + new)[:k]
+
+
+def whole_numbers(x: np.ndarray) -> np.ndarray:
+    """floor(256 * x) as doubles, which hold these integers exactly."""
+    cells = np.floor(x * 256.0)
+    if not np.isfinite(cells).all():
+        raise ArithmeticError("a component is too large")
+    return cells
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], np.ndarray, np.ndarray, np.ndarray]]:
+    """((dims, shard, kind), row ids, vec_ids, components) of neighbouring rows that agree in the first three."""
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+        ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else []
+        for at, end in zip([0, *ends], ends, strict=False):
+            part = batch.slice(at, end - at)
+            cells = part.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            yield tuple(keys[at].tolist()), part.column(3).to_numpy(), part.column(4).to_numpy(), whole_numbers(cells.reshape(len(part), keys[at][0]))
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 16384, batch: int = 128) -> DataFrame:
     """``vectors`` and ``queries`` (vec_id, embedding) -> query_id, rank, vec_id, score."""
 
-    def whole(df: DataFrame) -> DataFrame:
+    def whole(df: DataFrame, name: str) -> DataFrame:
         ok = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.coalesce(F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True))
-        cells = F.transform("embedding", lambda v: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(v.cast("double") * 256).cast("long"))).cast("int"))
-        return df.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), cells.alias("v"), F.size("embedding").alias("dims"))
+        out = df.where(ok).select(F.size("embedding").alias("dims"), F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+        return cut(out, name)
 
-    asked = cut(whole(queries), "top-k-queries")
-    found = cut(whole(vectors), "top-k-vectors")
+    asked, found = whole(queries, "top-k-queries"), whole(vectors, "top-k-vectors")
     shards = max(1, math.ceil(found.count() / block))
-    blocks = max(1, math.ceil(asked.count() / query_block))
-    seed = F.xxhash64("vec_id", "v")
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = found.select("vec_id", "v", "dims", F.pmod(seed, F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("part"))
-    right = asked.select("vec_id", "v", "dims", F.pmod(seed, F.lit(blocks)).cast("int").alias("part"), every(shards).alias("shard"))
-
-    def run(candidates: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple[int, int, int]] = []
-        if len(candidates) and len(wanted):
-            x, q = (np.stack(df["v"].to_numpy()).astype(np.int64) for df in (candidates, wanted))
-            rows = best(candidates["vec_id"].to_numpy(), x, wanted["vec_id"].to_numpy(), q, k)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype="int64")
-
-    keys = ["dims", "shard", "part"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, OUT)
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.select("query_id", F.row_number().over(ranked).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    rows = found.select("dims", shard.alias("shard"), F.lit(0).alias("kind"), "row", "vec_id", "v").unionByName(asked.select("dims", every.alias("shard"), F.lit(1).alias("kind"), "row", "vec_id", "v"))
+    met = rows.repartitionByRange(shards, "dims", "shard").sortWithinPartitions("dims", "shard", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, own = None, [], None
+        for (dims, number, kind), row, ids, x in _runs(batches):
+            if place != (dims, number):
+                place, held, own = (dims, number), [], None
+            if not kind:
+                held.append((ids, x))
+                continue
+            if not held:
+                continue
+            own = own or Shard(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            for at in range(0, len(ids), batch):
+                part = slice(at, at + batch)
+                best = own.best(ids[part], x[part], k)
+                out = [(int(r), int(i), vec_id, -score) for r, i, f in zip(row[part], ids[part], best, strict=True) for score, vec_id in f]
+                if any(abs(r[3]) >> 125 for r in out):
+                    raise ArithmeticError("a score is too large")
+                out = [(*r[:3], r[3] >> WORD, r[3] & ((1 << WORD) - 1)) for r in out]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], names=["row", "query_id", "vec_id", "high", "low"])
+
+    near = met.mapInArrow(run, "row long, query_id long, vec_id long, high long, low long")
+    ranked = Window.partitionBy("row").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    score = F.when(F.col("high").between(-2, 1), F.shiftleft("high", WORD) + F.col("low"))
+    return near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

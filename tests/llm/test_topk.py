@@ -1,6 +1,6 @@
 import numpy as np
 
-from recordkeep.llm.topk import best, exact_top_k
+from recordkeep.llm.topk import Shard, exact_top_k
 
 
 def brute(vectors, queries, k):
@@ -13,13 +13,20 @@ def brute(vectors, queries, k):
 
 def test_bounds_against_brute_force():
     rng = np.random.default_rng(1)
-    for n, dims, high in ((1, 3, 5), (4, 2, 5), (300, 8, 150), (300, 8, 2), (500, 4, 2_000_000), (120, 5, 1 << 30)):
-        x = rng.integers(-high, high + 1, (n, dims))
+    for n, dims, high in ((1, 3, 5), (4, 2, 5), (300, 8, 150), (300, 8, 2), (500, 4, 2_000_000), (200, 5, 1 << 40), (150, 3, 1 << 60)):
+        x = rng.integers(-high, high + 1, (n, dims)).astype(float)
         x[n // 2 :] = x[0]  # many ties
         q, ids = x[:20], np.arange(n) * 3
-        got = sorted(best(ids, x, ids[:20], q, 5, batch=7))
-        want = sorted((i, j, s) for i, _, j, s in brute(list(zip(ids.tolist(), x.tolist(), strict=True)), list(zip(ids[:20].tolist(), q.tolist(), strict=True)), 5))
-        assert got == want, (n, dims, high)
+        got = Shard(ids, x, part=40).best(ids[:20], q, 5)
+        got = sorted((int(i), r + 1, j, -s) for i, f in zip(ids[:20], got, strict=True) for r, (s, j) in enumerate(f))
+        assert got == brute(list(zip(ids.tolist(), x.tolist(), strict=True)), list(zip(ids[:20].tolist(), q.tolist(), strict=True)), 5), (n, dims, high)
+
+
+def test_lists_are_not_read_to_the_end():
+    rng = np.random.default_rng(3)
+    x, stats = np.floor(rng.normal(0, 40, (8192, 16))), {}
+    Shard(np.arange(8192), x).best(np.arange(40), x[:40], 5, stats)
+    assert stats["read"] / stats["all"] < 0.9  # a quarter is the first part, which is read whole
 
 
 def test_blocks_and_odd_rows(spark):
@@ -28,7 +35,25 @@ def test_blocks_and_odd_rows(spark):
     rows = [(i, [float(v) for v in x[i % 100]], "z") for i in range(150)]
     odd = [(500, None, "z"), (550, [1.0, None, 0.0, 0.0, 0.0, 0.0], "z"), (600, [float("nan")] * 6, "z"), (650, [float("inf")] * 6, "z"), (None, [9.0] * 6, "z"), (700, [1.0, 2.0], "z"), (701, [3.0, 1.0], "z"), (750, [], "z"), (751, [], "z"), (3, [0.5] * 6, "z")]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, score string")
-    got = sorted(tuple(r) for r in exact_top_k(df, df.where("vec_id % 50 = 0"), 5, block=40, query_block=2).collect())
+    got = sorted(tuple(r) for r in exact_top_k(df, df.where("vec_id % 50 = 0"), 5, block=40, batch=2).collect())
     cells = [(i, np.floor(np.asarray(v, "float32").astype("float64") * 256).astype(int).tolist()) for i, v, _ in [*rows, odd[5], odd[6], odd[7], odd[8], odd[9]]]
     assert got == brute(cells, [c for c in cells if c[0] % 50 == 0], 5)
     assert exact_top_k(df.limit(0), df).collect() == [] and exact_top_k(df, df.limit(0)).collect() == []
+
+
+def test_large_components_and_repeated_queries(spark):
+    rows = [(50, [1.0, 1.0]), (1, [5e6, 0.0]), (2, [6e6, 0.0]), (3, [4e6, 0.0]), (4, [1e15, 0.0]), (5, [1.5e15, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in exact_top_k(df, df.where("vec_id = 50")).collect())
+    assert got == [(50, 1, 5, None), (50, 2, 4, None), (50, 3, 2, 6_000_000 << 16), (50, 4, 1, 5_000_000 << 16), (50, 5, 3, 4_000_000 << 16)]
+    twice = spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in exact_top_k(df, twice, 1).collect())
+    assert got == [(50, 1, 5)] * 3
+
+
+def test_very_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i * 50, [float(v) for v in rng.normal(size=20_000)]) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cells = [(i, np.floor(np.asarray(v) * 256).astype(int).tolist()) for i, v in rows]
+    assert sorted(tuple(r) for r in exact_top_k(df, df, 2).collect()) == brute(cells, cells, 2)
