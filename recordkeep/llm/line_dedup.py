@@ -3,12 +3,15 @@
 Each document is split at ``\\n``. A line's key is the line without ASCII white space at its ends and with A-Z in
 lower case. Keys of at least ``min_chars`` code points are hashed to 128 bits; a partial aggregation finds, per hash,
 how many documents hold it and the smallest doc_id among them. Only (hash, keeper) of repeated lines is joined back
-to the narrow (document, position, hash) rows; the text itself is shuffled once, when the positions to drop reach it.
+to the narrow (document, position, hash) rows, which are written once; the text itself is shuffled once, when the
+positions to drop reach it, and split only behind that.
 
 Defined cases:
 * null or empty text: one empty line, which stays (n_lines 1, n_dropped 0);
 * null doc_id: the row counts for no line, so it is never a keeper; it loses lines held by ``min_docs`` other ids;
 * rows with the same doc_id are one document: they do not make a line repeated, and keep or lose it together;
+* very long texts: a text is one row, however many lines it has; a line of any length is one hash;
+* ties: of documents that hold a line only the smallest id keeps it, there, however often it stands in it;
 * extra columns pass through; a column named as one of the added ones is replaced.
 """
 
@@ -24,19 +27,16 @@ from recordkeep.plans.lineage import cut
 def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """``docs`` (doc_id, text, ...) with text replaced by what is kept, and n_lines and n_dropped added."""
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    rows = packed(docs).select(
-        "row",
-        F.col("row.doc_id").cast("long").alias("id"),
-        F.xxhash64(text).alias("version"),  # rows of one id may hold different texts
-        F.split(text, "\n", -1).alias("lines"),
-    )
+    lines = F.split(text, "\n", -1)
+    rows = packed(docs).select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(text).alias("version"))  # rows of one id may hold different texts
     key = ascii_lower(F.btrim(F.col("line"), F.lit(WHITE)))
     held = (
-        rows.select("id", "version", F.posexplode("lines").alias("at", "line"))
+        rows.select("id", "version", F.posexplode(lines).alias("at", "line"))
         .select("id", "version", "at", key.alias("key"))
         .where(F.length("key") >= min_chars)
         .select("id", "version", "at", *[h.alias(n) for h, n in zip(hash128(F.col("key")), ("h1", "h2"), strict=True)])
     )
+    held = cut(held, "line-hashes")  # narrow; both uses below read it instead of the texts
     if min_docs == 2:  # two documents differ in their smallest and largest id
         repeated = held.groupBy("h1", "h2").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").drop("last")
     else:
@@ -49,7 +49,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
         .groupBy(F.col("id").alias("lost_id"), F.col("version").alias("lost_version"))
         .agg(F.collect_list("at").alias("lost"))
     )
-    found = rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("version") == F.col("lost_version")), "left")
+    found = rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("version") == F.col("lost_version")), "left").select("row", "lost", lines.alias("lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("lost", F.array().cast("array<int>")))
     kept = found.select(
         "row",
