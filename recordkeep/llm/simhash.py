@@ -10,16 +10,19 @@ compared, in two steps that together find the components of "at most 3 differing
    differences of 1, 2, 3 and 4 consecutive segments stay within 3/4 of a bit a segment: 0, 1, 2 and 3. A table keyed
    by (segment, its value, the next segment's value) is probed with the exact segment and the next one changed in at
    most one bit; chains of three and the full distance are checked on what meets. Keys under which only one component
-   is found are dropped beforehand by a partial aggregation.
+   is found are dropped beforehand by a partial aggregation; keys that very many rows share are extended to the chain
+   of three segments.
 
 Defined cases:
 * null, empty and white texts have fingerprint zero and link like any other; fewer words than a shingle: one shingle;
+* texts of any length are hashed whole, in chunks; of a component's documents the smallest id names it;
 * rows repeat as they come; a null doc_id never names a component (a component of such rows only has a null id);
 * extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,8 @@ from recordkeep.plans.lineage import cut
 
 SEGMENTS, BITS, WITHIN = 4, 16, 3
 CHUNK = 1 << 15
+HOT = 1024  # rows of a key that are compared by two segments alone
+PER_TASK = 8192  # distinct fingerprints that one task sends to balls or chains
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -84,25 +89,40 @@ def _keys(i: int, flips: bool) -> list[Column]:
     return [base, *([base.bitwiseXOR(F.lit(1 << b)) for b in range(BITS)] if flips else [])]
 
 
-def chain_links(fps: DataFrame) -> DataFrame:
-    """(a, b): pairs of components that hold fingerprints within 3 bits; ``fps`` is (fp, comp), fp distinct."""
+#: The segment behind the two that ``key`` names, of the row's own fingerprint.
+THIRD = f"shiftrightunsigned(fp, cast(pmod(shiftright(key, {2 * BITS}) + 2, {SEGMENTS}) * {BITS} as int)) & {(1 << BITS) - 1}"
+
+
+#: All ways to change a segment in at most 3 * WITHIN // SEGMENTS bits.
+CHANGES = [0, *(1 << i for i in range(BITS)), *(1 << i | 1 << j for i in range(BITS) for j in range(i))]
+
+
+def chain_links(fps: DataFrame, hot: int = HOT) -> DataFrame:
+    """(a, b): pairs of components that hold fingerprints within 3 bits; ``fps`` is (fp, comp), fp distinct.
+
+    Keys that more than ``hot`` rows share go on to a chain of three: the key grows by the third segment, which is
+    probed in all its values within two bits, so that few rows of such a key meet.
+    """
+    shifted = "cast(pmod(shiftright(key, {0}) * {1}, 64) as int)".format(2 * BITS, BITS)
     index = fps.select("fp", "comp", F.explode(F.array(*[k for i in range(SEGMENTS) for k in _keys(i, False)])).alias("key"))
     probes = fps.select("fp", "comp", F.explode(F.array(*[k for i in range(SEGMENTS) for k in _keys(i, True)])).alias("key"))
     census = (
         probes.select("key", "comp", F.lit(0).alias("own"))
         .unionByName(index.select("key", "comp", F.lit(1).alias("own")))
         .groupBy("key")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("own").alias("own"))
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("own").alias("own"), F.count("*").alias("n"))
     )
-    keys = cut(census.where("low < high and own = 1").select("key"), "chain-keys")
-    left = cut(index.join(keys, "key", "left_semi").select("key", F.col("fp").alias("fp_a"), F.col("comp").alias("a")), "chain-index")
-    right = cut(probes.join(keys, "key", "left_semi").select("key", F.col("fp").alias("fp_b"), F.col("comp").alias("b")), "chain-probes")
+    keys = cut(census.where("low < high and own = 1").select("key", (F.col("n") > hot).alias("is_hot")), "chain-keys")
+    wide = F.shiftleft("key", BITS).bitwiseOR(F.expr(THIRD))
+    left = cut(index.join(keys, "key").select("key", wide.alias("wide"), "is_hot", F.col("fp").alias("fp_a"), F.col("comp").alias("a")), "chain-index")
+    right = cut(probes.join(keys, "key").select(F.col("key").alias("key_b"), wide.alias("wide_b"), F.col("is_hot").alias("hot_b"), F.col("fp").alias("fp_b"), F.col("comp").alias("b")), "chain-probes")
     differ = "(fp_a ^ fp_b)"
-    turned = f"(shiftrightunsigned({differ}, cast(shiftright(key, {2 * BITS}) * {BITS} as int)) | shiftleft({differ}, 64 - cast(shiftright(key, {2 * BITS}) * {BITS} as int)))"
-    chain3 = F.expr(f"bit_count({turned} & {(1 << 3 * BITS) - 1}) <= {3 * WITHIN // SEGMENTS}")
-    whole = F.expr(f"bit_count({differ}) <= {WITHIN}")
-    r = right.withColumnRenamed("key", "key_b")
-    return left.join(r, (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b")) & chain3 & whole).select("a", "b").distinct()
+    turned = f"(shiftrightunsigned({differ}, {shifted}) | shiftleft({differ}, 64 - {shifted}))"
+    near = F.expr(f"a <> b and bit_count({turned} & {(1 << 3 * BITS) - 1}) <= {3 * WITHIN // SEGMENTS} and bit_count({differ}) <= {WITHIN}")
+    plain = left.where("not is_hot").join(right.where("not hot_b"), (F.col("key") == F.col("key_b")) & near)
+    changed = right.where("hot_b").withColumn("wide_b", F.explode(F.array(*[F.col("wide_b").bitwiseXOR(F.lit(c)) for c in CHANGES])))
+    crowded = left.where("is_hot").join(changed, (F.col("wide") == F.col("wide_b")) & near)
+    return plain.select("a", "b").unionByName(crowded.select("a", "b")).distinct()
 
 
 def _relabel(fps: DataFrame, found: DataFrame) -> DataFrame:
@@ -112,8 +132,9 @@ def _relabel(fps: DataFrame, found: DataFrame) -> DataFrame:
 def near_clusters(own: DataFrame) -> DataFrame:
     """``own`` (doc_id, fp) -> (fp, comp, first) per distinct fingerprint: its component and its smallest doc_id."""
     fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.col("fp").alias("comp"), "first"), "distinct-fingerprints")
-    fps = cut(_relabel(fps, components(close_links(fps.select("fp")))), "balls")
-    return cut(_relabel(fps, components(chain_links(fps.select("fp", "comp")))), "chains")
+    tasks = max(1, math.ceil(fps.count() / PER_TASK))
+    fps = cut(_relabel(fps, components(close_links(fps.select("fp").repartition(tasks, "fp")))), "balls")
+    return cut(_relabel(fps, components(chain_links(fps.select("fp", "comp").repartition(tasks, "fp")))), "chains")
 
 
 def simhash_groups(docs: DataFrame, width: int = 3) -> DataFrame:

@@ -69,6 +69,7 @@ def test_links_of_planted_fingerprints(spark):
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
     assert all(apart(r.a, r.b) <= 2 for r in close_links(df).collect())
     near = {tuple(sorted((r.a, r.b))) for r in chain_links(df.selectExpr("fp", "fp comp")).collect()}
+    assert near == {tuple(sorted((r.a, r.b))) for r in chain_links(df.selectExpr("fp", "fp comp"), hot=0).collect()}  # keys of three segments
     all_near = {(a, b) for a in fps for b in fps if a < b and apart(a, b) <= 3}
     assert near == all_near
     pairs = [(a, b) for a, b in all_near]
