@@ -19,6 +19,15 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def nfkc_of(text: str) -> str:
+    return unicodedata.normalize("NFKC", text)
+
+
+def normal_of(text: str) -> str:
+    """:func:`normalize_text` of one literal, on the driver."""
+    return " ".join(nfkc_of(text).split()).lower()
+
+
 def nfkc(c: Column) -> Column:
     """Compatibility composition. Spark has no such function, so it runs over Arrow batches."""
     return _nfkc(c)
@@ -41,7 +50,7 @@ def normalize_text(c: Column) -> Column:
 
 def header_name(c: Column) -> Column:
     """A sheet header without byte order mark, trimmed, in upper case."""
-    return F.upper(F.trim(F.ltrim(F.lit(REPLACEMENT.replace(REPLACEMENT, "﻿")), c))) if False else F.upper(F.trim(F.regexp_replace(c, "^﻿+", "")))
+    return F.upper(F.trim(F.regexp_replace(c, "^﻿+", "")))
 
 
 def label(c: Column) -> Column:

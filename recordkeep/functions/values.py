@@ -25,6 +25,7 @@ def valid_date(c: Column) -> Column:
 
 def normalize_date(c: Column) -> Column:
     """The first date with ``-`` or ``/`` in a text as ``YYYY-MM-DD``, else the trimmed text."""
+    # Fixed value: how sources write dates, years 1900 to 2099.
     pattern = r"\b((?:19|20)[0-9]{2})[/-]([0-9]{1,2})[/-]([0-9]{1,2})\b"
     y, m, d = (F.regexp_extract(c, pattern, i) for i in (1, 2, 3))
     return F.when(y != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).otherwise(F.trim(c))

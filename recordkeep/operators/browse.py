@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordkeep.functions.keys import normalize_code_query
-from recordkeep.functions.text import normalize_text
+from recordkeep.functions.keys import code_of
+from recordkeep.functions.text import normal_of, normalize_text
 from recordkeep.operators import links as L
 from recordkeep.operators import records as R
 from recordkeep.operators import tags as T
+from recordkeep.plans.lineage import cut
 
 
 def haystack(columns: list[Column], normal=normalize_text) -> Column:
@@ -19,10 +20,9 @@ def haystack(columns: list[Column], normal=normalize_text) -> Column:
     return normal(F.concat_ws(" ", *columns))
 
 
-def needle(query: str, spark) -> str:
+def needle(query: str) -> str:
     """The canonical code of a query if it is one, else its search form; '' for a blank one."""
-    row = spark.range(1).select(normalize_code_query(F.lit(query)).alias("code"), normalize_text(F.lit(query)).alias("text")).first()
-    return (row.code or row.text or "").lower()
+    return normal_of(code_of(query) or query)
 
 
 def contains(rows: DataFrame, column: str, wanted: str) -> DataFrame:
@@ -67,6 +67,19 @@ def natural(prefix: str = "prefix", number: str = "number") -> list[Column]:
     return [F.asc(prefix), F.asc(number)]
 
 
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with their ``place`` in the whole order, from 1, without one task seeing all rows.
+
+    Rows are sorted over range partitions; a partition's places start behind the rows of those before it.
+    """
+    part = cut(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "placed")
+    own = F.shiftright("_id", 33)
+    sizes = part.groupBy(own.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
+    joined = part.withColumn("_part", own).join(before, "_part")
+    return joined.withColumn("place", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_before", "_id")
+
+
 def favourites(state: DataFrame, records: DataFrame) -> DataFrame:
     """Marked records (states 1 and 2) by state and code; marks of missing records drop out."""
     return state.where(F.col("state").isin(1, 2)).join(records, "code").orderBy("state", "code")
@@ -95,17 +108,19 @@ class Catalog:
         return own.withColumn("haystack", haystack([F.col("code"), F.col("title"), F.array_join("actors", " "), F.col("prefix"), F.col("_tags")])).drop("_tags")
 
     def search(self, query: str) -> DataFrame:
-        wanted = needle(query, self.records.sparkSession)
-        latest = self.groups.select("prefix", "latest_date")
-        return contains(self.searchable(), "haystack", wanted).join(latest, "prefix").orderBy(F.desc("latest_date"), "prefix", "number", "code").drop("latest_date", "haystack")
+        """Records whose search form holds the query, latest group first; of records with one code the first."""
+        found = contains(self.searchable(), "haystack", needle(query)).join(self.groups.select("prefix", "latest_date"), "prefix")
+        place = [F.desc("latest_date"), F.col("prefix"), F.col("number"), F.col("code")]
+        first = found.withColumn("_n", F.row_number().over(Window.partitionBy("code").orderBy(*place))).where("_n = 1")
+        return first.orderBy(*place).drop("latest_date", "haystack", "_n")
 
     def search_tags(self, query: str, group: str | None = None) -> DataFrame:
-        wanted = normalize_needle(query, self.tags.sparkSession)
+        wanted = normal_of(query)
         rows = self.tags if group is None else self.get_tags(group)
         return rows if not wanted else contains(rows.withColumn("_h", haystack([F.col("translation"), F.col("name")])), "_h", wanted).drop("_h")
 
     def get_record(self, code: str) -> DataFrame:
-        return self.records.where(F.col("code") == normalize_code_query(F.lit(code)))
+        return self.records.where(F.col("code") == F.lit(code_of(code)))
 
     def get_group(self, prefix: str) -> DataFrame:
         return self.groups.where(F.col("prefix") == prefix.strip().upper())
@@ -123,16 +138,22 @@ class Catalog:
         own = self.records.where(F.col("prefix") == prefix.strip().upper())
         return R.slots(own).orderBy("number") if with_gaps else own.orderBy("number", "code")
 
+    def group_page(self, prefix: str, start: int = 0, limit: int | None = None, with_gaps: bool = False, total: int | None = None) -> tuple[DataFrame, dict]:
+        """One page of a group's view, and where it lies."""
+        return R.page(self.group_view(prefix, with_gaps), ["number", "code"], start, limit, total)
+
+    def favourites_page(self, marks: DataFrame, state: int, start: int = 0, limit: int | None = None) -> tuple[DataFrame, dict]:
+        """One page of the records marked with one state."""
+        return R.page(favourites(marks.where(F.col("state") == state), self.records), ["code"], start, limit)
+
     def detail(self, code: str) -> DataFrame:
-        """The record, its tag definitions and its link badges per scope."""
+        """The record, its tags by group and its link badges per scope."""
         own = self.get_record(code)
         shown = L.badges(self.links.join(own.select("code"), "code", "left_semi")).groupBy("code").agg(F.array_sort(F.collect_list(F.struct("scope", "badges"))).alias("link_groups"))
-        return own.join(T.tag_lookup(own, self.tags), "code", "left").join(shown, "code", "left")
+        tags = T.tags_by_group(own, self.tags).groupBy("code").agg(F.array_sort(F.collect_list(F.struct("group", "tags"))).alias("tag_groups"))
+        return own.join(tags, "code", "left").join(shown, "code", "left")
 
     def metadata(self) -> DataFrame:
         """The latest row of the refresh log."""
         return self.refresh_log.orderBy(F.desc("generated_at")).limit(1)
 
-
-def normalize_needle(query: str, spark) -> str:
-    return spark.range(1).select(normalize_text(F.lit(query)).alias("t")).first().t

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordkeep.functions import keys as keys_of
 from recordkeep.functions import text, urls, values
 from recordkeep.operators import links as L
+from recordkeep.operators import records as C
 from recordkeep.operators import refresh as R
 
 MODES = (R.INCREMENTAL, R.AUDIT, R.LINKS_ONLY)
 EARLIEST = "2007-12-07"
 LARGEST_SHARE, MOST_DELETED, MOST_DELETED_IN_GROUP = 0.15, 100, 25
+COUNTERS = ("added", "deleted", "linkAdded", "linkConflicts", "linkRemoved", "linkUpdated", "linked", "retained", "updated")
 SCOPES = {"": ("streamtape", "player4me", "gofile", "subtitle"), "uncensored": ("streamtape", "player4me", "gofile")}
 
 
@@ -54,6 +58,23 @@ def duplicate_ids(records: DataFrame, record_id: str = "product_id", code: str =
     return records.groupBy(record_id).agg(F.sort_array(F.collect_set(code)).alias("codes")).where(F.size("codes") > 1)
 
 
+def order(groups_in_place: DataFrame | None, records_in_place: DataFrame | None) -> DataFrame:
+    """Stated places (``place``, counted within the snapshot, and for records within their prefix) follow the order rules.
+
+    Groups stand by latest date, latest first, then by name; records by number and code. Neighbours are compared by a
+    join on the place, so that no task sees all groups.
+    """
+    parts = []
+    if groups_in_place is not None:
+        now = groups_in_place.where(F.col("latest_date").isNotNull()).select("place", "prefix", "latest_date")
+        before = now.select((F.col("place") + 1).alias("place"), F.col("prefix").alias("_prefix"), F.col("latest_date").alias("_date"))
+        wrong = (F.col("_date") < F.col("latest_date")) | ((F.col("_date") == F.col("latest_date")) & (F.col("_prefix") > F.col("prefix")))
+        parts.append(_bad(now.join(before, "place"), "G5", "prefix", "group is out of order", wrong))
+    if records_in_place is not None:
+        parts.append(_bad(C.unsorted(records_in_place, ["prefix"], "place", ["number", "code"]), "G5", "code", "record is out of order"))
+    return union(parts)
+
+
 def texts(records: DataFrame) -> DataFrame:
     """Titles and names are there and undamaged."""
     name_bad = F.exists("actors", lambda a: a.isNull() | (F.trim(a) == "") | text.damaged(a))
@@ -90,7 +111,9 @@ def strict_links(records: DataFrame, links: DataFrame, conflicts: int = 0) -> Da
 def previews(records: DataFrame, host: str, root: str) -> DataFrame:
     """Base and count come together, the base derives from the cover, the count is 1 to 99."""
     base, count = F.col("preview_base"), F.col("preview_count")
+    expanded = [_bad(records, "G11", "code", "expanded addresses must not be published", F.col("preview_urls").isNotNull())] if "preview_urls" in records.columns else []
     return union([
+        *expanded,
         _bad(records, "G11", "code", "base and count must come together", base.isNull() != count.isNull()),
         _bad(records, "G11", "code", "base is not official", base.isNotNull() & ~urls.is_preview_base(base, host, root)),
         _bad(records, "G11", "code", "base does not derive from the cover", base.isNotNull() & ~base.eqNullSafe(urls.preview_base(F.col("cover"), host, root))),
@@ -122,6 +145,18 @@ def group_links(links: DataFrame) -> DataFrame:
     return _bad(links, "G13", "prefix", "only a direct subtitle link is allowed", ~F.coalesce(good, F.lit(False)))
 
 
+def resources(rows: DataFrame, label: str, name: str = "subtitleDirectory") -> DataFrame:
+    """(name, fields): the only resource has exactly a label, which is fixed, and a valid address."""
+    exact = F.array_sort(F.map_keys("fields")) == F.array(F.lit("label"), F.lit("url"))
+    get = lambda k: F.element_at("fields", F.lit(k))
+    return union([
+        _bad(rows, "G13", "name", "unknown resource", ~F.col("name").eqNullSafe(F.lit(name))),
+        _bad(rows, "G13", "name", "must hold label and url alone", ~F.coalesce(exact, F.lit(False))),
+        _bad(rows, "G13", "name", "label is wrong", ~get("label").eqNullSafe(F.lit(label))),
+        _bad(rows, "G13", "name", "invalid address", ~urls.valid_url(get("url"))),
+    ])
+
+
 def tag_gates(records: DataFrame, definitions: DataFrame, stated: DataFrame | None = None, required: bool = False) -> DataFrame:
     """Ids sorted, unique, known; counts as stated; where required, status, time and provenance."""
     from recordkeep.operators import tags as T
@@ -153,11 +188,83 @@ def counters(row: DataFrame) -> DataFrame:
     return _bad(row, "G16", F.lit("counts"), "added, updated and retained do not sum up", F.col("added") + F.col("updated") + F.col("retained") != F.col("records"))
 
 
+def refresh_block(blocks: DataFrame, mode: str, complete: bool | None, expected: DataFrame | None = None) -> DataFrame:
+    """G16 over rows (key, mode, source_complete, counts map, inputs map) against what the run was asked and what it did.
+
+    ``expected`` is one row of counters by their exported names, as far as they can be recomputed.
+    """
+    counts = F.col("counts")
+    get = lambda name: F.element_at(counts, F.lit(name))
+    negative = F.map_filter(counts, lambda _, v: v.isNull() | (v < 0))
+    digest = F.map_filter("inputs", lambda k, v: (k == "") | v.isNull() | ~v.rlike("^[0-9a-f]{64}$"))
+    listed = lambda m: F.array_join(F.array_sort(F.map_keys(m)), ", ")
+    keys = R.key_errors(blocks, "counts", COUNTERS)
+    parts = [
+        _bad(blocks, "G16", "key", "unknown refresh mode", ~F.coalesce(F.col("mode").isin(*MODES), F.lit(False))),
+        _bad(blocks, "G16", "key", F.concat(F.lit("mode is not "), F.lit(mode)), F.col("mode").isin(*MODES) & (F.col("mode") != mode)),
+        _bad(blocks, "G16", "key", "completeness is not stated", F.col("source_complete").isNull()),
+        _bad(keys, "G16", "key", F.concat(F.lit("counters missing: "), F.array_join("missing", ", ")), F.size("missing") > 0),
+        _bad(keys, "G16", "key", F.concat(F.lit("counters unknown: "), F.array_join("extra", ", ")), F.size("extra") > 0),
+        _bad(blocks, "G16", "key", F.concat(F.lit("counters not a count: "), listed(negative)), F.size(negative) > 0),
+        _bad(blocks, "G16", "key", F.concat(F.lit("inputs are no SHA-256: "), listed(digest)), F.size(digest) > 0),
+    ]
+    if complete is not None:
+        parts.append(_bad(blocks, "G16", "key", F.lit(f"completeness is not {str(complete).lower()}"), F.col("source_complete") != complete))
+    if expected is not None:
+        both = blocks.crossJoin(expected.select(*[F.col(c).alias(f"_{c}") for c in expected.columns]))  # one row of counters
+        names = [c for c in expected.columns if c in COUNTERS]
+        parts += [_bad(both, "G16", "key", F.concat(F.lit(f"{c} is not "), F.col(f"_{c}").cast("string")), get(c) != F.col(f"_{c}")) for c in names]
+        if "records" in expected.columns:
+            parts.append(_bad(both, "G16", "key", "added, updated and retained do not sum up", get("added") + get("updated") + get("retained") != F.col("_records")))
+    return union(parts)
+
+
 def hashes(inputs: DataFrame) -> DataFrame:
     """(name, hash) are SHA-256 in lower-case hex."""
     return _bad(inputs, "G16", "name", "is no SHA-256", ~F.coalesce(F.col("hash").rlike("^[0-9a-f]{64}$"), F.lit(False)))
 
 
+def manifest_files(files: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
+    """(path, hash): safe paths, each once, with a SHA-256, and the required ones among them."""
+    again = files.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+    parts = [paths(files), _bad(files, "G29", "path", "is no SHA-256", ~F.coalesce(F.col("hash").rlike("^[0-9a-f]{64}$"), F.lit(False))), _bad(again, "G29", "path", "repeated path")]
+    if required:
+        wanted = files.sparkSession.createDataFrame([(p,) for p in required], "path string")
+        parts.append(_bad(wanted.join(files.select("path"), "path", "left_anti"), "G29", "path", "required file is missing"))
+    return union(parts)
+
+
+def manifest_totals(manifest: DataFrame, keys: tuple[str, ...], actual: DataFrame) -> DataFrame:
+    """One-row manifests (key, fields map) have exactly ``keys``, version 1 and the recomputed ``hash`` of ``actual``."""
+    wrong = R.key_errors(manifest, "fields", keys)
+    get = lambda k: F.element_at("fields", F.lit(k))
+    both = manifest.crossJoin(actual.select(F.col("hash").alias("_hash")))  # one row
+    return union([
+        _bad(wrong, "G29", "key", "missing or unexpected fields"),
+        _bad(manifest, "G29", "key", "unexpected version", ~get("schemaVersion").eqNullSafe(F.lit("1"))),
+        _bad(both, "G29", "key", "hash does not match the files", ~get("hash").eqNullSafe(F.col("_hash"))),
+    ])
+
+
+def link_manifest(sources: DataFrame) -> DataFrame:
+    """G23 over (state, scope, prefix, code, url): canonical names, valid addresses, no source twice, states disjoint by group.
+
+    ``code`` is set for links of records alone. Resolved and unresolved sources and child sheets share no group.
+    """
+    prefix, code = keys_of.normalize_prefix(F.col("prefix")), keys_of.normalize_code(F.col("code"))
+    again = sources.groupBy("state", "scope", "prefix", "code").agg(F.count("*").alias("n")).where("n > 1")
+    groups_of = sources.where(F.col("code").isNull())
+    return union([
+        _bad(sources, "G23", "prefix", "group name is not canonical", ~prefix.eqNullSafe(F.col("prefix"))),
+        _bad(sources, "G23", "code", "code is not canonical", F.col("code").isNotNull() & ~code.eqNullSafe(F.col("code"))),
+        _bad(sources, "G23", "prefix", "code is of another group", keys_of.code_prefix(code) != F.col("prefix")),
+        _bad(sources, "G23", "prefix", "resolved source is no shared file", (F.col("state") == "resolved") & (urls.destination(F.col("url")) != "drive")),
+        _bad(sources, "G23", "prefix", "invalid address", ~urls.valid_url(F.col("url"))),
+        _bad(again, "G23", F.coalesce("code", "prefix"), "repeated source"),
+        disjoint({s: groups_of.where(F.col("state") == s) for s in ("resolved", "unresolved", "child")}),
+    ])
+
+
 def paths(files: DataFrame) -> DataFrame:
     """Paths are relative and stay inside."""
     safe = F.col("path").rlike(r"^[^/\\]") & ~F.col("path").rlike(r"(^|/)\.\.?(/|$)") & ~F.contains("path", F.lit("\\"))
@@ -186,12 +293,15 @@ def deletions(changes: DataFrame, how: R.Refresh, previous: DataFrame | None = N
 
 
 def regression(previous: DataFrame, current: DataFrame, group: str = "prefix", share: float = LARGEST_SHARE, most: int = MOST_DELETED, most_in_group: int = MOST_DELETED_IN_GROUP) -> DataFrame:
-    """G21, in one pass: previous and deleted records per group and (group null) in all, and whether limits are broken."""
+    """G21, in one pass: previous and deleted records per group and (group null) in all, and whether limits are broken.
+
+    Both limits hold for every group alike: one record deleted of a group of six is more than 15 %.
+    """
     marked = previous.select("code", group).join(current.select("code", F.lit(1).alias("_here")), "code", "left")
     sums = marked.rollup(group).agg(F.count("*").alias("before"), F.count_if(F.col("_here").isNull()).alias("deleted"), F.grouping(group).alias("whole"))
     sums = sums.withColumn("share", F.col("deleted") / F.col("before"))
-    broken = F.when(F.col("whole") == 1, (F.col("share") > share) | (F.col("deleted") > most)).otherwise((F.col("share") > share) & (F.col("deleted") > 1) | (F.col("deleted") > most_in_group))
-    return sums.withColumn("broken", broken)
+    limit = F.when(F.col("whole") == 1, most).otherwise(most_in_group)
+    return sums.withColumn("broken", (F.col("share") > share) | (F.col("deleted") > limit))
 
 
 def header_errors(cells: list[str], first: str = "NEW CODE", divider: str = "UNCENSORED", providers: tuple[str, ...] = ()) -> list[str]:
@@ -205,6 +315,22 @@ def header_errors(cells: list[str], first: str = "NEW CODE", divider: str = "UNC
     return [f"{p}: {part.count(p)} columns {side} {divider}" for side, part in (("before", cells[a + 1 : b]), ("behind", cells[b + 1 :])) for p in providers if part.count(p) != 1]
 
 
+def sheet_headers(sheets: DataFrame, first: str = "NEW CODE", divider: str = "UNCENSORED", providers: tuple[str, ...] = ()) -> DataFrame:
+    """G27 over the header rows (sheet, cells) of many sheets: what :func:`header_errors` says of each."""
+    cells = F.col("cells")
+    count = lambda c, name: F.size(F.filter(c, lambda x: x == name))
+    whole = (count(cells, first) == 1) & (count(cells, divider) == 1)
+    at, middle = F.array_position(cells, first).cast("int"), F.array_position(cells, divider).cast("int")
+    ordered = whole & (at < middle)
+    before, behind = F.slice(cells, at + 1, F.greatest(middle - at - 1, F.lit(0))), F.slice(cells, middle + 1, F.size(cells))
+    many = lambda c, name, tail: F.concat(F.lit(f"{name}: "), count(c, name).cast("string"), F.lit(f" columns{tail}"))
+    parts = [_bad(sheets, "G27", "sheet", many(cells, n, ""), count(cells, n) != 1) for n in (first, divider)]
+    parts.append(_bad(sheets, "G27", "sheet", f"{first} must stand before {divider}", whole & (at >= middle)))
+    for name in providers:
+        parts += [_bad(sheets, "G27", "sheet", many(part, name, f" {side} {divider}"), ordered & (count(part, name) != 1)) for side, part in (("before", before), ("behind", behind))]
+    return union(parts)
+
+
 def disjoint(names: dict[str, DataFrame], key: str = "prefix") -> DataFrame:
     """No key stands in two of the sets."""
     tagged = union([df.select(key).distinct().withColumn("_set", F.lit(n)) for n, df in names.items()])
@@ -221,12 +347,15 @@ def membership(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return _bad(rows.join(known.select(key).distinct(), key, "left_anti"), "G23", key, "not in the catalogue")
 
 
-def sources(pages: DataFrame, host: str, document: str) -> DataFrame:
-    """Landed (source_url, body) come from the expected document, and are text, not markup."""
-    right = (urls.part(F.col("source_url"), "HOST") == host) & F.contains(F.coalesce(urls.part(F.col("source_url"), "PATH"), F.lit("")), F.lit(document))
+def sources(pages: DataFrame, host: str, path: str, tab: str | None = None) -> DataFrame:
+    """Landed (source_url, body) come from the very document (host, path, tab) that is expected, and are text, not markup."""
+    url = F.col("source_url")
+    right = (urls.part(url, "PROTOCOL") == "https") & (urls.part(url, "HOST") == host) & (urls.part(url, "PATH") == path)
+    if tab is not None:
+        right = right & (urls.query_values(url, "gid") == F.array(F.lit(tab)))
     return union([
         _bad(pages, "G28", "source_url", "unexpected source", ~F.coalesce(right, F.lit(False))),
-        _bad(pages, "G28", "source_url", "is markup", F.col("body").rlike(r"(?i)^\s*<(!doctype|html)")),
+        _bad(pages, "G28", "source_url", "is markup", F.col("body").rlike(r"(?i)^\s*<(!doctype html|html|head|body)")),
     ])
 
 
@@ -235,21 +364,91 @@ def listing(pages: DataFrame) -> DataFrame:
     return _bad(pages, "G25", "page", "cards and records differ", ~F.col("complete"))
 
 
-def scan(summary: DataFrame) -> DataFrame:
-    """parsed = new + known, and never more than cards."""
-    return _bad(summary, "G26", F.lit("scan"), "numbers do not add up", (F.col("parsed") != F.col("new") + F.col("known")) | (F.col("parsed") > F.col("cards")))
+def scan(summary: DataFrame, mode: str = "incremental") -> DataFrame:
+    """A summary (see ``scans.scan_summary``) that contradicts itself.
 
+    Errors and the reason ``error`` go together; without errors parsed = new + known, never more than the cards, an
+    empty page is the last one, and only an incremental scan may end on known pages, of which there are two.
+    """
+    reason, errors = F.col("stop_reason"), F.col("errors")
+    known = ["empty", "all_known", "page_limit", "error"] if mode == "incremental" else ["empty", "page_limit", "error"]
+    clean = errors == 0
+    return union([
+        _bad(summary, "G26", F.lit("scan"), "unknown reason to stop", ~F.coalesce(reason.isin(known), F.lit(False))),
+        _bad(summary, "G26", F.lit("scan"), "errors and reason to stop differ", (errors > 0) != (reason == "error")),
+        _bad(summary, "G26", F.lit("scan"), "numbers do not add up", clean & ((F.col("parsed") != F.col("new") + F.col("known")) | (F.col("parsed") > F.col("cards")))),
+        _bad(summary, "G26", F.lit("scan"), "did not end where it says", clean & (((reason == "empty") & (F.col("cursor") != F.col("pages"))) | ((reason == "all_known") & (F.col("pages") < 2)))),
+    ])
 
-def violations(records: DataFrame, stated_groups: DataFrame, links: DataFrame | None = None, previous: DataFrame | None = None, how: R.Refresh = R.Refresh(), earliest: str = EARLIEST) -> DataFrame:
-    """All gates that records and their predecessor can be held to, in one table; G22 is this without a predecessor."""
-    parts = [not_empty(records), codes(records), texts(records), dates_and_covers(records, earliest), groups(stated_groups, records)]
-    if links is not None:
-        parts.append(link_shape(links))
+
+@dataclass
+class Snapshot:
+    """What the gates can be held to; what is absent is not checked, but records and stated groups always are."""
+
+    records: DataFrame
+    groups: DataFrame
+    header: DataFrame | None = None
+    links: DataFrame | None = None
+    group_links: DataFrame | None = None
+    definitions: DataFrame | None = None
+    stated_tags: DataFrame | None = None
+    stated_totals: DataFrame | None = None
+    refresh: DataFrame | None = None
+    inputs: DataFrame | None = None
+    group_places: DataFrame | None = None
+    record_places: DataFrame | None = None
+    resources: DataFrame | None = None
+
+
+def all_violations(now: Snapshot, previous: DataFrame | None = None, how: R.Refresh = R.Refresh(), earliest: str = EARLIEST, host: str = "www.example.com", root: str = "db", strict: bool = False, require_tags: bool = False, conflicts: int = 0, label: str = "") -> DataFrame:
+    """All gates of a snapshot and of its predecessor in one table; G22 is this without a predecessor.
+
+    Deletion limits (G21) hold for complete audits, as no other refresh may delete at all.
+    """
+    records = now.records
+    parts = [not_empty(records), codes(records), texts(records), dates_and_covers(records, earliest), groups(now.groups, records)]
+    add = parts.append
+    if now.header is not None:
+        add(header(now.header))
+    if now.group_places is not None or now.record_places is not None:
+        add(order(now.group_places, now.record_places))
+    if now.links is not None:
+        add(link_shape(now.links))
+        if strict:
+            add(strict_links(records, now.links, conflicts))
+        if now.stated_totals is not None:
+            add(totals(C.totals(records, now.links), now.stated_totals))
+    if now.group_links is not None:
+        add(group_links(now.group_links))
+    if now.resources is not None:
+        add(resources(now.resources, label))
+    if {"preview_base", "preview_count"} <= set(records.columns):
+        add(previews(records, host, root))
+    if now.definitions is not None:
+        add(tag_gates(records, now.definitions, now.stated_tags, require_tags))
+    if now.refresh is not None:
+        add(refresh_block(now.refresh, how.mode, how.scan_complete))
+    if now.inputs is not None:
+        add(hashes(now.inputs))
     if previous is not None:
         changes = R.diff(previous, records)
-        limits = regression(previous, records).where("broken")
-        parts += [remapped(previous, records), deletions(changes, how, previous), _bad(limits, "G21", F.coalesce("prefix", F.lit("all")), F.concat(F.col("deleted").cast("string"), F.lit(" deleted")))]
+        parts += [remapped(previous, records), deletions(changes, how, previous)]
+        if how.mode == R.AUDIT and how.scan_complete:
+            add(_bad(regression(previous, records).where("broken"), "G21", F.coalesce("prefix", F.lit("all")), F.concat(F.col("deleted").cast("string"), F.lit(" deleted"))))
     return union(parts).distinct()
 
 
+def violations(records: DataFrame, stated_groups: DataFrame, links: DataFrame | None = None, previous: DataFrame | None = None, how: R.Refresh = R.Refresh(), earliest: str = EARLIEST) -> DataFrame:
+    """:func:`all_violations` of records, their groups and, if given, links and the previous records."""
+    return all_violations(Snapshot(records, stated_groups, links=links), previous, how, earliest)
+
+
+def accepted_baseline(records: DataFrame, stated_groups: DataFrame, earliest: str = EARLIEST) -> DataFrame:
+    """The previous records, if they pass the gates themselves; an invalid baseline is refused."""
+    found = violations(records, stated_groups, earliest=earliest).limit(5).collect()
+    if found:
+        raise ValueError("the baseline is invalid: " + "; ".join(f"{r.gate} {r.key}: {r.message}" for r in found))
+    return records
+
+
 LINK_LEAF = L.LEAF

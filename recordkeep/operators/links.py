@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordkeep.functions.keys import normalize_code
+from recordkeep.functions.keys import code_prefix, normalize_code
 from recordkeep.functions.urls import safe_url, valid_url
 
 LEAF = ["code", "scope", "provider"]
@@ -46,8 +46,22 @@ def smallest_wins(links: DataFrame) -> DataFrame:
 
     One row per leaf says what met, however many addresses those were.
     """
-    folded = links.withColumn("code", normalize_code(F.col("code"))).where("code is not null").transform(clean_links)
-    return folded.groupBy(*LEAF).agg(F.min("url").alias("url"), F.sort_array(F.collect_set("url")).alias("seen"))
+    return _smallest(links.withColumn("code", one_or_none(normalize_code(F.col("code")))), LEAF)
+
+
+def smallest_group_wins(links: DataFrame) -> DataFrame:
+    """The same for links of groups, (prefix, provider, url)."""
+    prefix = code_prefix(normalize_code(F.concat("prefix", F.lit("-1"))))
+    return _smallest(links.withColumn("prefix", one_or_none(prefix)), ["prefix", "provider"])
+
+
+def one_or_none(c: Column) -> Column:
+    """A generator of the value, or of no row for null. A filter would make Spark compute the value twice."""
+    return F.explode(F.array_compact(F.array(c)))
+
+
+def _smallest(links: DataFrame, key: list[str]) -> DataFrame:
+    return clean_links(links).groupBy(*key).agg(F.min("url").alias("url"), F.sort_array(F.collect_set("url")).alias("seen"))
 
 
 def last_valid(cells: DataFrame, order: str = "row_no") -> DataFrame:
@@ -68,6 +82,22 @@ def sheet_diagnostics(cells: DataFrame, order: str = "row_no") -> DataFrame:
     return bad.unionByName(changed).unionByName(again)
 
 
+def inline_links(document: Column) -> Column:
+    """A two-level JSON map of links as a sorted list of (scope, provider, url), blanks dropped; null if none is left."""
+    as_map = lambda c: F.map_entries(F.from_json(c, "map<string,string>"))
+    leaf = lambda scope, e: F.struct(scope.alias("scope"), e["key"].alias("provider"), F.trim(e["value"]).alias("url"))
+    nested = lambda e: F.startswith(F.trim(e["value"]), F.lit("{"))
+    rows = F.flatten(F.transform(as_map(document), lambda e: F.when(nested(e), F.transform(as_map(e["value"]), lambda x: leaf(e["key"], x))).otherwise(F.array(leaf(F.lit(""), e)))))
+    rows = F.array_sort(F.filter(rows, lambda x: x["url"] != ""))
+    return F.when(F.size(rows) > 0, rows)
+
+
+def attach_group_links(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` with the links of each, where it has any, as a map; ``links`` is (prefix, provider, url)."""
+    maps = links.groupBy("prefix").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("provider", "url")))).alias("links"))
+    return groups.join(maps, "prefix", "left")
+
+
 def attach_links(records: DataFrame, links: DataFrame) -> DataFrame:
     """``records`` with their links as a map per scope; links of unknown records are ignored, stale ones replaced."""
     maps = links.groupBy("code", "scope").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("provider", "url")))).alias("urls"))

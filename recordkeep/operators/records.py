@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordkeep.functions import keys, text, urls, values
+from recordkeep.operators.links import inline_links
 
 OPTIONAL = {
     "title": "string", "actors": "array<string>", "releaseDate": "string", "date": "string", "cover": "string", "series": "string", "number": "string", "productId": "string",
-    "previewBase": "string", "previewCount": "string", "tagIds": "array<bigint>", "tagsStatus": "string", "tagsUpdatedAt": "string", "tagsSource": "string",
+    "previewBase": "string", "previewCount": "string", "tagIds": "array<bigint>", "tagsStatus": "string", "tagsUpdatedAt": "string", "tagsSource": "string", "links": "string",
 }
 TAG_SOURCES = ("official", "official-unavailable")
 
@@ -41,6 +42,7 @@ def canonical_records(raw: DataFrame) -> DataFrame:
         filled(have["tagsStatus"]).alias("tags_status"),
         filled(have["tagsUpdatedAt"]).alias("tags_updated_at"),
         F.when(have["tagsSource"].isin(*TAG_SOURCES), have["tagsSource"]).alias("tags_source"),
+        inline_links(have["links"]).alias("links"),
         reason.alias("reject_reason"),
     )
 
@@ -112,12 +114,20 @@ def unsorted(records: DataFrame, partition: list[str], place: str, order: list[s
     return records.withColumn("_before", F.lag(now).over(w)).where(F.col("_before") > now).drop("_before")
 
 
-def page(rows: DataFrame, order: list, start: int = 0, size: int = 100, whole: int = 250, total: int | None = None) -> tuple[DataFrame, dict]:
-    """One window of ordered rows, and where it lies; few rows make a single page, starts are held in range."""
+def page(rows: DataFrame, order: list, start: int = 0, limit: int | None = None, total: int | None = None, window: int = 100, whole: int = 250) -> tuple[DataFrame, dict]:
+    """One window of ordered rows, and where it lies.
+
+    Up to ``whole`` rows make a single page unless a limit is given; of more, a page is never larger than ``window``.
+    A start past the end gives no rows. ``total`` saves a count where the snapshot's log already has it.
+    """
     total = rows.count() if total is None else total
-    size = total if total <= whole else min(size, 100)
-    start = max(0, min(start, max(0, total - 1))) if total > whole else 0
-    place = {"start": start, "size": size, "total": total, "previous": max(0, start - size) if start else None, "next": start + size if start + size < total else None}
+    start = min(max(0, start), total)
+    if total > whole:
+        size = min(limit if limit is not None and limit > 0 else window, window)
+    else:
+        size = total if limit is None or limit < 0 else limit
+    end = min(start + size, total)
+    place = {"start": start, "end": end, "size": size, "total": total, "previous": max(0, start - size) if start else None, "next": end if end < total else None}
     return rows.orderBy(*order).offset(start).limit(size), place
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordkeep.functions.keys import normalize_code
 from recordkeep.functions.text import fingerprint
 from recordkeep.functions.urls import PREVIEWS
 from recordkeep.functions.values import in_scope
@@ -102,6 +103,15 @@ def diff_counts(changes: DataFrame) -> DataFrame:
     return changes.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "deleted", "updated", "retained")])
 
 
+def refresh_counts(changes: DataFrame, links: DataFrame, conflicts: DataFrame, supplied: int = 0) -> DataFrame:
+    """One row of the nine counters: changes of records and of links, linked records, conflicts met and ``supplied``."""
+    of = lambda column, value, name: F.count_if(F.col(column) == value).alias(name)
+    own = changes.agg(*[of("change", c, c) for c in ("added", "updated", "retained", "deleted")], *[of("link_change", c, c) for c in ("link_added", "link_updated", "link_removed")])
+    linked = links.agg(F.count_distinct("code").alias("linked"))
+    met = conflicts.agg((F.count("*") + F.lit(supplied)).alias("link_conflicts"))
+    return own.crossJoin(linked).crossJoin(met)  # one row each
+
+
 def known_split(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """``found`` with ``is_known``."""
     marked = known.select(key).distinct().withColumn("_known", F.lit(True))
@@ -134,5 +144,46 @@ def unequal_sets(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def filter_incoming(rows: DataFrame, number_from: int | None = None, number_to: int | None = None, date_from: str | None = None) -> DataFrame:
-    """Rows in the id range and not before the date floor."""
-    return rows.where(in_scope(F.col("product_id"), F.col("release_date"), number_from, number_to, date_from))
+    """Rows in the id range and not before the date floor. One of them with a code that is none ends the run."""
+    kept = rows.where(in_scope(F.col("product_id"), F.col("release_date"), number_from, number_to, date_from))
+    good = F.when(normalize_code(F.col("code")).isNotNull(), F.col("code"))
+    return kept.withColumn("code", F.coalesce(good, F.raise_error(F.concat(F.lit("not a code: "), F.coalesce("code", F.lit("null")))).cast("string")))
+
+
+def unpublishable(rows: DataFrame, number_from: int | None = None, number_to: int | None = None, date_from: str | None = None) -> DataFrame:
+    """The rows for which :func:`filter_incoming` would end the run."""
+    return rows.where(in_scope(F.col("product_id"), F.col("release_date"), number_from, number_to, date_from)).where(normalize_code(F.col("code")).isNull())
+
+
+def candidates(seed: DataFrame, discovered: DataFrame, how: Refresh, has_previous: bool) -> DataFrame:
+    """Records that a refresh starts from: the seed alone for links only, with what was found on a first incremental run."""
+    if how.mode == LINKS_ONLY:
+        return seed
+    if how.mode == INCREMENTAL and not has_previous:
+        return seed.unionByName(discovered, allowMissingColumns=True)
+    return discovered
+
+
+def canonical_order(rows: DataFrame) -> DataFrame:
+    """``rows`` in the order of their fingerprints, for exports."""
+    return rows.orderBy(fingerprint(rows))
+
+
+def directory_and_tail(directory: DataFrame, tail: DataFrame) -> DataFrame:
+    """Rows of a listing and of the probes behind it, in canonical order."""
+    return canonical_order(directory.unionByName(tail, allowMissingColumns=True))
+
+
+def known_keys(existing: DataFrame, found: DataFrame) -> DataFrame:
+    """(code, prefix) of all records that exist or were found."""
+    code = normalize_code(F.col("code"))
+    every = existing.select(code.alias("code")).union(found.select(code.alias("code"))).where("code is not null").distinct()
+    return every.withColumn("prefix", F.regexp_extract("code", "^(.*)-[^-]*$", 1))
+
+
+def key_errors(rows: DataFrame, column: str, expected: tuple[str, ...], optional: tuple[str, ...] = ()) -> DataFrame:
+    """(missing, extra): keys that a map column lacks of ``expected`` or has besides; rows with exactly these drop out."""
+    own = F.map_keys(column)
+    names = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    found = rows.withColumns({"missing": F.array_sort(F.array_except(names(expected), own)), "extra": F.array_sort(F.array_except(own, names((*expected, *optional))))})
+    return found.where((F.size("missing") > 0) | (F.size("extra") > 0) | F.col(column).isNull())

@@ -13,11 +13,29 @@ def first_seen_page(cards: DataFrame, page: str = "page", key: str = "product_id
     return cards.groupBy(key).agg(F.min(page).alias("first_page"))
 
 
-def page_novelty(cards: DataFrame, known: DataFrame, page: str = "page", key: str = "product_id") -> DataFrame:
-    """Per page the number of ids that no earlier page and no known record has."""
+def page_novelty(cards: DataFrame, known: DataFrame, page: str = "page", key: str = "product_id", fetched: DataFrame | None = None) -> DataFrame:
+    """Per page the number of ids that no earlier page and no known record has.
+
+    ``fetched`` lists the pages that were landed; those without a card are in the result as well.
+    """
     fresh = first_seen_page(cards.where(F.col(key).isNotNull()), page, key).join(known.select(key).distinct(), key, "left_anti")
     n = fresh.groupBy(F.col("first_page").alias(page)).agg(F.count("*").alias("new"))
-    return cards.select(page).distinct().join(n, page, "left").select(page, F.coalesce("new", F.lit(0)).alias("new"))
+    pages = (cards if fetched is None else fetched).select(page).distinct()
+    return pages.join(n, page, "left").select(page, F.coalesce("new", F.lit(0)).alias("new"))
+
+
+def scan_stop(pages: DataFrame, mode: str = "incremental", page: str = "page") -> DataFrame:
+    """One row (cutoff, stop_reason) over page facts (page, cards, new, complete).
+
+    A scan ends at the first page that does not add up (error), has no cards (empty) or, in incremental mode only, is
+    the second in a row without anything new (all_known); a scan that meets none of these ran into its page limit.
+    """
+    known = pages.where((F.col("new") == 0) & (F.col("cards") > 0) & F.col("complete"))
+    again = known.join(known.select((F.col(page) + 1).alias(page)), page, "left_semi").select(page, F.lit("all_known").alias("why"))
+    ends = pages.select(page, F.when(~F.col("complete"), "error").when(F.col("cards") == 0, "empty").alias("why")).where("why is not null")
+    ends = ends.unionByName(again) if mode == "incremental" else ends
+    found = ends.agg(F.min(page).alias("cutoff"), F.min_by("why", page).alias("why"))
+    return found.select("cutoff", F.coalesce("why", F.lit("page_limit")).alias("stop_reason"))
 
 
 def incremental_cutoff(novelty: DataFrame, page: str = "page") -> DataFrame:
@@ -66,9 +84,20 @@ def duplicate_cards(cards: DataFrame, page: str = "page", key: str = "product_id
     return per_page.withColumn("_first", first).where((F.col("n") > 1) | (F.col(page) > F.col("_first"))).select(page, key)
 
 
-def scan_summary(pages: DataFrame) -> DataFrame:
-    """One row over page facts (page, cards, resolved, complete, new)."""
-    return pages.agg(F.count("*").alias("pages"), F.sum("cards").alias("cards"), F.sum("resolved").alias("parsed"), F.sum("new").alias("new"), (F.sum("resolved") - F.sum("new")).alias("known"), F.count_if(~F.col("complete")).alias("incomplete"))
+def scan_summary(pages: DataFrame, mode: str = "incremental", page: str = "page") -> DataFrame:
+    """One row over page facts (page, cards, resolved, complete, new): what a scan saw up to where it stopped."""
+    seen = pages.crossJoin(scan_stop(pages, mode, page)).where(F.col("cutoff").isNull() | (F.col(page) <= F.col("cutoff")))  # one row beside the pages
+    counted = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return seen.agg(
+        F.count("*").alias("pages"),
+        counted("cards").alias("cards"),
+        counted("resolved").alias("parsed"),
+        counted("new").alias("new"),
+        (counted("resolved") - counted("new")).alias("known"),
+        F.count_if(~F.col("complete")).alias("errors"),
+        F.coalesce(F.max("cutoff"), F.max(page)).alias("cursor"),
+        F.max("stop_reason").alias("stop_reason"),
+    )
 
 
 def scan_authoritative(pages: DataFrame, audit: bool, ended_empty: bool) -> DataFrame:

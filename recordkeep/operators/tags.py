@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordkeep.functions.text import collapse
-from recordkeep.functions.values import positive_int
+from recordkeep.functions.values import clean_ids, positive_int, valid_instant
 
 TAG_FIELDS = ["tag_ids", "tags_status", "tags_updated_at", "tags_source"]
+TAG_GROUPS = ("genre", "character")
+
+
+def filled(c: Column) -> Column:
+    """The trimmed text, null for a blank one."""
+    return F.when(F.trim(c) != "", F.trim(c))
 
 
 def tag_counts(assignments: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -27,10 +35,27 @@ def conflicting_definitions(definitions: DataFrame) -> DataFrame:
     return definitions.groupBy("id").agg(F.count_distinct(F.struct("group", "name")).alias("n")).where("n > 1").select("id")
 
 
-def normalize_definitions(definitions: DataFrame, order: str = "seq") -> DataFrame:
-    """One row per positive id with a name; the last definition's translation wins, names are collapsed."""
-    good = definitions.withColumns({"id": positive_int(F.col("id")), "name": collapse(F.col("name"))}).where("id is not null and name <> ''")
-    return good.groupBy("id").agg(F.max_by("group", order).alias("group"), F.max_by("name", order).alias("name"), F.max_by("translation", order).alias("translation"))
+def normalize_definitions(definitions: DataFrame, order: str = "seq", reviewed: DataFrame | None = None, groups: tuple[str, ...] = TAG_GROUPS) -> DataFrame:
+    """One row per positive id with a known group and a name: id, group, name, translation, source; names are collapsed.
+
+    A reviewed translation (name, translation) wins, else the last definition's, else the name itself. ``source`` says
+    which: reviewed, what the definition says, official for the name itself, else machine. An id that is defined with
+    two groups or names ends the run; :func:`conflicting_definitions` lists such ids.
+    """
+    good = definitions.withColumns({"id": positive_int(F.col("id")), "name": collapse(F.col("name"))}).where(F.col("group").isin(*groups) & (F.col("name") != "") & F.col("id").isNotNull())
+    own = filled(collapse(F.col("translation")))
+    said = filled(collapse(F.col("source"))) if "source" in definitions.columns else F.lit(None).cast("string")
+    last = good.groupBy("id").agg(
+        F.count_distinct("group", "name").alias("_n"), F.min("group").alias("group"), F.min("name").alias("name"), F.max_by(own, order).alias("_own"), F.max_by(said, order).alias("_said")
+    )
+    other = F.lit(None).cast("string")
+    if reviewed is not None:
+        last = last.join(reviewed.select(collapse(F.col("name")).alias("name"), filled(collapse(F.col("translation"))).alias("_reviewed")), "name", "left")
+        other = F.col("_reviewed")
+    translation = F.coalesce(other, "_own", "name")
+    source = F.when(other.isNotNull(), "reviewed").otherwise(F.coalesce("_said", F.when(translation == F.col("name"), "official").otherwise("machine")))
+    checked = F.when(F.col("_n") == 1, F.col("name")).otherwise(F.raise_error(F.concat(F.lit("conflicting tag definition: "), F.col("id").cast("string"))).cast("string"))
+    return last.select("id", "group", checked.alias("name"), translation.alias("translation"), source.alias("source"))
 
 
 def first_definitions(definitions: DataFrame, order: str = "seq") -> DataFrame:
@@ -44,55 +69,72 @@ def merge_definitions(directory: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def resolve_names(definitions: DataFrame, reviewed: DataFrame, stored: DataFrame, cached: DataFrame) -> DataFrame:
-    """``definitions`` (id, name) with translation and its source: reviewed by name, stored if the name is unchanged, cached by id, else ``needed``."""
+    """``definitions`` (id, name) with translation and its source: reviewed by name, stored if the name is unchanged, cached by id, else ``needed``.
+
+    Blank reviewed and stored translations count as none.
+    """
     found = (
-        definitions.join(reviewed.select("name", F.col("translation").alias("_r")), "name", "left")
-        .join(stored.select("id", F.col("name").alias("_sname"), F.col("translation").alias("_s")), "id", "left")
-        .join(cached.select("id", F.col("translation").alias("_c")), "id", "left")
+        definitions.withColumn("name", F.trim("name"))
+        .join(reviewed.select("name", filled(F.col("translation")).alias("_r")), "name", "left")
+        .join(stored.select("id", F.col("name").alias("_sname"), filled(F.col("translation")).alias("_s")), "id", "left")
+        .join(cached.select("id", F.trim("translation").alias("_c")), "id", "left")
     )
     kept = F.when(F.col("_sname") == F.col("name"), F.col("_s"))
     source = F.when(F.col("_r").isNotNull(), "reviewed").when(kept.isNotNull(), "stored").when(F.col("_c").isNotNull(), "cached").otherwise("needed")
     return found.select("id", "name", F.coalesce("_r", kept, "_c").alias("translation"), source.alias("source"))
 
 
+def detail_mismatches(records: DataFrame, details: DataFrame, record_id: str = "product_id") -> DataFrame:
+    """(code, found): details that were fetched by a record's id and name another code."""
+    own = records.where(F.col(record_id).isNotNull()).select(record_id, "code")
+    return own.join(details.select(record_id, F.col("code").alias("found")), record_id).where(~F.col("code").eqNullSafe(F.col("found"))).select("code", "found")
+
+
 def apply_details(records: DataFrame, details: DataFrame, now: str) -> DataFrame:
-    """Fields that a detail row has replace the record's; tags are replaced, with status, time and provenance."""
+    """Fields that a detail row has replace the record's; tags are replaced, with status, time and provenance.
+
+    Only details of the record's own code apply; others are an error, see :func:`detail_mismatches`.
+    """
     cells = [c for c in records.columns if c != "code" and c not in TAG_FIELDS]
     other = details.select("code", *[(F.col(c) if c in details.columns else F.lit(None)).alias(f"_{c}") for c in [*cells, "tag_ids"]], F.lit(True).alias("_hit"))
     hit = F.col("_hit").isNotNull()
     out = [F.coalesce(f"_{c}", c).alias(c) for c in cells]
-    tags = {"tag_ids": F.col("_tag_ids"), "tags_status": F.lit("complete"), "tags_updated_at": F.lit(now), "tags_source": F.lit("official")}
+    tags = {"tag_ids": F.coalesce(clean_ids(F.col("_tag_ids")), F.array().cast("array<bigint>")), "tags_status": F.lit("complete"), "tags_updated_at": F.lit(now), "tags_source": F.lit("official")}
     return records.join(other, "code", "left").select("code", *out, *[F.when(hit, v).otherwise(F.col(c)).alias(c) for c, v in tags.items()])
 
 
 def apply_id_overrides(records: DataFrame, overrides: DataFrame, record_id: str = "product_id") -> DataFrame:
-    """Missing ids filled from reviewed ones (code, id)."""
-    return records.join(overrides.select("code", positive_int(F.col("id")).alias("_id")), "code", "left").withColumn(record_id, F.coalesce(record_id, "_id")).drop("_id")
+    """Ids that are missing or not positive filled from reviewed ones (code, id)."""
+    return records.join(overrides.select("code", positive_int(F.col("id")).alias("_id")), "code", "left").withColumn(record_id, F.coalesce(positive_int(F.col(record_id)), "_id", record_id)).drop("_id")
 
 
 def override_errors(records: DataFrame, overrides: DataFrame, record_id: str = "product_id") -> DataFrame:
     """(kind, code): overrides that are no positive id, contradict the record, or name no record."""
     joined = overrides.join(records.select("code", F.col(record_id).alias("_own"), F.lit(True).alias("_hit")), "code", "left")
-    kind = F.when(positive_int(F.col("id")).isNull(), "invalid_id").when(F.col("_hit").isNull(), "unknown_code").when(F.col("_own") != positive_int(F.col("id")), "conflict")
+    kind = F.when(positive_int(F.col("id")).isNull(), "invalid_id").when(F.col("_hit").isNull(), "unknown_code").when(positive_int(F.col("_own")) != positive_int(F.col("id")), "conflict")
     return joined.select(kind.alias("kind"), "code").where("kind is not null")
 
 
 def mark_unavailable(records: DataFrame, now: str, record_id: str = "product_id") -> DataFrame:
-    """Records without an id cannot be looked up: no tags, complete, and an older time stays."""
+    """Records without an id cannot be looked up: no tags, complete, and an older readable time stays."""
     lost = F.col(record_id).isNull()
-    new = {"tag_ids": F.array().cast("array<bigint>"), "tags_status": F.lit("complete"), "tags_updated_at": F.coalesce("tags_updated_at", F.lit(now)), "tags_source": F.lit("official-unavailable")}
+    new = {"tag_ids": F.array().cast("array<bigint>"), "tags_status": F.lit("complete"), "tags_updated_at": F.when(valid_instant(F.col("tags_updated_at")), F.col("tags_updated_at")).otherwise(F.lit(now)), "tags_source": F.lit("official-unavailable")}
     return records.withColumns({c: F.when(lost, v).otherwise(F.col(c)) for c, v in new.items()})
 
 
 def sync_targets(records: DataFrame, now: str, stale_days: int = 90, full: bool = False, k: int | None = None) -> DataFrame:
-    """Records to look up: incomplete ones by id, then stale ones by time; ``urgency`` 0 and 1 (2: fresh, only if full)."""
-    cutoff = F.date_format(F.to_timestamp(F.lit(now)) - F.expr(f"interval {stale_days} days"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    stale = F.col("tags_updated_at").isNull() | (F.col("tags_updated_at") < cutoff)
-    urgency = F.when(~F.col("tags_status").eqNullSafe(F.lit("complete")), 0).when(stale, 1).otherwise(2)
-    found = records.where(F.col("product_id").isNotNull()).withColumn("urgency", urgency).where(F.lit(full) | (urgency < 2))
+    """Records to look up: incomplete ones (``urgency`` 0) by id and code, then stale ones (1) by time and id; ``full`` makes all urgent.
+
+    A time that is missing or cannot be read is stale.
+    """
+    cutoff = F.to_timestamp(F.lit(now)) - F.expr(f"interval {max(stale_days, 0)} days")
+    updated = F.try_to_timestamp(F.when(valid_instant(F.col("tags_updated_at")), F.col("tags_updated_at")))
+    urgent = F.lit(full) | ~F.col("tags_status").eqNullSafe(F.lit("complete"))
+    urgency = F.when(urgent, 0).when(updated.isNull() | (updated < cutoff), 1)
+    found = records.where(F.col("product_id") > 0).withColumn("urgency", urgency).where("urgency is not null")
     time = F.when(F.col("urgency") == 0, "").otherwise(F.coalesce("tags_updated_at", F.lit("")))
     ordered = found.orderBy("urgency", time, "product_id", "code")
-    return ordered if k is None else ordered.limit(k)
+    return ordered if k is None else ordered.limit(max(k, 0))
 
 
 def split_runtime(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,14 +147,36 @@ def hydrate(core: DataFrame, assignments: DataFrame) -> DataFrame:
     return core.join(assignments, "code", "left").withColumn("tag_ids", F.coalesce("tag_ids", F.array().cast("array<bigint>")))
 
 
+def generation_errors(core: DataFrame, payload: DataFrame) -> DataFrame:
+    """(kind, key) if two one-row headers (schema_version, generated_at) are not of one generation."""
+    both = core.select(F.col("generated_at").alias("_g")).crossJoin(payload.select("schema_version", "generated_at"))  # one row each
+    wrong = F.when(~F.col("schema_version").eqNullSafe(F.lit(1)), "schema_version").when(~F.col("generated_at").eqNullSafe(F.col("_g")), "generation")
+    return both.select(wrong.alias("kind"), F.col("generated_at").alias("key")).where("kind is not null")
+
+
 def hydrate_errors(core: DataFrame, assignments: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(kind, key): assignments that repeat or name unknown codes, and tags that repeat in a record or are unknown."""
-    again = assignments.groupBy("code").count().where("count > 1").select(F.lit("duplicate_code").alias("kind"), F.col("code").alias("key"))
-    lost = assignments.join(core.select("code"), "code", "left_anti").select(F.lit("unknown_code").alias("kind"), F.col("code").alias("key"))
-    twice = assignments.where(F.size("tag_ids") != F.size(F.array_distinct("tag_ids"))).select(F.lit("repeated_tag").alias("kind"), F.col("code").alias("key"))
-    ids = assignments.select(F.explode("tag_ids").alias("tag_id")).distinct()
-    odd = unknown_tags(ids, definitions).select(F.lit("unknown_tag").alias("kind"), F.col("tag_id").cast("string").alias("key"))
-    return again.unionByName(lost).unionByName(twice).unionByName(odd)
+    """(kind, key) of all that forbids to hydrate.
+
+    Codes that repeat in the core; assignments that repeat, name unknown codes, are empty, repeat a tag or name an
+    unknown one; definitions that repeat or have no positive id; and, where they state ``n``, counts that differ.
+    """
+    found = lambda df, kind, key="code": df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"))
+    repeated = lambda df, key: df.groupBy(key).count().where("count > 1")
+    pairs = assignments.select("code", F.explode("tag_ids").alias("tag_id"))
+    parts = [
+        found(repeated(core, "code"), "repeated_code"),
+        found(repeated(assignments, "code"), "duplicate_code"),
+        found(assignments.join(core.select("code").distinct(), "code", "left_anti"), "unknown_code"),
+        found(assignments.where(F.coalesce(F.size("tag_ids"), F.lit(0)) <= 0), "empty_list"),
+        found(assignments.where(F.size("tag_ids") != F.size(F.array_distinct("tag_ids"))), "repeated_tag"),
+        found(unknown_tags(pairs.select("tag_id").distinct(), definitions), "unknown_tag", "tag_id"),
+        found(repeated(definitions, "id"), "repeated_definition", "id"),
+        found(definitions.where(~F.coalesce(F.col("id") > 0, F.lit(False))), "invalid_definition", "id"),
+    ]
+    if "n" in definitions.columns:
+        seen = pairs.groupBy(F.col("tag_id").alias("id")).agg(F.count("*").alias("_n"))
+        parts.append(found(definitions.join(seen, "id", "left").where(~F.col("n").eqNullSafe(F.coalesce("_n", F.lit(0)))), "count", "id"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def tag_lookup(records: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -123,6 +187,13 @@ def tag_lookup(records: DataFrame, definitions: DataFrame) -> DataFrame:
     return found
 
 
+def tags_by_group(records: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(code, group, tags): the tags of each record by group, in the record's order."""
+    ids = records.select("code", F.posexplode("tag_ids").alias("_at", "id"))
+    rows = ids.join(definitions.select("id", "group", "name"), "id")
+    return rows.groupBy("code", "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "id", "name"))), lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"))).alias("tags"))
+
+
 def tag_order(name: Column, collation: str | None = None) -> list[Column]:
     """Count first, then name (binary order, or a collation such as ``zh``), then id."""
     return [F.desc("n"), F.collate(name, collation) if collation else name, F.col("id")]

@@ -2,7 +2,7 @@
 
 A cut writes a table as Parquet under ``spark.checkpoint.dir`` and reads it back. What follows then starts from
 files that survive the loss of any executor, carries exact sizes for the optimizer's choice of join, and can be
-pruned by column. Only where that setting is absent (tests, a laptop) is a temporary folder used.
+pruned by column. Only where that setting is absent and the master is local (tests, a laptop) is a temporary folder used.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="recordkeep-"))
     return _own[0]
@@ -43,11 +47,25 @@ def cut(df: DataFrame, name: str = "cut", free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete every table that :func:`cut` wrote in this session; DataFrames that read them end with this."""
-    paths = _written.pop(id(spark), [])
-    jvm = spark.sparkContext._jvm
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that :func:`cut` wrote in this session, all or those after the first ``since``; what reads them ends with this."""
+    paths = _written.get(id(spark), [])[since:]
     for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        delete(spark, path)
+    del _written.get(id(spark), [])[since:]
     return len(paths)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is cut inside is deleted behind it, so results have to be written before."""
+    since = len(_written.get(id(spark), []))
+    try:
+        yield
+    finally:
+        release(spark, since)

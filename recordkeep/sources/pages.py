@@ -13,19 +13,20 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordkeep.functions import keys, text, values
 from recordkeep.functions.urls import pick_cover, query_id
 
+# The markup language's elements without an end, and how a page declares its charset.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHARSET = re.compile(rb"<meta\b[^>]*?charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 
 
 @dataclass(frozen=True)
 class Layout:
-    """How a site marks up its pages."""
+    """How a site marks up its pages. The defaults are fixed values: the containers and labels of the site served today."""
 
     base: str = "https://www.example.com"
     record_path: str = "/product/index.php"
@@ -103,12 +104,15 @@ def _tree(html: str) -> _Element:
 
 
 def decode(body: bytes | None, header: str | None = None) -> str | None:
-    """Text of a landed page: the charset of the header, then of the markup, then strict UTF-8, then strict CP932."""
+    """Text of a landed page, decoded strictly: by the charset that the header declares, else the markup's, else UTF-8 or CP932.
+
+    A declared charset is the only one that is tried: where it fails, or is unknown, the text is null.
+    """
     if body is None:
         return None
-    named = [m for m in (re.search(r"charset\s*=\s*[\"']?([^\s;\"']+)", header or "", re.I),) if m]
-    names = [m[1] for m in named] + [m.decode("ascii") for m in CHARSET.findall(body[:4096])[:1]] + ["utf-8", "cp932"]
-    for name in names:
+    named = re.search(r"charset\s*=\s*[\"']?([^\s;\"']+)", header or "", re.I)
+    declared = named[1] if named else next((m.decode("ascii") for m in CHARSET.findall(body[:4096])), None)
+    for name in [declared] if declared else ["utf-8", "cp932"]:
         try:
             return body.decode(name)
         except (LookupError, UnicodeDecodeError):
@@ -260,6 +264,12 @@ def listing_cards(pages: DataFrame, layout: Layout = Layout()) -> DataFrame:
     )
 
 
+def listing_records(cards: DataFrame) -> DataFrame:
+    """The parsed cards of :func:`listing_cards`, of several with one id on a page the first."""
+    first = Window.partitionBy("page_id", "product_id").orderBy("at")
+    return cards.where("parsed").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
 def link_texts(pages: DataFrame) -> DataFrame:
     """(page_id, links, title): simple facts of regular markup, without Python."""
     return pages.select("page_id", F.regexp_count("html", F.lit("<a href=")).alias("links"), text.collapse(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)).alias("title"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +24,18 @@ class SheetError(ValueError):
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(row_no, cells): the rows of one sheet file in order. A sheet is one file of bounded size, so one task numbers it."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("row_no", "line")).where("line <> ''")
-    width = 64
-    cells = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(width))))
-    return lines.select("row_no", F.array(*[cells[f"c{i}"] for i in range(width)]).alias("cells"))
+    """(row_no, cells): the rows of one sheet file in order, with all their cells; quoted cells may hold line breaks.
+
+    A sheet is one file of bounded size, so one task reads it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for value in frame["value"]:
+                rows = [(n, row) for n, row in enumerate(csv.reader(io.StringIO(value, newline=""))) if row]
+                yield pd.DataFrame(rows, columns=["row_no", "cells"])
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "row_no int, cells array<string>")
 
 
 def link_cells(rows: DataFrame) -> DataFrame:
@@ -55,7 +67,7 @@ def child_links(rows: DataFrame, prefix: str, records: DataFrame) -> tuple[DataF
         raise SheetError("the header must be CODE, URL")
     body = rows.where(F.col("row_no") > first.row_no)
     code = normalize_code(F.get("cells", F.lit(0)))
-    out = body.select("row_no", code.alias("code"), F.trim(F.get("cells", F.lit(1))).alias("url"), F.exists(F.slice("cells", 3, 62), lambda c: c.isNotNull() & (c != "")).alias("wide"))
+    out = body.select("row_no", code.alias("code"), F.trim(F.get("cells", F.lit(1))).alias("url"), F.exists(F.slice("cells", 3, F.greatest(F.size("cells"), F.lit(1))), lambda c: c.isNotNull() & (c != "")).alias("wide"))
     target = unwrap_redirect(F.col("url"))
     kind = (
         F.when(F.col("wide"), "width")

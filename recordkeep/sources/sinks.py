@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordkeep.functions.text import fingerprint
 
 
-def content_hash(df: DataFrame) -> DataFrame:
-    """One row: a hash of the rows that does not depend on their order; equal rows count.
+def row_words(text: Column) -> list[Column]:
+    """The eight 32-bit words of a text's SHA-256. Their sums over rows combine before any shuffle."""
+    digest = F.sha2(text, 256)
+    return [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
 
-    The eight 32-bit words of each row's hash are summed, which combines before the shuffle, and the sums are hashed.
-    """
-    rows = df.select(F.sha2(fingerprint(df), 256).alias("h"))
-    words = [F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)").alias(f"w{i}") for i in range(8)]
-    sums = rows.select(*words).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0)).cast("string").alias(f"w{i}") for i in range(8)])
-    return sums.select(F.sha2(F.concat_ws(":", F.col("n").cast("string"), *[f"w{i}" for i in range(8)]), 256).alias("hash"))
 
+def summed_hash(text: Column) -> Column:
+    """An aggregate: a hash of the texts that does not depend on their order; equal texts count."""
+    sums = [F.coalesce(F.sum(w), F.lit(0)).cast("string") for w in row_words(text)]
+    return F.sha2(F.concat_ws(":", F.count(text).cast("string"), *sums), 256)
 
-def ordered_hash(df: DataFrame, row: Column) -> DataFrame:
-    """One row: the hash of all row texts, in order, one a line. For small tables."""
-    return df.select(row.alias("r")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("r")), "\n"), 256).alias("hash"))
+
+def content_hash(df: DataFrame) -> DataFrame:
+    """One row: a hash of the rows that does not depend on their order."""
+    return df.agg(summed_hash(fingerprint(df)).alias("hash"))
 
 
 def document_lines(records: DataFrame, groups: DataFrame, header: dict) -> DataFrame:
@@ -91,16 +94,20 @@ def human_summary(log: DataFrame) -> DataFrame:
     return latest.select(F.format_string("%s: %d added, %d updated, %d retained, %d deleted", "mode", "added", "updated", "retained", "deleted").alias("summary"))
 
 
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"  # and host of a path; both are written in several ways
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, hash) of every file under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = path.rstrip("/")
-    return files.select(F.regexp_replace(F.substring_index("path", root + "/", -1), "^/+", "").alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"))
+    root = re.sub(SCHEME, "", path).rstrip("/")
+    own = F.substring_index(F.regexp_replace("path", SCHEME, ""), root + "/", -1)
+    return files.select(F.regexp_replace(own, "^/+", "").alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"))
 
 
 def manifest_hash(manifest: DataFrame) -> DataFrame:
     """One row: a hash over paths and file hashes, framed so that no two manifests share a text."""
-    return ordered_hash(manifest, F.concat(F.length("path").cast("string"), F.lit(":"), F.col("path"), F.lit(":"), F.col("hash")))
+    return manifest.agg(summed_hash(F.concat(F.length("path").cast("string"), F.lit(":"), F.col("path"), F.lit(":"), F.col("hash"))).alias("hash"))
 
 
 def compare_manifests(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -111,10 +118,16 @@ def compare_manifests(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def source_summary(sources: DataFrame) -> DataFrame:
-    """Per source kind: rows, resolved, unresolved groups, and a hash of its addresses."""
-    return sources.groupBy("scope").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("state") == "resolved").alias("resolved"),
-        F.array_sort(F.collect_set(F.when(F.col("state") == "unresolved", F.col("prefix")))).alias("unresolved"),
-        F.sha2(F.array_join(F.sort_array(F.collect_set("url")), "\n"), 256).alias("hash"),
-    )
+    """Per scope: sources, resolved and unresolved ones, and a hash of the addresses."""
+    state = lambda name: F.count_if(F.col("state") == name).alias(name)
+    return sources.groupBy("scope").agg(F.count("*").alias("n"), state("resolved"), state("unresolved"), summed_hash(F.col("url")).alias("hash"))
+
+
+def unresolved_sources(sources: DataFrame) -> DataFrame:
+    """(scope, prefix, url) of the sources that lead nowhere yet, a row each."""
+    return sources.where("state = 'unresolved'").select("scope", "prefix", "url")
+
+
+def log_codes(changes: DataFrame, snapshot_id: str) -> DataFrame:
+    """The code lists of a refresh-log row as rows (snapshot_id, code, change), without those that stay."""
+    return changes.where("change <> 'retained'").select(F.lit(snapshot_id).alias("snapshot_id"), "code", "change")

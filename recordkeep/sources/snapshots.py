@@ -56,30 +56,53 @@ def load_model(records: DataFrame) -> DataFrame:
 
 
 def stored_tags(from_file: DataFrame | None, snapshot: DataFrame) -> DataFrame:
-    """The tag file if there is a valid one, else the snapshot's tags."""
-    return snapshot if from_file is None else from_file
+    """The tag file if there is a valid one, else the snapshot's tags.
 
+    A file is valid if every row has a positive id of its own, a group and a name.
+    """
+    if from_file is None:
+        return snapshot
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    wrong = from_file.where(F.coalesce(F.col("id") <= 0, F.lit(True)) | blank("group") | blank("name")).select("id")
+    again = from_file.groupBy("id").count().where("count > 1").select("id")
+    return from_file if wrong.unionByName(again).isEmpty() else snapshot
 
-def read_legacy(spark: SparkSession, records_path: str, links_path: str) -> tuple[DataFrame, DataFrame]:
-    """Records from a list or groups of lists (gaps and bad codes dropped), and links with provider names renewed."""
-    raw = spark.read.text(records_path, wholetext=True)
+
+def legacy_records(documents: DataFrame) -> DataFrame:
+    """Records of JSON documents (value), each a list or groups of lists; gaps and bad codes drop out."""
     one = "array<map<string,string>>"
-    as_list = raw.where(F.startswith(F.trim("value"), F.lit("["))).select(F.explode(F.from_json("value", one)).alias("r"))
-    as_groups = raw.where(F.startswith(F.trim("value"), F.lit("{"))).select(F.explode(F.from_json("value", f"map<string,{one}>")).alias("k", "v")).select(F.explode("v").alias("r"))
+    as_list = documents.where(F.startswith(F.trim("value"), F.lit("["))).select(F.explode(F.from_json("value", one)).alias("r"))
+    as_groups = documents.where(F.startswith(F.trim("value"), F.lit("{"))).select(F.explode(F.from_json("value", f"map<string,{one}>")).alias("k", "v")).select(F.explode("v").alias("r"))
     rows = as_list.unionByName(as_groups).where("r is not null")
-    records = rows.select(normalize_code(F.col("r")["code"]).alias("code"), F.col("r")["title"].alias("title"), F.coalesce(F.col("r")["releaseDate"], F.col("r")["date"]).alias("release_date"), F.col("r")["cover"].alias("cover")).where("code is not null")
+    return rows.select(normalize_code(F.col("r")["code"]).alias("code"), F.col("r")["title"].alias("title"), F.coalesce(F.col("r")["releaseDate"], F.col("r")["date"]).alias("release_date"), F.col("r")["cover"].alias("cover")).where("code is not null")
+
+
+def legacy_links(documents: DataFrame) -> DataFrame:
+    """Links of JSON documents (value) by code and provider, provider names renewed, blanks dropped."""
     names = F.create_map(*[F.lit(x) for pair in LEGACY_PROVIDERS.items() for x in pair])
-    pairs = spark.read.text(links_path, wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("code", "m"))
+    pairs = documents.select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("code", "m"))
     links = pairs.select(normalize_code(F.col("code")).alias("code"), F.explode("m").alias("p", "url")).where("code is not null and trim(url) <> ''")
-    return records, links.select("code", F.lit("").alias("scope"), F.coalesce(F.element_at(names, F.col("p")), F.col("p")).alias("provider"), F.trim("url").alias("url"))
+    return links.select("code", F.lit("").alias("scope"), F.coalesce(F.element_at(names, F.col("p")), F.col("p")).alias("provider"), F.trim("url").alias("url"))
+
+
+def read_legacy(spark: SparkSession, records_path: str, links_path: str) -> tuple[DataFrame, DataFrame]:
+    """Records and links of an old export."""
+    return legacy_records(spark.read.text(records_path, wholetext=True)), legacy_links(spark.read.text(links_path, wholetext=True))
+
+
+def override_map(documents: DataFrame) -> DataFrame:
+    """(key, value) of flat reviewed maps in JSON (value)."""
+    return documents.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
 
 
 def read_override_map(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of a flat reviewed map."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+    return override_map(spark.read.text(path, wholetext=True))
+
+
+def prior_state(documents: DataFrame) -> DataFrame:
+    """(inputs, last_audit) of JSON state (value): a time that cannot be read counts as none."""
+    return documents.select(F.from_json(F.get_json_object("value", "$.inputs"), "map<string,string>").alias("inputs"), F.try_to_timestamp(F.get_json_object("value", "$.official.lastAuditAt")).alias("last_audit"))
 
 
 def read_prior_state(spark: SparkSession, path: str) -> DataFrame:
-    """(inputs, last_audit): a time that cannot be read counts as none."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.from_json(F.get_json_object("value", "$.inputs"), "map<string,string>").alias("inputs"), F.try_to_timestamp(F.get_json_object("value", "$.official.lastAuditAt")).alias("last_audit"))
+    return prior_state(spark.read.text(path, wholetext=True))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from recordkeep.operators import gates as G
@@ -53,6 +54,9 @@ def test_gates_against_the_predecessor(spark):
 def test_regression_limits_are_strict(spark):
     make = lambda n: spark.range(n).select(F.concat(F.lit("A-"), F.col("id").cast("string")).alias("code"), F.lit("A").alias("prefix"))
     whole = lambda a, b: {r.prefix: (r.deleted, r.broken) for r in G.regression(make(a), make(b)).collect()}[None]
+    of_group = spark.createDataFrame([(f"A-{i}", "A") for i in range(6)] + [(f"B-{i}", "B") for i in range(7)], "code string, prefix string")
+    left = {r.prefix: r.broken for r in G.regression(of_group, of_group.where("code not in ('A-0', 'B-0')")).collect()}
+    assert left == {"A": True, "B": False, None: True}  # one of six is over 15 %, one of seven is not
     assert whole(100, 85) == (15, False) and whole(100, 84) == (16, True) and whole(1000, 900) == (100, False) and whole(1000, 899) == (101, True)
 
 
@@ -68,7 +72,7 @@ def test_small_gates(spark):
     one = lambda *xs: spark.createDataFrame([(x,) for x in xs], "prefix string")
     assert [r.key for r in G.disjoint({"a": one("A", "B"), "b": one("B", "C")}).collect()] == ["B"]
     assert G.membership(one("A", "Z"), one("A"), "prefix").count() == 1 and G.continuity(one("A", "B"), one("A"), "prefix").count() == 1
-    assert G.sources(spark.createDataFrame([("https://docs.google.com/spreadsheets/d/abc/x", "a,b"), ("https://evil/abc", "<html>")], "source_url string, body string"), "docs.google.com", "abc").count() == 2
+    assert G.sources(spark.createDataFrame([("https://docs.google.com/spreadsheets/d/abc/x", "a,b"), ("https://evil/abc", "<html>")], "source_url string, body string"), "docs.google.com", "/spreadsheets/d/abc/x").count() == 2
     assert G.counters(spark.createDataFrame([(1, 2, 3, 6), (1, 2, 3, 7)], "added int, updated int, retained int, records int")).count() == 1
     assert G.group_links(spark.createDataFrame([("A", "subtitle", "https://drive.google.com/file/d/x"), ("B", "gofile", "http://a")], "prefix string, provider string, url string")).count() == 1
     pre = spark.createDataFrame([("A-1", "https://h.example/db/a/pac_s.jpg", "https://h.example/db/a/sample/", 18), ("A-2", None, None, 3), ("A-3", None, None, None), ("A-4", "https://h.example/db/a/pac_s.jpg", "https://h.example/db/b/sample/", 100)], "code string, cover string, preview_base string, preview_count int")
@@ -84,7 +88,11 @@ def test_tags(spark):
     assert {r.id: r.n for r in T.tag_counts(pairs, defs(spark)).collect()} == {1: 2, 2: 0, 3: 1}
     assert [r.tag_id for r in T.unknown_tags(pairs, defs(spark)).collect()] == [9]
     many = spark.createDataFrame([(1, "1", "genre", " a  b", "old"), (2, "1", "genre", "a b", "new"), (3, "x", "genre", "q", "z"), (4, "2", "genre", "", "z")], "seq int, id string, group string, name string, translation string")
-    assert [tuple(r) for r in T.normalize_definitions(many).collect()] == [(1, "genre", "a b", "new")]
+    assert [tuple(r) for r in T.normalize_definitions(many).collect()] == [(1, "genre", "a b", "new", "machine")]
+    review = spark.createDataFrame([("a b", " R ")], "name string, translation string")
+    assert [tuple(r) for r in T.normalize_definitions(many, reviewed=review).collect()] == [(1, "genre", "a b", "R", "reviewed")]
+    with pytest.raises(Exception, match="conflicting tag definition"):
+        T.normalize_definitions(many.unionByName(many.withColumn("name", F.lit("other")))).collect()
     assert [r.translation for r in T.first_definitions(many.where("id = '1'")).collect()] == ["old"]
     odd = spark.createDataFrame([(1, "g", "a"), (1, "g", "b"), (2, "g", "a"), (2, "g", "a")], "id long, group string, name string")
     assert [r.id for r in T.conflicting_definitions(odd).collect()] == [1]
@@ -107,12 +115,28 @@ def test_enrichment(spark):
     assert (lost["A-2"].tag_ids, lost["A-2"].tags_updated_at, lost["A-2"].tags_source) == ([], "2020-01-01T00:00:00Z", "official-unavailable") and lost["A-1"].tags_status is None
     over = spark.createDataFrame([("A-2", "22"), ("A-1", "9"), ("Z-1", "1"), ("A-3", "x")], "code string, id string")
     assert {r.code: r.product_id for r in T.apply_id_overrides(rec, over).collect()}["A-2"] == 22
+    zero = rec.where("code = 'A-1'").withColumn("product_id", F.lit(0).cast("bigint"))
+    assert T.apply_id_overrides(zero, over).first().product_id == 9 and T.override_errors(zero, over.where("code = 'A-1'")).count() == 0
+    stale = rec.withColumn("tags_updated_at", F.lit("nonsense"))
+    assert {r.code: r.urgency for r in T.sync_targets(stale, "2024-02-01T00:00:00Z").collect()} == {"A-1": 0, "A-3": 1, "A-4": 1}
+    assert [r.code for r in T.sync_targets(rec, "2024-02-01T00:00:00Z", full=True).collect()] == ["A-1", "A-3", "A-4"]
+    assert {r.code: r.tags_updated_at for r in T.mark_unavailable(stale, "now").collect()}["A-2"] == "now"
+    moved = spark.createDataFrame([(1, "A-9"), (3, "A-3")], "product_id long, code string")
+    assert [tuple(r) for r in T.detail_mismatches(rec, moved).collect()] == [("A-1", "A-9")]
+    messy = spark.createDataFrame([("A-1", [3, -1, 2, 3])], "code string, tag_ids array<bigint>")
+    assert {r.code: r.tag_ids for r in T.apply_details(rec, messy, "now").collect()}["A-1"] == [2, 3]
     assert sorted((r.kind, r.code) for r in T.override_errors(rec, over).collect()) == [("conflict", "A-1"), ("invalid_id", "A-3"), ("unknown_code", "Z-1")]
     core, pairs = T.split_runtime(rec)
     assert "tag_ids" not in core.columns and {r.code: r.tag_ids for r in T.hydrate(core, pairs).collect()} == {"A-1": [], "A-2": [], "A-3": [1], "A-4": [1]}
     assert T.hydrate_errors(core, pairs, defs(spark)).count() == 0
-    bad = spark.createDataFrame([("A-1", [1, 1]), ("A-1", [9]), ("Q-1", [1])], "code string, tag_ids array<bigint>")
-    assert {r.kind for r in T.hydrate_errors(core, bad, defs(spark)).collect()} == {"duplicate_code", "repeated_tag", "unknown_tag", "unknown_code"}
+    bad = spark.createDataFrame([("A-1", [1, 1]), ("A-1", [9]), ("Q-1", [1]), ("A-2", [])], "code string, tag_ids array<bigint>")
+    assert {r.kind for r in T.hydrate_errors(core, bad, defs(spark)).collect()} == {"duplicate_code", "repeated_tag", "unknown_tag", "unknown_code", "empty_list"}
+    counted = spark.createDataFrame([(1, 2), (1, 2), (0, 0), (9, 1), (2, 5)], "id long, n long")
+    assert {(r.kind, r.key) for r in T.hydrate_errors(core.unionByName(core.limit(1)), bad, counted).collect()} >= {("repeated_definition", "1"), ("invalid_definition", "0"), ("count", "2"), ("repeated_code", "A-1")}
+    head = lambda v, g: spark.createDataFrame([(v, g)], "schema_version int, generated_at string")
+    assert [[r.kind for r in T.generation_errors(head(1, "a"), p).collect()] for p in (head(1, "a"), head(1, "b"), head(2, "a"))] == [[], ["generation"], ["schema_version"]]
+    by_group = T.tags_by_group(spark.createDataFrame([("A-1", [3, 9, 1])], "code string, tag_ids array<bigint>"), defs(spark)).collect()
+    assert sorted((r.group, [t.name for t in r.tags]) for r in by_group) == [("character", ["c"]), ("genre", ["a"])]
     shown = T.tag_lookup(spark.createDataFrame([("A-1", [3, 9, 1])], "code string, tag_ids array<bigint>"), defs(spark)).first()
     assert [t.name for t in shown.tags] == ["c", "a"]
     assert tuple(T.sync_summary(rec, T.sync_targets(rec, "2024-02-01T00:00:00Z"), defs(spark)).first()) == (4, 2, 2, 3)
@@ -120,6 +144,8 @@ def test_enrichment(spark):
 
 def test_names_and_tag_gates(spark):
     d = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "id long, name string")
+    blank = spark.createDataFrame([("b", "  ")], "name string, translation string")
+    assert {r.id: r.source for r in T.resolve_names(d, blank, blank.selectExpr("2L id", "name", "translation"), spark.createDataFrame([], "id long, translation string")).collect()}[2] == "needed"
     reviewed = spark.createDataFrame([("a", "R")], "name string, translation string")
     stored = spark.createDataFrame([(1, "a", "S"), (2, "b", "S"), (3, "changed", "S")], "id long, name string, translation string")
     cached = spark.createDataFrame([(3, "C")], "id long, translation string")

@@ -33,6 +33,14 @@ def test_smallest_last_and_diagnostics(spark):
     assert sorted((r.kind, r.code) for r in L.sheet_diagnostics(cells).collect()) == [("conflict", "A-1"), ("duplicate_code", "A-1"), ("invalid_url", "A-1")]
 
 
+def test_group_links(spark):
+    raw = spark.createDataFrame([(" ab", "subtitle", " b "), ("AB", "subtitle", "a"), ("AB", "gofile", " "), ("9x", "subtitle", "a")], "prefix string, provider string, url string")
+    got = L.smallest_group_wins(raw)
+    assert [(r.prefix, r.url, r.seen) for r in got.collect()] == [("AB", "a", ["a", "b"])]
+    groups = spark.createDataFrame([("AB", 1), ("CD", 2)], "prefix string, n int")
+    assert {r.prefix: r.links for r in L.attach_group_links(groups, got).collect()} == {"AB": {"subtitle": "a"}, "CD": None}
+
+
 def test_attach_and_badges(spark):
     rec = spark.createDataFrame([("A-1", "stale"), ("A-2", "stale")], "code string, links string")
     links = spark.createDataFrame([("A-1", "", "gofile", "http://g/1"), ("A-1", "uncensored", "gofile", "http://g/2"), ("A-9", "", "gofile", "http://g/3"), ("A-1", "", "streamtape", "javascript:x")], LEAF)
@@ -77,6 +85,22 @@ def test_diff_and_counts(spark):
     assert {r.code: r.link_change for r in R.diff(a, b, "links").collect()} == {"A-1": None, "A-2": "link_updated", "A-3": "link_added", "A-4": "link_removed", "A-5": "link_added"}
 
 
+def test_counters_keys_and_candidates(spark):
+    a = spark.createDataFrame([("A-1", "l"), ("A-2", "l"), ("A-3", None)], "code string, links string")
+    b = spark.createDataFrame([("A-1", "m"), ("A-3", "l"), ("A-5", "l")], "code string, links string")
+    counts = R.refresh_counts(R.diff(a, b, "links"), b.where("links is not null"), a.limit(1), 4).first()
+    assert counts.asDict() == {"added": 1, "updated": 0, "retained": 2, "deleted": 1, "link_added": 2, "link_updated": 1, "link_removed": 1, "linked": 3, "link_conflicts": 5}
+    maps = spark.createDataFrame([(1, {"x": 1}), (2, {"x": 1, "y": 2, "z": 3}), (3, {"x": 1, "y": 2}), (4, None)], "k int, m map<string,int>")
+    assert {r.k: (r.missing, r.extra) for r in R.key_errors(maps, "m", ("x", "y")).collect()} == {1: (["y"], []), 2: ([], ["z"]), 4: (None, None)}
+    one, two = a.select("code"), b.select("code")
+    assert [R.candidates(one, two, R.Refresh(m), p).count() for m, p in ((R.LINKS_ONLY, True), (R.INCREMENTAL, False), (R.INCREMENTAL, True), (R.AUDIT, False))] == [3, 6, 3, 3]
+    assert {tuple(r) for r in R.known_keys(one, spark.createDataFrame([("b_01",), ("bad",)], "code string")).collect()} == {("A-1", "A"), ("A-2", "A"), ("A-3", "A"), ("B-1", "B")}
+    bad = spark.createDataFrame([("oops", 1, "2024-01-01")], "code string, product_id long, release_date string")
+    with pytest.raises(Exception, match="not a code: oops"):
+        R.filter_incoming(bad, 1, 3).collect()
+    assert R.unpublishable(bad, 1, 3).count() == 1 and R.filter_incoming(bad, 2, 3).count() == 0
+
+
 def test_precision_previews_and_splits(spark):
     kind = "code string, product_id long, preview_base string, preview_count int"
     old = spark.createDataFrame([("A-1", 1, "b", 30), ("A-2", 1, "c", 30)], kind)

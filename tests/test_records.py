@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordkeep.operators import records as R
-from recordkeep.operators.scans import duplicate_cards, first_seen_page, incremental_cutoff, page_novelty, page_reconciliation, scan_authoritative, scan_summary, tail_cutoff
+from recordkeep.operators.scans import duplicate_cards, first_seen_page, incremental_cutoff, page_novelty, page_reconciliation, scan_authoritative, scan_stop, scan_summary, tail_cutoff
 
 RAW = "code string, title string, actors array<string>, releaseDate string, cover string, series string, number string, productId string, tagIds array<bigint>"
 
@@ -20,6 +20,9 @@ def test_canonical_and_rejects(spark):
         ("ab-1", "t", None, None, None, None, "x", "-4", None),
     ])).collect()
     assert [r.reject_reason for r in got] == [None, "invalid_code", "series_mismatch", "number_mismatch", "number_mismatch"]
+    assert got[0].links is None
+    linked = spark.createDataFrame([("ab-1", '{"gofile":" http://g ","x":"","uncensored":{"gofile":"http://u","y":" "}}'), ("ab-2", '{"gofile":""}'), ("ab-3", "no json")], "code string, links string")
+    assert [None if r.links is None else [tuple(x) for x in r.links] for r in R.canonical_records(linked).collect()] == [[("", "gofile", "http://g"), ("uncensored", "gofile", "http://u")], None, None]
     assert (got[0].code, got[0].prefix, got[0].number, got[0].product_id, got[0].tag_ids) == ("AB-7", "AB", 7, 12, [1, 3]) and got[4].product_id is None
 
 
@@ -58,11 +61,15 @@ def test_groups_and_order(spark):
 def test_pages_and_slots(spark):
     many = spark.range(260)
     rows, place = R.page(many, ["id"], 250)
-    assert [r.id for r in rows.collect()] == list(range(250, 260)) and place == {"start": 250, "size": 100, "total": 260, "previous": 150, "next": None}
+    assert [r.id for r in rows.collect()] == list(range(250, 260)) and place == {"start": 250, "end": 260, "size": 100, "total": 260, "previous": 150, "next": None}
     rows, place = R.page(many, ["id"], 10_000)
-    assert place["start"] == 259 and rows.count() == 1
+    assert place["start"] == place["end"] == 260 and rows.count() == 0
+    assert R.page(many, ["id"], 0, 500)[1]["size"] == 100 and R.page(many, ["id"], 0, 7)[1]["next"] == 7 and R.page(many, ["id"], 0, 0)[1]["size"] == 100
     rows, place = R.page(spark.range(250), ["id"], 50)
-    assert rows.count() == 250 and place["next"] is None
+    assert rows.count() == 200 and place["next"] is None
+    rows, place = R.page(spark.range(250), ["id"], 50, 20)
+    assert [r.id for r in rows.collect()] == list(range(50, 70)) and (place["next"], place["previous"]) == (70, 30)
+    assert R.page(spark.range(250), ["id"], 0, 0)[0].count() == 0
     slots = R.slots(records(spark), least=3).orderBy("prefix", "number").collect()
     assert [(r.prefix, r.number, r.code) for r in slots if r.prefix == "C"] == [("C", 0, "C-0"), ("C", 1, None), ("C", 2, "C-2"), ("C", 3, None)]
 
@@ -90,4 +97,11 @@ def test_scans(spark):
     assert facts[1].complete and not facts[2].complete and facts[4].duplicates == 1 and facts[5].unidentifiable == 1
     assert {(r.page, r.product_id) for r in duplicate_cards(cards).collect()} == {(2, 10), (3, 11), (4, 10)}
     pages = page_reconciliation(cards).join(novelty, "page")
-    assert scan_summary(pages).first().pages == 5 and not scan_authoritative(pages, True, True).first().authoritative
+    assert scan_summary(pages).first().asDict() == {"pages": 2, "cards": 4, "parsed": 3, "new": 2, "known": 1, "errors": 1, "cursor": 2, "stop_reason": "error"}
+    facts = lambda *rows: spark.createDataFrame(rows, "page int, cards int, new int, complete boolean")
+    whole = facts((1, 3, 2, True), (2, 3, 0, True), (3, 3, 0, True), (4, 0, 0, True))
+    assert [tuple(scan_stop(whole, m).first()) for m in ("incremental", "audit")] == [(3, "all_known"), (4, "empty")]
+    assert tuple(scan_stop(whole.where("page < 3")).first()) == (None, "page_limit")
+    listed = page_novelty(cards, known, fetched=spark.range(1, 8).selectExpr("cast(id as int) page"))
+    assert {r.page for r in listed.collect()} == set(range(1, 8))
+    assert not scan_authoritative(pages, True, True).first().authoritative

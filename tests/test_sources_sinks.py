@@ -24,6 +24,9 @@ def test_link_sheet(spark, tmp_path):
     cells = S.read_link_sheet(spark, str(path))
     got = {(r.code, r.scope, r.provider, r.url) for r in cells.collect()}
     assert ("AB-1", "", "streamtape", "http://s/2") in got and ("AB-1", "uncensored", "streamtape", "http://us/1") in got and ("AB-2", "uncensored", "gofile", "http://ug/2") in got and len(got) == 7
+    many = ",".join(f"c{i}" for i in range(90))
+    path.write_text(f'{many},new code,StreamTape,Player4me,GoFile,uncensored,StreamTape,Player4me,GoFile\n{many},ab-5,"http://s/\n5",,,,,,http://ug/5\n')
+    assert {(r.row_no, r.code, r.url) for r in S.read_link_sheet(spark, str(path)).collect()} == {(1, "AB-5", "http://s/\n5"), (1, "AB-5", "http://ug/5")}
     path.write_text("new code,a\n")
     with pytest.raises(S.SheetError):
         S.read_link_sheet(spark, str(path))
@@ -49,6 +52,7 @@ def test_directory(spark):
     table = S.manifest(found, children)
     assert sorted(r.state for r in table.collect()) == ["child", "resolved", "resolved", "unresolved"]
     assert {r.scope: r.n for r in K.source_summary(table).collect()} == {"group": 3, "record": 1}
+    assert [tuple(r) for r in K.unresolved_sources(table).collect()] == [("group", "EF", "http://x/y")]
 
 
 LISTING = """<div class="thumBox"><img src="/db/review/pac_s.jpg"><a href="/product/index.php?product_id=81"><img src="/db/ab/pac_s.jpg"></a>
@@ -63,13 +67,15 @@ def test_pages(spark):
     cards = {r.at: r for r in P.listing_cards(pages).where("page_id = 1").collect()}
     assert len(cards) == 3 and [cards[i].parsed for i in range(3)] == [True, False, False] and [cards[i].product_id for i in range(3)] == [81, 82, None]
     assert (cards[0].code, cards[0].title, cards[0].actors, cards[0].release_date, cards[0].cover) == ("AB-44", "First title", ["one", "two"], "2026-07-01", "https://www.example.com/db/ab/pac_s.jpg")
+    again = P.listing_records(P.listing_cards(spark.createDataFrame([(1, LISTING + LISTING.replace("First", "Second"))], "page_id long, html string")))
+    assert [(r.product_id, r.title) for r in again.collect()] == [(81, "First title")]
     details = {r.page_id: r for r in P.detail_records(pages).collect()}
     assert (details[2].code, details[2].title, details[2].actors, details[2].release_date) == ("AB-44", "A title", ["one", "two"], "2026-07-01") and details[3].code is None and details[4].code is None
     assert details[2].cover == "https://www.example.com/db/ab/pac_s.jpg"
     assert [tuple(r) for r in P.page_tags(pages).collect()] == [(2, 6, "genre", "x y")]
-    bodies = [(1, "é".encode(), None), (2, "日本".encode("cp932"), None), (3, "é".encode("latin-1"), "text/html; charset=latin-1"), (4, b'<meta charset="shift_jis">' + "日".encode("shift_jis"), None), (5, b"\xff\xff\x81", None), (6, None, None)]
+    bodies = [(1, "é".encode(), None), (2, "日本".encode("cp932"), None), (3, "é".encode("latin-1"), "text/html; charset=latin-1"), (4, b'<meta charset="shift_jis">' + "日".encode("shift_jis"), None), (5, b"\xff\xff\x81", None), (6, None, None), (7, "é".encode(), "text/html; charset=us-ascii"), (8, b'<meta charset="none-such">x', None), (9, "é".encode("latin-1"), 'text/html; charset="latin-1"')]
     got = {r.page_id: r.html for r in P.decoded(spark.createDataFrame(bodies, "page_id long, body binary, content_type string")).collect()}
-    assert got == {1: "é", 2: "日本", 3: "é", 4: '<meta charset="shift_jis">日', 5: None, 6: None}
+    assert got == {1: "é", 2: "日本", 3: "é", 4: '<meta charset="shift_jis">日', 5: None, 6: None, 7: None, 8: None, 9: "é"}
 
 
 def test_snapshot_round_trip(spark, tmp_path):
@@ -100,7 +106,8 @@ def test_legacy_and_maps(spark, tmp_path):
     assert N.read_prior_state(spark, str(tmp_path / "state.json")).first().last_audit is None
     a, b = spark.createDataFrame([("x", "u")], "label string, url string"), spark.createDataFrame([("y", "v")], "label string, url string")
     assert N.resources(a, b).first().label == "y" and N.resources(a, None).first().label == "x" and N.resources(a, b.limit(0)).first().label == "x"
-    assert N.stored_tags(None, a) is a and N.stored_tags(b, a) is b
+    good, bad = spark.createDataFrame([(1, "genre", "a")], "id long, group string, name string"), spark.createDataFrame([(1, "genre", "a"), (1, "genre", "b")], "id long, group string, name string")
+    assert N.stored_tags(None, a) is a and N.stored_tags(good, a) is good and N.stored_tags(bad, a) is a
 
 
 def test_publish(spark, tmp_path):
@@ -150,11 +157,15 @@ def test_browse(spark):
     assert codes(c.get_record("ab_1")) == ["AB-1"] and c.get_group(" ab").count() == 1 and c.get_tag(2).count() == 1 and c.get_tags("none").count() == 0
     assert [r.prefix for r in c.recent_groups(1).collect()] == ["CD"] and codes(c.group_view("ab")) == ["AB-1", "AB-3"] and c.group_view("ab", True).count() == 99
     one = c.detail("AB-1").first()
-    assert [t.name for t in one.tags] == ["源"] and one.link_groups[0].badges[0].provider == "gofile" and c.metadata().first().n == 2
+    assert [(g.group, [t.name for t in g.tags]) for g in one.tag_groups] == [("genre", ["源"])] and one.link_groups[0].badges[0].provider == "gofile" and c.metadata().first().n == 2
     assert codes(B.filter_by_tags(c.records, [1, 2])) == ["AB-3"] and codes(B.filter_by_tags(c.records, [1], [2])) == ["AB-1"] and len(codes(B.filter_by_tags(c.records, []))) == 3 and len(codes(B.filter_by_tags(c.records, [2, True, -1], match="any"))) == 1
     pairs = c.records.select("code", F.explode("tag_ids").alias("tag_id"))
     assert codes(B.codes_by_tags(pairs, [1, 2])) == ["AB-3"] and codes(B.codes_by_tags(pairs, [1], [2])) == ["AB-1"]
     assert codes(c.records.orderBy(*B.newest())) == ["CD-1", "AB-3", "AB-1"] and codes(c.records.orderBy(*B.oldest()))[0] == "AB-1" and codes(c.records.orderBy(*B.natural()))[-1] == "CD-1"
+    assert codes(c.group_page("ab", 1, 5)[0]) == ["AB-3"] and c.group_page("ab", 0, 1)[1]["next"] == 1
+    twice = B.Catalog(c.records.unionByName(c.records.where("code = 'AB-1'").withColumn("number", F.lit(9).cast("bigint"))), c.groups, c.tags, c.links)
+    assert [(r.code, r.number) for r in twice.search("ann").collect()] == [("AB-1", 1)]
+    assert [(r.code, r.place) for r in B.placed(c.records.select("code"), [F.desc("code")]).orderBy("place").collect()] == [("CD-1", 1), ("AB-3", 2), ("AB-1", 3)]
     state = spark.createDataFrame([("CD-1", 1), ("AB-1", 2), ("AB-3", 0), ("ZZ-1", 1)], "code string, state int")
     assert [(r.code, r.state) for r in B.favourites(state, c.records).collect()] == [("CD-1", 1), ("AB-1", 2)]
     manifest = spark.createDataFrame([("AB-1", "AB/AB-1.webp"), ("AB-3", "x")], "code string, path string")

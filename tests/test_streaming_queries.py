@@ -20,17 +20,25 @@ def write(spark, path, rows, k):
 
 
 def test_stream_overlay_equals_batch(spark, tmp_path):
-    one, two = [("A-1", "", "x", "1", 1), ("A-2", "", "x", "1", 2), ("A-1", "", "x", "2", 3)], [("A-1", "", "x", "3", 4), ("A-3", "", "y", "1", 5)]
+    """Late rows included: the second and third batch bring rows that are older than what the state holds."""
+    batches = [
+        [("A-1", "", "x", "1", 1), ("A-2", "", "x", "late", 9), ("A-1", "", "x", "2", 3)],
+        [("A-1", "", "x", "3", 4), ("A-2", "", "x", "old", 5), ("A-3", "", "y", "1", 5)],
+        [("A-3", "", "y", "0", 4), ("A-4", "", "y", "1", 1)],
+        [("A-4", "", "y", "2", 2)],
+    ]
     for name, first_wins in (("new", False), ("old", True)):
         base = str(tmp_path / name)
-        for k, rows in enumerate((one, two)):
+        for k, rows in enumerate(batches):
             write(spark, base, rows, k)
             source = spark.readStream.schema(LEAF).option("recursiveFileLookup", "true").parquet(f"{base}/in")
-            X.stream_overlay(source, f"{base}/state", f"{base}/cp", "at", first_wins).awaitTermination()
+            X.stream_overlay(source, f"{base}/state", f"{base}/cp", "at", first_wins, buckets=3).awaitTermination()
         got = {(r.code, r.provider): r.url for r in X.read_state(spark, f"{base}/state").collect()}
-        every = spark.createDataFrame(one + two, LEAF)
+        every = spark.createDataFrame([r for rows in batches for r in rows], LEAF)
         want = every.groupBy(*L.LEAF).agg((F.min_by if first_wins else F.max_by)("url", "at").alias("url"))
         assert got == {(r.code, r.provider): r.url for r in want.collect()}
+        kept = [p for p in (tmp_path / name / "state" / "data").glob("version=*/bucket=*")]
+        assert len(kept) < 3 * len(batches)  # replaced buckets are gone
     assert X.read_state(spark, str(tmp_path / "nothing")) is None
 
 
@@ -73,6 +81,7 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(names) == columns
     want = sorted((tuple(cell(dict(zip(names, r, strict=True))[c]) for c in columns) for r in out.fetchall()), key=repr)
     assert rows == want
+    assert rows, "a query without rows shows nothing"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
