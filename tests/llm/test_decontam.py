@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from recordkeep.llm.decontam import CHUNK, Items, answer_of, bit_masks, clean, common_length, contaminated, holds, passages, words_of
+from recordkeep.llm import decontam
+from recordkeep.llm.decontam import CHUNK, Items, answer_of, bit_masks, clean, common_length, contaminated, holds, latent_basis, passages, verdict, words_of
 
 
 def slow_common(a, b):
@@ -108,8 +109,7 @@ def test_items_of_all_lengths(spark):
                 continue
             step = 1 if n <= 13 else 24
             parts = (ids[max(0, p - 2 * n) : p + 2 * n + 1] if n <= 13 else ids[max(0, p - n) : p + 48 + n] for p in range(0, max(1, len(ids)), step))
-            shares = [(common_length(n, bit_masks(own), p) / n, holds(p, own)) for p in parts]
-            if any(s >= 0.75 or s >= 0.5 and h for s, h in shares):
+            if any(slow_common(own.tolist(), p.tolist()) / n >= (0.75 if n <= 13 else 0.6) for p in parts):
                 want.add((d, k))
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
@@ -117,3 +117,66 @@ def test_items_of_all_lengths(spark):
     planted = {(1000 + i, items[i][0]) for i in range(len(items))}
     assert planted - {(1000 + i, items[i][0]) for i in range(len(items)) if i % 3 == 1} <= got
     assert got == want
+
+
+def test_words_are_split_whole(spark):
+    """Pieces of a batch, leading and trailing blanks, nulls and a very long text give the words of the whole."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    texts = [None, "", "  ", " a  b\n", "w1, W2! -- w3", " ".join(rng.choice(words) for _ in range(400_000)), "\u3000w1\u00a0w2 "]
+    items = Items([(1, " ".join(words))])
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(1)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in decontam.encoded(df, items).collect()}
+    want = {i: [items.vocabulary.get(w, 0) for w in words_of(t or "")] for i, t in enumerate(texts)}
+    assert got == {i: w for i, w in want.items() if any(w)}
+
+
+def test_verdicts():
+    item, answer = np.arange(1, 41), np.arange(31, 41)
+    judge = lambda part: verdict(item, bit_masks(item), answer, bit_masks(answer), np.array(part))
+    assert judge(range(1, 25)) == (0.6, False) and judge(range(1, 24)) is None
+    assert judge([*range(1, 16), *range(31, 36)]) == (0.5, True) and judge([*range(1, 17), *range(31, 35)]) is None
+    short = np.arange(1, 11)
+    brief = lambda part, a: verdict(short, bit_masks(short), np.array(a, int), {}, np.array(part))
+    assert brief(range(1, 8), []) is None and brief(range(1, 9), []) == (0.8, False)
+    assert brief([1, 2, 3, 9, 10], [9, 10]) == (0.5, True) and brief([1, 2, 3, 4, 9], [9, 10]) is None
+
+
+def test_paraphrases(spark):
+    """Copies with a share of their words replaced, those of the answer as well; clean documents stay clean."""
+    rng = random.Random(21)
+    _, _, sentence = corpus(rng)
+    items = [(i, " ".join(sentence(rng.randrange(14, 40))) + ". " + " ".join(sentence(rng.randrange(3, 12))) + ".") for i in range(40)]
+    docs, want = [(i, " ".join(sentence(rng.randrange(0, 300)))) for i in range(200)], {}
+    for strength in (0, 15, 25, 33):
+        for i, text in items:
+            body = text.split()
+            for at in rng.sample(range(len(body)), len(body) * strength // 100):
+                body[at] = rng.choice(sentence(3)) + ("." if body[at].endswith(".") else "")
+            docs.append((1000 * (strength + 1) + i, " ".join([*sentence(60), *body, *sentence(60)])))
+            want.setdefault(strength, set()).add((docs[-1][0], i))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id) for r in contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = {k: len(v & got) / len(v) for k, v in want.items()}
+    assert recall[0] == recall[15] == 1.0 and recall[25] >= 0.95 and recall[33] >= 0.9, recall
+    assert not {d for d, _ in got if d < 1000}
+
+
+def test_basis_is_that_of_an_exact_svd(spark):
+    """Rows of few passages, projected by the randomised basis, are as close to each other as by the exact one."""
+    rng = np.random.default_rng(4)
+    topics = rng.integers(1, 61, (5, 12))
+    docs = [np.concatenate([rng.choice(topics[rng.integers(5)], 40), rng.integers(1, 61, 8)]).astype("<u2") for _ in range(120)]
+    coded = spark.createDataFrame([(i, i, d.tobytes()) for i, d in enumerate(docs)], "doc_id long, version long, ids binary")
+    idf = np.concatenate([[0.0], rng.uniform(1, 3, 60)])
+    a = np.zeros((240, 61))
+    for i, d in enumerate(docs):
+        np.add.at(a[2 * i], d, idf[d])  # passages start at each step but the last
+    a = a[::2]
+    basis = latent_basis(coded, idf, "<u2", rank=5)
+    _, values, right = np.linalg.svd(a, full_matrices=False)
+    exact = idf[:, None] * right[:5].T / values[:5]
+    counts = np.stack([np.bincount(d, minlength=61) for d in docs])
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x, y = unit(counts @ basis), unit(counts @ exact)
+    assert basis.shape[1] == 5 and np.corrcoef((x @ x.T).ravel(), (y @ y.T).ravel())[0, 1] > 0.97
