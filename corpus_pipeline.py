@@ -1,6 +1,12 @@
 """The training-data pipeline: language, repeated lines, near copies, benchmark leaks, packing.
 
-Each stage reads the Parquet that its predecessor wrote, so a lost executor costs tasks, never a stage.
+Each stage reads the Parquet that its predecessor wrote, so a lost executor costs tasks, never a stage. What a stage cut
+and what its predecessor wrote are deleted once its own output is written.
+
+Defined cases: empty ``documents`` or an empty benchmark give no rows or lose none; null and empty texts have no language
+and go in the first stage, texts that lose all their lines stay, empty, as near copies of each other; rows that repeat
+are near copies, of which one stays; of a group the smallest doc_id stays; very long texts pass whole; columns besides
+those of ``documents`` pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 
 from recordkeep.llm import decontam, language_id, line_dedup, packing, simhash
 from recordkeep.llm.tables import table
-from recordkeep.plans.lineage import shared_dir
+from recordkeep.plans.lineage import delete, scratch, shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +55,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/recordkeep/pipeline-{uuid.uuid4().hex}"
+    docs, base, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/recordkeep/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
