@@ -13,10 +13,11 @@ into sequences of vocabulary ids (0 for any other word, so distances stay) and w
    are cut into the same windows. Passages above a cosine with any window become candidates, whatever their number.
    Items of up to 13 words are lost among the other words of a passage, so they are also looked up by their rarest
    words: more than half of their words, of which every match has one.
-4. Around each candidate the longest common subsequence with the item, and that with the item's answer (what follows an
-   answer mark, else its last sentence, if that is the smaller part of the item), decide: three fifths of the item in
-   order, or half of it and half of the answer, so that a reworded answer still counts. Items of up to 13 words, of which
-   other texts hold more by chance, need three quarters, or half and the answer as it stands.
+4. Around each candidate the longest common subsequence with the item, and the item's answer (what follows an answer
+   mark, else its last sentence), decide: three fifths of the item in order, or half of it and the answer as it stands,
+   or half of it and, in order, half of an answer that is the smaller part of it, so that a reworded answer still counts.
+   Of shorter items other texts hold more by chance: under 25 words the last case needs 0.55 of the item; up to 13 words
+   it takes three quarters alone, or half and the answer as it stands.
 
 Found are copies in which up to a third of the words are replaced, the answer's as well (README has the recall by
 strength); the common subsequences of unrelated texts stay under 0.4 of an item on the test tables.
@@ -52,8 +53,8 @@ COSINE = 0.4
 FREQUENT, LEAST_RARE = 0.05, 3
 #: Shares of an item's words, in order: enough alone, enough with the answer, and enough of the answer.
 ALONE, WITH_ANSWER, OF_ANSWER = 0.6, 0.5, 0.5
-#: Enough alone for items of up to SHORT words, whose answers must stand as they are.
-SHORT_ALONE = 0.75
+#: Enough alone for items of up to SHORT words, and with half of an answer for those of up to STEP words.
+SHORT_ALONE, STEP_WITH_ANSWER = 0.75, 0.55
 PIECE = 8 << 20  # bytes of text that are split at once
 BLOCK_ITEMS = 2000
 CHUNK = 40_000  # words that are projected at once
@@ -93,8 +94,7 @@ class Items:
             if words := words_of(text or ""):
                 self.ids.append(item_id)
                 self.items.append(self._code(words))
-                answer = answer_of(text)
-                self.answers.append(self._code(answer if 2 * len(answer) <= len(words) else []))
+                self.answers.append(self._code(answer_of(text)))
 
     def _code(self, words: list[str]) -> np.ndarray:
         return np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint32)
@@ -310,11 +310,10 @@ def verdict(item: np.ndarray, masks: dict[int, int], answer: np.ndarray, answer_
     share = common_length(len(item), masks, part) / len(item)
     if share < WITH_ANSWER:
         return None
-    if len(item) <= SHORT:
-        answered = holds(part, answer)
-        return (share, answered) if share >= SHORT_ALONE or answered else None
-    answered = bool(len(answer)) and common_length(len(answer), answer_masks, part) >= OF_ANSWER * len(answer)
-    return (share, answered) if share >= ALONE or answered else None
+    answered = holds(part, answer)
+    if not answered and len(item) > SHORT and 2 * len(answer) <= len(item) and share >= (WITH_ANSWER if len(item) > STEP else STEP_WITH_ANSWER):
+        answered = bool(len(answer)) and common_length(len(answer), answer_masks, part) >= OF_ANSWER * len(answer)
+    return (share, answered) if answered or share >= (ALONE if len(item) > SHORT else SHORT_ALONE) else None
 
 
 def windows(item: np.ndarray) -> list[np.ndarray]:

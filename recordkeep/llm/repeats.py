@@ -1,36 +1,40 @@
 """Suffix-array dedup by prefix-free parsing: bytes under a 200-byte string that also starts elsewhere are removed.
 
-Prefix-free parsing cuts texts at rolling-hash triggers, so equal strings are cut alike, and works on the dictionary of
-distinct phrases and the parse instead of on all suffixes. Here a trigger is the smallest 8-gram hash in a window of
-200 bytes, which bounds phrases: every 200-byte string has exactly one trigger, and neighbouring strings with the same
-trigger form one *phrase* with its context (about one for 97 bytes). Two equal 200-byte strings have the trigger at the
-same place, so only phrases that agree around their triggers need comparing:
-
-1. *Parse.* Each phrase gives a hash of its whole content and hashes of the 104 bytes right of (from) its trigger and
-   left of it: every 200-byte string of the phrase holds one of these two in full. A partial aggregation counts, per
-   side hash, the phrases and whether they are all the same.
-2. *Dictionary.* Side hashes that occur once settle their strings: not repeated. Where all phrases are the same, all
-   their strings are repeated. The rest is gathered by phrase content: a phrase that occurs twice is repeated as well.
-3. *Order.* Only strings of distinct phrases that partly agree remain, one representative each, carried as the bytes
-   of the phrase. They are brought into corpus order as far as it matters, that is grouped by 128-bit hashes: first
-   blocks of 24 neighbouring strings, by what all strings of a block share (if that is unique, none is repeated) and by
-   all that they cover (if that is repeated, all are); blocks that this leaves open are split to 4 strings, then to
-   single ones. A full lexicographic order is not needed to see which strings are equal.
+Texts are cut into phrases at *triggers*, places whose rolling hash is zero modulo PERIOD, so equal strings are cut
+alike. A string belongs to the first trigger in it: it consists of the end of the phrase before that trigger, its *left*
+part, and of 200 bytes less that behind the trigger, its *right* part. All strings of a trigger together are its context.
+
+1. *Parse.* Every trigger gives a hash of the first bytes behind it and a 128-bit hash of its whole context. A partial
+   aggregation leaves triggers whose beginnings occur twice, which almost none of unique text does. Of triggers that
+   follow each other at one distance with equal contexts, as in a run of one byte, a single row is kept with their number.
+2. *Dictionary.* Equal contexts are one entry. All strings of an entry that occurs twice are repeated; so far no bytes
+   have moved. Entries stay on if others begin alike, one place of each, with the context's bytes.
+3. *Suffix order of the dictionary.* Entries that begin alike are sorted by their phrases, read backwards from the
+   trigger. Neighbours show how much of a left part any other entry shares.
+4. *Suffix order of the parse.* Entries are sorted by what follows the trigger. Neighbours show how much of a right part
+   is shared.
+5. *Corpus order.* Both bounds leave the few strings whose left part and right part may be shared together, mostly
+   where repeated passages begin. These are brought into one order with their bytes; equal neighbours are repeated.
+
+Both orders are sorts over range partitions, whose tasks compare each row with its neighbours as they stream by; at the
+rim of a partition the bound is left open, so no result depends on where partitions end. Strings with no trigger in
+their first LEFT bytes lie inside long phrases; they are few, and compared by 128-bit hashes as they are.
 
 Strings are judged on the input; the starts found are gathered per document and the text is cut once.
 
-Defined cases: null is empty; texts under 200 bytes lose nothing; rows that repeat are separate documents, so each
-loses what the other holds; a null doc_id is an id like any other; extra columns are ignored.
+Defined cases: null is empty; texts under 200 bytes lose nothing; very long texts are parsed in parts that overlap, and
+runs of one byte, however long, take a row a part; rows that repeat are separate documents, so each loses what the other
+holds; a null doc_id is an id like any other; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,221 +43,312 @@ from recordkeep.plans.lineage import cut
 
 SIZE = 200
 GRAM = 8
-SIDE = 96  # bytes left of a trigger in the left hash; strings with at most so many have the right hash
-SPAN = 1 << 22  # bytes that are parsed at once; positions in them take 24 bits
+PERIOD = 32  # mean bytes of a phrase
+LEFT = 152  # bytes of the longest left part; the bytes behind a trigger that are hashed first are what is then left
+SPAN = 1 << 21  # bytes that are parsed at once
+PER_TASK = 50_000  # dictionary entries that one task sorts
+
+_random = np.random.default_rng(20)
+_TABLES = [_random.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+_BASES = [int(_random.integers(1 << 60, 1 << 63)) | 1 for _ in range(2)]
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _power_tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of both bases modulo 2^64 and their inverses, made once for a worker."""
+    if not _powers or len(_powers[0][0]) < n:
+        size = max(n, SPAN + 4 * SIZE)
+        _powers.clear()
+        for base in _BASES:
+            both = []
+            for b in (base, pow(base, -1, 1 << 64)):
+                row = np.full(size, b, np.uint64)
+                row[0] = 1
+                both.append(np.multiply.accumulate(row))
+            _powers.append((both[0], both[1]))
+    return _powers
+
+
+class Windows:
+    """Rolling hashes of a buffer: of any window, from sums over its beginnings."""
+
+    def __init__(self, buffer: np.ndarray, words: int = 2):
+        n = len(buffer)
+        self.parts = []
+        for t, (power, inverse) in list(zip(_TABLES, _power_tables(n), strict=True))[:words]:
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(t[buffer] * power[:n], out=sums[1:])
+            self.parts.append((sums, inverse))
+
+    def hash(self, at: np.ndarray, end: np.ndarray, word: int, salt: np.ndarray | int = 0) -> np.ndarray:
+        sums, inverse = self.parts[word]
+        return _mixed((sums[end] - sums[at]) * inverse[at] + (end - at).astype(np.uint64) + np.asarray(salt).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def triggers(buffer: np.ndarray) -> np.ndarray:
-    """For each start of a SIZE-byte string in ``buffer`` the place of its trigger."""
+    """Places at which a GRAM-byte window's hash is zero modulo PERIOD."""
     n = len(buffer)
+    if n < GRAM:
+        return np.empty(0, np.int64)
     grams = np.empty(n - GRAM + 1, np.uint64)
     for k in range(GRAM):
-        grams[k::GRAM] = buffer[k : k + (n - k) // GRAM * GRAM].view("<u8")
-    grams *= np.uint64(0x9E3779B97F4A7C15)
-    grams ^= grams >> np.uint64(29)
-    grams *= np.uint64(0xBF58476D1CE4E5B9)
-    low = (grams & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(grams), dtype=np.uint64)
-    width, have = SIZE - GRAM + 1, 1
-    while have * 2 <= width:
-        low = np.minimum(low[:-have], low[have:])
-        have *= 2
-    if have < width:
-        low = np.minimum(low[: have - width], low[width - have :])
-    return (low & np.uint64(0xFFFFFF)).astype(np.int64)
-
-
-def phrases(texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
-    """(text, first start, last start, trigger) of each phrase, places within the text."""
-    group: list[tuple[int, int, bytes]] = []
+        view = buffer[k : k + (n - k) // GRAM * GRAM].view("<u8")
+        grams[k::GRAM] = view
+    return np.flatnonzero((_mixed(grams) >> np.uint64(33)) % np.uint64(PERIOD) == 0)
+
+
+#: Columns of a parse: text number, kind (0 trigger, 1 string without one), place, left, right, least (left bytes of its
+#: shortest string), more (repetitions behind it), key, c1, c2 (context).
+FIELDS = ("number", "kind", "pos", "left", "right", "least", "more", "key", "c1", "c2")
+
+
+def parsed(texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows of FIELDS for all texts; together they hold each start of a SIZE-byte string once."""
+    group: list[tuple[int, int, int, bytes]] = []
     held = 0
     for number, text in enumerate(texts):
-        for at in range(0, max(0, len(text) - SIZE + 1), SPAN):
-            part = text[at : at + SPAN + SIZE - 1]
-            group.append((number, at, part))
+        last = len(text) - SIZE
+        for at in range(0, last + 1, SPAN):
+            own = min(SPAN, last + 1 - at)
+            part = text[at : at + own + 2 * SIZE]
+            group.append((number, at, own, part))
             held += len(part)
             if held >= SPAN:
-                yield from _phrases(group)
+                yield _parsed(group)
                 group, held = [], 0
     if group:
-        yield from _phrases(group)
+        yield _parsed(group)
+
+
+def _parsed(group: list[tuple[int, int, int, bytes]]) -> dict[str, np.ndarray]:
+    buffer = np.frombuffer(b"".join(g[3] for g in group), np.uint8)
+    windows = Windows(buffer)
+    ends = np.cumsum([len(g[3]) for g in group])
+    begins = ends - np.array([len(g[3]) for g in group])
+    own = begins + np.array([g[2] for g in group])  # starts before this belong to the part
+    number, shift = np.array([g[0] for g in group]), np.array([g[1] for g in group]) - begins
+    at = triggers(buffer)
+    owner = np.searchsorted(begins, at, side="right") - 1
+    inside = at + GRAM <= ends[owner]
+    at, owner = at[inside], owner[inside]
+    first = np.ones(len(at), bool)
+    first[1:] = owner[1:] != owner[:-1]
+    before = np.where(first, begins[owner] - 1, np.concatenate([[0], at[:-1]])) if len(at) else at
+    out = []
+    # strings with a trigger in reach
+    low, high = np.maximum(before + 1, at - LEFT), np.minimum(at, own[owner] - 1)
+    ok = low <= high
+    t, o, low, high = at[ok], owner[ok], low[ok], high[ok]
+    right = np.minimum(SIZE, ends[o] - t)
+    left, least = t - low, t - high
+    shape = (left << 16) | (right << 8) | least
+    context = [windows.hash(low, t + right, w, shape) for w in (0, 1)]
+    row = {"number": number[o], "kind": np.zeros(len(t), np.int64), "pos": t + shift[o], "left": left, "right": right, "least": least}
+    same = np.zeros(len(t), bool)
+    same[1:] = (context[0][1:] == context[0][:-1]) & (context[1][1:] == context[1][:-1]) & (o[1:] == o[:-1]) & (np.diff(t) == left[1:] + 1) & (least[1:] == 0)
+    out.append(_without_runs(row | {"key": windows.hash(t, t + SIZE - LEFT, 0, 1), "c1": context[0], "c2": context[1]}, same))
+    # strings without
+    gap_from = np.concatenate([before + 1, _behind(at, owner, begins)])
+    gap_end = np.concatenate([np.minimum(at - LEFT, own[owner]), own])  # starts before this have none within LEFT bytes
+    gap_part = np.concatenate([owner, np.arange(len(group))])
+    size = np.maximum(gap_end - gap_from, 0)
+    s = np.repeat(gap_from - np.cumsum(size) + size, size) + np.arange(size.sum())
+    o = np.repeat(gap_part, size)
+    order = np.argsort(s, kind="stable")
+    s, o = s[order], o[order]
+    c = [windows.hash(s, s + SIZE, w, 2) for w in (0, 1)]
+    zero = np.zeros(len(s), np.int64)
+    same = np.zeros(len(s), bool)
+    same[1:] = (c[0][1:] == c[0][:-1]) & (c[1][1:] == c[1][:-1]) & (o[1:] == o[:-1]) & (np.diff(s) == 1)
+    out.append(_without_runs({"number": number[o], "kind": zero + 1, "pos": s + shift[o], "left": zero, "right": zero, "least": zero, "key": c[0], "c1": c[0], "c2": c[1]}, same))
+    return {f: np.concatenate([x[f] for x in out]) for f in FIELDS}
+
+
+def _behind(at: np.ndarray, owner: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The first place behind the last trigger of each part."""
+    out = begins.copy()
+    np.maximum.at(out, owner, at + 1)
+    return out
+
+
+def _without_runs(rows: dict[str, np.ndarray], same: np.ndarray) -> dict[str, np.ndarray]:
+    """The first row of each run of rows that are the ``same`` as the one before, and how many follow it."""
+    heads = np.flatnonzero(~same)
+    return {f: x[heads] for f, x in rows.items()} | {"more": np.diff(np.append(heads, len(same))) - 1}
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents are told apart by (doc_id, v), v being a hash of the text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("v"), text.alias("text"))
+
+
+PARSED = "doc_id long, v long, shape long, pos int, more int, key long, c1 long, c2 long"
 
 
-def _phrases(group: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
-    whole = np.frombuffer(b"".join(p for _, _, p in group), np.uint8)
-    at = triggers(whole)
-    ends = np.cumsum([len(p) for _, _, p in group])
-    begins = ends - [len(p) for _, _, p in group]
-    valid = np.zeros(len(at), bool)
-    for b, e in zip(begins, ends, strict=True):
-        valid[b : e - SIZE + 1] = True
-    new = np.ones(len(at), bool)
-    new[1:] = at[1:] != at[:-1]
-    new[begins[begins < len(at)]] = True
-    first = np.flatnonzero(new & valid)
-    owner = np.searchsorted(begins, first, side="right") - 1
-    last = np.minimum(np.append(first[1:], len(at)) - 1, ends[owner] - SIZE)
-    for o, f, x, t in zip(owner.tolist(), first.tolist(), last.tolist(), at[first].tolist(), strict=True):
-        number, offset, _ = group[o]
-        shift = offset - int(begins[o])
-        yield number, f + shift, x + shift, t + shift
+def parse(docs: DataFrame, key_only: bool = False) -> DataFrame:
+    """(doc_id, v, shape, pos, more, key, c1, c2); with ``key_only`` (key, n) alone. ``shape`` packs kind, left, right and least."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                texts = [t.encode() for t in part.column(2).to_pylist()]
+                for rows in parsed(texts):
+                    key = pa.array(rows["key"].view(np.int64))
+                    if key_only:
+                        yield pa.RecordBatch.from_arrays([key, pa.array(rows["more"] + 1)], names=["key", "n"])
+                        continue
+                    number = pa.array(rows["number"])
+                    shape = (rows["kind"] << 24) | (rows["left"] << 16) | (rows["right"] << 8) | rows["least"]
+                    cells = [pa.array(shape), pa.array(rows["pos"].astype(np.int32)), pa.array(rows["more"].astype(np.int32)), key, pa.array(rows["c1"].view(np.int64)), pa.array(rows["c2"].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(number), part.column(1).take(number), *cells], names=[c.split()[0] for c in PARSED.split(", ")])
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    return _keyed(docs).mapInArrow(run, "key long, n long" if key_only else PARSED)
 
 
-def packed(first: int, last: int, trigger: int) -> int:
-    return first << 16 | trigger - first << 8 | last - first
+def _part(name: str):
+    """A field of ``shape``."""
+    at, bits = {"kind": (24, 8), "left": (16, 8), "right": (8, 8), "least": (0, 8)}[name]
+    return F.shiftright("shape", at).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
-def unpacked(value: int) -> tuple[int, int, int]:
-    first = value >> 16
-    return first, first + (value & 255), first + (value >> 8 & 255)
+ENTRIES = "c1 long, c2 long, key long, alone boolean, doc_id long, v long, pos int, left int, least int, back binary, ahead binary"
 
 
-def parse(docs: DataFrame) -> DataFrame:
-    """(doc_id, v, side, k, content, place) for the one or two sides of each phrase."""
+def entries(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of dictionary entries: ``back``, the phrase backwards from the trigger, and ``ahead``, what follows it."""
+    cells = ["c1", "c2", "key", "alone", "pos", "shape"]
+    lists = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("v").alias("w_v")).agg(F.collect_list(F.struct(*cells)).alias("wanted"))
+    joined = _keyed(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("v") == F.col("w_v"))).select("doc_id", "v", "text", "wanted")
+    names = [c.split()[0] for c in ENTRIES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                texts = [(t.as_py() or "").encode() for t in part.column(2)]
-                out: list[list] = [[] for _ in range(5)]
-                for number, first, last, trigger in phrases(texts):
-                    text = texts[number]
-                    content = _signed(xxhash.xxh3_64_intdigest(text[first : last + SIZE], trigger - first))
-                    place = packed(first, last, trigger)
-                    if trigger - last <= SIDE:
-                        k = xxhash.xxh3_64_intdigest(text[trigger : trigger + SIZE - SIDE])
-                        for column, value in zip(out, (number, 0, _signed(k), content, place), strict=True):
-                            column.append(value)
-                    if trigger - first > SIDE:
-                        k = xxhash.xxh3_64_intdigest(text[trigger - SIDE : trigger + GRAM], 1)
-                        for column, value in zip(out, (number, 1, _signed(k), content, place), strict=True):
-                            column.append(value)
-                rows = pa.array(out[0], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *[pa.array(c, t) for c, t in zip(out[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]], names=["doc_id", "v", "side", "k", "content", "place"])
-
-    return _keyed(docs).mapInArrow(run, "doc_id long, v int, side int, k long, content long, place long")
+            for i in range(batch.num_rows):
+                text, lists = batch.column(2)[i].as_py().encode(), batch.column(3)[i].values
+                if not len(lists):
+                    continue
+                get = {c: lists.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "shape")}
+                pos, left, right, least = get["pos"].tolist(), get["shape"] >> 16 & 255, (get["shape"] >> 8 & 255).tolist(), get["shape"] & 255
+                back = [text[p - x : p][::-1] for p, x in zip(pos, left.tolist(), strict=True)]
+                ahead = [text[p : p + x] for p, x in zip(pos, right, strict=True)]
+                n = len(pos)
+                same = lambda c: batch.column(c).slice(i, 1).take(pa.array(np.zeros(n, np.int64)))  # noqa: B023, E731
+                values = {**{c: lists.field(c) for c in ("c1", "c2", "key", "alone", "pos")}, "doc_id": same(0), "v": same(1), "left": pa.array(left.astype(np.int32)), "least": pa.array(least.astype(np.int32)), "back": pa.array(back, pa.binary()), "ahead": pa.array(ahead, pa.binary())}
+                yield pa.RecordBatch.from_arrays([values[c] for c in names], names=names)
 
+    return joined.mapInArrow(run, ENTRIES)
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents are told apart by (doc_id, v), v being a hash of the text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.coalesce("text", F.lit(""))).alias("v"), F.coalesce("text", F.lit("")).alias("text"))
 
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Binary values as rows of SIZE bytes, and their lengths."""
+    values = column.to_pylist()
+    sizes = np.array([len(x) for x in values], np.int64)
+    return np.frombuffer(b"".join(x.ljust(SIZE, b"\0") for x in values), np.uint8).reshape(-1, SIZE), sizes
 
-def spans(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the phrases in ``wanted`` (doc_id, v, place, sides, alone, content): (phrase, doc_id, v, trigger, first, last, alone, span).
 
-    ``first`` and ``last`` limit the starts whose side hashes met others; ``phrase`` is content and shape.
+def shared(column: pa.Array) -> np.ndarray:
+    """For each pair of neighbours the number of leading bytes that they share."""
+    cells, sizes = _matrix(column)
+    differ = cells[1:] != cells[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), SIZE)
+    return np.minimum(common, np.minimum(sizes[1:], sizes[:-1]))
+
+
+def with_neighbours(rows: DataFrame, order: list[str], column: str, name: str, within: str | None = None) -> DataFrame:
+    """``rows`` with ``name``: how many leading bytes of ``column`` a row shares with a neighbour in ``order``, at most.
+
+    Neighbours count only if they agree in ``within``. The first and last row of a range partition get SIZE.
     """
-    lists = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("v").alias("w_v")).agg(F.collect_list(F.struct("place", "sides", "alone", "content")).alias("wanted"))
-    joined = _keyed(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("v") == F.col("w_v"))).select("doc_id", "v", "text", "wanted")
+    tasks = max(1, math.ceil(rows.count() / PER_TASK))
+    placed = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    names = placed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, above = None, SIZE  # the row whose lower neighbour is still to come, and what it shares with the upper one
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                out: list[list] = [[] for _ in range(8)]
-                for number in range(part.num_rows):
-                    text = part.column(2)[number].as_py().encode()
-                    for item in part.column(3)[number].as_py():
-                        first, last, trigger = unpacked(item["place"])
-                        if not item["sides"] & 1:  # only strings that hold the left hash
-                            last = min(last, trigger - SIDE - 1)
-                        if not item["sides"] & 2:
-                            first = max(first, trigger - SIDE)
-                        for column, value in zip(out, (number, item["content"], item["place"] & 0xFFFF, trigger, first, last, item["alone"], text[first : last + SIZE]), strict=True):
-                            column.append(value)
-                rows = pa.array(out[0], pa.int64())
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *[pa.array(c, t) for c, t in zip(out[1:], kinds, strict=True)]], names=["doc_id", "v", "content", "shape", "trigger", "first", "last", "alone", "span"])
-
-    found = joined.mapInArrow(run, "doc_id long, v int, content long, shape int, trigger long, first long, last long, alone boolean, span binary")
-    return found.dropDuplicates(["content", "shape"])  # rows that repeat give the same phrase again
-
-
-BLOCKS = (24, 4, 1)  # each divides the one before
-
-
-def blocks(phrases_open: DataFrame, size: int) -> DataFrame:
-    """Blocks of ``size`` starts by distance from the trigger: (content, shape, low, high, alone, c1, c2, h1, h2).
-
-    ``phrases_open`` has spans and ``open``, the distances (low, high) still to settle. c is the hash of what all strings
-    of the block share, h of all that they cover, null if the phrase has not all of them.
-    """
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch] if kept is None else [kept, batch]).combine_chunks().to_batches()[0]
+            common = shared(now.column(names.index(column)))
+            if within:
+                keys = now.column(names.index(within)).to_numpy(zero_copy_only=False)
+                common = np.where(keys[1:] == keys[:-1], common, 0)
+            upper = np.concatenate([[above], common])
+            lower = common
+            n = now.num_rows - 1
+            yield pa.RecordBatch.from_arrays([*now.slice(0, n).columns, pa.array(np.maximum(upper[:n], lower).astype(np.int32))], names=[*names, name])
+            kept, above = now.slice(n), int(upper[n])
+        if kept is not None:
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.array([SIZE], np.int32))], names=[*names, name])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    return placed.mapInArrow(run, f"{kinds}, {name} int")
+
+
+def open_strings(found: DataFrame) -> DataFrame:
+    """(string, alone, doc_id, v, start) of all strings that both bounds leave open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for number, (trigger, first, last, span, ranges) in enumerate(zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("trigger", "first", "last", "span", "open")), strict=True)):
-                for r in ranges:
-                    for low in range(r["low"] // size * size, r["high"] + 1, size):
-                        high = low + size - 1
-                        near, far = max(low, trigger - last), min(high, trigger - first)
-                        if near > far:
-                            continue
-                        at = trigger - first  # place of the trigger in the span
-                        core = xxhash.xxh3_128_intdigest(span[at - low : at - high + SIZE], low)
-                        hull = xxhash.xxh3_128_intdigest(span[at - high : at - low + SIZE], low) if (near, far) == (low, high) else None
-                        values = (number, near, far, _signed(core >> 64), _signed(core & MASK), None if hull is None else _signed(hull >> 64), None if hull is None else _signed(hull & MASK))
-                        for column, value in zip(out, values, strict=False):
-                            column.append(value)
-            rows = pa.array(out[0], pa.int64())
-            kept = [batch.column(batch.schema.names.index(c)).take(rows) for c in ("content", "shape", "alone")]
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(out[1:7], (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)]], names=["content", "shape", "alone", "low", "high", "c1", "c2", "h1", "h2"])
-
-    return phrases_open.mapInArrow(run, "content long, shape int, alone boolean, low int, high int, c1 long, c2 long, h1 long, h2 long")
-
-
-MASK = (1 << 64) - 1
-
-
-def settle(found: DataFrame) -> DataFrame:
-    """``found`` (spans) -> (doc_id, v, first, last) of repeated starts in phrases that occur once."""
-    parts, now, done = found.withColumn("open", F.array(F.struct(F.lit(0).alias("low"), F.lit(SIZE).alias("high")))), None, []
-    for size in BLOCKS:
-        now = cut(blocks(parts, size), "repeat-blocks", free=True)
-        met = now.where("h1 is not null").groupBy("h1", "h2").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b")
-        met = cut(met.select(F.col("h1").alias("m1"), F.col("h2").alias("m2")), "repeat-hulls", free=True)
-        marked = now.join(met, (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2")), "left").withColumn("again", F.col("m1").isNotNull()).drop("m1", "m2", "h1", "h2")
-        marked = cut(marked, "repeat-marked", free=True)
-        done.append(marked.where("alone and again").select("content", "shape", "low", "high"))
-        if size == BLOCKS[-1]:
-            break
-        cores = marked.groupBy("c1", "c2").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.max(F.expr("alone and not again")).alias("needed")).where("a <> b and needed")
-        cores = cut(cores.select("c1", "c2"), "repeat-cores", free=True)
-        left = marked.join(cores, ["c1", "c2"], "left_semi").groupBy("content", "shape").agg(F.collect_list(F.struct("low", "high")).alias("open"))
-        parts = found.join(left, ["content", "shape"])
-    settled = done[0].unionByName(done[1]).unionByName(done[2])
-    place = found.where("alone").select("content", "shape", "doc_id", "v", "trigger")
-    return place.join(settled, ["content", "shape"]).select("doc_id", "v", (F.col("trigger") - F.col("high")).alias("first"), (F.col("trigger") - F.col("low")).alias("last"))
+            get = {c: batch.column(batch.schema.names.index(c)) for c in batch.schema.names}
+            pos, left, least, backs, aheads = (get[c].to_pylist() for c in ("pos", "left", "least", "shared_left", "shared_right"))
+            out: list[list] = [[], [], []]
+            for i, (p, x, y, b, a) in enumerate(zip(pos, left, least, backs, aheads, strict=True)):
+                low, high = max(y, SIZE - a), min(x, b)
+                if low > high:
+                    continue
+                whole = get["back"][i].as_py()[::-1] + get["ahead"][i].as_py()
+                for n in range(low, high + 1):
+                    out[0].append(i)
+                    out[1].append(whole[x - n : x - n + SIZE])
+                    out[2].append(p - n)
+            number = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(out[1], pa.binary()), *[get[c].take(number) for c in ("alone", "doc_id", "v")], pa.array(out[2], pa.int32())], names=["string", "alone", "doc_id", "v", "start"])
+
+    return found.mapInArrow(run, "string binary, alone boolean, doc_id long, v long, start int")
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """(doc_id, v, first, last): ranges of starts of strings that also start elsewhere."""
-    parsed = parse(docs)
-    sides = parsed.groupBy("k").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
-    sides = cut(sides.where("n > 1").select("k", (F.col("low") != F.col("high")).alias("mixed")), "repeat-sides", free=True)
-    hits = cut(parsed.join(sides, "k").select("doc_id", "v", "side", "content", "place", "mixed"), "repeat-phrases", free=True)
-    shape = F.col("place").bitwiseAND(F.lit(0xFFFF)).cast("int")
-    mixed = hits.where("mixed")
-    known = mixed.groupBy("content", shape.alias("shape")).agg(
-        F.greatest(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)), F.sum(F.col("side"))).alias("n"),
-        F.max(F.when(F.col("side") == 0, 1).otherwise(0)).alias("right"),
-        F.max("side").alias("left"),
-        F.min(F.struct("doc_id", "v", "place")).alias("rep"),
-    )
-    known = cut(known, "repeat-dictionary", free=True)
-    wanted = known.select("rep.doc_id", "rep.v", "rep.place", (F.col("right") + 2 * F.col("left")).alias("sides"), (F.col("n") == 1).alias("alone"), "content")
-    single = settle(cut(spans(docs, wanted), "repeat-spans", free=True))
-    first = F.shiftright("place", 16)
-    last = first + F.col("place").bitwiseAND(F.lit(255))
-    same = hits.where("not mixed").select("doc_id", "v", first.alias("first"), last.alias("last"))
-    again = cut(known.where("n > 1").select(F.col("content").alias("c"), F.col("shape").alias("s")), "repeat-again", free=True)
-    again = mixed.join(again, (F.col("content") == F.col("c")) & (shape == F.col("s"))).select("doc_id", "v", first.alias("first"), last.alias("last"))
-    return same.unionByName(again).unionByName(single)
+    keys = parse(docs, key_only=True).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    keys = cut(keys, "repeat-keys", free=True)
+    hits = cut(parse(docs).join(keys, "key", "left_semi"), "repeat-parse", free=True)
+    place = F.struct("doc_id", "v", "pos", "shape", "key")
+    known = hits.groupBy("c1", "c2").agg(F.sum(F.col("more") + 1).alias("n"), F.min(place).alias("rep"))
+    known = cut(known.select("c1", "c2", (F.col("n") == 1).alias("alone"), "rep.*"), "repeat-dictionary", free=True)
+    again = known.where("not alone").select(F.col("c1").alias("a1"), F.col("c2").alias("a2"))
+    settled = hits.join(again, (F.col("c1") == F.col("a1")) & (F.col("c2") == F.col("a2")))
+    last = F.col("pos") + F.col("more") * (_part("left") + 1) - _part("least")
+    settled = settled.select("doc_id", "v", (F.col("pos") - _part("left")).alias("first"), last.alias("last"))
+    entry = known.where(_part("kind") == 0)
+    crowd = entry.groupBy("key").agg(F.min("c1").alias("a"), F.max("c1").alias("b"), F.max("alone").alias("some")).where("a < b and some").select("key")
+    wanted = entry.join(cut(crowd, "repeat-crowds", free=True), "key", "left_semi")
+    found = cut(entries(docs, wanted), "repeat-entries", free=True)
+    found = cut(with_neighbours(found, ["key", "back"], "back", "shared_left", within="key"), "repeat-phrases", free=True)
+    found = cut(with_neighbours(found, ["ahead", "back"], "ahead", "shared_right"), "repeat-suffixes", free=True)
+    strings = cut(open_strings(found), "repeat-strings", free=True)
+    twice = strings.groupBy("string").agg(F.count("*").alias("n"), F.max("alone").alias("some")).where("n > 1 and some").select("string")
+    single = strings.where("alone").join(cut(twice, "repeat-equal", free=True), "string", "left_semi")
+    return settled.unionByName(single.select("doc_id", "v", F.col("start").alias("first"), F.col("start").alias("last")))
+
+
+def merged(starts: np.ndarray) -> list[tuple[int, int]]:
+    """Inclusive ranges (first, last), given as rows, merged where they meet or follow each other."""
+    out: list[list[int]] = []
+    for first, last in sorted(map(tuple, starts.tolist())):
+        if out and first <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], last)
+        else:
+            out.append([first, last])
+    return [tuple(x) for x in out]
 
 
 def cut_out(text: bytes, starts: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -275,7 +370,7 @@ def cut_out(text: bytes, starts: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
-    lists = repeated_starts(docs).groupBy(F.col("doc_id").alias("l_id"), F.col("v").alias("l_v")).agg(F.collect_set(F.struct("first", "last")).alias("starts"))
+    lists = repeated_starts(docs).groupBy(F.col("doc_id").alias("l_id"), F.col("v").alias("l_v")).agg(F.collect_list(F.struct("first", "last")).alias("starts"))
     lists = cut(lists, "repeat-starts", free=True)
     joined = _keyed(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("v") == F.col("l_v")), "left").select("doc_id", "text", "starts")
 
@@ -284,7 +379,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text, starts in zip(*(batch.column(i) for i in range(3)), strict=True):
                 text = text.as_py().encode()
-                kept, runs = cut_out(text, [(s["first"], s["last"]) for s in starts.as_py() or ()])
+                ranges = [] if not starts.is_valid else merged(np.stack([starts.values.field(c).to_numpy() for c in ("first", "last")], axis=1))
+                kept, runs = cut_out(text, ranges)
                 rows.append((doc_id.as_py(), len(text), len(text) - len(kept), runs, kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])

@@ -109,7 +109,7 @@ def test_items_of_all_lengths(spark):
                 continue
             step = 1 if n <= 13 else 24
             parts = (ids[max(0, p - 2 * n) : p + 2 * n + 1] if n <= 13 else ids[max(0, p - n) : p + 48 + n] for p in range(0, max(1, len(ids)), step))
-            if any(slow_common(own.tolist(), p.tolist()) / n >= (0.75 if n <= 13 else 0.6) for p in parts):
+            if any(verdict(own, bit_masks(own), own, bit_masks(own), p) for p in parts):
                 want.add((d, k))
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
@@ -136,6 +136,11 @@ def test_verdicts():
     judge = lambda part: verdict(item, bit_masks(item), answer, bit_masks(answer), np.array(part))
     assert judge(range(1, 25)) == (0.6, False) and judge(range(1, 24)) is None
     assert judge([*range(1, 16), *range(31, 36)]) == (0.5, True) and judge([*range(1, 17), *range(31, 35)]) is None
+    middle = np.arange(1, 21)
+    fair = lambda part: verdict(middle, bit_masks(middle), middle[-4:], bit_masks(middle[-4:]), np.array(part))
+    assert fair([*range(1, 9), 17, 18]) is None and fair([*range(1, 10), 17, 18]) == (0.55, True) and fair([*range(1, 7), 17, 18, 19, 20]) == (0.5, True)
+    long_answer = verdict(middle, bit_masks(middle), middle[8:], bit_masks(middle[8:]), middle[8:])
+    assert long_answer == (0.6, True) and verdict(middle, bit_masks(middle), middle[8:], bit_masks(middle[8:]), middle[9:]) is None
     short = np.arange(1, 11)
     brief = lambda part, a: verdict(short, bit_masks(short), np.array(a, int), {}, np.array(part))
     assert brief(range(1, 8), []) is None and brief(range(1, 9), []) == (0.8, False)

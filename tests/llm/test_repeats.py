@@ -1,7 +1,11 @@
 import random
 from collections import Counter
 
-from recordkeep.llm.repeats import SIZE, SPAN, cut_out, digest, op6_suffix_array_dedup, packed, phrases, unpacked, without_repeats
+import numpy as np
+import pyarrow as pa
+
+from recordkeep.llm import repeats
+from recordkeep.llm.repeats import LEFT, SIZE, SPAN, cut_out, digest, merged, op6_suffix_array_dedup, parsed, shared, with_neighbours, without_repeats
 
 
 def brute(rows):
@@ -19,25 +23,52 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-def test_phrases_cover_each_start_once():
+def test_each_start_belongs_to_one_row():
     rng = random.Random(1)
-    texts = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (0, 199, 200, 201, 1000, 5000)] + [b"z" * 900, b"ab" * 700]
-    got = {}
-    for number, first, last, trigger in phrases(texts):
-        assert last - first < 194 and 0 <= trigger - last and trigger - first <= SIZE - 8
-        assert unpacked(packed(first, last, trigger)) == (first, last, trigger)
-        for s in range(first, last + 1):
-            assert got.setdefault((number, s), trigger - s) == trigger - s
-    assert set(got) == {(n, s) for n, t in enumerate(texts) for s in range(len(t) - SIZE + 1)}
+    texts = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (0, 199, 200, 201, 1000, 5000)] + [b"z" * 900, b"ab" * 700, rng.randbytes(SPAN + 1000)]
+    seen, count = {}, Counter()
+    for rows in parsed(texts):
+        for n, kind, pos, left, right, least, more in zip(*(rows[c].tolist() for c in ("number", "kind", "pos", "left", "right", "least", "more")), strict=True):
+            assert left <= LEFT and right <= SIZE and least <= left
+            count[n] += 1
+            for s in range(pos - left, pos + more * (left + 1) - least + 1):
+                assert seen.setdefault((n, s), (kind, pos - s if not more else None)) and kind in (0, 1)
+    assert set(seen) == {(n, s) for n, t in enumerate(texts) for s in range(len(t) - SIZE + 1)}
+    assert count[6] < 5 and count[7] < 60  # runs take few rows
     by_string = {}
-    for (n, s), place in got.items():
-        assert by_string.setdefault(texts[n][s : s + SIZE], place) == place
+    for (n, s), (kind, place) in seen.items():
+        if n < 6:  # equal strings lie alike around their trigger
+            assert by_string.setdefault(texts[n][s : s + SIZE], (kind, place if kind == 0 else None)) == (kind, place if kind == 0 else None)
+
+
+def test_neighbours(spark):
+    assert shared(pa.array([b"abc", b"abd", b"ab", b"", b"x" * 200, b"x" * 200], pa.binary())).tolist() == [2, 2, 0, 0, 200]
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(3), bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 9)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, key long, back binary").repartition(3)
+    got = {r.i: r.n for r in with_neighbours(df, ["key", "back"], "back", "n", within="key").collect()}
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    best = {i: max(common(b, c) for j, l, c in rows if j != i and l == k) for i, k, b in rows}
+    wrong = [i for i in best if got[i] != best[i]]
+    assert len(wrong) <= 2 and all(got[i] == SIZE for i in wrong)  # the rims are left open
+
+
+def test_merged():
+    assert merged(np.array([(5, 9), (0, 2), (3, 3), (10, 12), (20, 20), (6, 7)])) == [(0, 3), (5, 12), (20, 20)]
 
 
-def test_long_texts_in_parts():
-    text = random.Random(2).randbytes(SPAN + 1000)
-    starts = sorted(s for _, f, x, _ in phrases([text]) for s in (f, x))
-    assert starts[0] == 0 and starts[-1] == len(text) - SIZE
+def test_long_runs_and_parts(spark, monkeypatch):
+    """Texts over several parts, a megabyte of one byte, and bytes without any trigger."""
+    monkeypatch.setattr(repeats, "PER_TASK", 40)
+    rng = random.Random(8)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    quiet = next(c for c in "zyxwvutsrq" if not len(repeats.triggers(np.frombuffer(c.encode() * 50, np.uint8))))
+    far = body[:400] + "".join(rng.choice("ijkl") for _ in range(SPAN + 300)) + body[300:]
+    rows = [(1, "z" * 1_000_000), (2, far), (3, quiet * 450 + body[500:720]), (4, quiet * 199), (5, "no" + quiet * 210)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in without_repeats(df).collect()}
+    # 220 bytes of the long text stand in another; the 100 that it repeats itself are too few
+    assert got == {1: (1_000_000, 1), 2: (220, 1), 3: (450 + 220, 1), 4: (0, 0), 5: (210, 1)}
 
 
 def test_cut_out():
