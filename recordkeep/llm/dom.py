@@ -30,7 +30,8 @@ WORDS = (
     "article content main post entry story body text page wrapper container row "
     "nav menu header masthead footer sidebar side aside rail ad ads advert sponsor sponsored banner promo "
     "notice alert cookie consent popup modal comment comments reply respond discussion share social related recommended "
-    "widget breadcrumb breadcrumbs tags meta form search login signup subscribe newsletter copyright legal caption toolbar pagination"
+    "widget breadcrumb breadcrumbs tags meta form search login signup subscribe newsletter copyright legal caption toolbar pagination "
+    "navigation contentinfo complementary top topbar bottom toc"
 ).split()
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 _WORD_AT = {w: i for i, w in enumerate(WORDS)}

@@ -9,8 +9,10 @@ The trees are fitted on a bounded sample of pages. No labels exist, so the sampl
 their main text by ``article`` or ``main`` are used as they are, and their blocks are set into varied layouts (other
 containers, wrappers, adverts inside the text, reader comments under it) where the answer is known by construction.
 
-Defined cases: null, empty or text-free html gives empty text; unclosed and crossed tags are repaired as browsers do;
-rows repeat as they come; extra columns are ignored; without a single usable page the layouts hold made-up words.
+Defined cases: null, empty or text-free html gives empty text, and so do pages whose nodes all look foreign; unclosed,
+self-closed and crossed tags are repaired as browsers do; very long pages are read whole; of choices that are equally
+likely a node is dropped; rows repeat as they come; extra columns, whatever their names, are ignored; without a single
+usable page the layouts hold made-up words. Pages over 100,000 characters take no part in the fit.
 """
 
 from __future__ import annotations
@@ -30,20 +32,21 @@ from recordkeep.llm.tables import table
 #: Pages that the trees are fitted on, at most.
 FIT_PAGES = 200
 LAYOUTS = 8
+OWN = 4  # times that a page which marks its main text counts
 BLOCKS = 14  # of a page's blocks, those that one training layout uses
 
 # How regions are commonly marked up, (tag, class).
-MAIN = [("article", ""), ("main", ""), ("article", "post"), ("div", "content"), ("div", "post-body"), ("div", "entry-content"), ("div", "article-text"), ("section", "story"), ("div", "main"), ("div", ""), ("section", "")]
+MAIN = [("article", ""), ("main", ""), ("article", "post"), ("div", "content"), ("div", "post-body"), ("div", "entry-content"), ("div", "article-text"), ("section", "story"), ("div", "main"), ("div", ""), ("div", ""), ("section", ""), ("div", "text"), ("div", "entry"), ("div", "page body"), ("section", "text")]
 REGIONS = {
-    "top": [("header", ""), ("div", "header"), ("header", "masthead"), ("div", "banner")],
-    "menu": [("nav", ""), ("div", "menu"), ("ul", "nav"), ("div", "breadcrumbs"), ("nav", "main-menu")],
-    "side": [("aside", ""), ("div", "sidebar"), ("div", "widget"), ("aside", "related"), ("div", "right-rail")],
+    "top": [("header", ""), ("div", "header"), ("header", "masthead"), ("div", "banner"), ("div", ""), ("div", "topbar")],
+    "menu": [("nav", ""), ("div", "menu"), ("ul", "nav"), ("div", "breadcrumbs"), ("nav", "main-menu"), ("div", ""), ("div", "navigation"), ("div", "nav"), ("div", "toc")],
+    "side": [("aside", ""), ("div", "sidebar"), ("div", "widget"), ("aside", "related"), ("div", "right-rail"), ("div", "complementary"), ("div", "widget-area")],
     "ad": [("div", "ad"), ("div", "ads"), ("aside", "advert"), ("div", "sponsored"), ("section", "promo")],
     "notice": [("div", "cookie-notice"), ("div", "alert"), ("section", "consent-popup"), ("div", "notice")],
     "form": [("form", ""), ("form", "subscribe"), ("div", "newsletter"), ("form", "search")],
     "share": [("div", "share"), ("ul", "social"), ("div", "tags"), ("div", "meta")],
     "comments": [("div", "comments"), ("section", "comments"), ("ol", "comment-list"), ("div", "discussion"), ("section", "respond")],
-    "bottom": [("footer", ""), ("div", "footer"), ("footer", "copyright"), ("div", "legal")],
+    "bottom": [("footer", ""), ("div", "footer"), ("footer", "copyright"), ("div", "legal"), ("div", ""), ("div", "contentinfo"), ("div", "bottom")],
 }
 WRAPPERS = ["", "wrapper", "container", "page", "row", "layout", "site"]
 MARKED = {"article", "main"}
@@ -67,7 +70,8 @@ def layout(blocks: list[str], rng: random.Random) -> tuple[str, str]:
     some = lambda a, b: " ".join(rng.choice(pool) for _ in range(rng.randint(a, b)))
 
     def region(kind: str) -> str:
-        tag, name = rng.choice(REGIONS[kind])
+        named = [x for x in REGIONS[kind] if x[0] in FOREIGN]
+        tag, name = rng.choice(named if named and rng.random() < 0.4 else REGIONS[kind])
         item = "li" if tag in ("ul", "ol") else rng.choice(["p", "div", "span"])
         if kind == "menu" or kind == "share" or kind == "side" and rng.random() < 0.5:
             links = [f'<a href="#">{some(1, 4)}</a>' for _ in range(rng.randint(2, 9))]
@@ -95,7 +99,7 @@ def layout(blocks: list[str], rng: random.Random) -> tuple[str, str]:
         return f"{inner}<br><br>" if kind == "bare" else f"<{kind} class=zz>{inner}</{kind}>"
 
     tag, name = rng.choice(MAIN)
-    style = rng.choice(["p", "p", "p", "div", "bare"])
+    style = rng.choice(["p", "p", "p", "div", "div", "bare"])
     parts = [f"<{h} class=zz>{blocks[0][:120]}</{h}>"] if (h := rng.choice(["h1", "h1", "h2", ""])) and blocks else []
     for block in blocks:
         if rng.random() < 0.12:
@@ -103,7 +107,20 @@ def layout(blocks: list[str], rng: random.Random) -> tuple[str, str]:
         parts.append(marked_up(block, style if rng.random() < 0.7 else rng.choice(["p", "ul", "ol", "blockquote", "h2", "h3", "h4", "table", "pre", "div", "section", "figure"])))
     if rng.random() < 0.5:
         parts.append(region(rng.choice(["comments", "share", "bottom", "bottom"])))
-    body = f'<{tag} class="zz {name}">{"".join(parts)}</{tag}>'
+    how = rng.random()
+    if how < 0.14 and len(parts) > 1:  # several containers
+        step = max(1, len(parts) // rng.randint(2, 4))
+        body = "".join(f'<{tag} class="zz {name}">{"".join(parts[i : i + step])}</{tag}>' for i in range(0, len(parts), step))
+    elif how < 0.2 and style != "bare":  # none
+        body = "".join(parts)
+    elif how < 0.28:  # a table that lays out the page
+        menu = f"<td>{region('menu')}</td>" if rng.random() < 0.7 else ""
+        side = f"<td>{region('side')}</td>" if rng.random() < 0.4 else ""
+        return f'<html><body><table><tr><td>{some(1, 6)} <a href="#">{some(1, 2)}</a></td></tr><tr>{menu}<td class=zz>{"".join(parts)}</td>{side}</tr><tr><td>{some(2, 9)}</td></tr></table></body></html>', "zz"
+    else:
+        body = f'<{tag} class="zz {name}">{"".join(parts)}</{tag}>'
+    if how > 0.94:  # nothing around it, or no container either
+        return (body, "zz") if how > 0.97 or style == "bare" else (f"<html><body>{''.join(parts)}</body></html>", "zz")
     after = [region("comments")] if rng.random() < 0.4 else []
     around = [region(k) for k in ("ad", "side", "notice", "form") if rng.random() < 0.35]
     rng.shuffle(around)
@@ -128,14 +145,17 @@ def fit(pages: Iterable[str], layouts: int = LAYOUTS, seed: int = 7) -> Trees:
         truth = marked(page)
         if truth is None:
             continue
-        xs.append(page.features())
-        ys.append(truth)
+        xs += [page.features()] * OWN  # what the pages say themselves outweighs invented layouts
+        ys += [truth] * OWN
         sources.append([b.replace("&", "&amp;").replace("<", "&lt;") for b in page.text(truth).split("\n")])
     made = [[" ".join(rng.choice(("lorem", "ipsum", "dolor", "sit", "amet,")) for _ in range(rng.randint(3, 80))) + "." for _ in range(rng.randint(2, 12))] for _ in range(max(0, 40 - len(sources)))]
     for blocks in sources + made:
         for _ in range(layouts):
             first = rng.randrange(max(1, len(blocks) - BLOCKS))
-            built, mark = layout(blocks[first : first + BLOCKS], rng)
+            part = blocks[first : first + rng.choice((1, 1, 2, 3, 5, 8, BLOCKS, BLOCKS))]
+            if rng.random() < 0.2:  # short articles
+                part = [" ".join(b.split()[: rng.randint(1, 9)]) for b in part[:3]]
+            built, mark = layout(part, rng)
             page = Page(built)
             truth = np.array([mark in n.words for n in page.nodes])
             for n in page.nodes:
