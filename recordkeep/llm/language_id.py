@@ -13,7 +13,8 @@ and only tables that Spark has measured as small are broadcast.
 
 Defined cases: null or empty text gives no text evidence; an address that is null or has no host has an empty host; a
 row with neither letters, a known declared language nor a known suffix is ``und`` with confidence 0; ties go to the
-language that sorts first; rows repeat as they come; without a fitted language everything is ``und``.
+language that sorts first; very long texts are weighed whole; rows repeat as they come and count for their host each;
+extra columns, whatever their names, are ignored; without a fitted language everything is ``und``.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def fit_text_model(docs: DataFrame, rows: int = FIT_ROWS, declared: DataFrame |
     last = F.broadcast(spark.createDataFrame([tuple(r) for r in ranked.groupBy("lang").agg(F.max("o")).collect()], "l_lang string, l_last long"))
     longest = max(1, min(LONGEST, rows * LONGEST // (share * len(every))))
     picked = docs.select(order.alias("o"), F.substring("text", 1, longest).alias("text"), own.alias("lang")).join(last, F.col("lang") == F.col("l_lang")).where("o <= l_last")
-    found = picked.select("o", "text", "lang").limit(2 * share * len(every)).collect()  # ids may repeat
+    found = picked.select("o", "text", "lang").orderBy("o", F.xxhash64("text")).limit(2 * share * len(every)).collect()  # ids may repeat
     return TextModel.fit(((r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["o"], str(r["text"])))), {*every, *more})
 
 

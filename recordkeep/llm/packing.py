@@ -15,7 +15,9 @@ the count of shards grows with the corpus, the work in each does not. Bins lie w
 can be dealt over all of them. Only (doc_id, source, length, text hash, fingerprint) and distinct fingerprints move.
 
 Defined cases: a document without words gets one row with length 0 and no bin; null sources are a source of their own;
-null ids pack like others; rows that repeat are packed once each and are one cluster; extra columns are ignored.
+null ids pack like others; rows that repeat are packed once each and are one cluster; a very long text fills sequences of
+its own; rests of equal length are packed by id, then text hash, bins of equal residual by age; extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ and without ever stepping back. Words are maximal runs without ASCII white space
 space, as byte-level vocabularies mark word starts. A word that the vocabulary cannot cover counts as one piece and as
 one unknown. Words repeat, so each task remembers counts in a table of bounded size.
 
-Defined cases: null or empty text has no words and no pieces; rows repeat as they come; extra columns are ignored.
+Defined cases: null or empty text has no words and no pieces; a very long text is counted whole and a very long word in
+time linear in it; of pieces that match, the longest is taken, so there are no ties; rows repeat as they come; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ are trained through the noisy-or from document labels (gradient steps on a bound
 start at features that toxic documents hold much more often than others. Because sentences are scored, the sentences
 that make a document toxic come out with it.
 
-Defined cases: null or empty text has no sentence and gets the score of the empty noisy-or, 0; without labelled rows
+Defined cases: a very long text is scored whole, sentence by sentence, but only its first 4,000,000 characters may take
+part in the fit, which holds 40,000,000 characters at most; sentences that tie all come out; extra columns, whatever
+their names, are ignored; null or empty text has no sentence and gets the score of the empty noisy-or, 0; without labelled rows
 of both kinds every score is 0; rows repeat as they come; labels, lang, source and doc_id are no inputs of a score.
 """
 
@@ -139,16 +141,15 @@ def held_out(doc_id) -> F.Column:
 def fit_model(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Fit on at most ``rows`` labelled documents that are not held out, and FIT_CHARS characters of them."""
     labelled = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").where(~held_out(F.col("doc_id"))).distinct()
-    sample = cut(lowest(labelled, "doc_id", rows), "toxicity-labels")  # at most ``rows`` pairs, so texts need not move to them
-    chosen = docs.select("doc_id", F.substring("text", 1, LONGEST).alias("text")).join(F.broadcast(sample), "doc_id").where("text is not null").limit(2 * rows)
-    found = cut(chosen.withColumn("size", F.length("text")), "toxicity-fit")
-    order = F.xxhash64("doc_id")
+    sample = cut(lowest(labelled, "doc_id", rows), "toxicity-labels")  # at most 2 x ``rows`` pairs, so texts need not move to them
+    chosen = docs.select("doc_id", F.substring("text", 1, LONGEST).alias("text")).join(F.broadcast(sample), "doc_id").where("text is not null")
+    found = cut(chosen.select("*", F.length("text").alias("size"), F.xxhash64("doc_id").alias("o"), F.xxhash64("text", "toxic").alias("h")).dropDuplicates(["o", "h"]), "toxicity-fit")
     total, last = 0, None
-    for at, size in found.select(order.alias("o"), "size").groupBy("o").agg(F.sum("size")).orderBy("o").collect():
-        if last is not None and total + size > FIT_CHARS:
+    for at, text, size in found.select("o", "h", "size").orderBy("o", "h").limit(2 * rows).collect():  # narrow rows
+        if total + size > FIT_CHARS:
             break
-        total, last = total + size, at
-    kept = found.where(order <= last).collect() if last is not None else []
+        total, last = total + size, (at, text)
+    kept = found.where((F.col("o") < last[0]) | (F.col("o") == last[0]) & (F.col("h") <= last[1])).collect() if last is not None else []
     return fit((r["text"], r["toxic"]) for r in sorted(kept, key=lambda r: (r["doc_id"], r["text"], r["toxic"])))
 
 

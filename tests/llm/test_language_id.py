@@ -103,3 +103,57 @@ def test_rare_languages_are_known(spark):
     pages = [(1, "http://a.example.com/", page("zu", "日本語の文章です")), (2, "http://a.example.com/", page("zu", text("fr", 60, rng))), (3, "http://b.example.com/", "日本語の文章です"), (4, "http://c.example.com/sw/", page("sw", ""))]
     got = {r.id: r.lang for r in page_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), m).collect()}
     assert got[1] == "zu" and got[2] == "fr" and got[3] not in ("sw", "zu") and got[4] == "sw"
+
+
+def test_posterior_against_plain_loops(spark):
+    """Evidence, grouped counts, smoothed priors and the fused posterior, recomputed row by row without Spark."""
+    rng, m = random.Random(17), model()
+    k, langs, smoothing = len(m.languages), m.languages, 5.0
+    rows = []
+    for i in range(120):
+        lang = rng.choice(langs)
+        host = rng.choice(["a.x.org", "b.x.org", "c.y.net", ""])
+        said = lambda: rng.choice([None, lang, lang, rng.choice(langs)])  # noqa: B023, E731
+        body = rng.choice([text(lang, rng.choice([1, 3, 30]), rng), "12 34", None])
+        rows.append((i // 2, i, body, host, ".".join(host.split(".")[-2:]), said(), said()))
+    df = spark.createDataFrame(rows, "id long, version long, text string, host string, domain string, declared string, suffix string").repartition(4)
+    got = {r.version: (r.lang, r.confidence) for r in language_id(df, m, smoothing=smoothing).collect()}
+    share, best, cells = {}, {}, {}
+    for _, v, body, *_ in rows:
+        n, cells[v] = m.loglik(body or "")
+        p = np.exp(cells[v] - cells[v].max())
+        share[v], best[v] = (p / p.sum(), langs[int(cells[v].argmax())]) if n else (np.zeros(k), None)
+    overall = sum(share.values())
+    base = (overall + 1) / (overall.sum() + k)
+    table = {}
+    for part in (5, 6):
+        counts = np.ones((k, k))
+        for r in rows:
+            if r[part] and best[r[1]]:
+                counts[langs.index(r[part]), langs.index(best[r[1]])] += 1
+        table[part] = np.log(counts / counts.sum(axis=0))
+    for r in rows:
+        v = r[1]
+        at_host = sum(share[x[1]] for x in rows if x[3] == r[3]) - share[v]
+        at_domain = sum(share[x[1]] for x in rows if x[4] == r[4]) - share[v]
+        domain = (at_domain + smoothing * base) / (at_domain.sum() + smoothing)
+        value = cells[v] + np.log((at_host + smoothing * domain) / (at_host.sum() + smoothing))
+        for part in (5, 6):
+            if r[part]:
+                value = value + table[part][langs.index(r[part])]
+        post = np.exp(value - value.max())
+        post /= post.sum()
+        if not (best[v] or r[5] or r[6]):
+            assert got[v] == ("und", 0.0)
+            continue
+        assert abs(got[v][1] - post.max()) < 1e-9 and (got[v][0] == langs[int(post.argmax())] or np.sort(post)[-1] - np.sort(post)[-2] < 1e-9)
+
+
+def test_very_long_and_tied_texts(spark):
+    rng, m = random.Random(19), model()
+    long = text("fr", 200_000, rng)
+    kinds = "id long, version long, text string, host string, domain string, declared string, suffix string"
+    one = language_id(spark.createDataFrame([(1, 1, long, "h", "", None, None)], kinds), m).first()
+    assert (one.lang, one.text_lang) == ("fr", "fr")
+    tied = language_id(spark.createDataFrame([(2, 2, "", "k", "", "fr", "en")], kinds), m).first()  # says nothing of any language yet
+    assert (tied.lang, tied.text_lang) == ("de", None) and abs(tied.confidence - 1 / 3) < 1e-9
