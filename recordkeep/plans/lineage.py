@@ -12,10 +12,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[int, list[str]] = {}
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _own: list[str] = []
 
 
@@ -44,7 +46,18 @@ def cut(df: DataFrame, name: str = "cut", free: bool = False) -> DataFrame:
     if free:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete tables that :func:`cut` returned, before :func:`release` would; only what was written from them stays."""
+    for df in cuts:
+        if path := _path_of.pop(df, None):
+            spark = df.sparkSession
+            delete(spark, path)
+            _written[id(spark)].remove(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

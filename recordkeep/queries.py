@@ -162,7 +162,7 @@ _GROUPS = "SELECT o_custkey AS prefix, count(*) AS n, strftime(min(o_orderdate),
 
 @query(_GROUPS)
 def group_rollup(spark, sf):
-    return records.in_group_order(records.build_groups(orders(spark, sf)))
+    return records.build_groups(orders(spark, sf))
 
 
 @query(f"SELECT * FROM ({_GROUPS}) ORDER BY latest_date DESC, prefix LIMIT 6")
@@ -477,7 +477,7 @@ def _overrides(spark, sf):
     return _t(spark, sf, "supplier").select(F.concat(F.lit("CUST-"), F.col("s_suppkey").cast("string")).alias("code"), (F.col("s_suppkey") + 1).alias("id"))
 
 
-_SYNC = "SELECT 'ORD-' || o_orderkey AS code, o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 0 WHEN strftime(o_orderdate, '%Y-%m-%d') < '2001-05-04' THEN 1 ELSE 2 END AS urgency, CASE WHEN o_orderstatus <> 'F' THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS t FROM orders"
+_SYNC = "SELECT 'ORD-' || o_orderkey AS code, o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 0 WHEN strftime(o_orderdate, '%Y-%m-%d') < '2001-05-04' THEN 1 ELSE 2 END AS urgency, CASE WHEN o_orderstatus <> 'F' THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS t FROM orders WHERE o_orderkey > 0"
 
 
 @query(f"SELECT code, urgency FROM ({_SYNC}) WHERE urgency < 2")

@@ -31,13 +31,16 @@ def test_no_product_of_rows(spark, name):
 
 
 def test_scratch_and_shared_folder(spark):
-    from recordkeep.plans.lineage import scratch, shared_dir
+    from recordkeep.plans.lineage import discard, scratch, shared_dir
 
     outer = cut(spark.range(3).toDF("id"), "outer")
     with scratch(spark):
         inner = cut(spark.range(4).toDF("id"), "inner")
         assert inner.count() == 4
     assert outer.count() == 3 and not os.path.exists(inner.inputFiles()[0].removeprefix("file://"))
+    where = outer.inputFiles()[0].removeprefix("file://")
+    discard(outer, outer)
+    assert not os.path.exists(where)
     known = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark) == known.rstrip("/")
 
