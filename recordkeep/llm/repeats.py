@@ -1,8 +1,9 @@
 """Suffix-array dedup by prefix-free parsing: bytes under a 200-byte string that also starts elsewhere are removed.
 
-Texts are cut into phrases at *triggers*, places whose rolling hash is zero modulo PERIOD, so equal strings are cut
-alike. A string belongs to the first trigger in it: it consists of the end of the phrase before that trigger, its *left*
-part, and of 200 bytes less that behind the trigger, its *right* part. All strings of a trigger together are its context.
+Texts are cut into phrases at *triggers*, chosen by a rolling hash alone, so equal strings are cut alike. A trigger is the
+smallest hash of an 8-byte window among WIDTH neighbouring ones rather than one that is zero modulo a number: phrases are
+then never long, and each string has a trigger among its first WIDTH places. The string consists of a *left* part before
+it, the end of a phrase, and of a *right* part from it on. All strings of a trigger together are its context.
 
 1. *Parse.* Every trigger gives a hash of the first bytes behind it and a 128-bit hash of its whole context. A partial
    aggregation leaves triggers whose beginnings occur twice, which almost none of unique text does. Of triggers that
@@ -17,8 +18,7 @@ part, and of 200 bytes less that behind the trigger, its *right* part. All strin
    where repeated passages begin. These are brought into one order with their bytes; equal neighbours are repeated.
 
 Both orders are sorts over range partitions, whose tasks compare each row with its neighbours as they stream by; at the
-rim of a partition the bound is left open, so no result depends on where partitions end. Strings with no trigger in
-their first LEFT bytes lie inside long phrases; they are few, and compared by 128-bit hashes as they are.
+rim of a partition the bound is left open, so no result depends on where partitions end.
 
 Strings are judged on the input; the starts found are gathered per document and the text is cut once.
 
@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordkeep.llm.tables import table
-from recordkeep.plans.lineage import cut
+from recordkeep.llm.tables import hash128, table
+from recordkeep.plans.lineage import cut, discard
 
 SIZE = 200
 GRAM = 8
-PERIOD = 32  # mean bytes of a phrase
-LEFT = 152  # bytes of the longest left part; the bytes behind a trigger that are hashed first are what is then left
+WIDTH = 160  # places that a trigger is the smallest of; one of about 80 is one
+LEAST = SIZE - WIDTH + 1  # bytes from the trigger on that every string of it has
 SPAN = 1 << 21  # bytes that are parsed at once
 PER_TASK = 50_000  # dictionary entries that one task sorts
 
@@ -92,20 +92,24 @@ class Windows:
 
 
 def triggers(buffer: np.ndarray) -> np.ndarray:
-    """Places at which a GRAM-byte window's hash is zero modulo PERIOD."""
+    """For each place of ``buffer`` the trigger of a string that starts there: the smallest window hash, of equal ones the first."""
     n = len(buffer)
-    if n < GRAM:
-        return np.empty(0, np.int64)
     grams = np.empty(n - GRAM + 1, np.uint64)
     for k in range(GRAM):
-        view = buffer[k : k + (n - k) // GRAM * GRAM].view("<u8")
-        grams[k::GRAM] = view
-    return np.flatnonzero((_mixed(grams) >> np.uint64(33)) % np.uint64(PERIOD) == 0)
+        grams[k::GRAM] = buffer[k : k + (n - k) // GRAM * GRAM].view("<u8")
+    low = (_mixed(grams) & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(grams), dtype=np.uint64)
+    have = 1
+    while have * 2 <= WIDTH:
+        low = np.minimum(low[:-have], low[have:])
+        have *= 2
+    if have < WIDTH:
+        low = np.minimum(low[: have - WIDTH], low[WIDTH - have :])
+    return (low & np.uint64(0xFFFFFF)).astype(np.int64)
 
 
-#: Columns of a parse: text number, kind (0 trigger, 1 string without one), place, left, right, least (left bytes of its
-#: shortest string), more (repetitions behind it), key, c1, c2 (context).
-FIELDS = ("number", "kind", "pos", "left", "right", "least", "more", "key", "c1", "c2")
+#: Columns of a parse: text number, place of the trigger, left (bytes of its longest left part), right (bytes behind it),
+#: least (bytes of its shortest left part), more (repetitions behind it), key, c1, c2 (context).
+FIELDS = ("number", "pos", "left", "right", "least", "more", "key", "c1", "c2")
 
 
 def parsed(texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
@@ -128,53 +132,29 @@ def parsed(texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
 
 def _parsed(group: list[tuple[int, int, int, bytes]]) -> dict[str, np.ndarray]:
     buffer = np.frombuffer(b"".join(g[3] for g in group), np.uint8)
-    windows = Windows(buffer)
+    windows, at = Windows(buffer), triggers(buffer)
     ends = np.cumsum([len(g[3]) for g in group])
     begins = ends - np.array([len(g[3]) for g in group])
     own = begins + np.array([g[2] for g in group])  # starts before this belong to the part
     number, shift = np.array([g[0] for g in group]), np.array([g[1] for g in group]) - begins
-    at = triggers(buffer)
-    owner = np.searchsorted(begins, at, side="right") - 1
-    inside = at + GRAM <= ends[owner]
-    at, owner = at[inside], owner[inside]
-    first = np.ones(len(at), bool)
-    first[1:] = owner[1:] != owner[:-1]
-    before = np.where(first, begins[owner] - 1, np.concatenate([[0], at[:-1]])) if len(at) else at
-    out = []
-    # strings with a trigger in reach
-    low, high = np.maximum(before + 1, at - LEFT), np.minimum(at, own[owner] - 1)
-    ok = low <= high
-    t, o, low, high = at[ok], owner[ok], low[ok], high[ok]
-    right = np.minimum(SIZE, ends[o] - t)
+    valid = np.zeros(len(at) + 1, np.int8)
+    valid[begins], valid[own] = 1, valid[own] - 1
+    valid = np.cumsum(valid[:-1]) > 0
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    new[begins] = True
+    low = np.flatnonzero(new & valid)
+    o = np.searchsorted(begins, low, side="right") - 1
+    high = np.minimum(np.append(low[1:], len(at)), own[o]) - 1
+    t = at[low]
     left, least = t - low, t - high
+    right = np.minimum(SIZE - least, ends[o] - t)
     shape = (left << 16) | (right << 8) | least
     context = [windows.hash(low, t + right, w, shape) for w in (0, 1)]
-    row = {"number": number[o], "kind": np.zeros(len(t), np.int64), "pos": t + shift[o], "left": left, "right": right, "least": least}
     same = np.zeros(len(t), bool)
     same[1:] = (context[0][1:] == context[0][:-1]) & (context[1][1:] == context[1][:-1]) & (o[1:] == o[:-1]) & (np.diff(t) == left[1:] + 1) & (least[1:] == 0)
-    out.append(_without_runs(row | {"key": windows.hash(t, t + SIZE - LEFT, 0, 1), "c1": context[0], "c2": context[1]}, same))
-    # strings without
-    gap_from = np.concatenate([before + 1, _behind(at, owner, begins)])
-    gap_end = np.concatenate([np.minimum(at - LEFT, own[owner]), own])  # starts before this have none within LEFT bytes
-    gap_part = np.concatenate([owner, np.arange(len(group))])
-    size = np.maximum(gap_end - gap_from, 0)
-    s = np.repeat(gap_from - np.cumsum(size) + size, size) + np.arange(size.sum())
-    o = np.repeat(gap_part, size)
-    order = np.argsort(s, kind="stable")
-    s, o = s[order], o[order]
-    c = [windows.hash(s, s + SIZE, w, 2) for w in (0, 1)]
-    zero = np.zeros(len(s), np.int64)
-    same = np.zeros(len(s), bool)
-    same[1:] = (c[0][1:] == c[0][:-1]) & (c[1][1:] == c[1][:-1]) & (o[1:] == o[:-1]) & (np.diff(s) == 1)
-    out.append(_without_runs({"number": number[o], "kind": zero + 1, "pos": s + shift[o], "left": zero, "right": zero, "least": zero, "key": c[0], "c1": c[0], "c2": c[1]}, same))
-    return {f: np.concatenate([x[f] for x in out]) for f in FIELDS}
-
-
-def _behind(at: np.ndarray, owner: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """The first place behind the last trigger of each part."""
-    out = begins.copy()
-    np.maximum.at(out, owner, at + 1)
-    return out
+    rows = {"number": number[o], "pos": t + shift[o], "left": left, "right": right, "least": least, "key": windows.hash(t, t + LEAST, 0, 1), "c1": context[0], "c2": context[1]}
+    return _without_runs(rows, same)
 
 
 def _without_runs(rows: dict[str, np.ndarray], same: np.ndarray) -> dict[str, np.ndarray]:
@@ -193,7 +173,7 @@ PARSED = "doc_id long, v long, shape long, pos int, more int, key long, c1 long,
 
 
 def parse(docs: DataFrame, key_only: bool = False) -> DataFrame:
-    """(doc_id, v, shape, pos, more, key, c1, c2); with ``key_only`` (key, n) alone. ``shape`` packs kind, left, right and least."""
+    """(doc_id, v, shape, pos, more, key, c1, c2); with ``key_only`` (key, n) alone. ``shape`` packs left, right and least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +186,7 @@ def parse(docs: DataFrame, key_only: bool = False) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([key, pa.array(rows["more"] + 1)], names=["key", "n"])
                         continue
                     number = pa.array(rows["number"])
-                    shape = (rows["kind"] << 24) | (rows["left"] << 16) | (rows["right"] << 8) | rows["least"]
+                    shape = (rows["left"] << 16) | (rows["right"] << 8) | rows["least"]
                     cells = [pa.array(shape), pa.array(rows["pos"].astype(np.int32)), pa.array(rows["more"].astype(np.int32)), key, pa.array(rows["c1"].view(np.int64)), pa.array(rows["c2"].view(np.int64))]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(number), part.column(1).take(number), *cells], names=[c.split()[0] for c in PARSED.split(", ")])
 
@@ -215,7 +195,7 @@ def parse(docs: DataFrame, key_only: bool = False) -> DataFrame:
 
 def _part(name: str):
     """A field of ``shape``."""
-    at, bits = {"kind": (24, 8), "left": (16, 8), "right": (8, 8), "least": (0, 8)}[name]
+    at, bits = {"left": (16, 8), "right": (8, 8), "least": (0, 8)}[name]
     return F.shiftright("shape", at).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
@@ -316,39 +296,64 @@ def open_strings(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "string binary, alone boolean, doc_id long, v long, start int")
 
 
+STARTS = "l_id long, l_v long, firsts array<int>, lasts array<int>"
+
+
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """(doc_id, v, first, last): ranges of starts of strings that also start elsewhere."""
-    keys = parse(docs, key_only=True).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    keys = cut(keys, "repeat-keys", free=True)
-    hits = cut(parse(docs).join(keys, "key", "left_semi"), "repeat-parse", free=True)
+    """(l_id, l_v, firsts, lasts): per document the ranges of starts of strings that also start elsewhere, in order."""
+    keys = cut(parse(docs, key_only=True).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "repeat-keys", free=True)
+    rows = cut(parse(docs).join(keys, "key", "left_semi"), "repeat-triggers", free=True)
+    # A document's triggers in one row: no more than its text has. They need not move again.
+    hits = cut(rows.groupBy("doc_id", "v").agg(F.collect_list(F.struct("pos", "shape", "more", "key", "c1", "c2")).alias("t")), "repeat-parse", free=True)
+    discard(keys, rows)
     place = F.struct("doc_id", "v", "pos", "shape", "key")
-    known = hits.groupBy("c1", "c2").agg(F.sum(F.col("more") + 1).alias("n"), F.min(place).alias("rep"))
+    known = hits.select("doc_id", "v", F.inline("t")).groupBy("c1", "c2").agg(F.sum(F.col("more") + 1).alias("n"), F.min(place).alias("rep"))
     known = cut(known.select("c1", "c2", (F.col("n") == 1).alias("alone"), "rep.*"), "repeat-dictionary", free=True)
-    again = known.where("not alone").select(F.col("c1").alias("a1"), F.col("c2").alias("a2"))
-    settled = hits.join(again, (F.col("c1") == F.col("a1")) & (F.col("c2") == F.col("a2")))
-    last = F.col("pos") + F.col("more") * (_part("left") + 1) - _part("least")
-    settled = settled.select("doc_id", "v", (F.col("pos") - _part("left")).alias("first"), last.alias("last"))
-    entry = known.where(_part("kind") == 0)
-    crowd = entry.groupBy("key").agg(F.min("c1").alias("a"), F.max("c1").alias("b"), F.max("alone").alias("some")).where("a < b and some").select("key")
-    wanted = entry.join(cut(crowd, "repeat-crowds", free=True), "key", "left_semi")
-    found = cut(entries(docs, wanted), "repeat-entries", free=True)
-    found = cut(with_neighbours(found, ["key", "back"], "back", "shared_left", within="key"), "repeat-phrases", free=True)
-    found = cut(with_neighbours(found, ["ahead", "back"], "ahead", "shared_right"), "repeat-suffixes", free=True)
-    strings = cut(open_strings(found), "repeat-strings", free=True)
-    twice = strings.groupBy("string").agg(F.count("*").alias("n"), F.max("alone").alias("some")).where("n > 1 and some").select("string")
-    single = strings.where("alone").join(cut(twice, "repeat-equal", free=True), "string", "left_semi")
-    return settled.unionByName(single.select("doc_id", "v", F.col("start").alias("first"), F.col("start").alias("last")))
-
-
-def merged(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Inclusive ranges (first, last), given as rows, merged where they meet or follow each other."""
-    out: list[list[int]] = []
-    for first, last in sorted(map(tuple, starts.tolist())):
-        if out and first <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], last)
-        else:
-            out.append([first, last])
-    return [tuple(x) for x in out]
+    crowd = known.groupBy("key").agg(F.min("c1").alias("a"), F.max("c1").alias("b"), F.max("alone").alias("some")).where("a < b and some").select("key")
+    crowd = cut(crowd, "repeat-crowds", free=True)
+    found = cut(entries(docs, known.join(crowd, "key", "left_semi")), "repeat-entries", free=True)
+    phrases = cut(with_neighbours(found, ["key", "back"], "back", "shared_left", within="key"), "repeat-phrases", free=True)
+    discard(crowd, found)
+    suffixes = cut(with_neighbours(phrases, ["ahead", "back"], "ahead", "shared_right"), "repeat-suffixes", free=True)
+    discard(phrases)
+    strings = cut(open_strings(suffixes), "repeat-strings", free=True)
+    discard(suffixes)
+    twice = strings.groupBy("string").agg(F.count("*").alias("n"), F.max("alone").alias("some")).where("n > 1 and some")
+    word = [h.alias(n) for h, n in zip(hash128(F.col("string")), ("x1", "x2"), strict=True)]  # of strings that were equal byte by byte
+    twice = cut(twice.select(*word), "repeat-equal", free=True)
+    single = strings.where("alone").select("doc_id", "v", "start", *word).join(twice, ["x1", "x2"], "left_semi").groupBy(F.col("doc_id").alias("s_id"), F.col("v").alias("s_v")).agg(F.collect_list("start").alias("single"))
+    single = cut(single, "repeat-single", free=True)
+    discard(strings, twice)
+    alone = known.where("alone").groupBy(F.col("doc_id").alias("a_id"), F.col("v").alias("a_v")).agg(F.collect_list("pos").alias("alone"))
+    own = hits.select("doc_id", "v", "t.pos", "t.shape", "t.more")
+    own = own.join(alone, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("v") == F.col("a_v")), "left").join(single, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("v") == F.col("s_v")), "left")
+    starts = cut(own.select("doc_id", "v", "pos", "shape", "more", "alone", "single").mapInArrow(_settled, STARTS), "repeat-starts", free=True)
+    discard(hits, known, single)
+    return starts
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All strings of entries that occur twice, and the single strings found, as ranges per document."""
+    for batch in batches:
+        firsts, lasts = [], []
+        for i in range(batch.num_rows):
+            pos, shape, more, alone, single = (np.asarray(batch.column(c)[i].values, np.int64) if batch.column(c)[i].is_valid else np.empty(0, np.int64) for c in range(2, 7))
+            stay = ~np.isin(pos, alone)
+            pos, shape, more = pos[stay], shape[stay], more[stay]
+            left, least = shape >> 16 & 255, shape & 255
+            first, last = merged(np.concatenate([pos - left, single]), np.concatenate([pos + more * (left + 1) - least, single]))
+            firsts.append(first)
+            lasts.append(last)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(firsts, pa.list_(pa.int32())), pa.array(lasts, pa.list_(pa.int32()))], names=["l_id", "l_v", "firsts", "lasts"])
+
+
+def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inclusive ranges merged where they meet or follow each other."""
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(last[order]) if len(last) else last
+    new = np.ones(len(first), bool)
+    new[1:] = first[1:] > reach[:-1] + 1
+    return first[new], np.append(reach[:-1][new[1:]], reach[-1:])
 
 
 def cut_out(text: bytes, starts: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -370,17 +375,15 @@ def cut_out(text: bytes, starts: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
-    lists = repeated_starts(docs).groupBy(F.col("doc_id").alias("l_id"), F.col("v").alias("l_v")).agg(F.collect_list(F.struct("first", "last")).alias("starts"))
-    lists = cut(lists, "repeat-starts", free=True)
-    joined = _keyed(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("v") == F.col("l_v")), "left").select("doc_id", "text", "starts")
+    lists = repeated_starts(docs)
+    joined = _keyed(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("v") == F.col("l_v")), "left").select("doc_id", "text", "firsts", "lasts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, starts in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for doc_id, text, firsts, lasts in zip(*(batch.column(i) for i in range(4)), strict=True):
                 text = text.as_py().encode()
-                ranges = [] if not starts.is_valid else merged(np.stack([starts.values.field(c).to_numpy() for c in ("first", "last")], axis=1))
-                kept, runs = cut_out(text, ranges)
+                kept, runs = cut_out(text, list(zip(firsts.as_py() or (), lasts.as_py() or (), strict=True)))
                 rows.append((doc_id.as_py(), len(text), len(text) - len(kept), runs, kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
