@@ -62,11 +62,14 @@ ANSWER = re.compile(r"(?is)\banswer\s*:\s*(.+)$")
 OUT = "doc_id long, version long, item_id long, cosine double, common double, answered boolean"
 
 
+PUNCTUATION = ".,;:!?()\"'|"
+
+
 def norm(word: str) -> str:
     word = word.lower()
     if word.isalnum():
         return word
-    word = word.strip(".,;:!?()\"'|")
+    word = word.strip(PUNCTUATION)
     return word if word.isalnum() else "".join(filter(str.isalnum, word))
 
 
@@ -106,6 +109,7 @@ class Codes(dict):
     def __init__(self, vocabulary: dict[str, int], limit: int = 500_000):
         super().__init__()
         self.vocabulary, self.limit = vocabulary, limit
+        self.words = pa.array(list(vocabulary), pa.string())  # in the order of their ids, which start at 1
 
     def __missing__(self, raw: str) -> int:
         word = norm(raw)
@@ -131,7 +135,13 @@ def word_ids(texts: pa.Array, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words of ``texts``, one text behind another, and where each text starts; a word is looked up once."""
     split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
     words = split.flatten().dictionary_encode()
-    table = np.fromiter(map(codes.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+    # ASCII words that are alphanumeric but for punctuation around them need no Python; norm() says the same of them.
+    raw = words.dictionary
+    bare = pc.ascii_trim(pc.ascii_lower(raw), PUNCTUATION)
+    plain = pc.and_(pc.string_is_ascii(raw), pc.ascii_is_alnum(bare)).to_numpy(zero_copy_only=False)
+    table = pc.fill_null(pc.index_in(bare, value_set=codes.words), -1).to_numpy().astype(np.int64) + 1
+    rest = np.flatnonzero(~plain)
+    table[rest] = np.fromiter(map(codes.__getitem__, raw.take(pa.array(rest)).to_pylist()), np.int64, len(rest))
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
     return table[words.indices.to_numpy()] if len(words) else np.empty(0, np.int64), ends
 

@@ -123,7 +123,7 @@ def test_words_are_split_whole(spark):
     """Pieces of a batch, leading and trailing blanks, nulls and a very long text give the words of the whole."""
     rng = random.Random(12)
     words = [f"w{i}" for i in range(40)]
-    texts = [None, "", "  ", " a  b\n", "w1, W2! -- w3", " ".join(rng.choice(words) for _ in range(400_000)), "\u3000w1\u00a0w2 "]
+    texts = [None, "", "  ", " a  b\n", "w1, W2! -- w3", "(W4) \"w5\" w-6 w7's ẃ8 W9É w10É. É ... |w11| w12;w13", " ".join(rng.choice(words) for _ in range(400_000)), "\u3000w1\u00a0w2 "]
     items = Items([(1, " ".join(words))])
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(1)
     got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in decontam.encoded(df, items).collect()}
