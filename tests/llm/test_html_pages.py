@@ -48,7 +48,7 @@ def marked_page(rng):
 
 
 def test_hand_written_pages():
-    """None of these pages was used to shape the layouts; most have neither ``article`` nor ``main``."""
+    """No layout was copied from these pages; most have neither ``article`` nor ``main``."""
     rng = random.Random(31)
     trees = fit([marked_page(rng) for _ in range(150)])
     right = 0
