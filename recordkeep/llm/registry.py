@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordkeep.llm import decontam, html_text, language_id, line_dedup, packing, repeats, simhash, token_counts, topk, toxicity
+from recordkeep.llm import decontam, html_text, language_id, line_dedup, packing, quality, repeats, simhash, token_counts, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_html_text": html_text.op8_html_text,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_language_id": language_id.op10_language_id,
+        "op11_quality": quality.op11_quality,
     }
 
 
