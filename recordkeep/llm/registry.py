@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordkeep.llm import decontam, html_text, language_id, line_dedup, packing, quality, repeats, simhash, token_counts, topk, toxicity
+from recordkeep.llm import decontam, html_text, language_id, line_dedup, merkle, packing, quality, repeats, simhash, token_counts, topk, toxicity
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_language_id": language_id.op10_language_id,
         "op11_quality": quality.op11_quality,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op5_exact_topk": topk.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op5_exact_topk": topk.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
