@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordkeep.llm import decontam, html_text, language_id, line_dedup, merkle, packing, quality, repeats, simhash, token_counts, topk, toxicity
+from recordkeep.llm import decontam, html_text, language_id, line_dedup, merkle, packing, quality, repeats, simhash, spelling, token_counts, topk, toxicity
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_language_id": language_id.op10_language_id,
         "op11_quality": quality.op11_quality,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op5_exact_topk": topk.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op5_exact_topk": topk.ORACLE, "op12_merkle_manifest": merkle.ORACLE, "op13_spelling_variants": spelling.ORACLE}
