@@ -618,4 +618,4 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return records.in_group_order(rolled.join(counted, "customer"), "customer")
 
 
-from recordkeep import queries_gates, queries_merge, queries_values  # noqa: E402, F401  they register their queries
+from recordkeep import queries_gates, queries_keep, queries_merge, queries_values  # noqa: E402, F401  they register their queries

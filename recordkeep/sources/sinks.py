@@ -1,4 +1,4 @@
-"""Publishing: snapshot tables under an id, a pointer written last, hashes, logs and the exported document."""
+"""Publishing: snapshot tables in folders of their own, a version created last, hashes, logs and the exported document."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordkeep.functions.text import fingerprint
+from recordkeep.sources import versions
 
 
 def row_words(text: Column) -> list[Column]:
@@ -42,35 +43,29 @@ def document_lines(records: DataFrame, groups: DataFrame, header: dict) -> DataF
     return top.unionByName(lines).orderBy("place.part", F.desc("place.latest_date"), "place.prefix").select("value")
 
 
-def publish(spark: SparkSession, root: str, snapshot_id: str, tables: dict[str, DataFrame], violations: DataFrame | None = None, dry_run: bool = False) -> bool:
-    """All tables under ``snapshot_id=...``, then the pointer; nothing if a gate found anything or on a dry run.
+def publish(spark: SparkSession, root: str, snapshot_id: str, tables: dict[str, DataFrame], violations: DataFrame | None = None, dry_run: bool = False, base: int | None = None) -> bool:
+    """All tables in a folder of their own, then the next version; nothing if a gate found anything or on a dry run.
 
-    Readers only follow the pointer, so a run that dies half-way leaves no visible trace.
+    ``base`` is the version that the refresh started from, the newest unless given: if another refresh has published
+    on it meanwhile, :class:`versions.Conflict` is raised and nothing of this one stays. Readers only follow versions,
+    so a run that dies half-way leaves no visible trace.
     """
+    base = versions.latest(spark, root) if base is None else base
     if violations is not None and not violations.isEmpty():
         return False
-    if dry_run:
-        return True
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/snapshot_id={snapshot_id}/{name}")
-    row = spark.createDataFrame([(snapshot_id, sorted(tables))], "snapshot_id string, tables array<string>").withColumn("published_at", F.current_timestamp())
-    row.coalesce(1).write.mode("append").parquet(f"{root}/_pointer")
+    if not dry_run:
+        versions.commit(spark, root, base, snapshot_id, tables)
     return True
 
 
 def current(spark: SparkSession, root: str) -> str | None:
     """Id of the published snapshot."""
-    try:
-        rows = spark.read.parquet(f"{root}/_pointer")
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-    return rows.orderBy(F.desc("published_at")).first().snapshot_id
+    found = versions.latest(spark, root)
+    return versions.describe(spark, root, found)["snapshot_id"] if found else None
 
 
 def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/snapshot_id={current(spark, root)}/{name}")
+    return versions.read(spark, root, versions.latest(spark, root), name)
 
 
 def should_publish(mode: str, authoritative: bool, old_hash: str | None, new_hash: str, old_links: str | None = None, new_links: str | None = None) -> bool:
