@@ -11,7 +11,9 @@ from recordkeep.functions.keys import code_of
 from recordkeep.functions.text import normal_of, normalize_text
 from recordkeep.operators import links as L
 from recordkeep.operators import records as R
+from recordkeep.operators import spread
 from recordkeep.operators import tags as T
+from recordkeep.operators.spread import placed  # noqa: F401  part of this interface
 from recordkeep.plans.lineage import cut
 
 
@@ -67,19 +69,6 @@ def natural(prefix: str = "prefix", number: str = "number") -> list[Column]:
     return [F.asc(prefix), F.asc(number)]
 
 
-def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """``rows`` with their ``place`` in the whole order, from 1, without one task seeing all rows.
-
-    Rows are sorted over range partitions; a partition's places start behind the rows of those before it.
-    """
-    part = cut(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "placed")
-    own = F.shiftright("_id", 33)
-    sizes = part.groupBy(own.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
-    joined = part.withColumn("_part", own).join(before, "_part")
-    return joined.withColumn("place", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_before", "_id")
-
-
 def favourites(state: DataFrame, records: DataFrame) -> DataFrame:
     """Marked records (states 1 and 2) by state and code; marks of missing records drop out."""
     return state.where(F.col("state").isin(1, 2)).join(records, "code").orderBy("state", "code")
@@ -115,9 +104,10 @@ class Catalog:
         return first.orderBy(*place).drop("latest_date", "haystack", "_n")
 
     def search_tags(self, query: str, group: str | None = None) -> DataFrame:
+        """Tags, of one group or all, whose names hold the query; none for a blank one."""
         wanted = normal_of(query)
         rows = self.tags if group is None else self.get_tags(group)
-        return rows if not wanted else contains(rows.withColumn("_h", haystack([F.col("translation"), F.col("name")])), "_h", wanted).drop("_h")
+        return contains(rows.withColumn("_h", haystack([F.col("translation"), F.col("name")])), "_h", wanted).drop("_h")
 
     def get_record(self, code: str) -> DataFrame:
         return self.records.where(F.col("code") == F.lit(code_of(code)))
@@ -139,8 +129,14 @@ class Catalog:
         return R.slots(own).orderBy("number") if with_gaps else own.orderBy("number", "code")
 
     def group_page(self, prefix: str, start: int = 0, limit: int | None = None, with_gaps: bool = False, total: int | None = None) -> tuple[DataFrame, dict]:
-        """One page of a group's view, and where it lies."""
-        return R.page(self.group_view(prefix, with_gaps), ["number", "code"], start, limit, total)
+        """One page of a group's view, and where it lies. Of slots only those of the page are spelled out."""
+        if not with_gaps:
+            return R.page(self.group_view(prefix), ["number", "code"], start, limit, total)
+        runs = cut(spread.slot_runs(self.records.where(F.col("prefix") == prefix.strip().upper())), "slot-runs")
+        size = spread.slot_sizes(runs).first()
+        place = spread.window(size.total if size else 0, start, limit)
+        low = place["start"] + (0 if size and size.zero else 1)
+        return spread.slot_range(runs, low, low + place["end"] - place["start"] - 1).orderBy("number"), place
 
     def favourites_page(self, marks: DataFrame, state: int, start: int = 0, limit: int | None = None) -> tuple[DataFrame, dict]:
         """One page of the records marked with one state."""

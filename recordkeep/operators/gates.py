@@ -13,6 +13,7 @@ from recordkeep.functions import text, urls, values
 from recordkeep.operators import links as L
 from recordkeep.operators import records as C
 from recordkeep.operators import refresh as R
+from recordkeep.operators import spread
 
 MODES = (R.INCREMENTAL, R.AUDIT, R.LINKS_ONLY)
 EARLIEST = "2007-12-07"
@@ -58,20 +59,23 @@ def duplicate_ids(records: DataFrame, record_id: str = "product_id", code: str =
     return records.groupBy(record_id).agg(F.sort_array(F.collect_set(code)).alias("codes")).where(F.size("codes") > 1)
 
 
-def order(groups_in_place: DataFrame | None, records_in_place: DataFrame | None) -> DataFrame:
+def order(groups_in_place: DataFrame | None, records_in_place: DataFrame | None, tags_in_place: DataFrame | None = None) -> DataFrame:
     """Stated places (``place``, counted within the snapshot, and for records within their prefix) follow the order rules.
 
-    Groups stand by latest date, latest first, then by name; records by number and code. Neighbours are compared by a
-    join on the place, so that no task sees all groups.
+    Groups stand by latest date, latest first, then by name; those without a date anywhere. Records stand by number and
+    code, tags by id, each id once. No task sees all groups, or all of a group.
     """
     parts = []
     if groups_in_place is not None:
-        now = groups_in_place.where(F.col("latest_date").isNotNull()).select("place", "prefix", "latest_date")
-        before = now.select((F.col("place") + 1).alias("place"), F.col("prefix").alias("_prefix"), F.col("latest_date").alias("_date"))
-        wrong = (F.col("_date") < F.col("latest_date")) | ((F.col("_date") == F.col("latest_date")) & (F.col("_prefix") > F.col("prefix")))
-        parts.append(_bad(now.join(before, "place"), "G5", "prefix", "group is out of order", wrong))
+        dated = groups_in_place.where(F.col("latest_date").isNotNull())
+        now = spread.neighbours(dated, [], ["place"], F.struct(F.col("prefix").alias("prefix"), F.col("latest_date").alias("date")), "_b")
+        wrong = (F.col("_b.date") < F.col("latest_date")) | ((F.col("_b.date") == F.col("latest_date")) & (F.col("_b.prefix") > F.col("prefix")))
+        parts.append(_bad(now, "G5", "prefix", "group is out of order", wrong))
     if records_in_place is not None:
         parts.append(_bad(C.unsorted(records_in_place, ["prefix"], "place", ["number", "code"]), "G5", "code", "record is out of order"))
+    if tags_in_place is not None:
+        own = spread.neighbours(tags_in_place.where("id > 0"), [], ["place"], F.struct("id"), "_b")
+        parts.append(_bad(own, "G5", "id", "tag is out of order", F.col("_b.id") >= F.col("id")))
     return union(parts)
 
 
@@ -126,12 +130,13 @@ def groups(stated: DataFrame, records: DataFrame) -> DataFrame:
     day = F.when(values.valid_date(F.col("release_date")), F.col("release_date"))
     real = records.groupBy("prefix").agg(F.count("*").alias("_n"), F.min(day).alias("_first"), F.max(day).alias("_latest"))
     both = stated.join(real, "prefix", "full_outer")
+    held = stated.join(real.where("_first is not null"), "prefix")  # groups without a real date state none
     return union([
         _bad(stated.groupBy("prefix").agg(F.count("*").alias("m")), "G2", "prefix", "duplicate group", "m > 1"),
         _bad(stated, "G2", "prefix", "invalid group name", ~F.coalesce(F.col("prefix").rlike("^[A-Z0-9]+$"), F.lit(False))),
         _bad(both, "G2", "prefix", "count differs", ~F.col("n").eqNullSafe(F.col("_n"))),
-        _bad(both, "G12", "prefix", "first date differs", F.col("first_date") != F.col("_first")),
-        _bad(both, "G12", "prefix", "latest date differs", F.col("latest_date") != F.col("_latest")),
+        _bad(held, "G12", "prefix", "first date differs", ~F.col("first_date").eqNullSafe(F.col("_first"))),
+        _bad(held, "G12", "prefix", "latest date differs", ~F.col("latest_date").eqNullSafe(F.col("_latest"))),
     ])
 
 
@@ -158,21 +163,40 @@ def resources(rows: DataFrame, label: str, name: str = "subtitleDirectory") -> D
 
 
 def tag_gates(records: DataFrame, definitions: DataFrame, stated: DataFrame | None = None, required: bool = False) -> DataFrame:
-    """Ids sorted, unique, known; counts as stated; where required, status, time and provenance."""
+    """Definitions (id, group, name, translation) are whole and unique; ids of records are sorted, unique and known.
+
+    With ``stated`` (id, n) every definition has a count, none below zero, and it is the observed one. Where tags are
+    required, records have ids, if only none, and status, time and one of two provenances. A definition whose id is not
+    positive counts as none. Places of definitions are held to G5.
+    """
     from recordkeep.operators import tags as T
 
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     ids = F.coalesce("tag_ids", F.array().cast("array<bigint>"))
     pairs = records.select("code", F.explode("tag_ids").alias("tag_id"))
+    known = definitions.where("id > 0")
     parts = [
-        _bad(records, "G14", "code", "tag ids must be positive, unique and sorted", values.clean_ids(ids) != ids),
-        _bad(T.unknown_tags(pairs, definitions), "G14", "code", F.concat(F.lit("unknown tag "), F.col("tag_id").cast("string"))),
-        _bad(definitions, "G14", "id", "definition is incomplete", F.coalesce((F.trim("name") == "") | (F.trim("group") == "") | (F.col("id") <= 0), F.lit(True))),
+        _bad(records, "G14", "code", "tag ids must be unique and sorted", ~F.array_sort(F.array_distinct(ids)).eqNullSafe(ids) | F.exists(ids, lambda x: x.isNull())),
+        _bad(T.unknown_tags(pairs, known), "G14", "code", F.concat(F.lit("unknown tag "), F.col("tag_id").cast("string"))),
+        _bad(definitions, "G14", "id", "id must be positive", ~F.coalesce(F.col("id") > 0, F.lit(False))),
+        _bad(known.groupBy("id").agg(F.count("*").alias("n")), "G14", "id", "duplicate tag", "n > 1"),
+        _bad(known, "G14", "id", "unknown group", ~F.coalesce(F.col("group").isin(*T.TAG_GROUPS), F.lit(False))),
+        _bad(known, "G14", "id", "both names are needed", blank("name") | blank("translation")),
     ]
     if stated is not None:
-        parts.append(_bad(T.stated_counts_differ(T.tag_counts(pairs, definitions), stated), "G14", "id", "count differs"))
+        counted = known.select("id").distinct().join(stated.select("id", F.col("n").alias("stated")), "id", "left")
+        parts.append(_bad(counted, "G14", "id", "count must be stated and not negative", ~F.coalesce(F.col("stated") >= 0, F.lit(False))))
+        parts.append(_bad(T.stated_counts_differ(T.tag_counts(pairs, known.select("id").distinct()), stated), "G14", "id", "count differs"))
     if required:
-        whole = (F.col("tags_status") == "complete") & values.valid_instant(F.col("tags_updated_at")) & F.col("tags_source").isNotNull()
-        parts.append(_bad(records, "G14", "code", "tags are not complete", ~F.coalesce(whole, F.lit(False))))
+        need = {
+            "status must be complete": F.col("tags_status") == "complete",
+            "time must be a UTC time ending in Z": values.valid_instant(F.col("tags_updated_at")),
+            "provenance must be official": F.col("tags_source").isin(*C.TAG_SOURCES),
+            "tag ids are missing": F.col("tag_ids").isNotNull(),
+        }
+        parts += [_bad(records, "G14", "code", message, ~F.coalesce(good, F.lit(False))) for message, good in need.items()]
+    if "place" in definitions.columns:
+        parts.append(order(None, None, definitions))
     return union(parts)
 
 
@@ -364,21 +388,32 @@ def listing(pages: DataFrame) -> DataFrame:
     return _bad(pages, "G25", "page", "cards and records differ", ~F.col("complete"))
 
 
-def scan(summary: DataFrame, mode: str = "incremental") -> DataFrame:
+def scan(summary: DataFrame, mode: str = R.INCREMENTAL) -> DataFrame:
     """A summary (see ``scans.scan_summary``) that contradicts itself.
 
-    Errors and the reason ``error`` go together; without errors parsed = new + known, never more than the cards, an
-    empty page is the last one, and only an incremental scan may end on known pages, of which there are two.
+    Counts are there and not negative, the cursor is over 0, and the mode, where one is stated, is the one asked for.
+    Errors and the reason ``error`` go together; without errors parsed = new + known, the ``records`` that came, where
+    stated, are the parsed ones of an audit and the new ones else, an empty page is the last of at least one, and only
+    an incremental scan may end on known pages, of which there are two at least.
     """
-    reason, errors = F.col("stop_reason"), F.col("errors")
-    known = ["empty", "all_known", "page_limit", "error"] if mode == "incremental" else ["empty", "page_limit", "error"]
+    key, reason, errors = F.lit("scan"), F.col("stop_reason"), F.col("errors")
+    known = ["empty", "all_known", "page_limit", "error"] if mode == R.INCREMENTAL else ["empty", "page_limit", "error"]
+    whole = reduce(lambda a, b: a & b, [F.coalesce(F.col(c) >= 0, F.lit(False)) for c in ("pages", "parsed", "new", "known", "errors", "retries") if c in summary.columns])
     clean = errors == 0
-    return union([
-        _bad(summary, "G26", F.lit("scan"), "unknown reason to stop", ~F.coalesce(reason.isin(known), F.lit(False))),
-        _bad(summary, "G26", F.lit("scan"), "errors and reason to stop differ", (errors > 0) != (reason == "error")),
-        _bad(summary, "G26", F.lit("scan"), "numbers do not add up", clean & ((F.col("parsed") != F.col("new") + F.col("known")) | (F.col("parsed") > F.col("cards")))),
-        _bad(summary, "G26", F.lit("scan"), "did not end where it says", clean & (((reason == "empty") & (F.col("cursor") != F.col("pages"))) | ((reason == "all_known") & (F.col("pages") < 2)))),
-    ])
+    parts = [
+        _bad(summary, "G26", key, "a count is missing or negative", ~whole),
+        _bad(summary, "G26", key, "cursor must be over 0", ~F.coalesce(F.col("cursor") > 0, F.lit(False))),
+        _bad(summary, "G26", key, "unknown reason to stop", ~F.coalesce(reason.isin(known), F.lit(False))),
+        _bad(summary, "G26", key, "errors and reason to stop differ", ~(errors > 0).eqNullSafe(reason == "error")),
+        _bad(summary, "G26", key, "numbers do not add up", clean & ~F.col("parsed").eqNullSafe(F.col("new") + F.col("known"))),
+        _bad(summary, "G26", key, "did not end where it says", clean & (((reason == "empty") & ~((F.col("pages") >= 1) & (F.col("cursor") == F.col("pages")))) | ((reason == "all_known") & (F.col("pages") < 2)))),
+    ]
+    if "mode" in summary.columns:
+        parts.append(_bad(summary, "G26", key, "another mode", ~F.col("mode").eqNullSafe(F.lit(mode))))
+    if "records" in summary.columns:
+        expected = F.col("parsed") if mode == R.AUDIT else F.col("new")
+        parts.append(_bad(summary, "G26", key, "another number of records came", clean & ~F.col("records").eqNullSafe(expected)))
+    return union(parts)
 
 
 @dataclass

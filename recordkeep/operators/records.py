@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordkeep.functions import keys, text, urls, values
+from recordkeep.operators import spread
 from recordkeep.operators.links import inline_links
 
 OPTIONAL = {
@@ -108,27 +109,18 @@ def totals(records: DataFrame, links: DataFrame, group: str = "prefix") -> DataF
 
 
 def unsorted(records: DataFrame, partition: list[str], place: str, order: list[str]) -> DataFrame:
-    """Rows whose stated place contradicts the order of their columns."""
-    w = Window.partitionBy(*partition).orderBy(place)
-    now = F.struct(*order)
-    return records.withColumn("_before", F.lag(now).over(w)).where(F.col("_before") > now).drop("_before")
+    """Rows whose stated place contradicts the order of their columns, whatever the size of a partition."""
+    return spread.unsorted(records, partition, place, order)
 
 
 def page(rows: DataFrame, order: list, start: int = 0, limit: int | None = None, total: int | None = None, window: int = 100, whole: int = 250) -> tuple[DataFrame, dict]:
-    """One window of ordered rows, and where it lies.
+    """One window of ordered rows, and where it lies; :class:`spread.Pages` for many pages of one order.
 
     Up to ``whole`` rows make a single page unless a limit is given; of more, a page is never larger than ``window``.
     A start past the end gives no rows. ``total`` saves a count where the snapshot's log already has it.
     """
-    total = rows.count() if total is None else total
-    start = min(max(0, start), total)
-    if total > whole:
-        size = min(limit if limit is not None and limit > 0 else window, window)
-    else:
-        size = total if limit is None or limit < 0 else limit
-    end = min(start + size, total)
-    place = {"start": start, "end": end, "size": size, "total": total, "previous": max(0, start - size) if start else None, "next": end if end < total else None}
-    return rows.orderBy(*order).offset(start).limit(size), place
+    place = spread.window(rows.count() if total is None else total, start, limit, window, whole)
+    return rows.orderBy(*order).offset(place["start"]).limit(place["size"]), place
 
 
 def featured(records: DataFrame, groups: DataFrame, eligible: Column, k: int = 6) -> DataFrame:
@@ -138,15 +130,11 @@ def featured(records: DataFrame, groups: DataFrame, eligible: Column, k: int = 6
 
 
 def slots(records: DataFrame, group: str = "prefix", least: int = 99) -> DataFrame:
-    """Per group a row for every number from 1 to max(least, largest); number 0 rows come first, gaps have no code.
+    """Per group a row for every number from 1 to max(least, largest), number 0 before them; gaps have no code.
 
-    Of several rows of one number the first by code is shown.
+    See :func:`spread.slot_runs`, which does not spell gaps out.
     """
-    first = records.groupBy(group, "number").agg(F.min("code").alias("code"))
-    reach = first.groupBy(group).agg(F.greatest(F.lit(least).cast("bigint"), F.max("number")).alias("reach"))
-    frame = reach.select(group, F.explode(F.sequence(F.lit(1).cast("bigint"), "reach")).alias("number"))
-    filled = frame.join(first.where("number >= 1"), [group, "number"], "left").select(group, "number", "code", F.col("code").isNull().alias("gap"))
-    return filled.unionByName(records.where("number = 0").select(group, "number", "code", F.lit(False).alias("gap")))
+    return spread.slots(records, group, least)
 
 
 def contiguous_prefix(rows: DataFrame, key: str, index: str) -> DataFrame:

@@ -47,9 +47,9 @@ def retain(incoming: DataFrame, previous: DataFrame | None, how: Refresh, record
 
     Links-only keeps the previous ones. Incremental, and any incomplete scan, adds and replaces. A complete audit
     replaces everything in its bounds; an unbounded one keeps previous records that never had an id. Any other
-    complete scan is taken as it is.
+    complete scan is taken as it is. Without previous records the incoming ones are all there is, whatever the mode.
     """
-    if previous is None:
+    if previous is None or ((how.mode == LINKS_ONLY or how.mode == AUDIT) and previous.isEmpty()):
         return incoming
     if how.mode == LINKS_ONLY:
         return previous

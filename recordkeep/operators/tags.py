@@ -58,9 +58,16 @@ def normalize_definitions(definitions: DataFrame, order: str = "seq", reviewed:
     return last.select("id", "group", checked.alias("name"), translation.alias("translation"), source.alias("source"))
 
 
-def first_definitions(definitions: DataFrame, order: str = "seq") -> DataFrame:
-    """One row per id, the first; the browse side reads definitions this way."""
-    return definitions.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(order))).where("_n = 1").drop("_n")
+def first_definitions(definitions: DataFrame, order: str = "seq", groups: tuple[str, ...] = TAG_GROUPS) -> DataFrame:
+    """One row per id, its first valid definition, names trimmed; the browse side reads definitions this way.
+
+    Valid are positive ids of a known group with both names. A ``count`` that is none reads as 0.
+    """
+    names = {c: F.trim(c) for c in ("name", "translation")}
+    good = definitions.withColumns({"id": positive_int(F.col("id")), **names}).where(F.col("id").isNotNull() & F.col("group").isin(*groups) & (F.col("name") != "") & (F.col("translation") != ""))
+    if "count" in definitions.columns:
+        good = good.withColumn("count", F.when(F.col("count") >= 0, F.col("count")).otherwise(0))
+    return good.groupBy("id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in good.columns]), order).alias("_row")).select("_row.*")
 
 
 def merge_definitions(directory: DataFrame, stored: DataFrame) -> DataFrame:
@@ -200,8 +207,8 @@ def tag_order(name: Column, collation: str | None = None) -> list[Column]:
 
 
 def stated_counts_differ(counts: DataFrame, stated: DataFrame) -> DataFrame:
-    """Tags whose stated count is not the observed one."""
-    return counts.select("id", "n").join(stated.select("id", F.col("n").alias("stated")), "id").where("n <> stated")
+    """Tags whose stated count is not the observed one; a count that is null or not stated at all never is."""
+    return counts.select("id", "n").join(stated.select("id", F.col("n").alias("stated")), "id", "left").where(~F.col("n").eqNullSafe(F.col("stated")))
 
 
 def sync_summary(records: DataFrame, targets: DataFrame, definitions: DataFrame) -> DataFrame:

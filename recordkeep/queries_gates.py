@@ -99,8 +99,8 @@ def gate_previews(spark, sf):
 _STATED = {
     "prefix": "CASE WHEN o_custkey % 50 = 9 THEN 'c-' || o_custkey ELSE 'C' || o_custkey END",
     "n": "CASE WHEN o_custkey % 7 = 1 THEN count(*) + 1 ELSE count(*) END",
-    "first_date": "CASE WHEN o_custkey % 7 = 2 THEN '1990-01-01' ELSE min(day) END",
-    "latest_date": "CASE WHEN o_custkey % 7 = 3 THEN '2030-01-01' ELSE max(day) END",
+    "first_date": "CASE WHEN o_custkey % 7 = 2 THEN '1990-01-01' WHEN o_custkey % 7 <> 4 THEN min(day) END",
+    "latest_date": "CASE WHEN o_custkey % 7 = 3 THEN '2030-01-01' WHEN o_custkey % 7 <> 5 THEN max(day) END",
 }
 
 
@@ -109,8 +109,8 @@ r AS (SELECT prefix, count(*) AS n, min(release_date) FILTER ({_OK_DATE}) AS a,
     "SELECT 'G2' AS gate, prefix AS key, 'duplicate group' AS message FROM stated GROUP BY prefix HAVING count(*) > 1",
     _rule("G2", "invalid group name", "prefix LIKE 'c-%'", "stated", "prefix"),
     "SELECT 'G2', prefix, 'count differs' FROM stated FULL JOIN r USING (prefix) WHERE stated.n IS DISTINCT FROM r.n",
-    "SELECT 'G12', prefix, 'first date differs' FROM stated JOIN r USING (prefix) WHERE first_date <> a",
-    "SELECT 'G12', prefix, 'latest date differs' FROM stated JOIN r USING (prefix) WHERE latest_date <> b",
+    "SELECT 'G12', prefix, 'first date differs' FROM stated JOIN r USING (prefix) WHERE a IS NOT NULL AND first_date IS DISTINCT FROM a",
+    "SELECT 'G12', prefix, 'latest date differs' FROM stated JOIN r USING (prefix) WHERE b IS NOT NULL AND latest_date IS DISTINCT FROM b",
 )}""")
 def gate_groups(spark, sf):
     rows = base(spark, sf).groupBy("o_custkey").agg(F.expr(f"{_STATED['n']} AS n"), F.expr(f"{_STATED['first_date']} AS first_date"), F.expr(f"{_STATED['latest_date']} AS latest_date"))
@@ -119,20 +119,22 @@ def gate_groups(spark, sf):
 
 
 @query(f"""WITH {BASE}, r AS (SELECT 'C' || o_custkey AS prefix, CASE WHEN k % 40 = 3 THEN k + 1000000 ELSE k END AS number, 'x' || k AS code, row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS place FROM base),
-g AS (SELECT 'C' || o_custkey AS prefix, CASE WHEN o_custkey % 20 = 3 THEN '1990-01-01' ELSE max(day) END AS latest_date, row_number() OVER (ORDER BY max(day) DESC, 'C' || o_custkey) AS place FROM base GROUP BY o_custkey),
-h AS (SELECT *, lag(latest_date) OVER (ORDER BY place) AS d, lag(prefix) OVER (ORDER BY place) AS p FROM g),
+g AS (SELECT 'C' || o_custkey AS prefix, CASE WHEN o_custkey % 20 = 3 THEN '1990-01-01' WHEN o_custkey % 20 <> 4 THEN max(day) END AS latest_date, row_number() OVER (ORDER BY max(day) DESC, 'C' || o_custkey) AS place FROM base GROUP BY o_custkey),
+h AS (SELECT *, lag(latest_date) OVER (ORDER BY place) AS d, lag(prefix) OVER (ORDER BY place) AS p FROM g WHERE latest_date IS NOT NULL),
 q AS (SELECT *, lag(number) OVER (PARTITION BY prefix ORDER BY place) AS b, lag(code) OVER (PARTITION BY prefix ORDER BY place) AS c FROM r)
 SELECT 'G5' AS gate, prefix AS key, 'group is out of order' AS message FROM h WHERE d < latest_date OR d = latest_date AND p > prefix
-UNION ALL SELECT 'G5', code, 'record is out of order' FROM q WHERE b > number OR b = number AND c > code""")
+UNION ALL SELECT 'G5', code, 'record is out of order' FROM q WHERE b > number OR b = number AND c > code
+UNION ALL SELECT 'G5', id::VARCHAR, 'tag is out of order' FROM (SELECT id, lag(id) OVER (ORDER BY place) AS b FROM (SELECT p_partkey AS place, CASE p_partkey % 30 WHEN 7 THEN p_partkey + 1000000 WHEN 9 THEN p_partkey - 1 WHEN 11 THEN -1 ELSE p_partkey END AS id FROM part) WHERE id > 0) WHERE b >= id""")
 def gate_order(spark, sf):
     own = base(spark, sf)
     w = records.Window.partitionBy("o_custkey").orderBy("k")
     rows = own.select(F.expr("'C' || o_custkey AS prefix"), F.expr("CASE WHEN k % 40 = 3 THEN k + 1000000 ELSE k END AS number"), F.expr("'x' || k AS code"), F.row_number().over(w).alias("place"))
     from recordkeep.operators import browse
 
-    groups = own.groupBy("o_custkey").agg(F.max("day").alias("d")).selectExpr("'C' || o_custkey AS prefix", "d", "CASE WHEN o_custkey % 20 = 3 THEN '1990-01-01' ELSE d END AS latest_date")
+    groups = own.groupBy("o_custkey").agg(F.max("day").alias("d")).selectExpr("'C' || o_custkey AS prefix", "d", "CASE WHEN o_custkey % 20 = 3 THEN '1990-01-01' WHEN o_custkey % 20 <> 4 THEN d END AS latest_date")
     placed = browse.placed(groups, [F.desc("d"), F.col("prefix")])
-    return gates.order(placed, rows)
+    named = _t(spark, sf, "part").selectExpr("p_partkey AS place", "CASE p_partkey % 30 WHEN 7 THEN p_partkey + 1000000 WHEN 9 THEN p_partkey - 1 WHEN 11 THEN -1 ELSE p_partkey END AS id")
+    return gates.order(placed, rows, named)
 
 
 _LEAF = {
@@ -176,22 +178,48 @@ def gate_group_links(spark, sf):
     return gates.union([gates.group_links(made(own, _SHARED)), gates.resources(own.select(F.expr(name), fields.alias("fields")), "L")]).distinct()
 
 
-@query("""WITH b AS (SELECT DISTINCT 'ORD-' || l_orderkey AS code, l_suppkey AS tag_id FROM lineitem), a AS (SELECT code, list(tag_id ORDER BY tag_id) AS ids FROM b GROUP BY code),
-r AS (SELECT 'ORD-' || o_orderkey AS code, o_orderkey AS k, CASE WHEN o_orderkey % 20 = 1 THEN list_reverse(ids) ELSE ids END AS ids FROM orders LEFT JOIN a ON a.code = 'ORD-' || o_orderkey),
-p AS (SELECT code, unnest(ids) AS id FROM r), n AS (SELECT id, count(DISTINCT code) AS n FROM p GROUP BY id), d AS (SELECT * FROM supplier WHERE s_suppkey % 5 <> 2)
-SELECT 'G14' AS gate, code AS key, 'tag ids must be positive, unique and sorted' AS message FROM r WHERE len(ids) > 1 AND k % 20 = 1 OR list_contains(ids, 0)
-UNION SELECT 'G14', code, 'unknown tag ' || id FROM p WHERE id NOT IN (SELECT s_suppkey FROM d)
-UNION SELECT 'G14', s_suppkey::VARCHAR, 'definition is incomplete' FROM d WHERE s_suppkey <= 0 OR s_nationkey = 3
-UNION SELECT 'G14', s_suppkey::VARCHAR, 'count differs' FROM d LEFT JOIN n ON id = s_suppkey WHERE s_suppkey % 5 = 1
-UNION SELECT 'G14', code, 'tags are not complete' FROM r WHERE k % 4 <> 0""")
+_DEFINED = {
+    "id": "s_suppkey",
+    "name": "CASE WHEN s_nationkey = 3 THEN ' ' ELSE s_name END",
+    "translation": "CASE WHEN s_nationkey <> 5 THEN 'T' || s_name END",
+    "grp": "CASE s_nationkey % 9 WHEN 1 THEN 'nonsense' WHEN 2 THEN 'character' WHEN 4 THEN NULL ELSE 'genre' END",
+}
+_TAG_RECORD = {
+    "tags_status": "CASE WHEN k % 8 = 1 THEN 'unavailable' WHEN k % 8 <> 2 THEN 'complete' END",
+    "tags_updated_at": "CASE WHEN k % 9 = 1 THEN 'x' WHEN k % 9 <> 2 THEN '2024-01-01T00:00:00Z' END",
+    "tags_source": "CASE k % 7 WHEN 1 THEN 'anything' WHEN 2 THEN NULL WHEN 3 THEN 'official-unavailable' ELSE 'official' END",
+}
+
+
+@query(f"""WITH b AS (SELECT DISTINCT 'ORD-' || l_orderkey AS code, l_suppkey AS tag_id FROM lineitem), a AS (SELECT code, list(tag_id ORDER BY tag_id) AS ids FROM b GROUP BY code),
+r AS (SELECT 'ORD-' || k AS code, k, CASE WHEN k % 20 = 1 THEN list_reverse(ids) WHEN k % 20 = 2 AND ids IS NOT NULL THEN list_append(ids, ids[len(ids)]) WHEN k % 20 <> 3 THEN ids END AS ids, {", ".join(f"{e} AS {n}" for n, e in _TAG_RECORD.items())} FROM (SELECT o_orderkey AS k, ids FROM orders LEFT JOIN a ON a.code = 'ORD-' || o_orderkey)),
+d AS (SELECT {", ".join(f"{e} AS {n}" for n, e in _DEFINED.items())} FROM supplier WHERE s_suppkey % 5 <> 2), d2 AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE id % 11 = 1), known AS (SELECT * FROM d2 WHERE id > 0),
+p AS (SELECT DISTINCT code, unnest(ids) AS id FROM r), n AS (SELECT id, count(*) AS n FROM p GROUP BY id), c AS (SELECT DISTINCT known.id, coalesce(n, 0) AS n FROM known LEFT JOIN n ON n.id = known.id),
+s AS (SELECT id, CASE id % 10 WHEN 1 THEN n + 1 WHEN 3 THEN NULL WHEN 4 THEN -1 ELSE n END AS stated FROM c WHERE id % 10 <> 5)
+SELECT 'G14' AS gate, code AS key, 'tag ids must be unique and sorted' AS message FROM r WHERE len(ids) > 1 AND k % 20 = 1 OR len(ids) > 0 AND k % 20 = 2
+UNION SELECT 'G14', code, 'unknown tag ' || id FROM p WHERE id NOT IN (SELECT id FROM known)
+UNION SELECT 'G14', id::VARCHAR, 'id must be positive' FROM d WHERE id <= 0
+UNION SELECT 'G14', id::VARCHAR, 'duplicate tag' FROM known GROUP BY id HAVING count(*) > 1
+UNION SELECT 'G14', id::VARCHAR, 'unknown group' FROM known WHERE grp IS NULL OR grp NOT IN ('genre', 'character')
+UNION SELECT 'G14', id::VARCHAR, 'both names are needed' FROM known WHERE trim(name) = '' OR translation IS NULL
+UNION SELECT 'G14', c.id::VARCHAR, 'count must be stated and not negative' FROM c LEFT JOIN s USING (id) WHERE stated IS NULL OR stated < 0
+UNION SELECT 'G14', c.id::VARCHAR, 'count differs' FROM c LEFT JOIN s USING (id) WHERE stated IS DISTINCT FROM n
+UNION SELECT 'G14', code, 'status must be complete' FROM r WHERE tags_status IS DISTINCT FROM 'complete'
+UNION SELECT 'G14', code, 'time must be a UTC time ending in Z' FROM r WHERE tags_updated_at IS NULL OR tags_updated_at = 'x'
+UNION SELECT 'G14', code, 'provenance must be official' FROM r WHERE tags_source IS NULL OR tags_source NOT IN ('official', 'official-unavailable')
+UNION SELECT 'G14', code, 'tag ids are missing' FROM r WHERE ids IS NULL""")
 def gate_tags(spark, sf):
+    """Every rule of definitions, counts and records, each broken somewhere."""
     ids = bridge(spark, sf).groupBy("code").agg(F.sort_array(F.collect_set("tag_id")).alias("ids"))
-    k = F.col("number")
-    rows = orders(spark, sf).join(ids, "code", "left").select("code", F.when(k % 20 == 1, F.reverse("ids")).otherwise(F.col("ids")).alias("tag_ids"), F.when(k % 4 != 1, "complete").alias("tags_status"), F.when(k % 4 != 2, "2024-01-01T00:00:00Z").otherwise("x").alias("tags_updated_at"), F.when(k % 4 != 3, "official").alias("tags_source"))
-    named = _t(spark, sf, "supplier").where("s_suppkey % 5 <> 2").select(F.col("s_suppkey").alias("id"), F.lit("genre").alias("group"), F.when(F.col("s_nationkey") == 3, " ").otherwise(F.col("s_name")).alias("name"))
-    seen = tags.tag_counts(rows.select("code", F.explode("tag_ids").alias("tag_id")), named)
-    stated = seen.select("id", F.when(F.col("id") % 5 == 1, F.col("n") + 1).otherwise(F.col("n")).alias("n"))
-    return gates.tag_gates(rows, named, stated, required=True).distinct()
+    k = F.col("k")
+    own = orders(spark, sf).withColumn("k", F.col("number")).join(ids, "code", "left")
+    listed = F.when(k % 20 == 1, F.reverse("ids")).when(k % 20 == 2, F.concat("ids", F.slice("ids", -1, 1))).when(k % 20 != 3, F.col("ids"))
+    rows = own.select("code", listed.alias("tag_ids"), *[F.expr(e).alias(n) for n, e in _TAG_RECORD.items()])
+    named = made(_t(spark, sf, "supplier").where("s_suppkey % 5 <> 2"), _DEFINED).withColumnRenamed("grp", "group")
+    seen = tags.tag_counts(rows.select("code", F.explode("tag_ids").alias("tag_id")), named.where("id > 0").select("id"))
+    i = F.col("id") % 10
+    stated = seen.where(i != 5).select("id", F.when(i == 1, F.col("n") + 1).when(i == 4, -1).when(i != 3, F.col("n")).alias("n"))
+    return gates.tag_gates(rows, named.unionByName(named.where("id % 11 = 1")), stated, required=True).distinct()
 
 
 @query("""WITH t AS (SELECT (SELECT count(DISTINCT o_custkey) FROM orders) AS groups, (SELECT count(*) FROM orders) AS records, (SELECT count(*) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS linked)
@@ -315,20 +343,26 @@ def gate_listing(spark, sf):
 
 
 _SUMMARY = {
+    "mode": "CASE k % 17 WHEN 1 THEN 'audit' WHEN 2 THEN NULL ELSE 'incremental' END",
     "stop_reason": "CASE k % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'all_known' WHEN 2 THEN 'page_limit' WHEN 3 THEN 'error' WHEN 4 THEN 'odd' END",
-    "errors": "CASE WHEN k % 5 = 3 THEN 1 ELSE 0 END",
-    "parsed": "10",
+    "errors": "CASE WHEN k % 5 = 3 THEN 1 WHEN k % 19 = 1 THEN -1 WHEN k % 19 <> 2 THEN 0 END",
+    "parsed": "CASE WHEN k % 23 = 1 THEN -10 WHEN k % 23 <> 2 THEN 10 END",
     "new": "CASE WHEN k % 7 = 1 THEN 3 ELSE 4 END",
     "known": "6",
-    "cards": "CASE WHEN k % 11 = 1 THEN 9 ELSE 12 END",
+    "records": "CASE k % 7 WHEN 2 THEN 9 WHEN 1 THEN 3 ELSE 4 END",
     "pages": "k % 4",
-    "cursor": "CASE WHEN k % 13 = 1 THEN 99 ELSE k % 4 END",
+    "cursor": "CASE WHEN k % 13 = 1 THEN 99 WHEN k % 13 = 2 THEN -1 WHEN k % 13 <> 3 THEN k % 4 END",
 }
 
 
 @query(f"""WITH {BASE}, s AS ({cells_sql(_SUMMARY)}), v AS (SELECT 'unknown reason to stop' AS message FROM s WHERE stop_reason = 'odd' OR stop_reason IS NULL
-UNION ALL SELECT 'errors and reason to stop differ' FROM s WHERE (errors > 0) <> (stop_reason = 'error') UNION ALL SELECT 'numbers do not add up' FROM s WHERE errors = 0 AND (parsed <> new + known OR parsed > cards)
-UNION ALL SELECT 'did not end where it says' FROM s WHERE errors = 0 AND (stop_reason = 'empty' AND cursor <> pages OR stop_reason = 'all_known' AND pages < 2))
+UNION ALL SELECT 'a count is missing or negative' FROM s WHERE errors IS NULL OR errors < 0 OR parsed IS NULL OR parsed < 0
+UNION ALL SELECT 'cursor must be over 0' FROM s WHERE cursor IS NULL OR cursor <= 0
+UNION ALL SELECT 'another mode' FROM s WHERE mode IS NULL OR mode = 'audit'
+UNION ALL SELECT 'errors and reason to stop differ' FROM s WHERE (errors > 0) IS DISTINCT FROM (stop_reason = 'error')
+UNION ALL SELECT 'numbers do not add up' FROM s WHERE errors = 0 AND parsed IS DISTINCT FROM new + known
+UNION ALL SELECT 'another number of records came' FROM s WHERE errors = 0 AND records <> new
+UNION ALL SELECT 'did not end where it says' FROM s WHERE errors = 0 AND (stop_reason = 'empty' AND NOT (pages >= 1 AND cursor = pages) OR stop_reason = 'all_known' AND pages < 2))
 SELECT 'G26' AS gate, 'scan' AS key, message, count(*) AS n FROM v GROUP BY message""")
 def gate_scans(spark, sf):
     return _counted(gates.scan(made(base(spark, sf), _SUMMARY)))

@@ -6,10 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from recordkeep.operators import refresh
+from recordkeep.functions import keys
+from recordkeep.operators import browse, gates, records, refresh, spread, tags
+from recordkeep.operators.search_index import SearchIndex
 from recordkeep.plans.lineage import shared_dir
-from recordkeep.queries import _LINKS, DAY, _t, incoming, one_leaf, orders, parts, previous, query
+from recordkeep.queries import _LINKS, SQL, _t, bridge, incoming, one_leaf, orders, parts, previous, query
+from recordkeep.queries_merge import _catalog
 from recordkeep.sources import documents, hash_tree, sinks, versions
+from recordkeep.streaming import keyed
 
 
 def _folder(spark, name: str) -> str:
@@ -134,3 +138,157 @@ def bucket_counts(spark, sf):
     for c in names:
         equal = equal & (F.col(c) == F.col(f"w_{c}"))
     return both.select(*names, equal.alias("as_whole"), F.lit(again).alias("rebuilt"))
+
+
+# --- search, pages, slots, tags ------------------------------------------------------------------------------------------
+
+
+@query(SQL["catalog_search"])
+def indexed_search(spark, sf):
+    """The catalogue's search by posting lists."""
+    index = SearchIndex.write(_catalog(spark, sf), _folder(spark, "index"))
+    found = index.search(" Ｓtandard   SMALL").join(_catalog(spark, sf).groups.select("prefix", "latest_date"), "prefix")
+    return spread.placed(found, [F.desc("latest_date"), F.col("prefix"), F.col("number")]).select("code", "place")
+
+
+@query("""WITH h AS (SELECT p_partkey AS id, lower(p_type || ' ' || p_name) AS h FROM part) SELECT q, count(*) AS n, sum(id)::BIGINT AS total FROM h, (VALUES ('widget'), ('all rin'), ('e'), ('no such name')) v(q) WHERE contains(h, q) GROUP BY q""")
+def indexed_needles(spark, sf):
+    """Needles of a posting list, of several trigrams, under three characters (a scan), and one that stands nowhere."""
+    p = parts(spark, sf)
+    rows = p.select(F.concat(F.lit("P-"), F.col("id").cast("string")).alias("code"), F.lit("P").alias("prefix"), F.col("id").alias("number"), F.concat_ws(" ", "group", "name").alias("title"), F.array().cast("array<string>").alias("actors"), F.lit("2024-01-01").alias("release_date"), F.array().cast("array<bigint>").alias("tag_ids"))
+    index = SearchIndex.write(browse.Catalog(rows, records.build_groups(rows), p.withColumn("translation", F.col("name")).limit(0), None), _folder(spark, "index"))
+    out = None
+    for wanted in ("widget", "all rin", "e", "no such name"):
+        # the codes and the prefix, all "p", hold an e nowhere
+        one = index.search(wanted).groupBy(F.lit(wanted).alias("q")).agg(F.count("*").alias("n"), F.sum("number").alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""WITH r AS (SELECT 'ORD-' || o_orderkey AS code, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders)
+SELECT s AS start, code, pos FROM r, (VALUES (0), (990), (4321)) v(s) WHERE pos >= s AND pos < s + 100 UNION ALL SELECT n - 30, code, pos FROM r WHERE pos >= n - 30""")
+def keyset_pages(spark, sf):
+    """Pages of one written order, each read from its own chunks; the second lies across two of them, the last is short."""
+    pages = spread.Pages.write(orders(spark, sf).select("code", "number", "release_date"), [F.desc("release_date"), F.asc("number")], chunk=1000)
+    out = None
+    for start in (0, 990, 4321, pages.total - 30):
+        rows, place = pages.page(start)
+        first = spread.placed(rows, [F.desc("release_date"), F.asc("number")])  # a page
+        one = first.select(F.lit(start).alias("start"), "code", (F.col("place") - 1 + place["start"]).alias("pos"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""WITH r AS (SELECT 'ORD-' || o_orderkey AS code, o_orderkey, o_orderdate FROM orders), last AS (SELECT * FROM r ORDER BY o_orderdate DESC, o_orderkey LIMIT 1 OFFSET 2499)
+SELECT code FROM (SELECT r.code, r.o_orderdate AS d, r.o_orderkey AS k FROM r, last WHERE r.o_orderdate < last.o_orderdate OR r.o_orderdate = last.o_orderdate AND r.o_orderkey > last.o_orderkey) ORDER BY d DESC, k LIMIT 80""")
+def page_after_key(spark, sf):
+    """The page behind the last row of another, found by its key."""
+    pages = spread.Pages.write(orders(spark, sf).select("code", "number", "release_date"), [F.desc("release_date"), F.asc("number")], chunk=1000)
+    seen = pages.page(2400, 100)[0].orderBy("release_date", F.desc("number")).first()
+    beyond = (F.col("release_date") < seen.release_date) | ((F.col("release_date") == seen.release_date) & (F.col("number") > seen.number))
+    return pages.after(beyond, 80).select("code")
+
+
+_SLOTTED = """SELECT 'C' || o_custkey AS prefix, CASE WHEN o_orderkey % 40 = 7 THEN NULL WHEN o_orderkey % 40 = 9 THEN 9223372036854775807 WHEN o_orderkey % 40 = 11 THEN 0 WHEN o_orderkey % 40 = 13 THEN 1000000000000 ELSE (o_orderkey * 7) % 30 END AS number, 'ORD-' || o_orderkey AS code FROM orders"""
+
+
+@query(f"""WITH r AS ({_SLOTTED}), f AS (SELECT prefix, number, min(code) AS code FROM r WHERE number < 9223372036854775807 GROUP BY ALL), g AS (SELECT prefix, greatest(99, max(number) FILTER (number < 9223372036854775807)) AS reach FROM r GROUP BY prefix),
+p AS (SELECT prefix, number, lag(number, 1, 0) OVER (PARTITION BY prefix ORDER BY number) AS b FROM f WHERE number > 0), m AS (SELECT prefix, max(number) AS top FROM p GROUP BY prefix)
+SELECT prefix, number AS first, number AS last, code, false AS gap FROM f UNION ALL SELECT prefix, b + 1, number - 1, NULL, true FROM p WHERE number > b + 1
+UNION ALL SELECT g.prefix, coalesce(top, 0) + 1, 99, NULL, true FROM g LEFT JOIN m USING (prefix) WHERE coalesce(top, 0) < 99""")
+def slot_runs(spark, sf):
+    """Slots as runs: numbers that are missing, 0, repeated, absent, and of a million millions."""
+    return spread.slot_runs(_slotted(spark, sf))
+
+
+def _slotted(spark, sf):
+    return _t(spark, sf, "orders").selectExpr(*["'C' || o_custkey AS prefix", "CASE WHEN o_orderkey % 40 = 7 THEN NULL WHEN o_orderkey % 40 = 9 THEN 9223372036854775807 WHEN o_orderkey % 40 = 11 THEN 0 WHEN o_orderkey % 40 = 13 THEN 1000000000000 ELSE (o_orderkey * 7) % 30 END AS number", "'ORD-' || o_orderkey AS code"])
+
+
+@query(f"""WITH r AS ({_SLOTTED}), w AS (SELECT prefix FROM r WHERE number = 1000000000000 ORDER BY prefix LIMIT 1), f AS (SELECT number, min(code) AS code FROM r WHERE prefix = (SELECT prefix FROM w) AND number < 9223372036854775807 GROUP BY number),
+z AS (SELECT count(*) FILTER (number = 0) AS z FROM f), n AS (SELECT range + 3 - z AS number FROM range(40), z UNION ALL SELECT range + 999999999996 FROM range(5))
+SELECT number, code, code IS NULL AS gap FROM n LEFT JOIN f USING (number)""")
+def slot_pages(spark, sf):
+    """Two pages of the slots of a group that reaches to a million millions: near the front, and the last."""
+    rows = _slotted(spark, sf)
+    prefix = rows.where("number = 1000000000000").agg(F.min("prefix")).first()[0]
+    c = browse.Catalog(rows, None, None, None)
+    front, place = c.group_page(prefix, 2, 40, with_gaps=True)
+    return front.unionByName(c.group_page(prefix, place["total"] - 5, 100, with_gaps=True)[0]).select("number", "code", "gap")
+
+
+@query("""WITH b AS (SELECT DISTINCT 'ORD-' || l_orderkey AS code, l_suppkey AS id FROM lineitem) SELECT code, string_agg(s_name, ',' ORDER BY id DESC) AS tags FROM b JOIN supplier ON s_suppkey = id WHERE s_suppkey % 5 <> 2 GROUP BY code""")
+def looked_up_tags(spark, sf):
+    """Each record's ids as definitions, in the record's order, unknown ones dropped."""
+    ids = bridge(spark, sf).groupBy("code").agg(F.sort_array(F.collect_set("tag_id"), False).alias("tag_ids"))
+    named = _t(spark, sf, "supplier").where("s_suppkey % 5 <> 2").select(F.col("s_suppkey").alias("id"), F.lit("genre").alias("group"), F.col("s_name").alias("name"))
+    return tags.tag_lookup(ids, named).select("code", F.array_join(F.transform("tags", lambda t: t["name"]), ",").alias("tags"))
+
+
+@query("""SELECT id, row_number() OVER (ORDER BY n DESC, lower(name), name = upper(name), id) AS place FROM (SELECT p_partkey AS id, p_size AS n, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) ELSE p_name END AS name FROM part)""")
+def collated_tags(spark, sf):
+    """Tags by count, then name in a language's order, where letters come before case; the binary order would set capitals first."""
+    rows = _t(spark, sf, "part").selectExpr("p_partkey AS id", "cast(p_size AS bigint) AS n", "CASE p_partkey % 3 WHEN 0 THEN upper(p_name) ELSE p_name END AS name")
+    return spread.placed(rows, tags.tag_order(F.col("name"), "zh")).select("id", "place")
+
+
+@query("SELECT 'blank' AS query, 0 AS n UNION ALL SELECT 'name', count(*) FROM part WHERE contains(lower(p_type || ' ' || p_name), 'widget')")
+def blank_tag_search(spark, sf):
+    """Q3: a blank query finds no tag."""
+    c = _catalog(spark, sf)
+    n = lambda df, name: df.agg(F.lit(name).alias("query"), F.count("*").alias("n"))
+    return n(c.search_tags(" 　 "), "blank").unionByName(n(c.search_tags("widget"), "name"))
+
+
+@query("""SELECT 'same' AS pair, true AS content, true AS exact UNION ALL SELECT 'commit', true, false UNION ALL SELECT 'files', false, false UNION ALL SELECT 'field', false, false""")
+def release_identity(spark, sf):
+    """K7: manifests of the orders' rows, equal, under another commit, of other rows, and with a field more."""
+    held = orders(spark, sf).select(F.col("code").alias("path"), F.sha2(F.concat_ws("|", "title", "release_date"), 256).alias("hash"))
+
+    def head(files, commit, extra=None):
+        rows = sinks.manifest_hash(files).select(F.lit("files").alias("field"), F.col("hash").alias("value"))
+        for field, value in [("commit", commit), *([extra] if extra else [])]:
+            rows = rows.unionByName(spark.range(1).select(F.lit(field).alias("field"), F.lit(value).alias("value")))
+        return rows
+
+    own = head(held, "a")
+    pairs = {"same": head(held.repartition(3), "a"), "commit": head(held, "b"), "files": head(held.where("path <> 'ORD-7'"), "a"), "field": head(held, "a", ("config", "x"))}
+    out = [sinks.same_release(own, other).select(F.lit(name).alias("pair"), "content", "exact") for name, other in pairs.items()]
+    return gates.union(out)
+
+
+@query("""WITH o AS (SELECT count(*) AS n FROM orders WHERE o_orderstatus <> 'F') SELECT m AS mode, n FROM o, (VALUES ('incremental'), ('audit'), ('audit in bounds'), ('links-only')) v(m)""")
+def retain_without_previous(spark, sf):
+    """Without previous records the incoming ones are all there is, in every mode."""
+    new, old = incoming(spark, sf), previous(spark, sf).where(F.lit(False))
+    modes = {"incremental": refresh.Refresh(), "audit": refresh.Refresh(refresh.AUDIT, True), "audit in bounds": refresh.Refresh(refresh.AUDIT, True, number_from=10, number_to=20), "links-only": refresh.Refresh(refresh.LINKS_ONLY)}
+    return gates.union([refresh.retain(new, old, how).agg(F.lit(name).alias("mode"), F.count("*").alias("n")) for name, how in modes.items()])
+
+
+_WIDE = "translate(o_orderkey::VARCHAR, '0123456789', '０１２３４５６７８９')"
+
+
+@query(f"SELECT 'ord　' || {_WIDE} AS typed, 'ORD-' || o_orderkey AS code, 'ORD-' || o_orderkey || 'B' AS found FROM orders")
+def unicode_codes(spark, sf):
+    """Full-width digits and an ideographic space are digits and space."""
+    wide = F.translate(F.col("number").cast("string"), "0123456789", "０１２３４５６７８９")
+    rows = orders(spark, sf).select(F.concat(F.lit("ord　"), wide).alias("typed"), F.concat(F.lit("見よ ord　-　"), wide, F.lit("b 。")).alias("prose"))
+    return rows.select("typed", keys.normalize_code(F.col("typed")).alias("code"), keys.extract_code(F.col("prose")).alias("found"))
+
+
+# --- streams -------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE user_id % 3 > 0")
+def stream_unseen_keyed(spark, sf):
+    """Eight batches, half of them after a restart, against a snapshot that holds a third of the users and grows by what comes."""
+    rows = _t(spark, sf, "events").select("user_id", "event_id")
+    base = _folder(spark, "keyed")
+    for half in (0, 1):
+        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half).repartition(4, F.xxhash64("event_id", F.lit(1))).write.mode("append").parquet(f"{base}/landed")
+        landed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landed")
+        known = rows.where("user_id % 3 = 0").select("user_id")
+        with keyed.keyed_state(spark):
+            run = keyed.unseen_stream(landed, known, "event_id", "user_id").writeStream.option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/out").select("user_id")

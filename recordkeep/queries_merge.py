@@ -184,7 +184,7 @@ def stored_tag_choice(spark, sf):
     other = own.select((F.col("id") + 1_000_000_000).alias("id"), "group", F.concat(F.lit("x"), "name").alias("name"))
     refused = other.withColumn("name", F.when(F.col("id") % 50 == 1, " ").otherwise(F.col("name")))
     valid = other.where("id > 0")
-    return snapshots.stored_tags(refused, own.where("id > 0").unionByName(own.where("id = 0").withColumn("id", F.lit(0).cast("bigint")))).select("id", "name").unionByName(snapshots.stored_tags(valid, own).select("id", "name"))
+    return snapshots.stored_tags(refused, own).select("id", "name").unionByName(snapshots.stored_tags(valid, own).select("id", "name"))
 
 
 # --- merges ------------------------------------------------------------------------------------------------------------
@@ -197,14 +197,14 @@ def resolved_cards(spark, sf):
     return refresh.resolve_unparsed(cards, details)
 
 
-@query(f"""WITH {BASE}, x AS (SELECT k, 'ORD-' || k AS code, o_orderpriority AS title FROM base) SELECT code, CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN 'new' ELSE title END AS title, CASE WHEN k % 3 = 0 THEN k || ',' || (k + 5) ELSE '' END AS tag_ids,
+@query(f"""WITH {BASE}, x AS (SELECT k, 'ORD-' || k AS code, o_orderpriority AS title FROM base) SELECT code, CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN 'new' ELSE title END AS title, CASE WHEN k % 3 = 0 THEN CASE WHEN k > 0 THEN k || ',' ELSE '' END || (k + 5) ELSE '' END AS tag_ids,
 CASE WHEN k % 3 = 0 THEN 'complete' END AS tags_status FROM x""")
 def enriched_records(spark, sf):
     rec = orders(spark, sf).select("code", "title", *[F.lit(None).cast("array<bigint>" if c == "tag_ids" else "string").alias(c) for c in tags.TAG_FIELDS])
     k = F.col("number")
-    details = orders(spark, sf).where("number % 3 = 0").select("code", F.when(k % 2 == 0, "new").alias("title"), F.when(k == 0, F.array(F.lit(5))).otherwise(F.array(k + 5, k, k, F.lit(-1))).cast("array<bigint>").alias("tag_ids"))
+    details = orders(spark, sf).where("number % 3 = 0").select("code", F.when(k % 2 == 0, "new").alias("title"), F.array(k + 5, k, k, F.lit(-1)).cast("array<bigint>").alias("tag_ids"))
     found = tags.apply_details(rec, details, "2024-01-01T00:00:00Z")
-    ids = F.when(F.col("code") == "ORD-0", "0,5").otherwise(F.array_join(F.transform(F.coalesce("tag_ids", F.array().cast("array<bigint>")), lambda x: x.cast("string")), ","))
+    ids = F.array_join(F.transform(F.coalesce("tag_ids", F.array().cast("array<bigint>")), lambda x: x.cast("string")), ",")
     return found.select("code", "title", ids.alias("tag_ids"), "tags_status")
 
 
@@ -245,10 +245,15 @@ def normalized_definitions(spark, sf):
     return found.select("id", plain.alias("name"), F.regexp_replace("translation", " #[0-9]+$", "").alias("translation"), "source")
 
 
-@query("SELECT p_partkey AS id, p_name AS name FROM part")
+@query("""SELECT p_partkey + 1 AS id, CASE WHEN p_partkey % 5 IN (1, 2, 3) THEN 'second' ELSE p_name END AS name, 'T' || p_name AS translation, CASE WHEN p_partkey % 5 = 4 THEN 0 ELSE 7 END AS "count" FROM part WHERE p_partkey % 7 <> 1""")
 def first_definitions(spark, sf):
-    own = parts(spark, sf).withColumn("seq", F.lit(1))
-    return tags.first_definitions(own.unionByName(own.withColumns({"seq": F.lit(2), "name": F.lit("late")}))).select("id", "name")
+    """The first definition of some ids has an unknown group, a blank name or no translation, so that the next one holds; some have no valid one."""
+    p = _t(spark, sf, "part")
+    first = p.selectExpr("1 AS seq", "p_partkey AS k", "p_partkey + 1 AS id", "CASE WHEN p_partkey % 5 = 1 THEN 'other' ELSE 'genre' END AS `group`", "CASE WHEN p_partkey % 5 = 2 THEN ' ' ELSE '  ' || p_name END AS name", "CASE WHEN p_partkey % 5 <> 3 THEN 'T' || p_name END AS translation", "CASE WHEN p_partkey % 5 = 4 THEN -1 ELSE 7 END AS count")
+    second = p.selectExpr("2 AS seq", "p_partkey AS k", "p_partkey + 1 AS id", "'character' AS `group`", "'second' AS name", "'T' || p_name AS translation", "CASE WHEN p_partkey % 5 = 4 THEN -1 ELSE 7 END AS count")
+    odd = second.withColumns({"seq": F.lit(0), "id": -F.col("id")})
+    bad = first.unionByName(second).unionByName(odd).withColumn("group", F.when(F.col("k") % 7 == 1, "none").otherwise(F.col("group")))
+    return tags.first_definitions(bad).select("id", "name", "translation", F.col("count"))
 
 
 @query(f"""WITH {_BRIDGE}, j AS (SELECT code, s_suppkey, s_nationkey % 2 AS g, s_name FROM bridge JOIN supplier ON s_suppkey = tag_id WHERE s_suppkey % 5 <> 2)
@@ -393,10 +398,11 @@ def sync_all(spark, sf):
     return browse.placed(found, [F.col("urgency"), F.col("product_id")]).select("code", "place")
 
 
-@query("SELECT p_partkey AS id, n + CASE WHEN p_partkey % 10 = 1 THEN 1 ELSE 0 END AS stated, n FROM (SELECT p_partkey, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_partkey = p_partkey) AS n FROM part) WHERE p_partkey % 10 = 1")
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 1 THEN n + 1 END AS stated, n FROM (SELECT p_partkey, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_partkey = p_partkey) AS n FROM part) WHERE p_partkey % 10 IN (1, 3, 5)")
 def stated_tag_counts(spark, sf):
     counted = tags.tag_counts(bridge(spark, sf, "l_partkey"), parts(spark, sf))
-    return tags.stated_counts_differ(counted, counted.select("id", F.when(F.col("id") % 10 == 1, F.col("n") + 1).otherwise(F.col("n")).alias("n")))
+    k = F.col("id") % 10
+    return tags.stated_counts_differ(counted, counted.where(k != 5).select("id", F.when(k == 1, F.col("n") + 1).when(k != 3, F.col("n")).alias("n")))
 
 
 @query("""WITH b AS (SELECT DISTINCT 'ORD-' || l_orderkey AS code, l_suppkey AS t FROM lineitem), n AS (SELECT t, count(*) AS n FROM b GROUP BY t)

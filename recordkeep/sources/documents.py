@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordkeep.operators.browse import placed
+from recordkeep.operators.spread import placed
 from recordkeep.plans.lineage import cut
 from recordkeep.sources import snapshots
 

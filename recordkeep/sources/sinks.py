@@ -112,6 +112,17 @@ def compare_manifests(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return both.select("path", state.alias("state")).where("state is not null")
 
 
+def same_release(local: DataFrame, live: DataFrame, commit: tuple[str, ...] = ("commit",)) -> DataFrame:
+    """One row (content, exact) of two manifests' headers (field, value): equal but for the commit, and equal as a whole.
+
+    A field that only one of them has is a difference; a manifest without fields equals none.
+    """
+    both = local.select("field", F.col("value").alias("a"), F.lit(True).alias("x")).join(live.select("field", F.col("value").alias("b"), F.lit(True).alias("y")), "field", "full_outer")
+    same = F.col("x").eqNullSafe(F.col("y")) & F.col("a").eqNullSafe(F.col("b"))
+    content = F.bool_and(F.when(~F.col("field").isin(*commit), same))
+    return both.agg(F.coalesce(content, F.lit(False)).alias("content"), F.coalesce(F.bool_and(same), F.lit(False)).alias("exact"))
+
+
 def source_summary(sources: DataFrame) -> DataFrame:
     """Per scope: sources, resolved and unresolved ones, and a hash of the addresses."""
     state = lambda name: F.count_if(F.col("state") == name).alias(name)
