@@ -60,3 +60,9 @@ def test_urls(spark):
     assert apply(spark, lambda c: urls.pick_cover(c, F.lit("AB-1")), [["http://h/review/p.jpg", "http://h/ab/p.jpg"], ["http://h/x/p.jpg"], []], "array<string>") == ["http://h/ab/p.jpg", "http://h/x/p.jpg", None]
     assert apply(spark, urls.normalize_color, ["#ABC", "#aabbcc", "rgb(255, 0, 10)", "rgb(256,0,0)", "red"]) == ["#aabbcc", "#aabbcc", "#ff000a", None, None]
     assert apply(spark, lambda c: urls.eligible_cover(c, "h.example", "db"), ["https://h.example/db/x.jpg", "http://h.example/db/x.jpg", None]) == [True, False, False]
+
+
+def test_digits_and_spaces_of_any_script(spark):
+    typed = ["AB-１２", "ab_٠٠٧ ", "AB-1²", "AB-𝟘𝟙", "AB　7", "ＡＢ-7"]
+    assert apply(spark, keys.normalize_code, typed) == ["AB-12", "AB-7", None, "AB-1", "AB-7", None]
+    assert apply(spark, keys.extract_code, ["見よ ABC　-　１２ｂ", "ABC - 1２b.", "x"]) == ["ABC-12", "ABC-12B", None] and keys.code_of("ab　１２") == "AB-12"

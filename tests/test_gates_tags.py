@@ -152,4 +152,49 @@ def test_names_and_tag_gates(spark):
     assert {r.id: (r.translation, r.source) for r in T.resolve_names(d, reviewed, stored, cached).collect()} == {1: ("R", "reviewed"), 2: ("S", "stored"), 3: ("C", "cached"), 4: (None, "needed")}
     rec = spark.createDataFrame([("A-1", 1, "t", [2, 1], "complete", "2024-01-01T00:00:00Z", "official"), ("A-2", 1, "t", [9], None, None, None)], RT)
     stated = spark.createDataFrame([(1, 1), (2, 7)], "id long, n long")
-    assert sorted(r.key for r in G.tag_gates(rec, defs(spark), stated, required=True).collect()) == ["2", "A-1", "A-2", "A-2"]
+    found = sorted((r.key, r.message) for r in G.tag_gates(rec, defs(spark), stated, required=True).collect())
+    assert found == [
+        ("2", "count differs"), ("3", "both names are needed"), ("3", "count differs"), ("3", "count must be stated and not negative"), ("A-1", "tag ids must be unique and sorted"),
+        ("A-2", "provenance must be official"), ("A-2", "status must be complete"), ("A-2", "time must be a UTC time ending in Z"), ("A-2", "unknown tag 9"),
+    ]
+    odd = spark.createDataFrame([(1, "genre", "a", "A"), (1, "genre", "a", "A"), (2, "nonsense", "b", "B"), (0, "genre", "z", "Z"), (None, "genre", "z", "Z"), (4, None, "c", " ")], "id long, group string, name string, translation string")
+    assert sorted((r.key or "-", r.message) for r in G.tag_gates(rec.limit(0), odd).collect()) == [("-", "id must be positive"), ("0", "id must be positive"), ("1", "duplicate tag"), ("2", "unknown group"), ("4", "both names are needed"), ("4", "unknown group")]
+    anything = spark.createDataFrame([("A-1", 1, "t", None, "complete", "2024-01-01T00:00:00Z", "anything")], RT)
+    assert sorted(r.message for r in G.tag_gates(anything, defs(spark).limit(0), required=True).collect()) == ["provenance must be official", "tag ids are missing"] and G.tag_gates(anything, defs(spark).limit(0)).count() == 0
+    placed = defs(spark).withColumn("place", F.when(F.col("id") == 1, 9).otherwise(F.col("id")))
+    assert [(r.gate, r.key) for r in G.tag_gates(rec.limit(0), placed.where("id < 3")).collect()] == [("G5", "1")]
+
+
+def test_scan_summaries(spark):
+    base = {"mode": "incremental", "stop_reason": "empty", "errors": 0, "parsed": 5, "new": 2, "known": 3, "records": 2, "pages": 4, "cursor": 4, "retries": 0}
+    kind = "mode string, stop_reason string, errors long, parsed long, new long, known long, records long, pages long, cursor long, retries long"
+
+    def found(mode="incremental", **cells):
+        row = {**base, **cells}
+        return sorted(r.message for r in G.scan(spark.createDataFrame([tuple(row.values())], kind), mode).collect())
+
+    assert found() == []
+    assert found(pages=0, cursor=0) == ["cursor must be over 0", "did not end where it says"]
+    assert found(known=-3, new=8, records=8) == ["a count is missing or negative"] == found(retries=None)
+    assert "a count is missing or negative" in found(parsed=None) and "cursor must be over 0" in found(cursor=None)
+    assert found(mode="audit") == ["another mode", "another number of records came"]
+    row = {"mode": "audit", "records": 5}
+    kept = lambda **c: sorted(r.message for r in G.scan(spark.createDataFrame([tuple({**base, **row, **c}.values())], kind), "audit").collect())
+    assert kept() == [] and kept(stop_reason="all_known") == ["unknown reason to stop"] and kept(records=2) == ["another number of records came"]
+    assert found(errors=1, stop_reason="error", parsed=9, records=77) == [] and found(errors=1) == ["errors and reason to stop differ"] and found(errors=0, stop_reason="error") == ["errors and reason to stop differ"]
+    assert found(stop_reason="all_known", pages=1, cursor=1) == ["did not end where it says"] and found(records=3) == ["another number of records came"]
+
+
+def test_stated_dates_and_counts_are_needed(spark):
+    rec = spark.createDataFrame([("A-1", "A", 1, "2024-01-01"), ("B-1", "B", 1, None), ("B-2", "B", 2, "nonsense")], "code string, prefix string, number long, release_date string")
+    stated = spark.createDataFrame([("A", 1, None, None), ("B", 2, None, "x")], "prefix string, n long, first_date string, latest_date string")
+    assert sorted((r.gate, r.key, r.message) for r in G.groups(stated, rec).collect()) == [("G12", "A", "first date differs"), ("G12", "A", "latest date differs")]
+    counts = spark.createDataFrame([(1, 5), (2, 0), (3, 1), (4, 4)], "id long, n long")
+    given = spark.createDataFrame([(1, 5), (2, None), (4, 5)], "id long, n long")
+    assert sorted(r.id for r in T.stated_counts_differ(counts, given).collect()) == [2, 3, 4]
+
+
+def test_first_valid_definition_wins(spark):
+    rows = [(1, 7, "nonsense", "a", "A", 1), (2, 7, "genre", " ", "A", 1), (3, 7, "genre", " ok ", "B", -4), (4, 7, "genre", "late", "C", 9), (1, 0, "genre", "z", "Z", 1), (1, 8, "genre", "y", None, 1)]
+    found = T.first_definitions(spark.createDataFrame(rows, "seq int, id long, group string, name string, translation string, count long"))
+    assert [(r.id, r.name, r.translation, r["count"]) for r in found.collect()] == [(7, "ok", "B", 0)]

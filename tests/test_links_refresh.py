@@ -114,3 +114,9 @@ def test_precision_previews_and_splits(spark):
     assert [tuple(r) for r in R.remapped_ids(old, new.withColumn("code", F.lit("A-9")).where("product_id = 1").limit(1)).collect()] == [(1, "A-9", "A-1"), (1, "A-9", "A-2")]
     assert {(r.code, r.side) for r in R.unequal_sets(old.select("code"), new.select("code")).collect()} == {("A-3", "right"), ("A-4", "right")}
     assert R.lost_rows(old, old).count() == 0 and R.filter_incoming(spark.createDataFrame(PREV, REC), 1, 3).count() == 2
+
+
+def test_without_previous_records_all_is_new(spark):
+    new = spark.createDataFrame([("A-1", 1, "2024-01-01"), ("A-2", None, None)], "code string, product_id long, release_date string")
+    for how in (R.Refresh(), R.Refresh(R.AUDIT, True), R.Refresh(R.AUDIT, True, number_from=5), R.Refresh(R.LINKS_ONLY), R.Refresh(R.LINKS_ONLY, True)):
+        assert R.retain(new, new.limit(0), how).count() == 2 == R.retain(new, None, how).count()

@@ -100,3 +100,11 @@ def test_equal_and_empty_tables(spark, tmp_path):
     same = H.changes(spark, path("a"), path("b"), schema)
     assert same.count() == 0 and tuple(H.counts(spark, path("b"), same).first()) == (0, 0, 0, 200)
     assert H.changes(spark, path("none"), path("a"), schema).where("change = 'added'").count() == 200 == H.changes(spark, path("a"), path("none"), schema).where("change = 'deleted'").count()
+
+
+def test_two_identities_of_a_release(spark):
+    head = lambda **f: spark.createDataFrame(list(f.items()), "field string, value string")
+    same = lambda a, b: tuple(sinks.same_release(a, b).first())
+    own = head(commit="a", files="h", config="c")
+    assert same(own, own) == (True, True) and same(own, head(commit="b", files="h", config="c")) == (True, False)
+    assert same(own, head(commit="a", files="x", config="c")) == (False, False) == same(own, head(commit="a", files="h")) and same(own, own.limit(0)) == (False, False)
