@@ -3,12 +3,13 @@
 Every component becomes the integer floor(256 * x). Candidates are dealt into shards of bounded size, each candidate
 to one; queries travel to every shard and stream past it, so no task holds more than a shard and a batch of queries.
 
-A shard is read in parts of some thousand candidates. In a part, every dimension is a list sorted by that component,
-read strictly in order: from its upper end for queries that weigh the dimension up, from its lower end for the others.
-What is unread of a list is at most its frontier, so each candidate has an upper bound: the sum of what was read of it
-and of the frontiers elsewhere. The lower bound to beat is the k-th best score of the parts before. Reading goes on,
-only for candidates that can still qualify, until few are left; their scores are then resolved. Only the first part of
-a shard, which has no score to beat yet, is read to the end.
+In a shard, every dimension is a list of (value, candidate) sorted by value. A query reads all lists in step, strictly
+by position: from the upper end where it weighs the dimension up, from the lower end elsewhere, and not at all where its
+weight is 0. What was read of a candidate is summed up. What is unread of a list is between its frontier and its other
+end, so each candidate has a lower and an upper bound: its sum and that of the ends, or of the frontiers, of the lists in
+which it has not been met. The score to beat is the k-th best of the scores resolved so far, in this shard or before,
+and of the lower bounds. After the first depth the most promising candidates are resolved, so that there is a score to
+beat at once. Reading stops when few candidates can still qualify; their scores are then resolved.
 
 Bounds are exact where sums fit a double, else they are widened by the largest possible rounding error; scores are exact
 integers of any size, and move as two words, so that they are ranked exactly even where they do not fit a long.
@@ -33,77 +34,83 @@ from pyspark.sql import functions as F
 from recordkeep.llm.tables import table
 from recordkeep.plans.lineage import cut
 
-#: Candidates whose lists are read together.
-PART = 2048
-#: Shares of each list that are read before candidates are sorted out again.
-ROUNDS = (0.4, 0.55, 0.7, 0.8, 0.9)
+#: Cells of a shard, and its candidates at most.
+CELLS, BLOCK = 1 << 20, 16384
+#: Shares of each list that are read before the bounds are looked at again.
+DEPTHS = (0.1, 0.25, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 FEW = 32  # candidates that are resolved without reading on
 WORD = 62  # bits of a score's lower word
 
 
-class Lists:
+class Shard:
     """Sorted lists of the candidates ``ids`` with integer components ``x`` (n x dims, whole numbers as doubles)."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.sorted = np.sort(x, axis=0)
+        self.order = np.argsort(x, axis=0, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(x, self.order, axis=0)
         self.largest = np.abs(x).max(axis=0, initial=0)
-        self._read: dict[tuple, np.ndarray] = {}
-
-    def frontiers(self, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """The largest unread value of each list from above, and the smallest from below."""
-        depth = min(math.ceil(share * len(self.ids)), len(self.ids) - 1)
-        return self.sorted[len(self.ids) - 1 - depth], self.sorted[depth]
-
-    def read(self, share: float, kind: type) -> np.ndarray:
-        """What is known of all candidates after ``share`` of each list: columns from above, then from below."""
-        if (share, kind) not in self._read:
-            high, low = self.frontiers(share)
-            self._read[share, kind] = np.hstack([np.maximum(self.x, high), np.minimum(self.x, low)]).astype(kind)
-        return self._read[share, kind]
-
-
-class Shard:
-    """A shard's candidates in parts, in the order given."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, part: int = PART):
-        self.parts = [Lists(ids[at : at + part], x[at : at + part]) for at in range(0, len(ids), part)]
+    def entries(self, q: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(candidates, dimensions, weighted values) at the positions from ``start`` to ``end`` of the lists that ``q`` reads."""
+        n = len(self.ids)
+        found = []
+        for lists, rows in ((np.flatnonzero(q > 0), slice(n - end, n - start)), (np.flatnonzero(q < 0), slice(start, end))):
+            own = self.order[rows][:, lists]
+            found.append((own.ravel(), np.broadcast_to(lists, own.shape).ravel(), (self.sorted[rows][:, lists] * q[lists]).ravel()))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def ends(self, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The most and the least that an unread entry of each list can add, behind ``depth`` entries."""
+        n, none = len(self.ids), np.zeros(len(q))
+        if depth >= n:
+            return none, none
+        return np.where(q > 0, q * self.sorted[n - 1 - depth], np.where(q < 0, q * self.sorted[depth], 0)), np.where(q > 0, q * self.sorted[0], np.where(q < 0, q * self.sorted[-1], 0))
 
     def best(self, query_ids: np.ndarray, q: np.ndarray, k: int, stats: dict | None = None) -> list[list[tuple[int, int]]]:
-        """Per query its k best (-score, id), scores as Python integers. ``stats`` counts entries read and in all."""
-        found: list[list[tuple[int, int]]] = [[] for _ in query_ids]
-        sides = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
-        start = 0
-        for lists in self.parts:
-            width = float(lists.largest @ np.abs(q).max(axis=0, initial=0)) if q.shape[1] else 0.0
-            kind = np.float32 if width < 1 << 23 else np.float64
-            slack = 0.0 if width < 1 << 52 else width * (2 * q.shape[1] + 8) * 2.0**-52
-            least = np.array([-float(f[-1][0]) if len(f) == k else -np.inf for f in found]) - slack
-            if np.isinf(least).any():
-                alive, depth = [np.arange(len(lists.ids))] * len(q), len(ROUNDS)
-            else:
-                upper = sides.astype(kind) @ lists.read(ROUNDS[start], kind).T
-                hit = upper >= least[:, None]
-                alive, depth = [np.flatnonzero(row) for row in hit], start
-                start = min(start + 1, len(ROUNDS) - 1) if hit.mean() > 0.3 else start  # more has to be read first
-            for i, (rows, own) in enumerate(zip(alive, query_ids, strict=True)):
-                touched = len(lists.ids) * (ROUNDS[depth] if depth < len(ROUNDS) else 1.0)
-                for at in range(depth + 1, len(ROUNDS)):
-                    if len(rows) <= FEW:
-                        break
-                    high, low = lists.frontiers(ROUNDS[at])
-                    known = lists.x[rows]
-                    touched += len(rows) * (ROUNDS[at] - ROUNDS[at - 1])
-                    rows = rows[np.maximum(q[i] * known, np.where(q[i] > 0, q[i] * high, q[i] * low)).sum(axis=1) >= least[i]]
-                rows = rows[lists.ids[rows] != own]
-                found[i] = _merged(found[i], lists, rows, q[i], width, k)
-                if stats is not None:
-                    stats["read"] = stats.get("read", 0) + touched + len(rows)
-                    stats["all"] = stats.get("all", 0) + len(lists.ids)
-        return found
-
-
-def _merged(have: list[tuple[int, int]], lists: Lists, rows: np.ndarray, q: np.ndarray, width: float, k: int) -> list[tuple[int, int]]:
+        """Per query its k best (-score, id), scores as Python integers. ``stats`` counts entries read, cells resolved, and cells in all."""
+        return [self._one(own, w, k, stats if stats is not None else {}) for own, w in zip(query_ids, q, strict=True)]
+
+    def _one(self, own: int, q: np.ndarray, k: int, stats: dict) -> list[tuple[int, int]]:
+        n, dims = self.x.shape
+        width = float(self.largest @ np.abs(q)) if dims else 0.0
+        slack = 0.0 if width < 1 << 52 else width * (4 * dims + 16) * 2.0**-52
+        met, total = np.zeros((n, dims)), np.zeros(n)
+        open_ = self.ids != own  # may still qualify, and is not resolved
+        found: list[tuple[int, int]] = []
+        at, used = 0, int(np.count_nonzero(q))
+        for share in DEPTHS:
+            rows = np.flatnonzero(open_)
+            if len(rows) <= FEW or not used:
+                break
+            depth = min(n, math.ceil(share * n))
+            who, which, value = self.entries(q, at, depth)
+            stats["read"] = stats.get("read", 0) + len(who)
+            keep = open_[who]
+            who, which, value = who[keep], which[keep], value[keep]
+            total += np.bincount(who, value, n)
+            met[who, which] = 1.0
+            if not at:
+                first = rows[np.argsort(-total[rows], kind="stable")[: max(k, FEW)]]
+                found = _merged(found, self, first, q, width, k)
+                stats["resolved"] = stats.get("resolved", 0) + len(first) * dims
+                open_[first] = False
+                rows = np.flatnonzero(open_)
+            at = depth
+            high, low = self.ends(q, at)
+            unmet = 1.0 - met[rows]
+            upper, lower = total[rows] + unmet @ high, total[rows] + unmet @ low
+            least = -float(found[-1][0]) if len(found) == k else -np.inf
+            if len(rows) >= k:
+                least = max(least, float(np.partition(lower, len(rows) - k)[len(rows) - k]) - slack)
+            open_[rows[upper < least - slack]] = False
+        rows = np.flatnonzero(open_)
+        stats["resolved"] = stats.get("resolved", 0) + len(rows) * dims
+        stats["all"] = stats.get("all", 0) + n * dims
+        return _merged(found, self, rows, q, width, k)
+
+
+def _merged(have: list[tuple[int, int]], lists: Shard, rows: np.ndarray, q: np.ndarray, width: float, k: int) -> list[tuple[int, int]]:
     """The k best of ``have`` and of ``rows``, whose scores are resolved here."""
     if not len(rows):
         return have
@@ -137,8 +144,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, i
             yield tuple(keys[at].tolist()), part.column(3).to_numpy(), part.column(4).to_numpy(), whole_numbers(cells.reshape(len(part), keys[at][0]))
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 16384, batch: int = 128) -> DataFrame:
-    """``vectors`` and ``queries`` (vec_id, embedding) -> query_id, rank, vec_id, score."""
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, batch: int = 128) -> DataFrame:
+    """``vectors`` and ``queries`` (vec_id, embedding) -> query_id, rank, vec_id, score. A shard has ``block`` candidates, fewer of long vectors."""
 
     def whole(df: DataFrame, name: str) -> DataFrame:
         ok = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.coalesce(F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True))
@@ -146,7 +153,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
         return cut(out, name)
 
     asked, found = whole(queries, "top-k-queries"), whole(vectors, "top-k-vectors")
-    shards = max(1, math.ceil(found.count() / block))
+    size = found.agg(F.count("*").alias("n"), F.coalesce(F.max("dims"), F.lit(1)).alias("dims")).first()
+    shards = max(1, math.ceil(size.n / max(1, min(block, CELLS // max(1, size.dims)))))
     shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     rows = found.select("dims", shard.alias("shard"), F.lit(0).alias("kind"), "row", "vec_id", "v").unionByName(asked.select("dims", every.alias("shard"), F.lit(1).alias("kind"), "row", "vec_id", "v"))
