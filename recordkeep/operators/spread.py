@@ -43,6 +43,19 @@ def neighbours(rows: DataFrame, partition: list[str], place: list[str | Column],
     return joined.select("_row.*", F.coalesce("_before", "_rim").alias(name))
 
 
+def running(rows: DataFrame, partition: list[str], place: list[str | Column], value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows before them in their partition, 0 for the first."""
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    part = rows.select(F.struct(*own).alias("_row"), value.cast("bigint").alias("_value"), *[F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(partition)], *[(F.col(p) if isinstance(p, str) else p).alias(f"_o{i}") for i, p in enumerate(place)])
+    keys, order = [f"_g{i}" for i in range(len(partition))], [f"_o{i}" for i in range(len(place))]
+    part = cut(part.orderBy(*keys, *order).withColumn("_id", F.monotonically_increasing_id()), "running").withColumn("_part", F.shiftright("_id", 33))
+    before = lambda w: F.coalesce(F.sum("_value").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = part.withColumn("_inside", before(Window.partitionBy("_part", *keys).orderBy("_id"))).withColumn("_piece", F.min("_id").over(Window.partitionBy("_part", *keys)))
+    pieces = part.groupBy("_part", *keys).agg(F.sum("_value").alias("_value"), F.min("_id").alias("_piece"))
+    pieces = pieces.select("_piece", before(Window.partitionBy(*keys).orderBy("_part")).alias("_ahead"))  # a row a piece
+    return inside.join(pieces, "_piece").select("_row.*", (F.col("_inside") + F.col("_ahead")).alias(name))
+
+
 def unsorted(rows: DataFrame, partition: list[str], place: str, order: list[str]) -> DataFrame:
     """Rows whose stated place contradicts the order of their columns."""
     now = F.struct(*[F.col(c) for c in order])

@@ -12,7 +12,7 @@ from recordkeep.operators.search_index import SearchIndex
 from recordkeep.plans.lineage import shared_dir
 from recordkeep.queries import _LINKS, SQL, _t, bridge, incoming, one_leaf, orders, parts, previous, query
 from recordkeep.queries_merge import _catalog
-from recordkeep.sources import documents, hash_tree, sinks, versions
+from recordkeep.sources import documents, hash_tree, sheets, sinks, versions
 from recordkeep.streaming import keyed
 
 
@@ -76,6 +76,18 @@ def document_hashes(spark, sf):
     return out
 
 
+@query("""SELECT o_orderkey % 4 AS sheet, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) - 1 AS row_no, 'ord_' || o_orderkey || '|' || CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority || chr(10) || chr(10) || 'a, "b"' ELSE '' END || '|' || o_custkey || CASE WHEN o_orderkey % 5 = 0 THEN '|' ELSE '' END AS cells FROM orders""")
+def sheet_rows(spark, sf):
+    """Sheets with quoted line breaks, commas and quotes, read in splits; row numbers count rows, not lines."""
+    path = _folder(spark, "sheets")
+    k = F.col("number")
+    note = F.when(k % 3 == 0, F.concat(F.lit('"'), "title", F.lit('\n\na, ""b"""'))).otherwise("")
+    line = F.concat(F.lit("ord_"), k.cast("string"), F.lit(","), note, F.lit(","), F.col("prefix").cast("string"), F.when(k % 5 == 0, ",").otherwise(""))
+    orders(spark, sf).select((k % 4).alias("sheet"), line.alias("value"), "number").repartition("sheet").sortWithinPartitions("sheet", "number").select("sheet", "value").write.partitionBy("sheet").text(path)
+    rows = sheets.read_sheets(spark, path)
+    return rows.select(F.regexp_extract("file", "sheet=([0-9]+)", 1).cast("bigint").alias("sheet"), F.col("row_no").cast("bigint").alias("row_no"), F.array_join("cells", "|").alias("cells"))
+
+
 # --- versions and hash trees -------------------------------------------------------------------------------------------
 
 

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordkeep.functions.keys import code_prefix, normalize_code, normalize_prefix
 from recordkeep.functions.text import collapse, header_name
 from recordkeep.functions.urls import destination, unwrap_redirect
+from recordkeep.operators import spread
 from recordkeep.operators.gates import header_errors
+from recordkeep.plans.lineage import cut
 
 CODE, DIVIDER = "NEW CODE", "UNCENSORED"
 HEADERS = {"STREAMTAPE": "streamtape", "PLAYER4ME": "player4me", "GOFILE": "gofile"}
@@ -23,19 +20,35 @@ class SheetError(ValueError):
     """The sheet's structure is not as agreed."""
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(row_no, cells): the rows of one sheet file in order, with all their cells; quoted cells may hold line breaks.
+#: Characters of the widest line break within a sheet.
+_BREAK = "\n"
+
 
-    A sheet is one file of bounded size, so one task reads it.
+def read_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row_no, cells): the rows of sheet files in order, with all their cells; quoted cells may hold line breaks.
+
+    A file is split at any line. A line starts a row if the quotes before it are even in number, which a running sum
+    over pieces of the file tells; lines of one row are set together again and parsed by Spark. Blank rows drop out but
+    count. Line ends inside a cell read as line feeds. A quote that stands inside an unquoted cell counts like any other.
     """
+    lines = spark.read.text(path, lineSep=_BREAK).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    counted = spread.running(cut(lines, "sheet-lines"), ["file"], ["block", "at"], F.length("value") - F.length(F.replace("value", F.lit('"'))), "quotes")
+    starts = counted.withColumn("start", F.when(F.col("quotes") % 2 == 0, 1).otherwise(0))
+    numbered = spread.running(starts, ["file"], ["block", "at"], F.col("start"), "rows").withColumn("row_no", (F.col("rows") + F.col("start") - 1).cast("int"))
+    whole = numbered.groupBy("file", "row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), _BREAK).alias("text"))  # one row's lines
+    whole = cut(whole.select("file", "row_no", F.regexp_replace(F.regexp_replace("text", r"\r$", ""), "^\ufeff", "").alias("text")).where("text <> ''"), "sheet-rows")
+    bare = F.regexp_replace("text", '"[^"]*"', "")  # commas between cells
+    whole = whole.withColumn("n", F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1)
+    width = whole.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    names = [f"c{i}" for i in range(width)]
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "emptyValue": "", "maxColumns": str(width + 1), "maxCharsPerColumn": "-1"}
+    parsed = whole.select("file", "row_no", "n", F.from_csv("text", ", ".join(f"{n} string" for n in names), options).alias("c"))
+    return parsed.select("file", "row_no", F.slice(F.array(*[F.coalesce(F.col(f"c.{n}"), F.lit("")) for n in names]), F.lit(1), F.col("n")).alias("cells"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for value in frame["value"]:
-                rows = [(n, row) for n, row in enumerate(csv.reader(io.StringIO(value, newline=""))) if row]
-                yield pd.DataFrame(rows, columns=["row_no", "cells"])
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, "row_no int, cells array<string>")
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(row_no, cells) of one sheet file, see :func:`read_sheets`."""
+    return read_sheets(spark, path).drop("file")
 
 
 def link_cells(rows: DataFrame) -> DataFrame:
