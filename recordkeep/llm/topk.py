@@ -37,7 +37,7 @@ from recordkeep.plans.lineage import cut
 #: Cells of a shard, and its candidates at most.
 CELLS, BLOCK = 1 << 20, 16384
 #: Shares of each list that are read before the bounds are looked at again.
-DEPTHS = (0.1, 0.25, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+DEPTHS = (0.1, 0.5, 0.65, 0.8, 0.9, 1.0)
 FEW = 32  # candidates that are resolved without reading on
 WORD = 62  # bits of a score's lower word
 
@@ -50,64 +50,98 @@ class Shard:
         self.order = np.argsort(x, axis=0, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(x, self.order, axis=0)
         self.largest = np.abs(x).max(axis=0, initial=0)
+        self._read: dict[type, list] = {}
+        self._last: dict[type, tuple] = {}
 
-    def entries(self, q: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(candidates, dimensions, weighted values) at the positions from ``start`` to ``end`` of the lists that ``q`` reads."""
+    def entries(self, d: int, start: int, end: int, up: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(candidates, values) at the positions from ``start`` to ``end`` of one list, from its upper or its lower end."""
         n = len(self.ids)
-        found = []
-        for lists, rows in ((np.flatnonzero(q > 0), slice(n - end, n - start)), (np.flatnonzero(q < 0), slice(start, end))):
-            own = self.order[rows][:, lists]
-            found.append((own.ravel(), np.broadcast_to(lists, own.shape).ravel(), (self.sorted[rows][:, lists] * q[lists]).ravel()))
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
-
-    def ends(self, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """The most and the least that an unread entry of each list can add, behind ``depth`` entries."""
-        n, none = len(self.ids), np.zeros(len(q))
-        if depth >= n:
-            return none, none
-        return np.where(q > 0, q * self.sorted[n - 1 - depth], np.where(q < 0, q * self.sorted[depth], 0)), np.where(q > 0, q * self.sorted[0], np.where(q < 0, q * self.sorted[-1], 0))
+        rows = slice(n - end, n - start) if up else slice(start, end)
+        return self.order[rows, d], self.sorted[rows, d]
+
+    def frontiers(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The largest unread value of each list behind ``depth`` entries from above, and the smallest from below; 0 if all are read."""
+        n = len(self.ids)
+        return (np.zeros(self.x.shape[1]),) * 2 if depth >= n else (self.sorted[n - 1 - depth], self.sorted[depth])
+
+    def reading(self, kind: type) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
+        """At each of DEPTHS: entries read of each list, and per end (upper, lower) what each cell is at most and at least.
+
+        A cell is its value once the list has been read as far as its candidate; before, its list's frontier is the one
+        bound and its list's other end the other. Lists are read on from where the depth before ended; what was read stays,
+        for the queries of the next batch.
+        """
+        n, dims = self.x.shape
+        if kind not in self._read:
+            self._read[kind] = []
+        made = self._read[kind]
+        at, known, unread = 0, [np.zeros((n, dims), kind) for _ in range(2)], [np.ones((n, dims), bool) for _ in range(2)]
+        for step, share in enumerate(DEPTHS):
+            depth = min(n, math.ceil(share * n))
+            if step >= len(made):
+                if step and made:  # of the depth before: what is known, and where
+                    at, known, unread = self._last[kind]
+                for own, open_, up in zip(known, unread, (True, False), strict=True):
+                    for d in range(dims):
+                        who, value = self.entries(d, at, depth, up)
+                        own[who, d] = value
+                        open_[who, d] = False
+                self._last[kind] = (depth, known, unread)
+                frontier, ends = self.frontiers(depth), (self.sorted[0], self.sorted[-1])
+                most = [np.where(o, f.astype(kind), v) for o, f, v in zip(unread, frontier, known, strict=True)]
+                least = [np.where(o, e.astype(kind), v) for o, e, v in zip(unread, ends, known, strict=True)] if not step else []
+                made.append((depth, most, least))
+            yield made[step]
 
     def best(self, query_ids: np.ndarray, q: np.ndarray, k: int, stats: dict | None = None) -> list[list[tuple[int, int]]]:
-        """Per query its k best (-score, id), scores as Python integers. ``stats`` counts entries read, cells resolved, and cells in all."""
-        return [self._one(own, w, k, stats if stats is not None else {}) for own, w in zip(query_ids, q, strict=True)]
+        """Per query its k best (-score, id), scores as Python integers. ``stats`` counts entries read, cells resolved, and cells in all.
 
-    def _one(self, own: int, q: np.ndarray, k: int, stats: dict) -> list[tuple[int, int]]:
+        The queries of a batch read in step, so that an entry is fetched once for all that read its list from that end.
+        """
+        stats = {} if stats is None else stats
         n, dims = self.x.shape
-        width = float(self.largest @ np.abs(q)) if dims else 0.0
+        width = float(self.largest @ np.abs(q).max(axis=0, initial=0)) if dims else 0.0
+        kind = np.float32 if width < 1 << 23 else np.float64
         slack = 0.0 if width < 1 << 52 else width * (4 * dims + 16) * 2.0**-52
-        met, total = np.zeros((n, dims)), np.zeros(n)
-        open_ = self.ids != own  # may still qualify, and is not resolved
-        found: list[tuple[int, int]] = []
-        at, used = 0, int(np.count_nonzero(q))
-        for share in DEPTHS:
-            rows = np.flatnonzero(open_)
-            if len(rows) <= FEW or not used:
-                break
-            depth = min(n, math.ceil(share * n))
-            who, which, value = self.entries(q, at, depth)
-            stats["read"] = stats.get("read", 0) + len(who)
-            keep = open_[who]
-            who, which, value = who[keep], which[keep], value[keep]
-            total += np.bincount(who, value, n)
-            met[who, which] = 1.0
-            if not at:
-                first = rows[np.argsort(-total[rows], kind="stable")[: max(k, FEW)]]
-                found = _merged(found, self, first, q, width, k)
-                stats["resolved"] = stats.get("resolved", 0) + len(first) * dims
-                open_[first] = False
-                rows = np.flatnonzero(open_)
+        sides = [np.maximum(q, 0).T.astype(kind), np.minimum(q, 0).T.astype(kind)]  # of queries still reading, dims x queries
+        live, weighed = np.arange(len(q)), np.count_nonzero(q, axis=1)
+        open_ = self.ids[:, None] != query_ids[None, :]  # may still qualify, and is not resolved
+        found: list[list[tuple[int, int]]] = [[] for _ in query_ids]
+        stats["all"] = stats.get("all", 0) + n * dims * len(q)
+
+        def resolve(column: int, rows: np.ndarray) -> None:
+            stats["resolved"] = stats.get("resolved", 0) + len(rows) * dims
+            i = live[column]
+            found[i] = _merged(found[i], self, rows, q[i], width, k)
+
+        at, depths = 0, self.reading(kind)
+        for step in range(len(DEPTHS)):
+            done = open_.sum(axis=0) <= FEW
+            if done.any():
+                for column in np.flatnonzero(done):
+                    resolve(column, np.flatnonzero(open_[:, column]))
+                live, open_, sides = live[~done], open_[:, ~done], [s[:, ~done] for s in sides]
+            if not len(live):
+                return found
+            depth, most, worst = next(depths)
+            stats["read"] = stats.get("read", 0) + (depth - at) * int(weighed[live].sum())
             at = depth
-            high, low = self.ends(q, at)
-            unmet = 1.0 - met[rows]
-            upper, lower = total[rows] + unmet @ high, total[rows] + unmet @ low
-            least = -float(found[-1][0]) if len(found) == k else -np.inf
-            if len(rows) >= k:
-                least = max(least, float(np.partition(lower, len(rows) - k)[len(rows) - k]) - slack)
-            open_[rows[upper < least - slack]] = False
-        rows = np.flatnonzero(open_)
-        stats["resolved"] = stats.get("resolved", 0) + len(rows) * dims
-        stats["all"] = stats.get("all", 0) + n * dims
-        return _merged(found, self, rows, q, width, k)
+            upper = most[0] @ sides[0] + most[1] @ sides[1]
+            if not step:  # the most promising are resolved, so that there is a score to beat
+                few = min(n, max(k, FEW))
+                top = np.argpartition(np.where(open_, -upper, np.inf), few - 1, axis=0)[:few]
+                for column in range(len(live)):
+                    rows = top[:, column][open_[top[:, column], column]]
+                    resolve(column, rows)
+                    open_[rows, column] = False
+            least = np.array([-float(found[i][-1][0]) if len(found[i]) == k else -np.inf for i in live])
+            if not step and n > k:
+                lower = np.where(open_, worst[0] @ sides[0] + worst[1] @ sides[1], -np.inf)
+                least = np.maximum(least, np.partition(lower, n - k, axis=0)[n - k] - slack)
+            open_ &= upper >= least - slack
+        for column in range(len(live)):
+            resolve(column, np.flatnonzero(open_[:, column]))
+        return found
 
 
 def _merged(have: list[tuple[int, int]], lists: Shard, rows: np.ndarray, q: np.ndarray, width: float, k: int) -> list[tuple[int, int]]:
