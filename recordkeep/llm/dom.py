@@ -10,6 +10,7 @@ from functools import cache
 import numpy as np
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([A-Za-z][^\s/>]*)[^>]*>|<([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>", re.S)
+_LAST = re.compile(r"<!--.*()()", re.S)  # a comment that nothing ends
 _NAMES = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -44,10 +45,10 @@ def dropped_ends(source: str) -> dict[int, int]:
     ends: dict[int, int] = {}
     if not _DROP.search(source):
         return ends
-    stack: list[tuple[str, int]] = []
-    opened = Counter()
-    at = 0
-    while found := _TOKEN.search(source, at):
+    stack: list[tuple[str, int]] = []  # "" in place of one that was taken out
+    places: dict[str, list[int]] = {}
+    at, last = 0, source.rfind(">")
+    while at <= last and (found := _TOKEN.search(source, at)):
         at = found.end()
         tag = (found[1] or found[2] or "").lower()
         if found[2] and tag in RAW:
@@ -58,17 +59,18 @@ def dropped_ends(source: str) -> dict[int, int]:
         elif found[2]:
             if found[3].endswith("/") and tag == "svg":
                 continue
-            if tag in ALONE and opened[tag]:
-                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag)
-                opened[tag] -= 1
-                del stack[k]
+            own = places.setdefault(tag, [])
+            if tag in ALONE and own:
+                stack[own.pop()] = ("", 0)
+            own.append(len(stack))
             stack.append((tag, found.start()))
-            opened[tag] += 1
-        elif opened[tag]:
-            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag)
+        elif places.get(tag):
+            k = places[tag][-1]
             if tag in DROPPED:
                 ends[stack[k][1]] = at
-            opened.subtract(t for t, _ in stack[k:])
+            for t, _ in reversed(stack[k:]):
+                if t:
+                    places[t].pop()
             del stack[k:]
     return ends
 
@@ -91,6 +93,40 @@ class Node:
         self.children: list[int] = []
 
 
+class Open:
+    """Open elements, innermost last, with the places of each tag, so that no question walks through them."""
+
+    def __init__(self):
+        self.tags, self.nodes, self.blocks, self.places = ["#"], [0], [0], {}
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        self.nodes.append(node)
+        self.blocks.append(self.blocks[-1] + (tag not in INLINE))
+
+    def inner(self, tag: str) -> int:
+        """Place of the innermost open ``tag``, 0 if there is none."""
+        return self.places[tag][-1] if self.places.get(tag) else 0
+
+    def count(self, tag: str) -> int:
+        return len(self.places.get(tag, ()))
+
+    def shut(self, place: int) -> None:
+        """Close the element at ``place`` and all in it."""
+        for tag in reversed(self.tags[place:]):
+            self.places[tag].pop()
+        del self.tags[place:], self.nodes[place:], self.blocks[place:]
+
+    def shut_inner(self, tags: set, fences: set) -> None:
+        """Close the innermost open elements of ``tags`` that stand one in another, unless a fence is further in."""
+        fence = max(map(self.inner, fences), default=0)
+        while (place := max(map(self.inner, tags))) and place > fence:
+            self.shut(place)
+            if self.tags[-1] not in tags:
+                return
+
+
 class Page:
     """``nodes`` in page order, and ``texts`` as (node, text); a node of -1 marks the end of a block."""
 
@@ -103,23 +139,24 @@ class Page:
             up.chars, up.link, up.stops, up.tags = up.chars + n.chars, up.link + n.link, up.stops + n.stops, up.tags + n.tags
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("#", 0)]  # open tag, node
-        at, links, size = 0, 0, len(source)
+        open_ = Open()
+        at, links, size, last = 0, 0, len(source), source.rfind(">")
         ends = dropped_ends(source)
+        no_head_end = False
         while at < size:
-            found = _TOKEN.search(source, at)
-            self._text(source[at : found.start() if found else size], stack[-1][1], links)
+            found = (_TOKEN if at <= last else _LAST).search(source, at)  # behind the last > no tag ends
+            self._text(source[at : found.start() if found else size], open_.nodes[-1], links)
             if not found:
                 break
             at = found.end()
             if found[1]:
                 tag = found[1].lower()
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-                if depth:
-                    if tag in INLINE and any(t not in INLINE for t, _ in stack[depth + 1 :]):
+                if depth := open_.inner(tag):
+                    if tag in INLINE and open_.blocks[-1] > open_.blocks[depth]:
                         continue  # an inline end does not end the blocks in it
-                    links -= sum(t == "a" for t, _ in stack[depth:])
-                    del stack[depth:]
+                    before = open_.count("a")
+                    open_.shut(depth)
+                    links -= before - open_.count("a")
                 if tag not in INLINE:
                     self._end()
                 elif tag == "a":
@@ -130,50 +167,42 @@ class Page:
                     at = ends.get(found.start(), at)
                     self._end()
                     continue
+                if tag == "head" and no_head_end:
+                    continue
                 if tag in RAW or tag == "head":
                     shut = _shut_raw(tag).search(source, at)
                     if tag == "head" and not shut:
+                        no_head_end = True
                         continue
                     at = size if not shut else shut.end()
                     if tag not in INLINE:
                         self._end()
                     continue
                 if tag in VOID:
-                    self._text(" ", stack[-1][1], 0)
+                    self._text(" ", open_.nodes[-1], 0)
                     if tag == "hr":
                         self._end()
                     continue
                 if tag in CLOSES_P:
-                    self._shut(stack, {"p"}, {"td", "th", "table", "li", "div", "article", "section"})
+                    open_.shut_inner({"p"}, {"td", "th", "table", "li", "div", "article", "section"})
                 if tag in SIBLINGS:
-                    self._shut(stack, SIBLINGS[tag], FENCES.get(tag, {"table"}))
-                links = sum(t == "a" for t, _ in stack) if tag not in INLINE else links + (tag == "a")
+                    open_.shut_inner(SIBLINGS[tag], FENCES.get(tag, {"table"}))
+                links = open_.count("a") if tag not in INLINE else links + (tag == "a")
                 inline = tag in INLINE
                 words = frozenset(w for m in _NAMES.finditer(found[3] or "") for w in _PART.findall(m[1].lower())) if found[3] else frozenset()
                 if not inline or words and tag in ("span", "a", "small", "label"):
-                    up = stack[-1][1]
+                    up = open_.nodes[-1]
                     self.nodes[up].children.append(len(self.nodes))
                     self.nodes.append(Node(tag, up, self.nodes[up].depth + 1, words, inline))
                     node = len(self.nodes) - 1
                     if not inline:
                         self._end()
                 else:
-                    node = stack[-1][1]
+                    node = open_.nodes[-1]
                 if not found[3].endswith("/") or not inline:
-                    stack.append((tag, node))
+                    open_.push(tag, node)
         self._end()
 
-    @staticmethod
-    def _shut(stack: list, tags: set, fences: set) -> None:
-        """Close the innermost open element of ``tags`` and what is in it, unless a fence is further in."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                if not any(t in tags for t, _ in stack[k - 1 : k]):
-                    return
-            elif stack[k][0] in fences:
-                return
-
     def _end(self) -> None:
         if self.texts and self.texts[-1][0] >= 0:
             self.texts.append((-1, ""))
