@@ -1,8 +1,10 @@
 """Language ID by Bayesian fusion of four kinds of evidence.
 
 1. *Text*: byte-trigram likelihoods, tempered so that dependent trigrams do not count as independent ones. The model is
-   fitted on a bounded sample of each language's documents. Every language that a document or a page is declared to
-   have is known; all trigrams are alike to one without texts, which needs a declaration, suffix or host that says it.
+   fitted on a bounded sample of each language's documents. Known are the languages that documents, then pages, are
+   most often declared to have, MOST at most, as each is a column of the model and of the evidence; a code beyond these
+   counts as not declared. All trigrams are alike to a language without texts, which needs a declaration, suffix or host
+   that says it.
 2. *Declared language* of the markup and 3. *address suffix* (first path part, else country domain). What each says is
    weighted by P(said | language), counted over all rows by grouped aggregation against what their texts say.
 4. *Host priors*: expected languages of a host's texts, smoothed towards its domain, and that towards all rows. The
@@ -42,6 +44,8 @@ SMOOTHING = 5.0
 #: A document stays in the pipeline if its language is at least so sure; the least sure one of sf0.1 is at 0.9935.
 LEAST = 0.9
 BUCKETS = 1 << 16
+#: Languages that are known, at most: the table has BUCKETS x languages cells of four bytes, 16 MB for 64.
+MOST = 64
 NO_TEXT = re.compile(r"(?is)<(script|style|template|noscript)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)|<[^>]*>")
 TAG = r"^\s*([A-Za-z]{2,3})(?:[-_]|\s*$)"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -97,14 +101,19 @@ def visible(page: str) -> str:
 
 
 def fit_text_model(docs: DataFrame, rows: int = FIT_ROWS, declared: DataFrame | None = None) -> TextModel:
-    """Know every language of ``docs`` (doc_id, text, lang), and of ``declared`` (lang), and fit on a bounded sample of each.
+    """Know the languages of ``docs`` (doc_id, text, lang), and of ``declared`` (lang), and fit on a bounded sample of each.
+
+    Of more than MOST languages those with the most rows are taken, documents first.
 
     Each language gets an equal share of ``rows``, and LEAST_ROWS at least, so that a rare one is fitted as a common one.
     The characters of all samples together are bounded: with many languages, texts are cut.
     """
     own = _code(F.col("lang"))
-    every = {r["lang"]: r["n"] for r in docs.select(own.alias("lang")).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    more = set() if declared is None else {r["lang"] for r in declared.select(_code(F.col("lang")).alias("lang")).where("lang is not null").distinct().collect()}
+    every = {r["lang"]: r["n"] for r in docs.select(own.alias("lang")).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST).collect()}
+    more: set[str] = set()
+    if declared is not None and len(every) < MOST:
+        others = declared.select(_code(F.col("lang")).alias("lang")).where(F.col("lang").isNotNull() & ~F.col("lang").isin(list(every)))
+        more = {r["lang"] for r in others.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST - len(every)).collect()}
     if not every:
         return TextModel.fit([], more)
     share = max(LEAST_ROWS, rows // len(every))

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recordkeep.llm.language_id import BUCKETS, LEAST, TextModel, accepted, fit_text_model, host_of, language_id, page_languages, suffix_of, visible
+from recordkeep.llm.language_id import BUCKETS, LEAST, MOST, TextModel, accepted, fit_text_model, host_of, language_id, page_languages, suffix_of, visible
 
 SYLLABLES = {"en": ["th", "er", "ing", "ou", "sh"], "fr": ["eau", "é", "qu", "oi", "ai"], "de": ["sch", "ä", "ung", "keit", "z"]}
 
@@ -157,3 +157,17 @@ def test_very_long_and_tied_texts(spark):
     assert (one.lang, one.text_lang) == ("fr", "fr")
     tied = language_id(spark.createDataFrame([(2, 2, "", "k", "", "fr", "en")], kinds), m).first()  # says nothing of any language yet
     assert (tied.lang, tied.text_lang) == ("de", None) and abs(tied.confidence - 1 / 3) < 1e-9
+
+
+def test_thousands_of_codes_stay_bounded(spark):
+    rng = random.Random(23)
+    rows = [(i, text("en" if i % 2 else "fr", 20, rng), "en" if i % 2 else "fr", "s0") for i in range(200)]
+    junk = [(1000 + i, text("fr", 40, rng), f"junk {i}", "s1") for i in range(2000)]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string")
+    m = fit_text_model(docs, declared=spark.range(3000).selectExpr("concat('x', chr(97 + id % 26), chr(97 + id div 26 % 26)) lang"))
+    assert len(m.languages) == MOST and {"en", "fr"} <= set(m.languages) and m.table.nbytes == 4 * BUCKETS * MOST
+    got = {r.doc_id: r.lang for r in accepted(docs.where("doc_id < 1000 or doc_id >= 2500"), m, LEAST).collect()}
+    assert all(got[i] == x for i, _, x, _ in rows)
+    few = fit_text_model(docs.where("doc_id < 1000"), declared=docs.select(F.lit("zu").alias("lang")))
+    assert few.languages == ["en", "fr", "zu"]
+    assert len(page_languages(spark.createDataFrame([(1, "http://a.example.com/", '<html lang="xq">' + text("en", 30, rng))], "page_id long, url string, html string"), few).collect()) == 1
