@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordkeep.plans.lineage import cut, shared_dir
+from recordkeep.plans.lineage import cut, session_dir
 
 
 def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
@@ -128,7 +128,7 @@ class Pages:
     @classmethod
     def write(cls, rows: DataFrame, order: list[Column], chunk: int = 10_000, path: str | None = None) -> Pages:
         spark = rows.sparkSession
-        path = path or f"{shared_dir(spark)}/recordkeep/pages-{uuid.uuid4().hex}"
+        path = path or f"{session_dir(spark)}/pages-{uuid.uuid4().hex}"
         own = placed(rows, order).withColumn("chunk", F.floor((F.col("place") - 1) / chunk).cast("bigint"))
         own.repartition("chunk").sortWithinPartitions("chunk", "place").write.partitionBy("chunk").parquet(f"{path}/rows")
         written = spark.read.schema(own.schema).parquet(f"{path}/rows")

@@ -2,7 +2,7 @@
 
 A cut writes a table as Parquet under ``spark.checkpoint.dir`` and reads it back. What follows then starts from
 files that survive the loss of any executor, carries exact sizes for the optimizer's choice of join, and can be
-pruned by column. Only where that setting is absent and the master is local (tests, a laptop) is a temporary folder used.
+pruned by column. What a session has written goes with it, at the latest when its driver ends. Only where that setting is absent and the master is local (tests, a laptop) is a temporary folder used.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 _written: dict[int, list[str]] = {}
 _path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _own: list[str] = []
+_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This session's own folder in the shared one. The driver's file system deletes it when the driver ends."""
+    key = spark.sparkContext.applicationId
+    if key not in _folders:
+        path = f"{shared_dir(spark)}/recordkeep/{key}-{uuid.uuid4().hex}"
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        _folders[key] = path
+    return _folders[key]
+
+
 def cut(df: DataFrame, name: str = "cut", free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads those files.
 
@@ -40,7 +54,7 @@ def cut(df: DataFrame, name: str = "cut", free: bool = False) -> DataFrame:
     garbage, which may otherwise be long after a large cut.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/recordkeep/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.setdefault(id(spark), []).append(path)
     if free:

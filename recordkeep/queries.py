@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from recordkeep.functions import keys, text, urls, values
 from recordkeep.operators import browse, gates, links, records, refresh, scans, tags
-from recordkeep.plans.lineage import shared_dir
+from recordkeep.plans.lineage import session_dir
 from recordkeep.sources import pages as page_source
 from recordkeep.sources import sinks
 from recordkeep.streaming import overlay as streaming
@@ -596,7 +596,7 @@ def row_hashes(spark, sf):
 def stream_overlay(spark, sf):
     """Eight files that hold every order of events, a batch each, so that late rows meet newer ones."""
     rows = _t(spark, sf, "events")
-    base = f"{shared_dir(spark)}/recordkeep/stream-{uuid.uuid4().hex}"
+    base = f"{session_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows.repartition(8, F.xxhash64("event_id")).write.parquet(f"{base}/landed")
     landed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landed")
     leaf = landed.select(F.col("user_id").cast("string").alias("code"), F.lit("").alias("scope"), F.col("event_type").alias("provider"), F.concat(F.lit("http://e.example/"), F.col("event_id").cast("string")).alias("url"), "ts")

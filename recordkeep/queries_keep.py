@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from recordkeep.functions import keys
 from recordkeep.operators import browse, gates, records, refresh, spread, tags
 from recordkeep.operators.search_index import SearchIndex
-from recordkeep.plans.lineage import shared_dir
+from recordkeep.plans.lineage import session_dir
 from recordkeep.queries import _LINKS, SQL, _t, bridge, incoming, one_leaf, orders, parts, previous, query
 from recordkeep.queries_merge import _catalog
 from recordkeep.sources import documents, hash_tree, sheets, sinks, versions
@@ -17,7 +17,7 @@ from recordkeep.streaming import keyed
 
 
 def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/recordkeep/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # --- documents ---------------------------------------------------------------------------------------------------------
@@ -71,8 +71,8 @@ def document_hashes(spark, sf):
     out = documents.gaps(documents.read_lines(spark, path)).select(F.lit("lines").alias("part"), F.col("lines").alias("n"), ((F.col("stated") == F.col("lines")) & (F.col("lines") == F.col("places"))).alias("same"))
     for name in ("records", "links", "group_links", "tags"):
         a, b = getattr(before, name), getattr(after, name)
-        both = sinks.content_hash(a).crossJoin(sinks.content_hash(b.select(*a.columns)).withColumnRenamed("hash", "other")).crossJoin(b.agg(F.count("*").alias("n")))  # one row each
-        out = out.unionByName(both.select(F.lit(name).alias("part"), "n", (F.col("hash") == F.col("other")).alias("same")))
+        same = sinks.content_hash(a).first() == sinks.content_hash(b.select(*a.columns)).first()
+        out = out.unionByName(b.agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.lit(same).alias("same")))
     return out
 
 
@@ -142,14 +142,12 @@ def bucket_counts(spark, sf):
     """The same as counters; equal to those of a whole diff, and the tree of the rows read again is the tree saved."""
     old, new, schema, a, b = _saved(spark, sf)
     own = hash_tree.counts(spark, new, hash_tree.changes(spark, old, new, schema))
-    whole = refresh.diff_counts(refresh.diff(a, b))
+    whole = refresh.diff_counts(refresh.diff(a, b)).first()
     again = hash_tree.tree(hash_tree.rows_of(spark, new, schema)).where("level = 0").first().hash == hash_tree.root(spark, new)
-    names = ["added", "deleted", "updated", "retained"]
-    both = own.crossJoin(whole.select(*[F.col(c).alias(f"w_{c}") for c in names]))  # one row each
     equal = F.lit(True)
-    for c in names:
-        equal = equal & (F.col(c) == F.col(f"w_{c}"))
-    return both.select(*names, equal.alias("as_whole"), F.lit(again).alias("rebuilt"))
+    for c in ("added", "deleted", "updated", "retained"):
+        equal = equal & (F.col(c) == whole[c])
+    return own.select("added", "deleted", "updated", "retained", equal.alias("as_whole"), F.lit(again).alias("rebuilt"))
 
 
 # --- search, pages, slots, tags ------------------------------------------------------------------------------------------

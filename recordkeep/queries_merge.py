@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from recordkeep.functions import text
 from recordkeep.operators import browse, gates, links, records, refresh, scans, tags
-from recordkeep.plans.lineage import shared_dir
+from recordkeep.plans.lineage import session_dir
 from recordkeep.queries import _BRIDGE, _LINKS, DAY, _t, bridge, incoming, one_leaf, orders, parts, previous, query
 from recordkeep.queries_gates import _PAGED, _facts
 from recordkeep.queries_values import BASE, base, cells_sql, made
@@ -485,7 +485,7 @@ def record_detail(spark, sf):
 UNION ALL SELECT 'changed', count(*), 0 FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderstatus = 'F' OR o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F' OR o_orderpriority = '2-HIGH' AND o_orderstatus <> 'F'""")
 def published_snapshots(spark, sf):
     """Two snapshots under their ids; a dry run and a run with findings leave no trace; the pointer names the last one."""
-    root = f"{shared_dir(spark)}/recordkeep/published-{uuid.uuid4().hex}"
+    root = f"{session_dir(spark)}/published-{uuid.uuid4().hex}"
     old, new = previous(spark, sf).select("code", "title", "number"), incoming(spark, sf).select("code", "title", "number")
     sinks.publish(spark, root, "s1", {"records": old})
     before = sinks.read_current(spark, root, "records")
@@ -504,7 +504,7 @@ def published_snapshots(spark, sf):
 @query("""WITH d AS (SELECT count(*) FILTER (o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F') AS a, count(*) FILTER (o_orderpriority <> '1-URGENT' AND o_orderstatus = 'F') AS d, count(*) FILTER (o_orderpriority = '2-HIGH' AND o_orderstatus <> 'F') AS u,
 count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND o_orderstatus <> 'F') AS r FROM orders) SELECT 'audit: ' || a || ' added, ' || u || ' updated, ' || r || ' retained, ' || d || ' deleted' AS summary FROM d""")
 def refresh_log_summary(spark, sf):
-    path = f"{shared_dir(spark)}/recordkeep/log-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/log-{uuid.uuid4().hex}"
     counts = refresh.diff_counts(refresh.diff(previous(spark, sf), incoming(spark, sf)))
     for number, day in ((1, "2024-01-01T00:00:00Z"), (2, "2024-02-01T00:00:00Z")):
         row = counts if number == 2 else counts.select((F.col("added") * 0).alias("added"), "deleted", "updated", "retained")
@@ -515,7 +515,7 @@ def refresh_log_summary(spark, sf):
 @query("SELECT DISTINCT 'part-' || o_custkey // 25 AS path, CASE o_custkey // 25 % 4 WHEN 1 THEN 'different' WHEN 2 THEN 'missing' WHEN 3 THEN 'extra' END AS state FROM orders WHERE o_custkey // 25 % 4 > 0")
 def compared_manifests(spark, sf):
     """Folders of files written from the orders, hashed file by file and compared."""
-    root = f"{shared_dir(spark)}/recordkeep/files-{uuid.uuid4().hex}"
+    root = f"{session_dir(spark)}/files-{uuid.uuid4().hex}"
     rows = orders(spark, sf).withColumn("f", F.expr("prefix div 25"))
     for side, skip in (("a", 3), ("b", 2)):
         value = F.concat("code", F.when((F.lit(side) == "b") & (F.col("f") % 4 == 1), "!").otherwise(""))
@@ -547,7 +547,7 @@ def split_tables(spark, sf):
 
 def _stream(spark, sf, files: int):
     rows = _t(spark, sf, "events")
-    base_dir = f"{shared_dir(spark)}/recordkeep/stream-{uuid.uuid4().hex}"
+    base_dir = f"{session_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows.repartition(files, F.xxhash64("event_id")).write.parquet(f"{base_dir}/landed")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base_dir}/landed"), base_dir
 

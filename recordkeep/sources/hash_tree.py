@@ -97,6 +97,5 @@ def changes(spark: SparkSession, old: str, new: str, schema) -> DataFrame:
 
 def counts(spark: SparkSession, new: str, changed: DataFrame) -> DataFrame:
     """One row (added, deleted, updated, retained) of :func:`changes`; rows that were not read count as retained by the tree."""
-    total = _tree(spark, new).where("level = 0").agg(F.coalesce(F.max("n"), F.lit(0)).alias("total"))
-    own = refresh.diff_counts(changed).drop("retained")
-    return own.crossJoin(total).select("added", "deleted", "updated", (F.col("total") - F.col("added") - F.col("updated")).alias("retained"))  # one row each
+    top = _tree(spark, new).where("level = 0").select("n").first()
+    return refresh.diff_counts(changed).withColumn("retained", F.lit(top.n if top else 0).cast("bigint") - F.col("added") - F.col("updated"))
