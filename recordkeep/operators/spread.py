@@ -97,8 +97,13 @@ def slot_range(runs: DataFrame, low: int, high: int, group: str = "prefix") -> D
 
 
 def slots(records: DataFrame, group: str = "prefix", least: int = 99) -> DataFrame:
-    """All slots of :func:`slot_runs` spelled out, for groups whose numbers are dense."""
-    return slot_runs(records, group, least).select(group, F.explode(F.sequence("first", "last")).alias("number"), "code", "gap")
+    """All slots of :func:`slot_runs` spelled out (group, number, code, gap), for groups whose numbers are dense."""
+    none = F.lit(2**63 - 1)
+    shown = records.where((F.col("number") >= 0) & (F.col("number") < none)).groupBy(group, "number").agg(F.min("code").alias("code"))
+    reach = records.groupBy(group).agg(F.greatest(F.lit(least).cast("bigint"), F.max(F.when(F.col("number") < none, F.col("number")))).alias("reach"))
+    frame = reach.select(group, F.explode(F.sequence(F.lit(1).cast("bigint"), "reach")).alias("number"))
+    filled = frame.join(shown.where("number > 0"), [group, "number"], "left").select(group, "number", "code", F.col("code").isNull().alias("gap"))
+    return filled.unionByName(shown.where("number = 0").select(group, "number", "code", F.lit(False).alias("gap")))
 
 
 # --- pages -------------------------------------------------------------------------------------------------------------
