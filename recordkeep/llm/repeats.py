@@ -49,7 +49,7 @@ SPAN = 1 << 21  # bytes that are parsed at once
 PER_TASK = 50_000  # dictionary entries that one task sorts
 
 _random = np.random.default_rng(20)
-_TABLES = [_random.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+_SALTS = _random.integers(1, 1 << 63, 2, np.uint64)
 _BASES = [int(_random.integers(1 << 60, 1 << 63)) | 1 for _ in range(2)]
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -75,29 +75,40 @@ def _power_tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return _powers
 
 
+def grams(buffer: np.ndarray) -> np.ndarray:
+    """The GRAM bytes at each place as a number."""
+    n = len(buffer)
+    out = np.empty(n - GRAM + 1, np.uint64)
+    for k in range(GRAM):
+        out[k::GRAM] = buffer[k : k + (n - k) // GRAM * GRAM].view("<u8")
+    return out
+
+
 class Windows:
-    """Rolling hashes of a buffer: of any window, from sums over its beginnings."""
+    """Rolling hashes of a buffer: of any window of GRAM bytes or more, from sums over its beginnings.
+
+    The terms are mixed grams, not bytes: sums of bytes times powers modulo 2^64 nearly cancel for texts like those of
+    Thue and Morse, of grams they do not.
+    """
 
     def __init__(self, buffer: np.ndarray, words: int = 2):
-        n = len(buffer)
+        own = grams(buffer)
+        n = len(own)
         self.parts = []
-        for t, (power, inverse) in list(zip(_TABLES, _power_tables(n), strict=True))[:words]:
+        for salt, (power, inverse) in list(zip(_SALTS, _power_tables(len(buffer)), strict=True))[:words]:
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(t[buffer] * power[:n], out=sums[1:])
+            np.cumsum(_mixed(own ^ salt) * power[:n], out=sums[1:])
             self.parts.append((sums, inverse))
 
     def hash(self, at: np.ndarray, end: np.ndarray, word: int, salt: np.ndarray | int = 0) -> np.ndarray:
         sums, inverse = self.parts[word]
-        return _mixed((sums[end] - sums[at]) * inverse[at] + (end - at).astype(np.uint64) + np.asarray(salt).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return _mixed((sums[end - GRAM + 1] - sums[at]) * inverse[at] + (end - at).astype(np.uint64) + np.asarray(salt).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def triggers(buffer: np.ndarray) -> np.ndarray:
     """For each place of ``buffer`` the trigger of a string that starts there: the smallest window hash, of equal ones the first."""
-    n = len(buffer)
-    grams = np.empty(n - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        grams[k::GRAM] = buffer[k : k + (n - k) // GRAM * GRAM].view("<u8")
-    low = (_mixed(grams) & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(grams), dtype=np.uint64)
+    own = grams(buffer)
+    low = (_mixed(own) & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(own), dtype=np.uint64)
     have = 1
     while have * 2 <= WIDTH:
         low = np.minimum(low[:-have], low[have:])

@@ -109,3 +109,31 @@ def test_query_on_a_small_table(spark, tmp_path):
     rows = [(1, "a" * 150 + "b" * 150), (2, "b" * 40 + "a" * 150 + "b" * 100)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted((tuple(r) for r in op6_suffix_array_dedup(spark, str(tmp_path)).collect()), key=repr) == brute(rows)
+
+
+def thue_morse(n, flip=0, letters="ab"):
+    return "".join(letters[(bin(i).count("1") + flip) & 1] for i in range(n))
+
+
+def test_hashes_tell_structured_texts_apart():
+    """Sums of bytes times powers modulo 2^64 agree in 49 to 64 low bits for these, the longer ones in all."""
+    for size in (256, 512, 4096):
+        pair = [repeats.Windows(np.frombuffer(thue_morse(size, flip).encode(), np.uint8)) for flip in (0, 1)]
+        for word in (0, 1):
+            a, b = (int(w.parts[word][0][size - repeats.GRAM + 1]) for w in pair)
+            difference = (a - b) % (1 << 64)
+            assert difference and (difference & -difference).bit_length() <= 8
+    buffer = np.random.default_rng(1).integers(97, 99, 3000).astype(np.uint8)
+    windows, seen = repeats.Windows(buffer), {}
+    for size in (8, 9, 41, 300):
+        at = np.arange(len(buffer) - size)
+        for i, h in zip(at, zip(windows.hash(at, at + size, 0).tolist(), windows.hash(at, at + size, 1).tolist())):
+            assert seen.setdefault(buffer[i : i + size].tobytes(), h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_thue_morse_and_periodic_texts(spark):
+    rows = [(1, thue_morse(1024)), (2, thue_morse(1024, 1)), (3, thue_morse(700, letters="xy")), (4, thue_morse(700, 1, "xy")), (5, "abc" * 120), (6, "bca" * 90 + "z" + "abc" * 70), (7, "q" * 500), (8, thue_morse(300, 0, "é~"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, digest(bytes(r.kept))) for r in without_repeats(docs).collect()]
+    assert sorted(got, key=repr) == brute(rows)
