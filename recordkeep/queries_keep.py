@@ -184,17 +184,17 @@ def keyset_pages(spark, sf):
     for start in (0, 990, 4321, pages.total - 30):
         rows, place = pages.page(start)
         first = spread.placed(rows, [F.desc("release_date"), F.asc("number")])  # a page
-        one = first.select(F.lit(start).alias("start"), "code", (F.col("place") - 1 + place["start"]).alias("pos"))
+        one = first.select(F.lit(start).cast("bigint").alias("start"), "code", (F.col("place") - 1 + place["start"]).alias("pos"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("""WITH r AS (SELECT 'ORD-' || o_orderkey AS code, o_orderkey, o_orderdate FROM orders), last AS (SELECT * FROM r ORDER BY o_orderdate DESC, o_orderkey LIMIT 1 OFFSET 2499)
+@query("""WITH r AS (SELECT 'ORD-' || o_orderkey AS code, o_orderkey, o_orderdate FROM orders), last AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rn, count(*) OVER () AS n FROM r) WHERE rn = n // 2)
 SELECT code FROM (SELECT r.code, r.o_orderdate AS d, r.o_orderkey AS k FROM r, last WHERE r.o_orderdate < last.o_orderdate OR r.o_orderdate = last.o_orderdate AND r.o_orderkey > last.o_orderkey) ORDER BY d DESC, k LIMIT 80""")
 def page_after_key(spark, sf):
     """The page behind the last row of another, found by its key."""
     pages = spread.Pages.write(orders(spark, sf).select("code", "number", "release_date"), [F.desc("release_date"), F.asc("number")], chunk=1000)
-    seen = pages.page(2400, 100)[0].orderBy("release_date", F.desc("number")).first()
+    seen = pages.page(pages.total // 2 - 100, 100)[0].orderBy("release_date", F.desc("number")).first()
     beyond = (F.col("release_date") < seen.release_date) | ((F.col("release_date") == seen.release_date) & (F.col("number") > seen.number))
     return pages.after(beyond, 80).select("code")
 
@@ -235,6 +235,15 @@ def looked_up_tags(spark, sf):
     return tags.tag_lookup(ids, named).select("code", F.array_join(F.transform("tags", lambda t: t["name"]), ",").alias("tags"))
 
 
+@query("SELECT 'C' || o_custkey AS prefix FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey HAVING count(DISTINCT o_orderkey % 3) > 1")
+def repeated_groups(spark, sf):
+    """Groups that a directory names with more than one target; the same target twice is one."""
+    rows = orders(spark, sf).where("status <> 'P'")
+    target = F.concat(F.lit("https://drive.google.com/file/d/x"), (F.col("number") % 3).cast("string"))
+    cells = rows.select(F.concat(F.lit(" c"), F.col("prefix").cast("string")).alias("text"), F.lit("#F00").alias("color"), target.alias("href"), F.lit(None).cast("string").alias("anchor"))
+    return sheets.repeated_groups(sheets.directory_links(cells, "#ff0000"))
+
+
 @query("""SELECT id, row_number() OVER (ORDER BY n DESC, lower(name), name = upper(name), id) AS place FROM (SELECT p_partkey AS id, p_size AS n, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) ELSE p_name END AS name FROM part)""")
 def collated_tags(spark, sf):
     """Tags by count, then name in a language's order, where letters come before case; the binary order would set capitals first."""
