@@ -92,6 +92,14 @@ def human_summary(log: DataFrame) -> DataFrame:
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"  # and host of a path; both are written in several ways
 
 
+def write_lines(rows: DataFrame, key: str, path: str) -> None:
+    """``rows`` (key, value) as a text file per key in a folder of its own, its lines in order: equal rows give equal files.
+
+    A writer by folder sorts its rows by folder, unless they are; where that sort spills, it keeps no order from before.
+    """
+    rows.select(key, "value").repartition(key).sortWithinPartitions(key, "value").write.partitionBy(key).text(path)
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, hash) of every file under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
