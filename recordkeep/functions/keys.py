@@ -48,6 +48,11 @@ def code_of(query: str) -> str | None:
     return f"{found[1].upper()}-{digits.lstrip('0') or '0'}" if found else None
 
 
+def embedded(text: Column) -> Column:
+    """The part of a text that its first code is read from, '' if there is none; :func:`extract_code` finds the same in it."""
+    return F.regexp_extract(text, EMBEDDED, 0)
+
+
 def extract_code(text: Column) -> Column:
     """The first code inside a text, with an optional one-letter variant kept."""
     prefix, digits, variant = (F.regexp_extract(text, EMBEDDED, i) for i in (1, 2, 3))

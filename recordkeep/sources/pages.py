@@ -7,14 +7,19 @@ jobs, once per page; everything after it is DataFrame operations.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from recordkeep.functions import keys, text, values
 from recordkeep.functions.urls import pick_cover, query_id
@@ -45,62 +50,156 @@ class Layout:
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    """An element of a page. Elements and texts stand in page order, so what is inside one is a slice of each."""
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: _Element | None):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+    __slots__ = ("tag", "attrs", "classes", "page", "start", "end", "text_from", "text_to", "own")
 
-    def all(self) -> Iterator[_Element]:
-        for child in self.children:
-            if isinstance(child, _Element):
-                yield child
-                yield from child.all()
+    def __init__(self, page: _Page, tag: str, attrs: dict[str, str], classes: frozenset[str] | None):
+        self.page, self.tag, self.attrs, self.own = page, tag, attrs, None
+        self.classes = _classes(attrs) if classes is None else classes
+        self.start = start = len(page.elements)
+        self.text_from = self.text_to = len(page.texts)
+        self.end = start + 1
+
+    def all(self) -> list[_Element]:
+        return self.page.elements[self.start + 1 : self.end]
 
     def text(self) -> str:
-        return " ".join(" ".join(self._texts()).split())
+        """The words inside, without those of comments, scripts and styles in it."""
+        return " ".join(" ".join(self.own or () if self.tag in _HIDDEN else self.page.texts[self.text_from : self.text_to]).split())
+
+
+def _classes(attrs: dict[str, str]) -> frozenset[str]:
+    return frozenset(attrs["class"].lower().split()) if "class" in attrs else _NONE
+
+
+_NONE: frozenset[str] = frozenset()
+_HIDDEN = ("script", "style")
+
+
+class _Page:
+    """Elements, nested as their tags say, from the events of a parser; an end tag without a beginning is passed over."""
+
+    def __init__(self) -> None:
+        self.elements: list[_Element] = []
+        self.texts: list[str] = []
+        self.open: list[_Element] = []
+
+    def begin(self, tag: str, attrs: dict[str, str], classes: frozenset[str] | None = None) -> None:
+        own = _Element(self, tag, attrs, classes)
+        self.elements.append(own)
+        if tag not in VOID:
+            self.open.append(own)
+
+    def finish(self, tag: str) -> None:
+        opened = self.open
+        for k in range(len(opened) - 1, -1, -1):
+            if opened[k].tag == tag:
+                end, text_to = len(self.elements), len(self.texts)
+                for own in opened[k:]:
+                    own.end, own.text_to = end, text_to
+                del opened[k:]
+                return
 
-    def _texts(self) -> Iterator[str]:
-        for child in self.children:
-            if isinstance(child, str):
-                yield child
-            elif child.tag not in ("#comment", "script", "style"):
-                yield from child._texts()
+    def data(self, data: str) -> None:
+        if self.open and self.open[-1].tag in _HIDDEN:
+            self.open[-1].own = [*(self.open[-1].own or ()), data]
+        else:
+            self.texts.append(data)
 
-    @property
-    def classes(self) -> set[str]:
-        return set(self.attrs.get("class", "").lower().split())
+    def comment(self, data: str) -> None:
+        self.elements.append(_Element(self, "#comment", {"data": data}, _NONE))
 
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Element("#", {}, None)
+        self.page = _Page()
+        self.handle_endtag, self.handle_data, self.handle_comment = self.page.finish, self.page.data, self.page.comment
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        own = _Element(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(own)
-        if tag not in VOID:
-            self.at = own
-
-    def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        self.page.begin(tag, {k: v or "" for k, v in attrs})
 
-    def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
 
-    def handle_comment(self, data: str) -> None:
-        self.at.children.append(_Element("#comment", {"data": data}, self.at))
+#: Plain markup: texts, tags whose attributes are quoted, and comments; nothing that parsers read in several ways.
+_TAG = re.compile(r"""([A-Za-z][A-Za-z0-9]*)((?:[ \t\n]+[A-Za-z][A-Za-z0-9_-]*="[^"<&]*")*)|/([A-Za-z][A-Za-z0-9]*)""")
+_ATTR = re.compile(r"""([A-Za-z][A-Za-z0-9_-]*)="([^"]*)\"""")
+_COMMENT = re.compile(r"<!--(?![>-])([^-]*(?:-[^-]+)*)-->")
+#: Elements whose content is not markup, in one version of the parser or another.
+_RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript plaintext svg math".split())
 
 
-def _tree(html: str) -> _Element:
+@lru_cache(8192)
+def _plain_tag(inside: str) -> tuple[str, dict[str, str] | None, frozenset[str]] | None:
+    """(tag, attributes, classes), without attributes for an end; null for what is not plain."""
+    found = _TAG.fullmatch(inside)
+    if found is None or found[1] and found[1].lower() in _RAW:
+        return None
+    if found[3]:
+        return found[3].lower(), None, _NONE
+    attrs = {k.lower(): v for k, v in _ATTR.findall(found[2])}
+    return found[1].lower(), attrs, _classes(attrs)
+
+
+def _plain(html: str) -> _Page | None:
+    """The page if all of it is plain markup, as :class:`_Builder` reads it but much faster."""
+    page, at = _Page(), 0
+    find, texts, elements, opened = html.find, page.texts, page.elements, page.open
+    while at < len(html):
+        start = find("<", at)
+        if start != at:
+            piece = html[at:start] if start > 0 else html[at:]
+            if "&" in piece:
+                if start < 0:
+                    return None  # a last text may end within a reference
+                piece = unescape(piece)
+            texts.append(piece)
+            if start < 0:
+                break
+        if html.startswith("<!", start):
+            note = _COMMENT.match(html, start)
+            if note is None:
+                return None
+            page.comment(note[1])
+            at = note.end()
+            continue
+        at = find(">", start) + 1
+        own = _plain_tag(html[start + 1 : at - 1]) if at else None
+        if own is None:
+            return None
+        tag, attrs, classes = own
+        if attrs is None:
+            if opened and opened[-1].tag == tag:
+                last = opened.pop()
+                last.end, last.text_to = len(elements), len(texts)
+            else:
+                page.finish(tag)
+        else:
+            last = _Element(page, tag, attrs, classes)
+            elements.append(last)
+            if tag not in VOID:
+                opened.append(last)
+    return page
+
+
+def _closed(page: _Page) -> list[_Element]:
+    for own in page.open:
+        own.end, own.text_to = len(page.elements), len(page.texts)
+    return page.elements
+
+
+def _any(html: str) -> list[_Element]:
+    """The elements of any markup in page order."""
     builder = _Builder()
-    builder.feed(html or "")
+    builder.feed(html)
     builder.close()
-    return builder.root
+    return _closed(builder.page)
+
+
+def _tree(html: str | None) -> list[_Element]:
+    """The elements of a page in page order."""
+    page = _plain(html or "")
+    return _any(html or "") if page is None else _closed(page)
 
 
 def decode(body: bytes | None, header: str | None = None) -> str | None:
@@ -135,36 +234,52 @@ def decoded(pages: DataFrame) -> DataFrame:
     return pages.where(easy).select("page_id", plain.alias("html")).unionByName(rest)
 
 
-def _names(box: _Element, layout: Layout, comments: bool) -> list[str]:
-    holders = [e for e in box.all() if e.classes & set(layout.name_classes)]
+def _names(inside: list[_Element], layout: Layout, comments: bool) -> list[str]:
+    """Names among the elements of a box."""
+    wanted = layout.name_classes
+    holders = [e for e in inside if e.classes and not e.classes.isdisjoint(wanted)]
     found: list[str] = []
     for h in holders:
         links = [a.text() for a in h.all() if a.tag == "a"]
         found += links or [h.text()]
     if not holders:
-        found += [a.text() for a in box.all() if a.tag == "a" and layout.record_path not in a.attrs.get("href", "")]
+        found += [a.text() for a in inside if a.tag == "a" and layout.record_path not in a.attrs.get("href", "")]
     if comments:
-        for e in box.all():
+        for e in inside:
             if e.tag == "#comment" and "<" in e.attrs["data"]:
-                found += _names(_tree(re.split(r"(?i)<br\s*/?>", re.sub(r"^.*?出演\s*[:：]?", "", e.attrs["data"], flags=re.S))[0]), layout, False)
+                found += _noted_names(e.attrs["data"], layout)
     return found
 
 
-def _fields(box: _Element) -> dict[str, _Element]:
+@lru_cache(1024)
+def _noted_names(comment: str, layout: Layout) -> tuple[str, ...]:
+    """Names in a comment with markup; the same names stand on many cards."""
+    return tuple(_names(_tree(_BREAKS.split(_LABEL.sub("", comment), maxsplit=1)[0]), layout, False))
+
+
+_LABEL, _BREAKS, _SPACES, _HEADING = re.compile(r"^.*?出演\s*[:：]?", re.S), re.compile(r"(?i)<br\s*/?>"), re.compile(r"[\s:：]+"), re.compile("h[1-6]")
+
+
+def _fields(inside: list[_Element]) -> dict[str, _Element]:
     """Label (without colons and spaces) -> value element, of definition lists."""
     out: dict[str, _Element] = {}
     name = None
-    for e in box.all():
+    for e in inside:
         if e.tag == "dt":
-            name = re.sub(r"[\s:：]+", "", e.text())
+            name = _SPACES.sub("", e.text())
         elif e.tag == "dd" and name:
             out.setdefault(name, e)
             name = None
     return out
 
 
-def _covers(box: _Element, layout: Layout) -> list[str]:
-    return [urljoin(layout.base, e.attrs["src"]) for e in box.all() if e.tag == "img" and f"/{layout.cover_name}" in e.attrs.get("src", "").lower()]
+@lru_cache(4096)
+def _joined(base: str, address: str) -> str:
+    return urljoin(base, address)
+
+
+def _covers(inside: list[_Element], layout: Layout) -> list[str]:
+    return [_joined(layout.base, e.attrs["src"]) for e in inside if e.tag == "img" and f"/{layout.cover_name}" in e.attrs.get("src", "").lower()]
 
 
 DETAIL = "page_id long, code_text string, title string, names array<string>, date_text string, covers array<string>, tags array<struct<href:string,group:string,name:string>>, images array<string>"
@@ -173,44 +288,59 @@ CARD = "page_id long, at int, hrefs array<string>, code_text string, title strin
 
 def raw_details(pages: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """What a detail page says, unparsed; a page without its boxes has null fields."""
+    groups = dict(layout.tag_groups)
 
     def one(page_id: int, html: str | None) -> tuple:
-        root = _tree(html)
-        by_id = {e.attrs["id"]: e for e in root.all() if "id" in e.attrs and e.attrs["id"] in (layout.title_box, layout.fields_box)}
+        every = _tree(html)
+        with_id = [e for e in every if "id" in e.attrs]
+        by_id = {e.attrs["id"]: e for e in with_id if e.attrs["id"] in (layout.title_box, layout.fields_box)}
         tags = []
-        for section in (e for e in root.all() if e.attrs.get("id") == "tag"):
-            head = next((e.text() for e in section.all() if e.attrs.get("id") == "tag_header"), "")
-            group = dict(layout.tag_groups).get(head)
-            tags += [{"href": a.attrs.get("href", ""), "group": group, "name": a.text()} for a in section.all() if group and a.tag == "a"]
-        images = [urljoin(layout.base, e.attrs[k]) for e in root.all() for k in ("href", "src", "data-src") if e.attrs.get(k, "").lower().endswith("_l.jpg")]
+        for section in (e for e in with_id if e.attrs["id"] == "tag"):
+            inside = section.all()
+            head = next((e.text() for e in inside if e.attrs.get("id") == "tag_header"), "")
+            group = groups.get(head)
+            tags += [{"href": a.attrs.get("href", ""), "group": group, "name": a.text()} for a in inside if group and a.tag == "a"]
+        images = [_joined(layout.base, e.attrs[k]) for e in every if e.attrs for k in ("href", "src", "data-src") if e.attrs.get(k, "").lower().endswith("_l.jpg")]
         pic, txt = by_id.get(layout.title_box), by_id.get(layout.fields_box)
         if pic is None or txt is None:
             return page_id, None, None, None, None, None, tags, images
-        title = next((e.text() for e in pic.all() if e.tag == "h5"), None)
-        fields = _fields(txt)
+        shown = pic.all()
+        title = next((e.text() for e in shown if e.tag == "h5"), None)
+        fields = _fields(txt.all())
         get = lambda label: fields[label].text() if label in fields else ""
         box = fields.get(layout.names_label)
-        names = ([a.text() for a in box.all() if a.tag == "a"] or _names(box, layout, False)) if box is not None else []
-        return page_id, get(layout.code_label), title, names, get(layout.date_label), _covers(pic, layout), tags, images
+        inside = box.all() if box is not None else []
+        names = [a.text() for a in inside if a.tag == "a"] or _names(inside, layout, False)
+        return page_id, get(layout.code_label), title, names, get(layout.date_label), _covers(shown, layout), tags, images
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in re.sub(r"<[^>]*>+", "", DETAIL).split(", ")]
-        for frame in batches:
-            yield pd.DataFrame([one(i, h) for i, h in zip(frame["page_id"], frame["html"], strict=True)], columns=names)
+    return _parsed(pages, lambda page_id, html: [one(page_id, html)], DETAIL)
+
+
+def _parsed(pages: DataFrame, rows_of: Callable[[int, str | None], list[tuple]], schema: str) -> DataFrame:
+    """The rows that ``rows_of`` finds on each page."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-    return pages.select("page_id", "html").mapInPandas(run, DETAIL)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in rows_of(i, h)]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    return pages.select("page_id", "html").mapInArrow(run, schema)
 
 
 def detail_records(pages: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Detail pages -> record rows; code is null where a required part is missing."""
-    raw = raw_details(pages, layout)
-    code = keys.extract_code(F.col("code_text"))
-    cover = pick_cover(F.col("covers"), code)
-    whole = code.isNotNull() & (F.coalesce(F.trim("title"), F.lit("")) != "") & cover.isNotNull()
+    raw = raw_details(pages, layout).withColumn("code", keys.embedded(F.col("code_text")))
+    raw = raw.withColumn("code", keys.extract_code(F.col("code")))
+    raw = raw.withColumns({"cover": pick_cover(F.col("covers"), F.col("code")), "title": text.collapse(F.col("title"))})
+    code, cover = F.col("code"), F.col("cover")
+    raw = raw.withColumn("whole", code.isNotNull() & (F.col("title") != "") & cover.isNotNull())
+    whole = F.col("whole")
     return raw.select(
         "page_id",
         F.when(whole, code).alias("code"),
-        F.when(whole, text.collapse(F.col("title"))).alias("title"),
+        F.when(whole, F.col("title")).alias("title"),
         F.when(whole, text.distinct_names(F.col("names"))).alias("actors"),
         F.when(whole, values.normalize_date(F.col("date_text"))).alias("release_date"),
         F.when(whole, cover).alias("cover"),
@@ -229,35 +359,35 @@ def listing_cards(pages: DataFrame, layout: Layout = Layout()) -> DataFrame:
 
     def one(page_id: int, html: str | None) -> list[tuple]:
         rows = []
-        for at, card in enumerate(e for e in _tree(html).all() if layout.card_class in e.classes):
-            hrefs = [a.attrs.get("href", "") for a in card.all() if a.tag == "a"]
-            title = next((e.text() for e in card.all() if re.fullmatch("h[1-6]", e.tag)), None) or next((e.text() for e in card.all() if "title" in e.classes), None)
-            title = title or next((a.text() for a in card.all() if a.tag == "a" and layout.record_param in a.attrs.get("href", "") and a.text()), None)
+        for at, card in enumerate(e for e in _tree(html) if layout.card_class in e.classes):
+            inside = card.all()
+            links = [a for a in inside if a.tag == "a"]
+            title = next((e.text() for e in inside if _HEADING.fullmatch(e.tag)), None) or next((e.text() for e in inside if "title" in e.classes), None)
+            title = title or next((t for a in links if layout.record_param in a.attrs.get("href", "") and (t := a.text())), None)
             whole = card.text()
             behind = whole.partition(title)[2] if title else ""
-            fields = _fields(card)
+            fields = _fields(inside)
             date = fields[layout.date_label].text() if layout.date_label in fields else whole
-            rows.append((page_id, at, hrefs, f"{behind} | {whole}", title, _names(card, layout, True), date, _covers(card, layout)))
+            rows.append((page_id, at, [a.attrs.get("href", "") for a in links], f"{behind} | {whole}", title, _names(inside, layout, True), date, _covers(inside, layout)))
         return rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in CARD.split(", ")]
-        for frame in batches:
-            yield pd.DataFrame([r for i, h in zip(frame["page_id"], frame["html"], strict=True) for r in one(i, h)], columns=names)
-
-    raw = pages.select("page_id", "html").mapInPandas(run, CARD)
-    code = keys.extract_code(F.col("code_text"))
+    # each column that several others use is made in a step of its own, which Spark does not compute again for each use
+    raw = _parsed(pages, one, CARD).withColumn("code", keys.embedded(F.col("code_text")))
+    raw = raw.withColumn("code", keys.extract_code(F.col("code")))
+    code = F.col("code")
     ids = F.filter(F.transform("hrefs", lambda h: query_id(h, layout.record_path, layout.record_param)), lambda x: x.isNotNull())
-    record_id, cover = F.get(ids, F.lit(0)), pick_cover(F.col("covers"), code)
-    parsed = record_id.isNotNull() & code.isNotNull() & (F.coalesce(F.trim("title"), F.lit("")) != "") & cover.isNotNull()
+    raw = raw.withColumns({"product_id": F.get(ids, F.lit(0)), "cover": pick_cover(F.col("covers"), code), "title": text.collapse(F.col("title"))})
+    record_id, cover = F.col("product_id"), F.col("cover")
+    parsed = record_id.isNotNull() & code.isNotNull() & (F.col("title") != "") & cover.isNotNull()
+    raw, parsed = raw.withColumn("parsed", F.coalesce(parsed, F.lit(False))), F.col("parsed")
     keep = lambda c: F.when(parsed, c)
     return raw.select(
         "page_id",
         "at",
-        record_id.alias("product_id"),
-        F.coalesce(parsed, F.lit(False)).alias("parsed"),
+        "product_id",
+        "parsed",
         keep(code).alias("code"),
-        keep(text.collapse(F.col("title"))).alias("title"),
+        keep(F.col("title")).alias("title"),
         keep(text.distinct_names(F.col("names"))).alias("actors"),
         keep(values.normalize_date(F.regexp_extract("date_text", r"((?:19|20)[0-9]{2}[/-][0-9]{1,2}[/-][0-9]{1,2})", 1))).alias("release_date"),
         keep(cover).alias("cover"),
