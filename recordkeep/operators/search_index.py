@@ -1,9 +1,10 @@
 """Substring search without reading every record: posting lists of character trigrams, intersected, then verified.
 
-A record that holds a needle holds all its trigrams. The index has a row for each trigram and record, sorted by trigram
-over range partitions, so that a search reads the row groups of a few trigrams; which ones are rarest is in a table of
-counts. What all of them share are candidates. Records lie in buckets by hash of the code; only the buckets of
-candidates are read, and ``contains`` decides, so the index never changes a result, only what is read for it.
+A record that holds a needle holds all its trigrams. The index has a row for each trigram and record. These rows are many
+times the text, so they are never moved: each block of records writes its own list, sorted by trigram, and a search reads
+the pages of a few trigrams from each; which ones are rarest is in a table of counts. What all of them share are
+candidates. Records lie in buckets by hash of the code; only the buckets of candidates are read, and ``contains`` decides,
+so the index never changes a result, only what is read for it.
 
 Needles of fewer than three characters, and those whose rarest trigram stands in more than ``SCAN`` of all records, are
 searched by the scan, which is then cheaper.
@@ -23,6 +24,8 @@ MOST = 6
 #: Share of the records above which a posting list is not worth reading.
 SCAN = 0.1
 BUCKETS = 64
+#: Records of a block; its codes fit one dictionary of a file and its postings the memory of a task.
+BLOCK = 20_000
 
 
 def grams(text: Column) -> Column:
@@ -47,10 +50,10 @@ class SearchIndex:
         spark, own = rows.sparkSession, rows.withColumn("bucket", _bucket(F.col("code")))
         own.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "code").write.partitionBy("bucket").parquet(f"{path}/records")
         index = cls(spark, path, own.schema, 0)
-        postings = cut(index.records().select(F.explode(grams(F.col("haystack"))).alias("gram"), "code", "bucket").distinct(), "postings")
-        postings.repartitionByRange("gram", "code").sortWithinPartitions("gram", "code").write.parquet(f"{path}/postings")
-        postings.groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
         index.total = index.records().count()
+        blocks = index.records().select("code", "bucket", "haystack").repartition(max(1, -(-index.total // BLOCK)), "code")
+        blocks.select(F.explode(grams(F.col("haystack"))).alias("gram"), "code", "bucket").sortWithinPartitions("gram", "code").write.parquet(f"{path}/postings")
+        spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
         return index
 
     def records(self) -> DataFrame:
@@ -71,7 +74,7 @@ class SearchIndex:
     def candidates(self, chosen: list[str]) -> DataFrame:
         """(code, bucket) of the records that hold all the chosen trigrams."""
         hits = self.spark.read.parquet(f"{self.path}/postings").where(F.col("gram").isin(chosen))
-        return hits.groupBy("code", "bucket").agg(F.count("*").alias("n")).where(F.col("n") == len(chosen)).select("code", "bucket")
+        return hits.groupBy("code", "bucket").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(chosen)).select("code", "bucket")
 
     def matches(self, query: str) -> DataFrame:
         """Records that hold the query, verified, in no order."""
