@@ -83,8 +83,8 @@ def sheet_rows(spark, sf):
     k = F.col("number")
     note = F.when(k % 3 == 0, F.concat(F.lit('"'), "title", F.lit('\n\na, ""b"""'))).otherwise("")
     line = F.concat(F.lit("ord_"), k.cast("string"), F.lit(","), note, F.lit(","), F.col("prefix").cast("string"), F.when(k % 5 == 0, ",").otherwise(""))
-    orders(spark, sf).select((k % 4).alias("sheet"), line.alias("value"), "number").repartition("sheet").sortWithinPartitions("sheet", "number").select("sheet", "value").write.partitionBy("sheet").text(path)
-    rows = sheets.read_sheets(spark, path)
+    orders(spark, sf).select((k % 4).alias("sheet"), line.alias("value"), "number").repartitionByRange("sheet", "number").sortWithinPartitions("sheet", "number").select("sheet", "value").write.partitionBy("sheet").text(path)
+    rows = sheets.read_sheets(spark, path, parts=True)
     return rows.select(F.regexp_extract("file", "sheet=([0-9]+)", 1).cast("bigint").alias("sheet"), F.col("row_no").cast("bigint").alias("row_no"), F.array_join("cells", "|").alias("cells"))
 
 

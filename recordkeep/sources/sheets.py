@@ -24,18 +24,22 @@ class SheetError(ValueError):
 _BREAK = "\n"
 
 
-def read_sheets(spark: SparkSession, path: str) -> DataFrame:
+def read_sheets(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """(file, row_no, cells): the rows of sheet files in order, with all their cells; quoted cells may hold line breaks.
 
     A file is split at any line. A line starts a row if the quotes before it are even in number, which a running sum
     over pieces of the file tells; lines of one row are set together again and parsed by Spark. Blank rows drop out but
     count. Line ends inside a cell read as line feeds. A quote that stands inside an unquoted cell counts like any other.
+    With ``parts`` a sheet is a folder, of which ``file`` is the path, and its files in the order of their names.
     """
-    lines = spark.read.text(path, lineSep=_BREAK).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    counted = spread.running(cut(lines, "sheet-lines"), ["file"], ["block", "at"], F.length("value") - F.length(F.replace("value", F.lit('"'))), "quotes")
+    own = F.col("_metadata.file_path")
+    file, part = (F.regexp_replace(own, "/[^/]*$", ""), F.substring_index(own, "/", -1)) if parts else (own, F.lit(""))
+    lines = spark.read.text(path, lineSep=_BREAK).select(file.alias("file"), part.alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    place = ["part", "block", "at"]
+    counted = spread.running(cut(lines, "sheet-lines"), ["file"], place, F.length("value") - F.length(F.replace("value", F.lit('"'))), "quotes")
     starts = counted.withColumn("start", F.when(F.col("quotes") % 2 == 0, 1).otherwise(0))
-    numbered = spread.running(starts, ["file"], ["block", "at"], F.col("start"), "rows").withColumn("row_no", (F.col("rows") + F.col("start") - 1).cast("int"))
-    whole = numbered.groupBy("file", "row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), _BREAK).alias("text"))  # one row's lines
+    numbered = spread.running(starts, ["file"], place, F.col("start"), "rows").withColumn("row_no", (F.col("rows") + F.col("start") - 1).cast("int"))
+    whole = numbered.groupBy("file", "row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*place, "value"))), lambda x: x["value"]), _BREAK).alias("text"))  # one row's lines
     whole = cut(whole.select("file", "row_no", F.regexp_replace(F.regexp_replace("text", r"\r$", ""), "^\ufeff", "").alias("text")).where("text <> ''"), "sheet-rows")
     bare = F.regexp_replace("text", '"[^"]*"', "")  # commas between cells
     whole = whole.withColumn("n", F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1)
