@@ -271,7 +271,7 @@ def release_identity(spark, sf):
         return rows
 
     own = head(held, "a")
-    pairs = {"same": head(held.repartition(3), "a"), "commit": head(held, "b"), "files": head(held.where("path <> 'ORD-7'"), "a"), "field": head(held, "a", ("config", "x"))}
+    pairs = {"same": head(held.repartition("path"), "a"), "commit": head(held, "b"), "files": head(held.where("path <> 'ORD-7'"), "a"), "field": head(held, "a", ("config", "x"))}
     out = [sinks.same_release(own, other).select(F.lit(name).alias("pair"), "content", "exact") for name, other in pairs.items()]
     return gates.union(out)
 
