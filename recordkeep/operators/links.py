@@ -98,11 +98,15 @@ def attach_group_links(groups: DataFrame, links: DataFrame) -> DataFrame:
     return groups.join(maps, "prefix", "left")
 
 
+def link_maps(links: DataFrame) -> DataFrame:
+    """(code, links): the links of each code that has any, as a map per scope."""
+    maps = links.groupBy("code", "scope").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("provider", "url")))).alias("urls"))
+    return maps.groupBy("code").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("scope", F.to_json("urls").alias("urls"))))).alias("links"))
+
+
 def attach_links(records: DataFrame, links: DataFrame) -> DataFrame:
     """``records`` with their links as a map per scope; links of unknown records are ignored, stale ones replaced."""
-    maps = links.groupBy("code", "scope").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("provider", "url")))).alias("urls"))
-    maps = maps.groupBy("code").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("scope", F.to_json("urls").alias("urls"))))).alias("links"))
-    return records.drop("links").join(maps, "code", "left")
+    return records.drop("links").join(link_maps(links), "code", "left")
 
 
 def linked_count(links: DataFrame) -> DataFrame:
