@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from recordkeep.functions import keys
 from recordkeep.operators import browse, gates, records, refresh, spread, tags
 from recordkeep.operators.search_index import SearchIndex
-from recordkeep.plans.lineage import session_dir
+from recordkeep.plans.lineage import cut, session_dir
 from recordkeep.queries import _LINKS, SQL, _t, bridge, incoming, one_leaf, orders, parts, previous, query
 from recordkeep.queries_merge import _catalog
 from recordkeep.sources import documents, hash_tree, sheets, sinks, versions
@@ -49,7 +49,7 @@ def document_round_trip(spark, sf):
     """The catalogue exported as a document in parts and read again."""
     path = _folder(spark, "document")
     documents.export(_tables(spark, sf), path)
-    t = documents.read(spark, path)
+    t = documents.read(spark, path, cut(documents.read_lines(spark, path), "document-read"))
     blank = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
     listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit("-"))
     value = F.concat_ws("|", "prefix", *[blank(F.col(c)) for c in ("number", "title")], listed(F.col("actors")), "release_date", blank(F.col("product_id")), blank(F.col("preview_count")), listed(F.col("tag_ids").cast("array<string>")))

@@ -46,19 +46,26 @@ class Tables:
     tags: DataFrame
 
 
-def _quoted(c: Column) -> Column:
-    text = F.to_json(F.array(c))
+def _inner(text: Column) -> Column:
     return F.substring(text, F.lit(2), F.length(text) - 2)
 
 
+def _quoted(c: Column) -> Column:
+    """A text as JSON; one of plain letters and signs only needs its quotes."""
+    return F.when(F.rlike(c, F.lit(r"^[ !#-\[\]-~]*\z")), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(_inner(F.to_json(F.array(c))))
+
+
 def links_json(links: DataFrame) -> DataFrame:
     """(code, links): the leaves of a code as a two-level JSON object with sorted keys."""
-    own = links.groupBy("code", "scope").agg(F.array_sort(F.collect_list(F.struct("provider", "url"))).alias("m"))  # as many as there are providers
     member = lambda k, v: F.concat(_quoted(k), F.lit(":"), v)
-    one = F.transform("m", lambda x: F.struct(x["provider"].alias("k"), member(x["provider"], _quoted(x["url"])).alias("v")))
-    inner = F.array(F.struct(F.col("scope").alias("k"), member(F.col("scope"), F.concat(F.lit("{"), F.array_join(F.transform(one, lambda x: x["v"]), ","), F.lit("}"))).alias("v")))
-    whole = own.select("code", F.when(F.col("scope") == "", one).otherwise(inner).alias("e")).groupBy("code").agg(F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
-    return whole.select("code", F.concat(F.lit("{"), F.array_join(F.transform("e", lambda x: x["v"]), ","), F.lit("}")).alias("links"))
+    leaf = F.struct("scope", F.col("provider").alias("k"), "url", member(F.col("provider"), _quoted(F.col("url"))).alias("v"))
+    own = links.select("code", leaf.alias("x")).groupBy("code").agg(F.array_sort(F.collect_list("x")).alias("m"))  # as many as there are providers and scopes
+    of = lambda scope: F.filter("m", lambda x: x["scope"].eqNullSafe(scope))
+    text = lambda xs: F.array_join(F.transform(xs, lambda x: x["v"]), ",")
+    scopes = F.array_distinct(F.transform(F.filter("m", lambda x: ~x["scope"].eqNullSafe(F.lit(""))), lambda x: x["scope"]))
+    nested = F.transform(scopes, lambda s: F.struct(s.alias("k"), member(s, F.concat(F.lit("{"), text(of(s)), F.lit("}"))).alias("v")))
+    flat = F.transform(of(F.lit("")), lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))
+    return own.select("code", F.concat(F.lit("{"), text(F.array_sort(F.concat(flat, nested))), F.lit("}")).alias("links"))
 
 
 def _struct(fields: dict[str, Column]) -> Column:
@@ -66,7 +73,10 @@ def _struct(fields: dict[str, Column]) -> Column:
 
 
 def lines(t: Tables) -> DataFrame:
-    """(place, series, snapshot, group, record, tag) in document order from place 1; of the last four one is filled."""
+    """(place, snapshot, text) in document order from place 1; a line's text is its JSON but for the place, null for the header.
+
+    Lines are made before they are sorted, so what is moved and written on the way is one text a line.
+    """
     day = F.coalesce("release_date", F.lit(""))
     groups = t.records.groupBy("prefix").agg(F.count("*").alias("n"), F.min(day).alias("first"), F.max(day).alias("latest"))
     linked = t.group_links.groupBy("prefix").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("provider", "url")))).alias("links"))
@@ -75,16 +85,20 @@ def lines(t: Tables) -> DataFrame:
     key = lambda section, latest, prefix, kind, number, code: [c.alias(n) for c, n in zip((F.lit(section), latest, prefix, F.lit(kind), number, code), ("section", "latest", "series", "kind", "number", "code"), strict=True)]
     nothing, zero = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     group = _struct({"code": F.col("prefix"), "count": F.col("n"), "firstReleaseDate": F.col("first"), "latestReleaseDate": F.col("latest"), "links": F.col("links")})
-    out = groups.select(*key(1, F.col("latest"), F.col("prefix"), 0, zero, nothing), group.alias("group"))
+    text = lambda cell: F.to_json(F.struct(cell)).alias("text")
+    out = groups.select(*key(1, F.col("latest"), F.col("prefix"), 0, zero, nothing), text(group.alias("group")))
     own = t.records.join(links_json(t.links), "code", "left").join(groups.select("prefix", "latest"), "prefix")
-    cells = {RECORD[c]: F.col(c) for c in RECORD if c in t.records.columns} | {"links": F.col("links")}
-    out = out.unionByName(own.select(*key(1, F.col("latest"), F.col("prefix"), 1, F.col("number"), F.col("code")), _struct(cells).alias("record")), allowMissingColumns=True)
+    cells = {RECORD[c]: F.col(c) for c in RECORD if c in t.records.columns}
+    around = [_struct({c: v for c, v in cells.items() if (c < "links") == before}) for before in (True, False)]  # of a record's fields, the links are JSON already
+    before, behind = (F.nullif(_inner(F.to_json(c)), F.lit("")) for c in around)
+    record = F.concat(F.lit('{"record":{'), F.concat_ws(",", before, F.concat(F.lit('"links":'), F.col("links")), behind), F.lit('},"series":'), _quoted(F.col("prefix")), F.lit("}"))
+    out = out.unionByName(own.select(*key(1, F.col("latest"), F.col("prefix"), 1, F.col("number"), F.col("code")), record.alias("text")))
     tag = _struct({TAG[c]: F.col(c) for c in TAG if c in t.tags.columns})
-    out = out.unionByName(t.tags.select(*key(2, nothing, nothing, 0, F.col("id"), nothing), tag.alias("tag")), allowMissingColumns=True)
+    out = out.unionByName(t.tags.select(*key(2, nothing, nothing, 0, F.col("id"), nothing), text(tag.alias("tag"))))
     head = _struct({c: F.col(c) for c in ("schemaVersion", "generatedAt", "totals", "refresh", "resources")})
     out = out.unionByName(t.header.select(*key(0, nothing, nothing, 0, zero, nothing), head.alias("snapshot")), allowMissingColumns=True)
     order = [F.asc("section"), F.desc("latest"), F.asc("series"), F.asc("kind"), F.asc("number"), F.asc("code")]
-    return placed(cut(out, "document-lines"), order).select("place", "series", "snapshot", "group", "record", "tag")
+    return placed(cut(out, "document-lines"), order).select("place", "snapshot", "text")
 
 
 def _record_json(record: Column, fields: list[str]) -> Column:
@@ -99,14 +113,14 @@ PART = 200_000
 
 def export(t: Tables, path: str, part: int = PART) -> None:
     """Write the snapshot as JSON lines in document order, about ``part`` of them a file."""
-    found = cut(lines(t), "document-placed")
+    found = lines(t)
     total = found.count()
-    snapshot = F.when(F.col("snapshot").isNotNull(), F.col("snapshot").withField("lines", F.lit(total).cast("bigint")))
-    fields = found.schema["record"].dataType.names
-    record = F.when(F.col("record").isNotNull(), F.struct(*[(F.parse_json(F.col("record")[f]) if f == "links" else F.col("record")[f]).alias(f) for f in fields]))
-    series = F.when(F.col("record").isNotNull(), F.col("series"))
-    row = F.struct("group", "place", record.alias("record"), series.alias("series"), snapshot.alias("snapshot"), "tag")
-    found.repartitionByRange(-(-total // part), "place").sortWithinPartitions("place").select(F.to_json(row).alias("value")).write.text(path)
+    head = F.to_json(F.struct("place", F.col("snapshot").withField("lines", F.lit(total).cast("bigint")).alias("snapshot")))
+    member = F.concat(F.lit('"place":'), F.col("place").cast("string"))
+    first = F.startswith("text", F.lit('{"group":'))  # the one key before the place
+    value = F.when(F.col("snapshot").isNotNull(), head).when(first, F.concat(F.regexp_replace("text", r"\}\z", ","), member, F.lit("}"))).otherwise(F.concat(F.lit("{"), member, F.lit(","), F.expr("substring(text, 2)")))
+    own = found.select(F.floor((F.col("place") - 1) / part).cast("int").alias("part"), "place", value.alias("value"))
+    own.repartitionById(-(-total // part), "part").sortWithinPartitions("place").select("value").write.text(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -125,9 +139,9 @@ def _tables(head: DataFrame, groups: DataFrame, rows: DataFrame, tags: DataFrame
     return Tables(head, full.drop("links"), snapshots.record_links(full), shared, tags.select(*[F.col(f"tag.{own}").alias(c) for c, own in TAG.items()]))
 
 
-def read(spark: SparkSession, path: str) -> Tables:
-    """The tables of an export, each a scan of the lines."""
-    every = read_lines(spark, path)
+def read(spark: SparkSession, path: str, found: DataFrame | None = None) -> Tables:
+    """The tables of an export, each a scan of the lines, or of ``found``: who needs several tables parses the lines once, and cuts."""
+    every = read_lines(spark, path) if found is None else found
     head = every.where("snapshot is not null").select("snapshot.schemaVersion", "snapshot.generatedAt", "snapshot.totals", "snapshot.refresh", "snapshot.resources")
     return _tables(head, every.where("group is not null"), every.where("record is not null"), every.where("tag is not null"))
 

@@ -36,8 +36,10 @@ def group_links(document: DataFrame) -> DataFrame:
 def record_links(records: DataFrame) -> DataFrame:
     """(code, scope, provider, url) from records whose ``links`` is a two-level JSON map."""
     flat = records.where("links is not null").select("code", F.from_json("links", "map<string,string>").alias("m")).select("code", F.explode("m").alias("k", "v"))
-    nested = flat.where(F.startswith(F.trim("v"), F.lit("{"))).select("code", F.col("k").alias("scope"), F.explode(F.from_json("v", "map<string,string>")).alias("provider", "url"))
-    return flat.where(~F.startswith(F.trim("v"), F.lit("{"))).select("code", F.lit("").alias("scope"), F.col("k").alias("provider"), F.col("v").alias("url")).unionByName(nested)
+    leaf = lambda scope, provider, url: F.struct(scope.alias("scope"), provider.alias("provider"), url.alias("url"))
+    nested = F.transform(F.map_entries(F.from_json("v", "map<string,string>")), lambda e: leaf(F.col("k"), e["key"], e["value"]))
+    own = F.when(F.startswith(F.trim("v"), F.lit("{")), nested).otherwise(F.array(leaf(F.lit(""), F.col("k"), F.col("v"))))
+    return flat.where("v is not null").select("code", F.explode(own).alias("leaf")).select("code", "leaf.*")
 
 
 def resources(previous: DataFrame, incoming: DataFrame | None) -> DataFrame:
