@@ -12,6 +12,8 @@ from recordkeep.functions.values import clean_ids, positive_int, valid_instant
 
 TAG_FIELDS = ["tag_ids", "tags_status", "tags_updated_at", "tags_source"]
 TAG_GROUPS = ("genre", "character")
+#: Findings of one code and kind that are spelled out at once.
+PIECE = 10_000
 
 
 def filled(c: Column) -> Column:
@@ -166,23 +168,31 @@ def hydrate_errors(core: DataFrame, assignments: DataFrame, definitions: DataFra
 
     Codes that repeat in the core; assignments that repeat, name unknown codes, are empty, repeat a tag or name an
     unknown one; definitions that repeat or have no positive id; and, where they state ``n``, counts that differ.
+
+    The codes of both sides are counted in one grouping, tags in another, so no table is joined or sent whole to say
+    what is wrong with it.
     """
     found = lambda df, kind, key="code": df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"))
     repeated = lambda df, key: df.groupBy(key).count().where("count > 1")
-    pairs = assignments.select("code", F.explode("tag_ids").alias("tag_id"))
+    empty, doubled = F.coalesce(F.size("tag_ids"), F.lit(0)) <= 0, F.coalesce(F.size("tag_ids") != F.size(F.array_distinct("tag_ids")), F.lit(False))
+    marks = {"_core": F.lit(0), "_lists": F.lit(1), "_empty": empty.cast("int"), "_doubled": doubled.cast("int")}
+    both = assignments.select("code", *[c.alias(name) for name, c in marks.items()]).unionByName(core.select("code", *[F.lit(int(name == "_core")).alias(name) for name in marks]))
+    per = both.groupBy("code").agg(*[F.sum(name).alias(name) for name in marks])
+    once = lambda column: F.when(F.col(column) > 1, 1)
+    times = {"repeated_code": once("_core"), "duplicate_code": once("_lists"), "unknown_code": F.when(F.col("code").isNull() | (F.col("_core") == 0), F.col("_lists")), "empty_list": F.col("_empty"), "repeated_tag": F.col("_doubled")}
+    counted = per.select("code", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), n.cast("bigint").alias("n")) for kind, n in times.items()])).alias("x")).select("code", "x.*").where("n > 0")
+    piece = counted.select("code", "kind", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(PIECE).cast("bigint"))).alias("at"))  # a row each, in pieces
+    rows = piece.select("code", F.explode(F.array_repeat("kind", F.least(F.col("n") - F.col("at"), F.lit(PIECE)).cast("int"))).alias("kind"))
+    seen = assignments.select(F.explode("tag_ids").alias("tag_id")).groupBy("tag_id").agg(F.count("*").alias("_n"))
     parts = [
-        found(repeated(core, "code"), "repeated_code"),
-        found(repeated(assignments, "code"), "duplicate_code"),
-        found(assignments.join(core.select("code").distinct(), "code", "left_anti"), "unknown_code"),
-        found(assignments.where(F.coalesce(F.size("tag_ids"), F.lit(0)) <= 0), "empty_list"),
-        found(assignments.where(F.size("tag_ids") != F.size(F.array_distinct("tag_ids"))), "repeated_tag"),
-        found(unknown_tags(pairs.select("tag_id").distinct(), definitions), "unknown_tag", "tag_id"),
+        rows.select("kind", F.col("code").cast("string").alias("key")),
+        found(unknown_tags(seen, definitions), "unknown_tag", "tag_id"),
         found(repeated(definitions, "id"), "repeated_definition", "id"),
         found(definitions.where(~F.coalesce(F.col("id") > 0, F.lit(False))), "invalid_definition", "id"),
     ]
     if "n" in definitions.columns:
-        seen = pairs.groupBy(F.col("tag_id").alias("id")).agg(F.count("*").alias("_n"))
-        parts.append(found(definitions.join(seen, "id", "left").where(~F.col("n").eqNullSafe(F.coalesce("_n", F.lit(0)))), "count", "id"))
+        stated = definitions.join(seen.withColumnRenamed("tag_id", "id"), "id", "left")
+        parts.append(found(stated.where(~F.col("n").eqNullSafe(F.coalesce("_n", F.lit(0)))), "count", "id"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from recordkeep.functions import text
 from recordkeep.operators import browse, gates, links, records, refresh, scans, tags
-from recordkeep.plans.lineage import session_dir
+from recordkeep.plans.lineage import cut, session_dir
 from recordkeep.queries import _BRIDGE, _LINKS, DAY, _t, bridge, incoming, one_leaf, orders, parts, previous, query
 from recordkeep.queries_gates import _PAGED, _facts
 from recordkeep.queries_values import BASE, base, cells_sql, made
@@ -411,9 +411,9 @@ UNION ALL SELECT 'empty_list', 'ORD-' || o_orderkey FROM orders WHERE o_orderkey
 UNION ALL SELECT 'invalid_definition', '0' UNION ALL SELECT 'count', s_suppkey::VARCHAR FROM supplier WHERE s_suppkey % 5 = 1""")
 def hydration_errors(spark, sf):
     pairs = bridge(spark, sf)
-    listed = pairs.groupBy("code").agg(F.sort_array(F.collect_set("tag_id")).alias("tag_ids"))
+    listed = cut(pairs.groupBy("code").agg(F.sort_array(F.collect_set("tag_id")).alias("tag_ids")), "hydration-lists")
     rows = orders(spark, sf)
-    bare = rows.where("number % 90 = 2").select("code").join(pairs, "code", "left_anti").select("code", F.array().cast("array<bigint>").alias("tag_ids"))
+    bare = rows.where("number % 90 = 2").select("code").join(listed, "code", "left_anti").select("code", F.array().cast("array<bigint>").alias("tag_ids"))
     defined = tags.tag_counts(pairs, _t(spark, sf, "supplier").where("s_suppkey % 5 <> 2").select(F.col("s_suppkey").alias("id")))
     stated = defined.select("id", F.when(F.col("id") % 5 == 1, F.col("n") + 1).otherwise(F.col("n")).alias("n"))
     return tags.hydrate_errors(rows.where("number % 50 <> 1").select("code"), listed.unionByName(bare), stated)
