@@ -100,8 +100,11 @@ def attach_group_links(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 def link_maps(links: DataFrame) -> DataFrame:
     """(code, links): the links of each code that has any, as a map per scope."""
-    maps = links.groupBy("code", "scope").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("provider", "url")))).alias("urls"))
-    return maps.groupBy("code").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("scope", F.to_json("urls").alias("urls"))))).alias("links"))
+    own = links.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("scope", "provider", "url"))).alias("m"))  # as many as there are providers and scopes
+    of = lambda scope: F.filter("m", lambda x: x["scope"].eqNullSafe(scope))
+    urls = lambda scope: F.map_from_entries(F.transform(of(scope), lambda x: F.struct(x["provider"], x["url"])))
+    scopes = F.array_distinct(F.transform("m", lambda x: x["scope"]))
+    return own.select("code", F.map_from_entries(F.transform(scopes, lambda s: F.struct(s, F.to_json(urls(s))))).alias("links"))
 
 
 def attach_links(records: DataFrame, links: DataFrame) -> DataFrame:

@@ -289,7 +289,7 @@ count(*) FILTER (l0 IS NULL AND l1 IS NOT NULL) AS link_added, count(*) FILTER (
 (SELECT count(DISTINCT code) FROM new JOIN i ON code = 'ORD-' || o_orderkey) AS linked, (SELECT count(*) + 3 FROM old JOIN new USING (code, scope, provider) WHERE old.url <> new.url) AS link_conflicts FROM z""")
 def refresh_counters(spark, sf):
     """All nine counters of a refresh: records, their links, and conflicts met, three of which the sheet brought."""
-    old, new = one_leaf(spark, sf, "R"), one_leaf(spark, sf, "A")
+    old, new = (cut(one_leaf(spark, sf, flag), "refresh-links") for flag in ("R", "A"))  # each is read for maps and for conflicts
 
     def side(df, leaf):
         return links.attach_links(df, leaf).withColumn("links", F.to_json("links"))
