@@ -14,12 +14,18 @@ from recordkeep.sources import versions
 def row_words(text: Column) -> list[Column]:
     """The eight 32-bit words of a text's SHA-256. Their sums over rows combine before any shuffle."""
     digest = F.sha2(text, 256)
-    return [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    return [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(8)]
+
+
+def _sum(word: Column) -> Column:
+    """The sum of 32-bit words: their halves are added as longs, which 2^47 rows do not overflow and which cost far less than decimals."""
+    high, low = F.sum(F.shiftright(word, 16)), F.sum(word.bitwiseAND(F.lit(0xFFFF)))
+    return high.cast("decimal(24,0)") * F.lit(0x10000) + low.cast("decimal(24,0)")
 
 
 def summed_hash(text: Column) -> Column:
     """An aggregate: a hash of the texts that does not depend on their order; equal texts count."""
-    sums = [F.coalesce(F.sum(w), F.lit(0)).cast("string") for w in row_words(text)]
+    sums = [F.coalesce(_sum(w), F.lit(0)).cast("string") for w in row_words(text)]
     return F.sha2(F.concat_ws(":", F.count(text).cast("string"), *sums), 256)
 
 
