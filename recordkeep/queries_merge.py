@@ -24,7 +24,8 @@ _DETAIL = """'<html><section id="works_pic"><h5> Title  ' || k || ' </h5><img sr
 
 
 def _details(spark, sf):
-    return base(spark, sf).selectExpr("k AS page_id", f"{_DETAIL} AS html")
+    rows = page_source.dealt(base(spark, sf).select("k", "o_orderpriority", "day"), "k")
+    return rows.selectExpr("k AS page_id", f"{_DETAIL} AS html")
 
 
 @query(f"""WITH {BASE} SELECT k AS page_id, CASE WHEN k % 6 <> 1 THEN 'ORD-' || k END AS code, CASE WHEN k % 6 <> 1 THEN 'Title ' || k END AS title, CASE WHEN k % 6 <> 1 THEN o_orderpriority || ',one' END AS actors,

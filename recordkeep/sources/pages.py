@@ -7,11 +7,12 @@ jobs, once per page; everything after it is DataFrame operations.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -49,24 +50,81 @@ class Layout:
     tag_groups: tuple[tuple[str, str], ...] = (("ジャンルタグ", "genre"), ("キャラクタータグ", "character"))
 
 
+class _Mark(NamedTuple):
+    """What stands between the brackets of a tag; the name of an end begins with its slash."""
+
+    tag: str
+    attrs: dict[str, str]
+    classes: frozenset[str]
+
+
+class _Nest:
+    """Where elements end, and between which texts they lie, by the order of their tags; an end without a beginning is passed over."""
+
+    __slots__ = ("ends", "froms", "tos", "open")
+
+    def __init__(self) -> None:
+        self.ends: list[int] = []
+        self.froms: list[int] = []
+        self.tos: list[int] = []
+        self.open: list[tuple[str, int]] = []
+
+    def begin(self, tag: str, texts: int) -> None:
+        at = len(self.ends)
+        self.ends.append(at + 1)
+        self.froms.append(texts)
+        self.tos.append(texts)
+        if tag not in VOID and tag != "#comment":
+            self.open.append((tag, at))
+
+    def finish(self, tag: str, texts: int) -> None:
+        opened = self.open
+        for k in range(len(opened) - 1, -1, -1):
+            if opened[k][0] == tag:
+                self._end(k, texts)
+                return
+
+    def _end(self, k: int, texts: int) -> None:
+        """End all elements that are open from the ``k``-th on."""
+        for _, at in self.open[k:]:
+            self.ends[at], self.tos[at] = len(self.ends), texts
+        del self.open[k:]
+
+    def close(self, texts: int) -> None:
+        self._end(0, texts)
+
+
+class _Page:
+    """Marks and texts in page order. It does not hold its elements, which hold it, so a page that was read is let go at once."""
+
+    __slots__ = ("marks", "texts", "nest", "own")
+
+    def __init__(self, marks: Sequence[_Mark], texts: Sequence[str], nest: _Nest, own: dict[int, list[str]]):
+        self.marks, self.texts, self.nest, self.own = marks, texts, nest, own
+
+
 class _Element:
     """An element of a page. Elements and texts stand in page order, so what is inside one is a slice of each."""
 
-    __slots__ = ("tag", "attrs", "classes", "page", "start", "end", "text_from", "text_to", "own")
+    __slots__ = ("page", "at", "tag", "attrs", "classes")
 
-    def __init__(self, page: _Page, tag: str, attrs: dict[str, str], classes: frozenset[str] | None):
-        self.page, self.tag, self.attrs, self.own = page, tag, attrs, None
-        self.classes = _classes(attrs) if classes is None else classes
-        self.start = start = len(page.elements)
-        self.text_from = self.text_to = len(page.texts)
-        self.end = start + 1
+    def __init__(self, page: _Page, at: int):
+        self.page, self.at = page, at
+        self.tag, self.attrs, self.classes = page.marks[at]
 
     def all(self) -> list[_Element]:
-        return self.page.elements[self.start + 1 : self.end]
+        page = self.page
+        return [_Element(page, k) for k in range(self.at + 1, page.nest.ends[self.at])]
+
+    def of(self, *tags: str) -> list[_Element]:
+        """Those of :meth:`all` with these tags."""
+        page, marks = self.page, self.page.marks
+        return [_Element(page, k) for k in range(self.at + 1, page.nest.ends[self.at]) if marks[k][0] in tags]
 
     def text(self) -> str:
         """The words inside, without those of comments, scripts and styles in it."""
-        return " ".join(" ".join(self.own or () if self.tag in _HIDDEN else self.page.texts[self.text_from : self.text_to]).split())
+        page, at = self.page, self.at
+        return " ".join(" ".join(page.own.get(at, ()) if self.tag in _HIDDEN else page.texts[page.nest.froms[at] : page.nest.tos[at]]).split())
 
 
 def _classes(attrs: dict[str, str]) -> frozenset[str]:
@@ -77,129 +135,122 @@ _NONE: frozenset[str] = frozenset()
 _HIDDEN = ("script", "style")
 
 
-class _Page:
-    """Elements, nested as their tags say, from the events of a parser; an end tag without a beginning is passed over."""
+class _Builder(HTMLParser):
+    """Any markup, by the events of a parser."""
 
     def __init__(self) -> None:
-        self.elements: list[_Element] = []
-        self.texts: list[str] = []
-        self.open: list[_Element] = []
-
-    def begin(self, tag: str, attrs: dict[str, str], classes: frozenset[str] | None = None) -> None:
-        own = _Element(self, tag, attrs, classes)
-        self.elements.append(own)
-        if tag not in VOID:
-            self.open.append(own)
-
-    def finish(self, tag: str) -> None:
-        opened = self.open
-        for k in range(len(opened) - 1, -1, -1):
-            if opened[k].tag == tag:
-                end, text_to = len(self.elements), len(self.texts)
-                for own in opened[k:]:
-                    own.end, own.text_to = end, text_to
-                del opened[k:]
-                return
+        super().__init__(convert_charrefs=True)
+        self.page = _Page([], [], _Nest(), {})
 
-    def data(self, data: str) -> None:
-        if self.open and self.open[-1].tag in _HIDDEN:
-            self.open[-1].own = [*(self.open[-1].own or ()), data]
-        else:
-            self.texts.append(data)
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        found = {k: v or "" for k, v in attrs}
+        self._add(_Mark(tag, found, _classes(found)))
 
-    def comment(self, data: str) -> None:
-        self.elements.append(_Element(self, "#comment", {"data": data}, _NONE))
+    def handle_comment(self, data: str) -> None:
+        self._add(_Mark("#comment", {"data": data}, _NONE))
 
+    def _add(self, mark: _Mark) -> None:
+        self.page.marks.append(mark)
+        self.page.nest.begin(mark.tag, len(self.page.texts))
 
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.page = _Page()
-        self.handle_endtag, self.handle_data, self.handle_comment = self.page.finish, self.page.data, self.page.comment
+    def handle_endtag(self, tag: str) -> None:
+        self.page.nest.finish(tag, len(self.page.texts))
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.page.begin(tag, {k: v or "" for k, v in attrs})
+    def handle_data(self, data: str) -> None:
+        opened = self.page.nest.open
+        if opened and opened[-1][0] in _HIDDEN:
+            self.page.own.setdefault(opened[-1][1], []).append(data)
+        else:
+            self.page.texts.append(data)
 
 
 #: Plain markup: texts, tags whose attributes are quoted, and comments; nothing that parsers read in several ways.
-_TAG = re.compile(r"""([A-Za-z][A-Za-z0-9]*)((?:[ \t\n]+[A-Za-z][A-Za-z0-9_-]*="[^"<&]*")*)|/([A-Za-z][A-Za-z0-9]*)""")
+_TAG = re.compile(r"""([A-Za-z][A-Za-z0-9]*)((?:[ \t\n]+[A-Za-z][A-Za-z0-9_-]*="[^"<&]*")*)|(/[A-Za-z][A-Za-z0-9]*)""")
 _ATTR = re.compile(r"""([A-Za-z][A-Za-z0-9_-]*)="([^"]*)\"""")
-_COMMENT = re.compile(r"<!--(?![>-])([^-]*(?:-[^-]+)*)-->")
+#: A comment, or what may be a tag.
+_BRACKETS = re.compile(r"<(?:!--(?![>-])([^-]*(?:-[^-]+)*)--|([^>]*))>")
 #: Elements whose content is not markup, in one version of the parser or another.
 _RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript plaintext svg math".split())
 
 
 @lru_cache(8192)
-def _plain_tag(inside: str) -> tuple[str, dict[str, str] | None, frozenset[str]] | None:
-    """(tag, attributes, classes), without attributes for an end; null for what is not plain."""
+def _plain_tag(inside: str) -> _Mark | None:
+    """The mark of a plain tag; null for what is not plain."""
     found = _TAG.fullmatch(inside)
     if found is None or found[1] and found[1].lower() in _RAW:
         return None
     if found[3]:
-        return found[3].lower(), None, _NONE
+        return _Mark(found[3].lower(), {}, _NONE)
     attrs = {k.lower(): v for k, v in _ATTR.findall(found[2])}
-    return found[1].lower(), attrs, _classes(attrs)
+    return _Mark(found[1].lower(), attrs, _classes(attrs))
+
+
+def _outline(tags: tuple[str, ...]) -> tuple[_Nest, list[int]]:
+    """How the tags of a page nest, a text before and behind each, and which of them begin an element."""
+    nest, begins = _Nest(), []
+    for k, tag in enumerate(tags):
+        if tag[0] == "/":
+            nest.finish(tag[1:], k + 1)
+        else:
+            begins.append(k)
+            nest.begin(tag, k + 1)
+    nest.close(len(tags) + 1)
+    return nest, begins
+
+
+#: Pages of a site share few outlines; only short ones are kept.
+_short_outline = lru_cache(1024)(_outline)
+_SHORT = 500
 
 
 def _plain(html: str) -> _Page | None:
     """The page if all of it is plain markup, as :class:`_Builder` reads it but much faster."""
-    page, at = _Page(), 0
-    find, texts, elements, opened = html.find, page.texts, page.elements, page.open
-    while at < len(html):
-        start = find("<", at)
-        if start != at:
-            piece = html[at:start] if start > 0 else html[at:]
-            if "&" in piece:
-                if start < 0:
-                    return None  # a last text may end within a reference
-                piece = unescape(piece)
-            texts.append(piece)
-            if start < 0:
-                break
-        if html.startswith("<!", start):
-            note = _COMMENT.match(html, start)
-            if note is None:
-                return None
-            page.comment(note[1])
-            at = note.end()
-            continue
-        at = find(">", start) + 1
-        own = _plain_tag(html[start + 1 : at - 1]) if at else None
-        if own is None:
-            return None
-        tag, attrs, classes = own
-        if attrs is None:
-            if opened and opened[-1].tag == tag:
-                last = opened.pop()
-                last.end, last.text_to = len(elements), len(texts)
-            else:
-                page.finish(tag)
-        else:
-            last = _Element(page, tag, attrs, classes)
-            elements.append(last)
-            if tag not in VOID:
-                opened.append(last)
-    return page
+    if html.rfind(">") < html.rfind("<"):
+        return None
+    if "<!" in html:
+        parts = _BRACKETS.split(html)
+        texts, notes, insides = parts[::3], parts[1::3], parts[2::3]
+    else:
+        first, *parts = html.split("<")
+        pairs = [p.split(">", 1) for p in parts]
+        texts, notes, insides = [first, *[p[-1] for p in pairs]], (), [p[0] for p in pairs]
+    if "&" in html:
+        if "&" in texts[-1]:
+            return None  # a last text may end within a reference
+        texts = [unescape(t) if "&" in t else t for t in texts]
+    marks = list(map(_plain_tag, insides)) if not notes else [_Mark("#comment", {"data": n}, _NONE) if n else _plain_tag(i) for n, i in zip(notes, insides, strict=True)]
+    if None in marks:
+        return None
+    tags = tuple([m[0] for m in marks])
+    nest, begins = _short_outline(tags) if len(tags) <= _SHORT else _outline(tags)
+    return _Page([marks[k] for k in begins], texts, nest, {})
 
 
 def _closed(page: _Page) -> list[_Element]:
-    for own in page.open:
-        own.end, own.text_to = len(page.elements), len(page.texts)
-    return page.elements
+    return [_Element(page, k) for k in range(len(page.marks))]
 
 
-def _any(html: str) -> list[_Element]:
-    """The elements of any markup in page order."""
+def _general(html: str) -> _Page:
     builder = _Builder()
     builder.feed(html)
     builder.close()
-    return _closed(builder.page)
+    builder.page.nest.close(len(builder.page.texts))
+    return builder.page
+
+
+def _any(html: str) -> list[_Element]:
+    """The elements of any markup in page order."""
+    return _closed(_general(html))
+
+
+def _page(html: str | None) -> _Page:
+    page = _plain(html or "")
+    return _general(html or "") if page is None else page
 
 
 def _tree(html: str | None) -> list[_Element]:
     """The elements of a page in page order."""
-    page = _plain(html or "")
-    return _any(html or "") if page is None else _closed(page)
+    return _closed(_page(html))
 
 
 def decode(body: bytes | None, header: str | None = None) -> str | None:
@@ -219,6 +270,15 @@ def decode(body: bytes | None, header: str | None = None) -> str | None:
     return None
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` that pages are made of, or pages, in as many tasks as a shuffle has.
+
+    Reading a page takes far longer than its bytes say: one row group of narrow rows can hold a million pages. So neither
+    the splits of files nor sizes of shuffles say how many tasks there should be.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def decoded(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, body, content_type) -> page_id, html; null for undecodable bytes. UTF-8 needs no Python."""
     plain = F.try_validate_utf8(F.col("body").cast("string"))
@@ -260,13 +320,18 @@ def _noted_names(comment: str, layout: Layout) -> tuple[str, ...]:
 _LABEL, _BREAKS, _SPACES, _HEADING = re.compile(r"^.*?出演\s*[:：]?", re.S), re.compile(r"(?i)<br\s*/?>"), re.compile(r"[\s:：]+"), re.compile("h[1-6]")
 
 
+@lru_cache(1024)
+def _label(shown: str) -> str:
+    return _SPACES.sub("", shown)
+
+
 def _fields(inside: list[_Element]) -> dict[str, _Element]:
     """Label (without colons and spaces) -> value element, of definition lists."""
     out: dict[str, _Element] = {}
     name = None
     for e in inside:
         if e.tag == "dt":
-            name = _SPACES.sub("", e.text())
+            name = _label(e.text())
         elif e.tag == "dd" and name:
             out.setdefault(name, e)
             name = None
@@ -282,38 +347,56 @@ def _covers(inside: list[_Element], layout: Layout) -> list[str]:
     return [_joined(layout.base, e.attrs["src"]) for e in inside if e.tag == "img" and f"/{layout.cover_name}" in e.attrs.get("src", "").lower()]
 
 
-DETAIL = "page_id long, code_text string, title string, names array<string>, date_text string, covers array<string>, tags array<struct<href:string,group:string,name:string>>, images array<string>"
+BOXES = "code_text string, title string, names array<string>, date_text string, covers array<string>"
+TAGS = "tags array<struct<href:string,group:string,name:string>>"
+IMAGES = "images array<string>"
 CARD = "page_id long, at int, hrefs array<string>, code_text string, title string, names array<string>, date_text string, covers array<string>"
 
 
-def raw_details(pages: DataFrame, layout: Layout = Layout()) -> DataFrame:
-    """What a detail page says, unparsed; a page without its boxes has null fields."""
-    groups = dict(layout.tag_groups)
-
-    def one(page_id: int, html: str | None) -> tuple:
-        every = _tree(html)
-        with_id = [e for e in every if "id" in e.attrs]
-        by_id = {e.attrs["id"]: e for e in with_id if e.attrs["id"] in (layout.title_box, layout.fields_box)}
-        tags = []
-        for section in (e for e in with_id if e.attrs["id"] == "tag"):
-            inside = section.all()
-            head = next((e.text() for e in inside if e.attrs.get("id") == "tag_header"), "")
-            group = groups.get(head)
-            tags += [{"href": a.attrs.get("href", ""), "group": group, "name": a.text()} for a in inside if group and a.tag == "a"]
-        images = [_joined(layout.base, e.attrs[k]) for e in every if e.attrs for k in ("href", "src", "data-src") if e.attrs.get(k, "").lower().endswith("_l.jpg")]
-        pic, txt = by_id.get(layout.title_box), by_id.get(layout.fields_box)
-        if pic is None or txt is None:
-            return page_id, None, None, None, None, None, tags, images
-        shown = pic.all()
-        title = next((e.text() for e in shown if e.tag == "h5"), None)
-        fields = _fields(txt.all())
-        get = lambda label: fields[label].text() if label in fields else ""
-        box = fields.get(layout.names_label)
-        inside = box.all() if box is not None else []
-        names = [a.text() for a in inside if a.tag == "a"] or _names(inside, layout, False)
-        return page_id, get(layout.code_label), title, names, get(layout.date_label), _covers(shown, layout), tags, images
-
-    return _parsed(pages, lambda page_id, html: [one(page_id, html)], DETAIL)
+def _boxes(page: _Page, layout: Layout) -> tuple:
+    """The cells of BOXES; all are null on a page without its boxes."""
+    found = {m.attrs["id"]: _Element(page, k) for k, m in enumerate(page.marks) if m.attrs and m.attrs.get("id") in (layout.title_box, layout.fields_box)}
+    pic, txt = found.get(layout.title_box), found.get(layout.fields_box)
+    if pic is None or txt is None:
+        return None, None, None, None, None
+    shown = pic.of("h5", "img")
+    title = next((e.text() for e in shown if e.tag == "h5"), None)
+    fields = _fields(txt.of("dt", "dd"))
+    get = lambda label: fields[label].text() if label in fields else ""
+    box = fields.get(layout.names_label)
+    names = [] if box is None else [a.text() for a in box.of("a")] or _names(box.all(), layout, False)
+    return get(layout.code_label), title, names, get(layout.date_label), _covers(shown, layout)
+
+
+def _tags(page: _Page, layout: Layout) -> tuple:
+    """The cell of TAGS: links of the known sections as (href, group, name)."""
+    groups, tags = dict(layout.tag_groups), []
+    with_id = [(k, m.attrs["id"]) for k, m in enumerate(page.marks) if "id" in m.attrs]
+    for section in (_Element(page, k) for k, i in with_id if i == "tag"):
+        last = page.nest.ends[section.at]
+        head = next((_Element(page, k).text() for k, i in with_id if section.at < k < last and i == "tag_header"), "")
+        if group := groups.get(head):
+            tags += [(a.attrs.get("href", ""), group, a.text()) for a in section.of("a")]
+    return (tags,)
+
+
+def _images(page: _Page, layout: Layout) -> tuple:
+    """The cell of IMAGES: addresses of large ones."""
+    return ([_joined(layout.base, m.attrs[k]) for m in page.marks if m.attrs for k in ("href", "src", "data-src") if k in m.attrs and m.attrs[k].lower().endswith("_l.jpg")],)
+
+
+_READERS = {BOXES: _boxes, TAGS: _tags, IMAGES: _images}
+
+
+def raw_details(pages: DataFrame, layout: Layout = Layout(), parts: tuple[str, ...] = (BOXES, TAGS, IMAGES)) -> DataFrame:
+    """What a detail page says, unparsed: page_id and the columns of ``parts``."""
+    readers = [_READERS[p] for p in parts]
+
+    def rows_of(page_id: int, html: str | None) -> list[tuple]:
+        page = _page(html)
+        return [(page_id, *[cell for read in readers for cell in read(page, layout)])]
+
+    return _parsed(pages, rows_of, ", ".join(["page_id long", *parts]))
 
 
 def _parsed(pages: DataFrame, rows_of: Callable[[int, str | None], list[tuple]], schema: str) -> DataFrame:
@@ -331,7 +414,7 @@ def _parsed(pages: DataFrame, rows_of: Callable[[int, str | None], list[tuple]],
 
 def detail_records(pages: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Detail pages -> record rows; code is null where a required part is missing."""
-    raw = raw_details(pages, layout).withColumn("code", keys.embedded(F.col("code_text")))
+    raw = raw_details(pages, layout, (BOXES,)).withColumn("code", keys.embedded(F.col("code_text")))
     raw = raw.withColumn("code", keys.extract_code(F.col("code")))
     raw = raw.withColumns({"cover": pick_cover(F.col("covers"), F.col("code")), "title": text.collapse(F.col("title"))})
     code, cover = F.col("code"), F.col("cover")
@@ -349,7 +432,7 @@ def detail_records(pages: DataFrame, layout: Layout = Layout()) -> DataFrame:
 
 def page_tags(pages: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """(page_id, id, group, name): tags of the known sections, the first of an id."""
-    rows = raw_details(pages, layout).select("page_id", F.posexplode("tags").alias("at", "t"))
+    rows = raw_details(pages, layout, (TAGS,)).select("page_id", F.posexplode("tags").alias("at", "t"))
     rows = rows.select("page_id", "at", query_id(F.col("t.href"), layout.tag_path, layout.tag_param).alias("id"), F.col("t.group").alias("group"), text.collapse(F.col("t.name")).alias("name")).where("id is not null and name <> ''")
     return rows.groupBy("page_id", "id").agg(F.min_by("group", "at").alias("group"), F.min_by("name", "at").alias("name"))
 
