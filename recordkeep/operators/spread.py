@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from recordkeep.plans.lineage import cut, session_dir
 
 
-def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+def placed(rows: DataFrame, order: list[Column], free: bool = False, codec: str | None = None) -> DataFrame:
     """``rows`` with their ``place`` in the whole order, from 1, without one task seeing all rows.
 
-    Rows are sorted over range partitions; a partition's places start behind the rows of those before it.
+    Rows are sorted over range partitions; a partition's places start behind the rows of those before it. ``free`` and
+    ``codec`` are those of the cut behind the sort.
     """
-    part = cut(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "placed")
+    part = cut(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "placed", free, codec)
     own = F.shiftright("_id", 33)
     sizes = part.groupBy(own.alias("_part")).agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
-    joined = part.withColumn("_part", own).join(before, "_part")
+    joined = part.withColumn("_part", own).join(F.broadcast(before), "_part")
     return joined.withColumn("place", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_before", "_id")
 
 

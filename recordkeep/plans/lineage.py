@@ -47,24 +47,29 @@ def session_dir(spark: SparkSession) -> str:
     return _folders[key]
 
 
-def cut(df: DataFrame, name: str = "cut", free: bool = False) -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", free: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads those files.
 
     With ``free`` the shuffle files behind it are let go at once: they are deleted when the driver collects its
-    garbage, which may otherwise be long after a large cut.
+    garbage, which may otherwise be long after a large cut. ``codec`` is another compression than the session's.
     """
     spark = df.sparkSession
     path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     _written.setdefault(id(spark), []).append(path)
     if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        free_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     _path_of[out] = path
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files deleted that no table at hand is behind any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*cuts: DataFrame) -> None:
     """Delete tables that :func:`cut` returned, before :func:`release` would; only what was written from them stays."""
     for df in cuts:

@@ -48,8 +48,8 @@ UNION ALL SELECT DISTINCT 'group', 'C' || o_custkey, 'http://d/C' || o_custkey F
 def document_round_trip(spark, sf):
     """The catalogue exported as a document in parts and read again."""
     path = _folder(spark, "document")
-    documents.export(_tables(spark, sf), path)
-    t = documents.read(spark, path, cut(documents.read_lines(spark, path), "document-read"))
+    documents.export(_tables(spark, sf), path, compression="gzip")
+    t = documents.read(spark, path, cut(documents.read_lines(spark, path), "document-read", codec=documents.CODEC))
     blank = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
     listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit("-"))
     value = F.concat_ws("|", "prefix", *[blank(F.col(c)) for c in ("number", "title")], listed(F.col("actors")), "release_date", blank(F.col("product_id")), blank(F.col("preview_count")), listed(F.col("tag_ids").cast("array<string>")))
@@ -67,8 +67,8 @@ def document_hashes(spark, sf):
     """Hashes of the tables before an export and after reading it, and whether all its lines are there."""
     path, before = _folder(spark, "document"), _tables(spark, sf)
     before.links = cut(before.links, "document-links")  # both exported and hashed
-    documents.export(before, path)
-    lines = cut(documents.read_lines(spark, path), "document-read")
+    documents.export(before, path, compression="gzip")
+    lines = cut(documents.read_lines(spark, path), "document-read", codec=documents.CODEC)
     after = documents.read(spark, path, lines)
     out = documents.gaps(lines).select(F.lit("lines").alias("part"), F.col("lines").alias("n"), ((F.col("stated") == F.col("lines")) & (F.col("lines") == F.col("places"))).alias("same"))
     for name in ("records", "links", "group_links", "tags"):

@@ -2,8 +2,8 @@
 
 An export is a folder of JSON lines: the header, then each group followed by its records, the latest group first, then
 the tags. Every line stands for itself and carries its place, so parts are range-partitioned by place, a group of any
-size is spread over as many parts as it fills, and reading splits at any line. Keys are sorted and nulls left out, so
-equal snapshots give equal lines.
+size is spread over as many parts as it fills, and reading splits at any line, or at any part of a compressed export.
+Keys are sorted and nulls left out, so equal snapshots give equal lines.
 
 :func:`fragments` turns the same lines into pieces that, set one behind another, are the one nested document that other
 readers expect; :func:`nested_tables` reads such a document.
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordkeep.operators.spread import placed
-from recordkeep.plans.lineage import cut
+from recordkeep.plans.lineage import cut, discard, free_shuffles, scratch
 from recordkeep.sources import snapshots
 
 #: Columns of a record, by the names used in documents.
@@ -32,6 +32,8 @@ TAG = {"id": "id", "group": "group", "name": "nameJa", "translation": "nameZh",
 _GROUP = "struct<code:string,count:bigint,firstReleaseDate:string,latestReleaseDate:string,links:map<string,string>>"
 _TAG = "struct<count:bigint,group:string,id:bigint,nameJa:string,nameZh:string>"
 _HEAD = "struct<generatedAt:string,lines:bigint,refresh:string,resources:map<string,string>,schemaVersion:int,totals:map<string,bigint>>"
+#: Compression of what is cut on the way: lines are texts that hold much alike.
+CODEC = "zstd"
 LINE = f"group {_GROUP}, place bigint, record {snapshots.RECORD}, series string, snapshot {_HEAD}, tag {_TAG}"
 
 
@@ -59,13 +61,13 @@ def links_json(links: DataFrame) -> DataFrame:
     """(code, links): the leaves of a code as a two-level JSON object with sorted keys."""
     member = lambda k, v: F.concat(_quoted(k), F.lit(":"), v)
     leaf = F.struct("scope", F.col("provider").alias("k"), "url", member(F.col("provider"), _quoted(F.col("url"))).alias("v"))
-    own = links.select("code", leaf.alias("x")).groupBy("code").agg(F.array_sort(F.collect_list("x")).alias("m"))  # as many as there are providers and scopes
+    own = links.select("code", leaf.alias("x")).groupBy("code").agg(F.sort_array(F.collect_list("x")).alias("m"))  # as many as there are providers and scopes
     of = lambda scope: F.filter("m", lambda x: x["scope"].eqNullSafe(scope))
     text = lambda xs: F.array_join(F.transform(xs, lambda x: x["v"]), ",")
     scopes = F.array_distinct(F.transform(F.filter("m", lambda x: ~x["scope"].eqNullSafe(F.lit(""))), lambda x: x["scope"]))
     nested = F.transform(scopes, lambda s: F.struct(s.alias("k"), member(s, F.concat(F.lit("{"), text(of(s)), F.lit("}"))).alias("v")))
     flat = F.transform(of(F.lit("")), lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))
-    return own.select("code", F.concat(F.lit("{"), text(F.array_sort(F.concat(flat, nested))), F.lit("}")).alias("links"))
+    return own.select("code", F.concat(F.lit("{"), text(F.sort_array(F.concat(flat, nested))), F.lit("}")).alias("links"))
 
 
 def _struct(fields: dict[str, Column]) -> Column:
@@ -75,19 +77,20 @@ def _struct(fields: dict[str, Column]) -> Column:
 def lines(t: Tables) -> DataFrame:
     """(place, snapshot, text) in document order from place 1; a line's text is its JSON but for the place, null for the header.
 
-    Lines are made before they are sorted, so what is moved and written on the way is one text a line.
+    Lines are made before they are sorted, so what is moved and written on the way is one text a line, and what is behind
+    a step is deleted with the next.
     """
     day = F.coalesce("release_date", F.lit(""))
     groups = t.records.groupBy("prefix").agg(F.count("*").alias("n"), F.min(day).alias("first"), F.max(day).alias("latest"))
     linked = t.group_links.groupBy("prefix").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("provider", "url")))).alias("links"))
     groups = groups.join(linked, "prefix", "full_outer").select("prefix", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("first", F.lit("")).alias("first"), F.coalesce("latest", F.lit("")).alias("latest"), "links")
-    groups = cut(groups, "document-groups")
+    groups = cut(groups, "document-groups", free=True)
     key = lambda section, latest, prefix, kind, number, code: [c.alias(n) for c, n in zip((F.lit(section), latest, prefix, F.lit(kind), number, code), ("section", "latest", "series", "kind", "number", "code"), strict=True)]
     nothing, zero = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     group = _struct({"code": F.col("prefix"), "count": F.col("n"), "firstReleaseDate": F.col("first"), "latestReleaseDate": F.col("latest"), "links": F.col("links")})
     text = lambda cell: F.to_json(F.struct(cell)).alias("text")
     out = groups.select(*key(1, F.col("latest"), F.col("prefix"), 0, zero, nothing), text(group.alias("group")))
-    own = t.records.join(links_json(t.links), "code", "left").join(groups.select("prefix", "latest"), "prefix")
+    own = t.records.join(groups.select("prefix", "latest"), "prefix").join(links_json(t.links), "code", "left")  # the links are the larger part, and are moved last
     cells = {RECORD[c]: F.col(c) for c in RECORD if c in t.records.columns}
     around = [_struct({c: v for c, v in cells.items() if (c < "links") == before}) for before in (True, False)]  # of a record's fields, the links are JSON already
     before, behind = (F.nullif(_inner(F.to_json(c)), F.lit("")) for c in around)
@@ -98,7 +101,10 @@ def lines(t: Tables) -> DataFrame:
     head = _struct({c: F.col(c) for c in ("schemaVersion", "generatedAt", "totals", "refresh", "resources")})
     out = out.unionByName(t.header.select(*key(0, nothing, nothing, 0, zero, nothing), head.alias("snapshot")), allowMissingColumns=True)
     order = [F.asc("section"), F.desc("latest"), F.asc("series"), F.asc("kind"), F.asc("number"), F.asc("code")]
-    return placed(cut(out, "document-lines"), order).select("place", "snapshot", "text")
+    made = cut(out, "document-lines", free=True, codec=CODEC)
+    found = placed(made, order, free=True, codec=CODEC)
+    discard(made)
+    return found.select("place", "snapshot", "text")
 
 
 def _record_json(record: Column, fields: list[str]) -> Column:
@@ -111,16 +117,25 @@ def _record_json(record: Column, fields: list[str]) -> Column:
 PART = 200_000
 
 
-def export(t: Tables, path: str, part: int = PART) -> None:
-    """Write the snapshot as JSON lines in document order, about ``part`` of them a file."""
-    found = lines(t)
+def export(t: Tables, path: str, part: int = PART, compression: str | None = None) -> None:
+    """Write the snapshot as JSON lines in document order, about ``part`` of them a file.
+
+    What is cut on the way is deleted. Files of a ``compression`` such as gzip are read whole, so parts are the splits then.
+    """
+    spark = t.records.sparkSession
+    with scratch(spark):
+        _write(lines(t), path, part, compression)
+    free_shuffles(spark)
+
+
+def _write(found: DataFrame, path: str, part: int, compression: str | None) -> None:
     total = found.count()
     head = F.to_json(F.struct("place", F.col("snapshot").withField("lines", F.lit(total).cast("bigint")).alias("snapshot")))
     member = F.concat(F.lit('"place":'), F.col("place").cast("string"))
     first = F.startswith("text", F.lit('{"group":'))  # the one key before the place
     value = F.when(F.col("snapshot").isNotNull(), head).when(first, F.concat(F.regexp_replace("text", r"\}\z", ","), member, F.lit("}"))).otherwise(F.concat(F.lit("{"), member, F.lit(","), F.expr("substring(text, 2)")))
     own = found.select(F.floor((F.col("place") - 1) / part).cast("int").alias("part"), "place", value.alias("value"))
-    own.repartitionById(-(-total // part), "part").sortWithinPartitions("place").select("value").write.text(path)
+    own.repartitionById(-(-total // part), "part").sortWithinPartitions("place").select("value").write.text(path, compression=compression)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
