@@ -271,12 +271,13 @@ def decode(body: bytes | None, header: str | None = None) -> str | None:
 
 
 def dealt(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` that pages are made of, or pages, in as many tasks as a shuffle has.
+    """``rows`` that pages are made of, or pages, in as many tasks as a shuffle has, or three a core if that is more.
 
     Reading a page takes far longer than its bytes say: one row group of narrow rows can hold a million pages. So neither
     the splits of files nor sizes of shuffles say how many tasks there should be.
     """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), key)
 
 
 def decoded(pages: DataFrame) -> DataFrame:
